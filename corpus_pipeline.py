@@ -1,8 +1,66 @@
-"""Corpus preparation in stages, each over all that its predecessor kept."""
+"""Corpus preparation in stages, each over all that its predecessor kept.
 
-STAGES = []
+A stage is a function of (spark, docs, sf_dir) that returns documents (the last one: token ids); between stages the
+documents are written as Parquet to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitalgrid.llm import mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup
+from vitalgrid.llm.common import materialize, table
+from vitalgrid.llm.registry import piece_model
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality rules reject, themselves or by their host."""
+    rejected = quality.judge(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.select(*COLUMNS).join(rejected, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each group that shingle similarity links."""
+    linked = ngram_join.link_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(linked, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut what repeats 100 bytes that start earlier."""
+    return suffix_dedup.cut_text(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that sources come near their targets; a document that is taken in part counts as whole from half its words on."""
+    taken = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("copies"))
+    taken = taken.where("copies > 0").withColumnRenamed("doc_id", "own")
+    out = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("own")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    ids = sentencepiece_codec.encode(docs.select(*COLUMNS), piece_model())
+    return ids.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", piece_ids),
+]
+
+#: SQL can express neither suffix arrays nor the encoding; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

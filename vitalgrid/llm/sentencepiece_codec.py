@@ -328,7 +328,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
     """Add ``out_col`` (array of ids, no begin or end ids) for the whole of ``text_col``; null text gives an empty array."""
 
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series([x.tolist() for x in codec(model_path).encode(_texts(column))])
+        return pd.Series(codec(model_path).encode(_texts(column)), dtype=object)
 
     return df.withColumn(out_col, F.pandas_udf(run, T.ArrayType(T.IntegerType()))(F.col(text_col)))
 
