@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat, mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup, vptree
+from . import backoff_lm, chat, html_tree, licenses, mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup, vptree
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=VP_FACTOR)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -52,6 +56,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), own.alias("text"))
@@ -62,11 +70,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_vptree": op2_vptree,
+    "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_backoff_lm": op7_backoff_lm,
     "op8_mixing": op8_mixing,
+    "op9_html_tree": op9_html_tree,
     "op10_chat": op10_chat,
 }
 
