@@ -327,12 +327,22 @@ def _sort_blocks(length: int):
 def _strings(length: int):
     """Every string of the contexts of large groups, as two hashes."""
 
+    def cut(ids: list[int], at: list[int], texts: list[bytes]) -> pd.DataFrame:
+        sizes = np.array(list(map(len, texts)))
+        ends = np.cumsum(sizes)
+        values = _OF_BYTE[np.frombuffer(b"".join(texts), np.uint8)]
+        of = np.repeat(np.arange(len(texts)), sizes)
+        inside = np.flatnonzero(of[: len(of) - length + 1] == of[length - 1 :])  # strings that lie in one context
+        a, b = (_mix(_pieces_hash(values, length, f)[inside]).view(np.int64) for f in (_FACTOR, _FACTOR2))
+        of = of[inside]
+        start = np.array(at)[of] + inside - (ends - sizes)[of]
+        return pd.DataFrame({"id": np.array(ids, np.int64)[of], "start": start, "a": a, "b": b})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for i, start, text in zip(pdf["id"].tolist(), pdf["at"].tolist(), pdf["text"]):
-                values = _OF_BYTE[np.frombuffer(text, np.uint8)]
-                a, b = _mix(_pieces_hash(values, length)), _mix(_pieces_hash(values, length, _FACTOR2))
-                yield pd.DataFrame({"id": i, "start": start + np.arange(len(a)), "a": a.view(np.int64), "b": b.view(np.int64)})
+            for k in range(0, len(pdf), 2000):
+                own = pdf.iloc[k : k + 2000]
+                yield cut(own["id"].tolist(), own["at"].tolist(), list(map(bytes, own["text"])))
 
     return run
 
