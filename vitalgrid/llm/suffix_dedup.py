@@ -1,6 +1,6 @@
 """Exact removal of repeated byte strings with suffix arrays built by linear grouping.
 
-1. Every string of 100 bytes has an anchor: its 16-byte piece of least hash, the leftmost of equals.  Strings that are
+1. Every string of 100 bytes has an anchor: its 32-byte piece of least hash, the leftmost of equals.  Strings that are
    equal have equal anchors, so a document is cut into contexts, the runs of strings with one anchor, and contexts are
    dealt out by their anchors.  Contexts whose anchor stands nowhere else are done with.
 2. A context that occurs again as a whole is removed wherever it is not first.  What is left are first occurrences of
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Bytes of the strings whose repeats go, and of the pieces that serve as anchors.
-LENGTH, ANCHOR = 100, 16
+LENGTH, ANCHOR = 100, 32
 #: Contexts of an anchor that are sorted as one block.
 BLOCK_CONTEXTS = 48
 #: Bytes hashed, and bytes of blocks sorted, at once: what bounds a task's memory.
