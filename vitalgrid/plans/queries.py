@@ -375,11 +375,10 @@ over_events(_ANN + " SELECT count(*) AS count, min(day) AS firstDay, max(coalesc
 over_events(_ANN + " SELECT DISTINCT unnest(tags) AS tag FROM ann", "a20_tags_in_use", lambda e: N.tags_in_use(B.annotations(e)))
 
 # edits
-_WRONG = F.when(F.col("k") % 4 == 0, F.concat(F.lit('{"deviceId":"'), F.col("deviceId"), F.lit('","fromTs":'), F.col("ts").cast("string"), F.lit(',"toTs":'), (F.col("ts") + F.col("k") * 600).cast("string"), F.lit("}"))).when(F.col("k") % 4 == 1, '{"deviceId":"","fromTs":1.5,"toTs":9,"x":1}').when(F.col("k") % 4 == 2, "[1]").otherwise('{"fromTs":1,"toTs":2}')
-
-
 def _batch(e: DataFrame) -> DataFrame:
-    return e.select(F.col("event_id").alias("id"), F.lit("delete_hr_range").alias("kind"), _WRONG.alias("payloadJSON"))
+    """Range deletions, three of four of them wrong."""
+    payload = F.when(F.col("k") % 4 == 0, F.concat(F.lit('{"deviceId":"'), F.col("deviceId"), F.lit('","fromTs":'), F.col("ts").cast("string"), F.lit(',"toTs":'), (F.col("ts") + F.col("k") * 600).cast("string"), F.lit("}"))).when(F.col("k") % 4 == 1, '{"deviceId":"","fromTs":1.5,"toTs":9,"x":1}').when(F.col("k") % 4 == 2, "[1]").otherwise('{"fromTs":1,"toTs":2}')
+    return e.select(F.col("event_id").alias("id"), F.lit("delete_hr_range").alias("kind"), payload.alias("payloadJSON"))
 
 
 over_events(

@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _s(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _s(columns: str) -> T.StructType:
+    """A schema of plain columns; unlike DDL, it needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 STREAMS: dict[str, T.StructType] = {
