@@ -97,6 +97,10 @@ class Index:
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.template, self.place = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
+    def band(self, t: int) -> int:
+        """Diagonals looked at on each side: fewer for short templates, whose next occurrence may be near."""
+        return min(BAND, len(self.words[t]) // 3)
+
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, lowest, highest diagonal) of groups of matching fingerprints."""
         h = _grams(codes)
@@ -106,20 +110,20 @@ class Index:
         pairs = sorted({(int(self.template[k]), int(at[i] - self.place[k])) for i in hit for k in range(low[i], high[i])})
         out: list[list[int]] = []
         for t, d in pairs:
-            if out and out[-1][0] == t and d - out[-1][2] <= BAND // 2:
+            if out and out[-1][0] == t and d - out[-1][2] <= self.band(t) // 2:
                 out[-1][2] = d
             else:
                 out.append([t, d, d])
         return [tuple(x) for x in out]
 
 
-def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment within BAND of the diagonals: equal words, first and last word of it (-1 if none)."""
+def align(template: list[int], words: list[int], low: int, high: int, band: int) -> tuple[int, int, int]:
+    """Best local alignment within ``band`` of the diagonals: equal words, first and last word of it (-1 if none)."""
     best = (0, 0, -1, -1)
     before: dict[int, tuple[int, int, int]] = {}
     for i, want in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + low - BAND), min(len(words), i + high + BAND + 1)):
+        for j in range(max(0, i + low - band), min(len(words), i + high + band + 1)):
             score, same, start = before.get(j - 1, (0, 0, j))
             equal = words[j] == want
             cell = (score + 2, same + 1, start if score else j) if equal else (score - 1, same, start)
@@ -149,9 +153,9 @@ def find(text: str | None, index: Index, coverage: float = COVERAGE, at_once: in
     for base in range(0, max(1, len(words)), step - lap):
         codes = _word_codes(words[base : base + step])
         for t, low, high in index.candidates(codes):
-            own = index.words[t]
-            a, b = max(0, low - BAND), high + len(own) + BAND
-            same, first, last = align(own.tolist(), codes[a:b].tolist(), low - a, high - a)
+            own, band = index.words[t], index.band(t)
+            a, b = max(0, low - band), high + len(own) + band
+            same, first, last = align(own.tolist(), codes[a:b].tolist(), low - a, high - a, band)
             if first >= 0 and same >= (coverage if len(own) >= WHOLE_BELOW else 1) * len(own):
                 found.append((t, base + a + first, base + a + last, same))
         if base + step >= len(words):
