@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import backoff_lm, chat, html_tree, licenses, mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup, vptree
 from .common import table
+from .oracle import ORACLE
 
 
 def piece_model() -> str:
@@ -80,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLE: dict[str, str] = {}
+
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
