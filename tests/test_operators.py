@@ -157,7 +157,7 @@ def test_propose_renders(spark):
     cases = [
         ("delete_workout", {"deviceId": "d", "startTs": 0, "sport": "run"}, "DELETE workout run @ 1970-01-01 00:00Z (10 min, source strap, d)"),
         ("fix_workout", {"deviceId": "d", "startTs": 0, "sport": "run", "patch": {"sport": "walk", "distanceM": 5}}, 'FIX workout run @ 1970-01-01 00:00Z (d): sport: "run" ⇒ "walk", distanceM: null ⇒ 5'),
-        ("add_workout", {"startTs": 0, "endTs": 60, "sport": "row", "energyKcal": 7}, "ADD workout row 1970-01-01 00:00Z → 1970-01-01 00:01Z (source noop-cloud, 7 kcal)"),
+        ("add_workout", {"startTs": 0, "endTs": 60, "sport": "row", "energyKcal": 7}, "ADD workout row 1970-01-01 00:00Z → 1970-01-01 00:01Z (source cloud, 7 kcal)"),
         ("adjust_sleep_bounds", {"deviceId": "d", "startTs": 0, "newEndTs": 60}, "ADJUST sleep @ 1970-01-01 00:00Z (d): end 1970-01-01 10:00Z ⇒ 1970-01-01 00:01Z"),
         ("delete_metric_point", {"deviceId": "d", "day": "2024-01-01", "key": "restingHr"}, "DELETE dailyMetric column restingHr=55 on 2024-01-01 (d)"),
         ("delete_metric_point", {"deviceId": "d", "day": "2024-01-01", "key": "vo2"}, "DELETE metricSeries key vo2=41.5 on 2024-01-01 (d)"),

@@ -14,6 +14,8 @@ from ..schemas import STAGES
 
 #: Fields of a workout that a patch can set, with their types.
 PATCHED = {"sport": "string", "startTs": "long", "endTs": "long", "energyKcal": "double", "distanceM": "double"}
+#: Device and source of workouts that the journal adds; a deployment that shares its journal with other systems names its own.
+ADDED = "cloud"
 ANNOTATION = "day string, endDay string, startTs long, endTs long, tags array<string>, detail string, source string, tz string, values map<string,string>"
 
 
@@ -47,10 +49,10 @@ def workout_patches(active: DataFrame) -> DataFrame:
     return rows.groupBy("deviceId", "startTs", "sport").agg(*last, F.max_by("editId", "seq").alias("editId"))
 
 
-def added_workouts(active: DataFrame) -> DataFrame:
-    """E-2c: workouts that the journal adds."""
+def added_workouts(active: DataFrame, device: str = ADDED) -> DataFrame:
+    """E-2c: workouts that the journal adds, under a device id of their own."""
     w = _of(active, "add_workout")
-    return w.select("editId", F.lit("noop-cloud").alias("deviceId"), *[_get(n, k).alias(n) for n, k in PATCHED.items()], _get("notes").alias("notes"))
+    return w.select("editId", F.lit(device).alias("deviceId"), *[_get(n, k).alias(n) for n, k in PATCHED.items()], _get("notes").alias("notes"))
 
 
 def sleep_bounds(active: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def overlay_workouts(workouts: DataFrame, deleted: DataFrame, patches: DataFrame
         out = out.withColumn(n, F.when(new[n].isNotNull(), new[n]["value"]).otherwise(F.col(n)))
     out = out.withColumn("durationS", F.when(moved, (F.col("endTs") - F.col("startTs")).cast("double")).otherwise(F.col("durationS")))
     out = out.withColumn("family", source_family(F.col("deviceId"))).withColumn("edited", F.col("editId").isNotNull()).withColumn("added", F.lit(False))
-    more = added.withColumn("durationS", (F.col("endTs") - F.col("startTs")).cast("double")).withColumn("source", F.lit("noop-cloud")).withColumn("family", F.lit("cloud")).withColumn("edited", F.lit(False)).withColumn("added", F.lit(True))
+    more = added.withColumn("durationS", (F.col("endTs") - F.col("startTs")).cast("double")).withColumn("source", F.col("deviceId")).withColumn("family", F.lit("cloud")).withColumn("edited", F.lit(False)).withColumn("added", F.lit(True))
     if start is not None:
         more = more.where(F.col("startTs") >= start)
     if end is not None:

@@ -92,7 +92,7 @@ def states(e: DataFrame) -> DataFrame:
 def _device(e: DataFrame) -> DataFrame:
     """Users become four devices of three families."""
     m = F.col("user_id") % 4
-    return e.withColumn("deviceId", F.when(m == 0, "my-whoop").when(m == 1, "my-whoop-noop").when(m == 2, "oura-api").otherwise("apple-health"))
+    return e.withColumn("deviceId", F.when(m == 0, "my-whoop").when(m == 1, "my-whoop-2").when(m == 2, "oura-api").otherwise("apple-health"))
 
 
 def daily(e: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def gone_points(e: DataFrame) -> DataFrame:
     return d.select("deviceId", "day", F.when(F.col("k") % 2 == 0, "steps").otherwise("avgHrv").alias("key")).distinct()
 
 
-_DEVICE = "CASE user_id % 4 WHEN 0 THEN 'my-whoop' WHEN 1 THEN 'my-whoop-noop' WHEN 2 THEN 'oura-api' ELSE 'apple-health' END"
+_DEVICE = "CASE user_id % 4 WHEN 0 THEN 'my-whoop' WHEN 1 THEN 'my-whoop-2' WHEN 2 THEN 'oura-api' ELSE 'apple-health' END"
 FAMILY = "CASE deviceId WHEN 'oura-api' THEN 'oura' WHEN 'apple-health' THEN 'apple' ELSE 'whoop' END"
 DAILY = f"""dv AS (SELECT * REPLACE ({_DEVICE} AS deviceId) FROM ev),
 daily AS (SELECT deviceId, day, CAST(min(v) FILTER (k % 3 <> 0) AS DOUBLE) AS restingHr, CAST(max(v) FILTER (event_type = 'click') AS DOUBLE) AS avgHrv, CAST(sum(k) AS INTEGER) AS totalSleepMin,
