@@ -108,7 +108,7 @@ def shrunk_rates(marked: DataFrame) -> DataFrame:
     mean = row["failed"] / row["n"]
     within = mean * (1 - mean)
     spread = max(0.0, row["square"] / row["n"] - mean * mean)
-    # expected spread of rates = within * (k - 1 + size * share) / n in a beta-binomial; solved for the share between hosts
+    # what sampling alone would spread the hosts' rates by; the rest is between hosts, and gives the prior its strength
     noise = within * row["k"] / row["n"]
     between = max(0.0, spread - noise)
     strength = within / between - 1 if between > 0 and within > between else 100.0
