@@ -1,11 +1,14 @@
 """Exact similarity join of documents on word shingles, by T-occurrence search.
 
 1. Documents of equal shingle sets form a class; one representative of each goes on.
-2. Two linked sets share a shingle among the first few of each in a common order (prefix filter), so representatives
-   are dealt out by those shingles.  Shingles that a fixed-size counting sketch of all data shows to be frequent come
-   last in that order, which keeps passages of many documents out of the prefixes.
-3. In a group, a document searches the inverted lists of the others with DivideSkip: short lists are merged with a heap,
-   long ones are probed by bisection, and documents reaching the required overlap are links.
+2. Most documents are told apart from all others by counting.  All shingles whose code lies in the lowest part of the
+   range are dealt out (a part that every possible partner deals out too); a document whose partner lacks at most d of
+   its shingles shares all but d of them, so documents with fewer shared ones go, and shared with those that are left is
+   counted again.  Shingles that a fixed-size counting sketch of all data shows to be frequent are taken as shared.
+3. Two linked sets share a shingle among the first few of each in a common order (prefix filter; frequent ones come
+   last), so what is left is dealt out by those shingles.  In a group, a document searches the inverted lists of the
+   others with DivideSkip: short lists are merged with a heap, long ones are probed by bisection, and documents reaching
+   the required overlap are links.
 4. A first round over two groups of each document joins most copies; the second goes over all groups that still hold
    documents of different components, and is what makes the result exact.  Groups are also split by size, since linked
    sets are of similar size.
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 from .components import components
 
 #: Words of a shingle, and the similarity that links two documents, in per cent.
@@ -37,23 +40,30 @@ SHINGLE, PERCENT = 4, 85
 #: Counters in each of the two rows of the sketch: a fixed 1 MB whatever the size of the corpus.
 COUNTERS = 1 << 16
 #: Documents of a group of the first round; larger groups are split, and what that parts is found in the second round.
-GROUP_DOCS = 1000
+GROUP_DOCS = 500
+#: Shingles of all documents that a task of the second round searches at once, where its groups hang together.
+CLUSTER_SHINGLES = 3_000_000
 #: Share of long lists in DivideSkip.
 MU = 0.01
-_CACHE: dict[bytes, int] = {}
+#: Times that documents without enough shared shingles are looked for.
+PRUNINGS = 2
+
+
+class _Codes(dict):
+    """64-bit codes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+_CODES = _Codes()
 
 
 def _word_codes(words: list[bytes]) -> np.ndarray:
-    if len(_CACHE) > 500_000:
-        _CACHE.clear()
-    get = _CACHE.get
-    out = []
-    for w in words:
-        c = get(w)
-        if c is None:
-            c = _CACHE[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(c)
-    return np.array(out, np.uint64)
+    if len(_CODES) > 500_000:
+        _CODES.clear()
+    return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,17 +74,36 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit codes of the distinct k-word shingles of the text, A-Z in lower case."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    if not words:
-        return np.empty(0, np.uint64)
-    c = _word_codes(words)
-    n = min(k, len(c))
-    h = np.full(len(c) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : len(c) - n + 1 + i]
-    return np.unique(_mix(h))
+def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text, the sorted 64-bit codes of its distinct k-word shingles, A-Z in lower case."""
+    words = [x.encode("utf-8", "surrogatepass").lower().split() if isinstance(x, str) else [] for x in texts]
+    c = _word_codes([w for own in words for w in own])
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    h = np.full(max(0, len(c) - k + 1), k, np.uint64)
+    for i in range(k):
+        h = h * factor + c[i : len(c) - k + 1 + i]
+    h = _mix(h)
+    out, at = [], 0
+    for own in words:
+        n = len(own)
+        if n >= k:
+            out.append(np.unique(h[at : at + n - k + 1]))
+        elif n:  # the whole sequence is one shingle
+            short = np.full(1, n, np.uint64)
+            for i in range(n):
+                short = short * factor + c[at + i : at + i + 1]
+            out.append(_mix(short))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += n
+    return out
+
+
+def _in_parts(pdf: pd.DataFrame, k: int, chars: int = 3_000_000) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows with their shingle sets, some at a time."""
+    part = pdf["text"].map(lambda x: len(x) if isinstance(x, str) else 0).cumsum() // chars
+    for _, own in pdf.groupby(part, sort=True):
+        yield own, shingle_sets(list(own["text"]), k)
 
 
 def _cells(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +127,19 @@ def ordered(codes: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.concatenate([codes[~late], codes[late]])
 
 
-def _signed(codes: np.ndarray) -> np.ndarray:
-    return codes.view(np.int64)
+def _key(codes: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def size_class(n: int, percent: int = PERCENT) -> int:
+    """Sets that can be linked are of equal or neighbouring classes."""
+    return int(math.log(n) / -math.log(percent / 100) + 1e-9)
+
+
+def dealt_part(c: int, percent: int = PERCENT) -> float:
+    """Part of the range of codes that documents of size class c deal out; smaller for larger ones."""
+    return min(1.0, (1 - percent / 100) + 0.03 + 2 * (percent / 100) ** (c / 2))
 
 
 def _base(k: int):
@@ -107,16 +147,12 @@ def _base(k: int):
         counts = np.zeros((2, COUNTERS), np.int64)
         any_rows = False
         for pdf in frames:
-            rows = []
-            for text in pdf["text"]:
-                codes = shingle_set(text, k)
-                for row, cell in enumerate(_cells(codes)):
-                    np.add.at(counts[row], cell, 1)
-                digest = hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
-                rows.append((len(codes), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+            for own, sets in _in_parts(pdf, k):
                 any_rows = True
-            n, hi, lo = zip(*rows) if rows else ([], [], [])
-            yield pd.DataFrame({"id": pdf["id"].array, "n": n, "hi": hi, "lo": lo, "sketch": None})
+                for row, cell in enumerate(_cells(np.concatenate(sets))):
+                    counts[row] += np.bincount(cell, minlength=COUNTERS)
+                hi, lo = zip(*map(_key, sets))
+                yield pd.DataFrame({"id": own["id"].array, "n": list(map(len, sets)), "hi": hi, "lo": lo, "sketch": None})
         if any_rows:
             yield pd.DataFrame({"id": pd.array([None], "Int64"), "n": [-1], "hi": [0], "lo": [0], "sketch": [counts.tobytes()]})
 
@@ -131,24 +167,53 @@ def _sum_sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"sketch": [total.tobytes()]})
 
 
-def _prefixes(often: bytes, k: int, percent: int):
+def _flags(often: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(often, np.uint8)).reshape(2, COUNTERS).astype(bool)
+
+
+def _dealt(often: bytes, k: int, percent: int):
+    """(token, hi, need): shingles of the dealt part, and how many of them must be shared. need is 0 on the only row of a document that cannot be ruled out so."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.unpackbits(np.frombuffer(often, np.uint8)).reshape(2, COUNTERS).astype(bool)
+        flags = _flags(often)
         seen: set[int] = set()  # copies in a task are sent once
         for pdf in frames:
-            token, key, size = [], [], []
-            for text in pdf["text"]:
-                codes = shingle_set(text, k)
-                n = len(codes)
-                own = int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                if not n or own in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(own)
-                head = _signed(ordered(codes, flags)[: prefix_length(n, percent)])
-                token.append(head), key.append(np.full(len(head), own)), size.append(np.full(len(head), n))
-            if token:
-                yield pd.DataFrame({"token": np.concatenate(token), "hi": np.concatenate(key), "n": np.concatenate(size)})
+            for _, sets in _in_parts(pdf, k):
+                token, key, need = [], [], []
+                for codes in sets:
+                    n = len(codes)
+                    if not n or (own := _key(codes)[0]) in seen:
+                        continue
+                    if len(seen) < 1_000_000:
+                        seen.add(own)
+                    c = size_class(n, percent)
+                    top = np.array([dealt_part(c, percent), dealt_part(c + 1, percent)])
+                    sent, counted = np.searchsorted(codes, (np.minimum(top, 1 - 2**-53) * 2.0**64).astype(np.uint64))
+                    head = codes[:sent]
+                    a, b = _cells(head)
+                    late = flags[0][a] & flags[1][b]
+                    # a partner lacks at most n - ceil(percent * n / 100) of the set
+                    wanted = int(counted) - (n - -(-percent * n // 100)) - int(late[:counted].sum())
+                    if wanted <= 0:
+                        head, late, wanted = np.array([own], np.int64).view(np.uint64), np.zeros(1, bool), 0
+                    head = head[~late].view(np.int64)
+                    token.append(head), key.append(np.full(len(head), own)), need.append(np.full(len(head), wanted))
+                if token:
+                    yield pd.DataFrame({"token": np.concatenate(token), "hi": np.concatenate(key), "need": np.concatenate(need)})
+
+    return run
+
+
+def _prefixes(often: bytes, k: int, percent: int):
+    """(id, n, token): the shingles that lead each set in the common order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = _flags(often)
+        for pdf in frames:
+            for own, sets in _in_parts(pdf, k):
+                heads = [ordered(codes, flags)[: prefix_length(len(codes), percent)].view(np.int64) for codes in sets]
+                n = list(map(len, heads))
+                yield pd.DataFrame({"id": np.repeat(own["id"].to_numpy(), n), "n": np.repeat(list(map(len, sets)), n), "token": np.concatenate(heads)})
 
     return run
 
@@ -159,16 +224,17 @@ class Lists:
     def __init__(self, percent: int):
         self.percent, self.lists, self.sizes = percent, {}, []
 
-    def add(self, codes: list[int]) -> int:
+    def add(self, codes: list[int], n: int | None = None) -> int:
+        """Add a document of n shingles; codes may leave out those that no other document has."""
         i = len(self.sizes)
-        self.sizes.append(len(codes))
+        self.sizes.append(len(codes) if n is None else n)
         for c in codes:
             self.lists.setdefault(c, []).append(i)
         return i
 
-    def search(self, codes: list[int], skip=lambda i: False) -> Iterator[int]:
-        """Documents whose overlap with ``codes`` reaches what the percentage asks for, but for those that ``skip`` names."""
-        n, p = len(codes), self.percent
+    def search(self, codes: list[int], skip=lambda i: False, n: int | None = None) -> Iterator[int]:
+        """Documents whose overlap with a document of n shingles reaches what the percentage asks for, but for those that ``skip`` names."""
+        n, p = len(codes) if n is None else n, self.percent
         need = -(-p * n // 100)
         lists = sorted((x for c in codes if (x := self.lists.get(c))), key=len)
         if len(lists) < need:
@@ -227,8 +293,8 @@ def _lead(k: int, percent: int):
             if len(group) < 2:
                 continue
             index, ids = Lists(percent), []
-            for i, text in zip(group["id"].tolist(), group["text"]):
-                codes = shingle_set(text, k).tolist()
+            for i, codes in zip(group["id"].tolist(), shingle_sets(list(group["text"]), k)):
+                codes = codes.tolist()
                 found = next(index.search(codes), None)
                 if found is None:
                     index.add(codes)
@@ -256,12 +322,18 @@ def _across(k: int, percent: int):
                 return c
 
             index, ids = Lists(percent), group["id"].tolist()
-            sets = [shingle_set(text, k).tolist() for text in group["text"]]
-            for codes in sets:
-                index.add(codes)
+            found = shingle_sets(list(group["text"]), k)
+            sizes = list(map(len, found))
+            _, place, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            both = times[place] > 1  # shingles that no other document of the group has cannot overlap
+            cut = np.cumsum(sizes)[:-1]
+            sets = [x[m].tolist() for x, m in zip(np.split(place, cut), np.split(both, cut))]
+            del found, place, both
+            for codes, n in zip(sets, sizes):
+                index.add(codes, n)
             for i, codes in enumerate(sets):
                 if comp[i] != most:
-                    for j in index.search(codes, lambda j, i=i: find(comp[j]) == find(comp[i])):
+                    for j in index.search(codes, lambda j, i=i: find(comp[j]) == find(comp[i]), sizes[i]):
                         if find(comp[j]) != find(comp[i]):
                             root[find(comp[i])] = find(comp[j])
                             a.append(ids[i]), b.append(ids[j])
@@ -281,17 +353,23 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     base = base.where("sketch is null").drop("sketch")
     classes = materialize(base.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
 
-    tokens = src.where("text is not null and id is not null").mapInPandas(_prefixes(often, k, percent), "token long, hi long, n long")
-    by_token = "count(*) over (partition by token)"
-    tokens = tokens.repartition("token").dropDuplicates(["token", "hi", "n"]).withColumn("docs", F.expr(by_token)).where("docs > 1").drop("docs")
-    tokens = materialize(tokens, "prefixes")
-
-    # the texts of those that share a prefix shingle with another
-    own = tokens.groupBy("hi").agg(F.min("token").alias("t0"), F.min(F.xxhash64("token")).alias("t1"))
-    reps = classes.join(own, "hi").select("rep", "hi", "n", "t0", "t1")
-    texts = materialize(src.join(reps.withColumnRenamed("rep", "id"), "id"), "texts")
-
-    dealt = texts.select("id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("t0").alias("token")), F.struct(F.lit(1).alias("round"), F.col("t1").alias("token")))).alias("to"))
+    # those that can have a partner at all, by what they share
+    shared = src.where("text is not null and id is not null").mapInPandas(_dealt(often, k, percent), "token long, hi long, need int")
+    shared = shared.repartition("token").dropDuplicates(["token", "hi"])
+    for _ in range(PRUNINGS):
+        several = "min(hi) over (partition by token) < max(hi) over (partition by token) or need = 0"
+        shared = shared.withColumn("several", F.expr(several)).where("several").drop("several")
+        shared = materialize(shared, "shared")
+        left = shared.groupBy("hi").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("hi")
+        left = materialize(left, "left")
+        shared = shared.join(small(left), "hi", "left_semi")
+
+    reps = classes.join(small(left), "hi", "left_semi").select(F.col("rep").alias("id"), "n", "hi")
+    texts = materialize(src.join(small(materialize(reps, "reps")), "id"), "texts")
+    tokens = materialize(texts.select("id", "text").mapInPandas(_prefixes(often, k, percent), "id long, n long, token long"), "prefixes")
+
+    own = tokens.groupBy("id").agg(F.min("token").alias("t0"), F.min(F.xxhash64("token")).alias("t1"))
+    dealt = own.select("id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("t0").alias("token")), F.struct(F.lit(1).alias("round"), F.col("t1").alias("token")))).alias("to"))
     dealt = dealt.select("id", "to.*").withColumn("docs", F.expr("count(*) over (partition by round, token)")).where("docs > 1")
     salt = F.pmod(F.xxhash64("id", "round"), F.ceil(F.col("docs") / GROUP_DOCS))
     dealt = dealt.select("id", F.xxhash64("round", "token", salt).alias("bucket"))
@@ -299,13 +377,32 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     first = materialize(first.distinct(), "links")
     comps = components(first)
 
-    rows = tokens.join(texts.select("id", "hi", "n"), ["hi", "n"]).join(comps, "id", "left").select("id", "token", "n", F.coalesce("component", "id").alias("comp"))
     several = "min(comp) over (partition by {0}) < max(comp) over (partition by {0})"
-    rows = rows.withColumn("mixed", F.expr(several.format("token"))).where("mixed").drop("mixed")
-    level = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int")
-    rows = rows.withColumn("bucket", F.explode(F.array(F.xxhash64("token", level), F.xxhash64("token", level + 1))))
-    rows = rows.withColumn("mixed", F.expr(several.format("bucket"))).where("mixed").select("id", "comp", "bucket")
-    rows = materialize(rows, "groups")
+
+    def slots(df: DataFrame) -> DataFrame:
+        """Each document in its size class and the next one: any two that can be linked meet in one."""
+        level = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int")
+        return df.withColumn("slot", F.explode(F.array(level, level + 1))).withColumn("bucket", F.xxhash64("token", "slot"))
+
+    # documents that share enough with those of their size in other components
+    known = texts.select("id", "hi", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    open_ = slots(shared.join(small(materialize(known, "known")), "hi")).select("id", "slot", "bucket", "comp", "need")
+    open_ = open_.withColumn("mixed", F.expr(several.format("bucket") + " or need = 0")).where("mixed")
+    able = open_.groupBy("id", "slot").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "slot")
+    able = materialize(able, "open")
+    rows = slots(tokens.join(known.select("id", "comp"), "id")).join(small(able), ["id", "slot"], "left_semi").select("id", "slot", "n", "comp", "bucket")
+    rows = materialize(rows.withColumn("mixed", F.expr(several.format("bucket"))).where("mixed").withColumn("node", F.xxhash64("id", "slot")), "groups")
+    # groups that hang together are searched as one if they are small enough for a task: each document is sent once
+    star = rows.join(rows.groupBy("bucket").agg(F.min("node").alias("low")), "bucket").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    docs_of = rows.select("id", "node", "n", "comp").distinct().join(components(star).withColumnRenamed("id", "node"), "node")
+    size = docs_of.groupBy("component").agg(F.sum("n").alias("shingles"))
+    docs_of = materialize(docs_of.join(size, "component"), "clusters")
+    whole = docs_of.where(F.col("shingles") <= CLUSTER_SHINGLES).select("id", "comp", F.xxhash64("component").alias("bucket"))
+    # of the rest, groups that hold the same documents are searched once
+    rest = rows.join(docs_of.where(F.col("shingles") > CLUSTER_SHINGLES).select("node"), "node", "left_semi")
+    group = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    group = group.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = materialize(whole.unionByName(rest.join(group, "bucket", "left_semi").select("id", "comp", "bucket")), "groups")
     second = texts.select("id", "text").join(rows, "id").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_across(k, percent), "a long, b long")
     second = materialize(second.distinct(), "links")
     comps = components(first.unionByName(second)) if not second.isEmpty() else comps
