@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,8 +27,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.unionByName(e.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
         large = both.where(v > u).join(low, "u").select(v.alias("u"), F.col("low").alias("v")).where(u != v).distinct()
-        e = materialize(large, "edges")
+        large = materialize(large, "edges")
+        discard(e)
+        e = large
         low = e.groupBy("u").agg(F.min("v").alias("low"))
         rest = e.join(low, "u").select(v.alias("u"), F.col("low").alias("v")).where(u != v)
         e = materialize(rest.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "edges")
+        discard(large)
     return e.select(u.alias("id"), v.alias("component")).unionByName(e.select(v.alias("id"), v.alias("component")).distinct())

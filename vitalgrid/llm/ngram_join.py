@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import discard, materialize, small
 from .components import components
 
 #: Words of a shingle, and the similarity that links two documents, in per cent.
@@ -356,12 +356,16 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     # those that can have a partner at all, by what they share
     shared = src.where("text is not null and id is not null").mapInPandas(_dealt(often, k, percent), "token long, hi long, need int")
     shared = shared.repartition("token").dropDuplicates(["token", "hi"])
+    kept: list[DataFrame] = []
     for _ in range(PRUNINGS):
         several = "min(hi) over (partition by token) < max(hi) over (partition by token) or need = 0"
         shared = shared.withColumn("several", F.expr(several)).where("several").drop("several")
         shared = materialize(shared, "shared")
+        kept.append(shared)
         left = shared.groupBy("hi").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("hi")
         left = materialize(left, "left")
+        discard(*kept[:-1])
+        kept = kept[-1:]
         shared = shared.join(small(left), "hi", "left_semi")
 
     reps = classes.join(small(left), "hi", "left_semi").select(F.col("rep").alias("id"), "n", "hi")
@@ -402,10 +406,11 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     rest = rows.join(docs_of.where(F.col("shingles") > CLUSTER_SHINGLES).select("node"), "node", "left_semi")
     group = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     group = group.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = materialize(whole.unionByName(rest.join(group, "bucket", "left_semi").select("id", "comp", "bucket")), "groups")
-    second = texts.select("id", "text").join(rows, "id").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_across(k, percent), "a long, b long")
+    searched = materialize(whole.unionByName(rest.join(group, "bucket", "left_semi").select("id", "comp", "bucket")), "groups")
+    second = texts.select("id", "text").join(searched, "id").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_across(k, percent), "a long, b long")
     second = materialize(second.distinct(), "links")
     comps = components(first.unionByName(second)) if not second.isEmpty() else comps
+    discard(*kept, texts, tokens, rows, docs_of, searched)
 
     ranked = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = base.join(ranked, ["hi", "lo"], "left")

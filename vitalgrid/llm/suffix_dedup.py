@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Bytes of the strings whose repeats go, and of the pieces that serve as anchors.
 LENGTH, ANCHOR = 100, 32
@@ -375,7 +375,9 @@ def removed_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     many = cut.where(F.col("contexts") > BLOCK_CONTEXTS).mapInPandas(_strings(length), "id long, start long, a long, b long")
     many = many.withColumn("lead", F.expr("min(struct(id, start)) over (partition by a, b)")).where("lead < struct(id, start)")
     many = many.select("id", "start", (F.col("start") + length).alias("end"))
-    return again.unionByName(some).unionByName(many)
+    spans = materialize(again.unionByName(some).unionByName(many), "spans")
+    discard(found, cut)
+    return spans
 
 
 def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
