@@ -100,7 +100,6 @@ def test_similarity_join(spark, documents, monkeypatch, limits):
     assert out.count() == docs.count()
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(out).items()} == {i: (len(sets[i]), want[i]) for i in sets}
 
-
 @pytest.mark.parametrize("contexts", [48, 1])
 def test_repeats_are_cut(spark, documents, monkeypatch, contexts):
     monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", contexts)
@@ -159,7 +158,6 @@ def test_mixing(spark, documents):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
 
-
 def test_backoff_scores(spark, documents):
     model, floor = backoff_lm.train(documents)
     out = by_id(backoff_lm.score(documents.dropDuplicates(["doc_id"]), model, floor))
@@ -179,6 +177,49 @@ def test_backoff_scores(spark, documents):
         assert out[i]["n_words"] == len(w)
         assert out[i]["log_score"] is None if not w else math.isclose(out[i]["log_score"], s / len(w), abs_tol=1e-4)
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("head", [None, 5])
+def test_backoff_keeps_every_count(spark, documents, monkeypatch, order, head):
+    if head:  # nearly all n-grams take the way of rare ones
+        monkeypatch.setattr(backoff_lm, "HEAD", head)
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "one two three"), (90, "seen once"), (91, "seen once more"), (92, "a")], "doc_id long, text string"))
+    words = [(r["doc_id"], WORD.findall(r["text"] or "")) for r in docs.collect()]
+    counts = collections.Counter(tuple(w[k : k + n]) for _, w in words for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = sum(c for g, c in counts.items() if len(g) == 1)
+
+    def plain(w):
+        s = 0.0
+        for k in range(len(w)):
+            for n in range(min(order, k + 1), 0, -1):
+                if c := counts[tuple(w[k - n + 1 : k + 1])]:
+                    s += math.log(c / (counts[tuple(w[k - n + 1 : k])] if n > 1 else total))
+                    break
+                s += math.log(0.4) if n > 1 else math.log(1 / (2 * total))
+        return s / len(w)
+
+    out = backoff_lm.score_corpus(docs, order=order)
+    got = by_id(out)
+    assert out.count() == len(got) and set(got) == {i for i, _ in words if i is not None}
+    for i, w in words:
+        if i is not None:
+            n = len(w)
+            assert got[i]["n_words"] == n and (got[i]["log_score"] is None if not w else math.isclose(got[i]["log_score"], plain(w), abs_tol=1e-4))
+    if not head and order == 2:  # a model of one corpus for texts of another
+        others = {1: "one two", 2: "seen once", 3: "seen never", 4: "once seen once more", 5: "a b"}
+        model, floor = backoff_lm.train(docs)
+        for i, r in by_id(backoff_lm.score(spark.createDataFrame(list(others.items()), "doc_id long, text string"), model, floor)).items():
+            assert math.isclose(r["log_score"], plain(others[i].split()), abs_tol=1e-4)
+
+
+def test_the_backoff_query_is_a_model_of_all_counts(spark, tmp_path):
+    from vitalgrid.llm.registry import queries
+
+    rows = [(1, "rare word"), (2, "rare word"), (3, "another one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {i: r["log_score"] for i, r in by_id(queries()["op7_backoff_lm"](spark, str(tmp_path))).items()}
+    want = {1: math.log(2 / 6) / 2, 2: math.log(2 / 6) / 2, 3: math.log(1 / 6) / 2}
+    assert all(math.isclose(got[i], want[i], abs_tol=1e-5) for i in want)
+
 
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT", "text"]

@@ -5,8 +5,11 @@ log S is a sum that telescopes: a floor for every position, plus, for every orde
 the score of the shorter n-gram.  So the model is one table (n-gram hash, step), a document is its distinct n-grams with
 their numbers, and scoring is one join on the hash and one sum per document, in whatever order rows come.
 
-Before the shuffle, steps of the HEAD most frequent n-grams (a fixed number) are looked up in a broadcast table, which
-also takes the hot keys out of the join, and n-grams that a Bloom filter of fixed size shows to be unknown are left out,
+A corpus that is scored by its own counts, none left out, needs no steps: every n-gram is known, so the score of a text is
+a sum of logs of counts with whole coefficients, and the n-grams of all texts are dealt out once, by hash.
+
+Before the shuffle, steps (or counts) of the HEAD most frequent n-grams (a fixed number) are looked up in a broadcast table, which
+also takes the hot keys out of the join, and with a model of another corpus n-grams that a Bloom filter of fixed size shows to be unknown are left out,
 as they add nothing.
 
 Edge cases: null or empty text has no words, n_words 0 and a null score; repeated rows of one id get the same score;
@@ -28,9 +31,11 @@ from .common import materialize
 from .ngram_join import _mix, _word_codes
 
 #: Order of the model, factor of a backoff, least count of an n-gram that is kept.
-ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 5
+ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 1
 #: Entries of the broadcast table and bits of the Bloom filter (2 MB and 8 MB), whatever the size of the corpus.
 HEAD, BLOOM_BITS = 1 << 17, 1 << 26
+#: Texts in which n-grams of several words are looked for that may be among the most frequent; results do not depend on them.
+LOOKED_AT = 10_000
 #: n-grams of an order that a task brings together before it sends their counts.
 GRAMS = 2_000_000
 #: Steps are whole numbers of this fraction, so that sums do not depend on the order of rows.
@@ -61,8 +66,16 @@ def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield own
 
 
-def _count(order: int):
-    """(h, count): the distinct n-grams of as many texts as GRAMS allows."""
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each h stands in the sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def _count(order: int, chosen=None):
+    """(h, count): the distinct n-grams of as many texts as GRAMS allows; of those of several words only the chosen ones, if given."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
@@ -78,7 +91,7 @@ def _count(order: int):
         for pdf in frames:
             for own in _parts(pdf):
                 for n, h in enumerate(text_ngrams(list(own["text"]), order)[0]):
-                    held[n].append(h)
+                    held[n].append(h if chosen is None or not n else h[_find(chosen.value, h.view(np.int64))[1]])
                 if sum(map(len, held[0])) > GRAMS:
                     yield from flush()
         yield from flush()
@@ -213,3 +226,70 @@ def score(docs: DataFrame, model: DataFrame, floor: int, text_col: str = "text",
     out = found.groupBy("id").agg(F.sum("words").alias("n_words"), total.alias("steps"), F.sum("texts").alias("rows"))
     mean = F.when(F.col("n_words") > 0, (F.col("steps") / F.col("n_words") + F.lit(float(floor))) * UNIT)
     return out.select(F.col("id").alias(id_col), F.expr("n_words div rows").alias("n_words"), mean.alias("log_score"))
+
+
+def _coefficients(docs: list[np.ndarray], n_words: np.ndarray) -> list[np.ndarray]:
+    """How often the log of an n-gram's count is added to the score of its text, all n-grams being known, for each order and place."""
+    order, some = len(docs), np.arange(len(n_words))
+    out = [np.zeros(len(d), np.int64) for d in docs]
+    out[-1][:] = 1
+    for n in range(1, order):  # texts too short for the full order end on their only n-gram
+        out[n - 1][np.searchsorted(docs[n - 1], some[n_words == n])] = 1
+    if order > 1:  # a history is taken off for each word after it; the words that lead a text come to their last n-gram
+        longer = some[n_words >= order]
+        own = np.where((n_words >= order)[docs[-2]], -1, out[-2])
+        own[np.searchsorted(docs[-2], longer, "right") - 1] += 1
+        own[np.searchsorted(docs[-2], longer)] += 1
+        out[-2] = own
+    return out
+
+
+def _deal(order: int, log_total: int, head):
+    """(id, h, times, coef, words): n-grams that the head table does not hold, with words -1; one row a text (times 0, any h) holds its words and, as coef, what the table gives."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, logs = head.value
+        for pdf in frames:
+            for own in _parts(pdf):
+                ids, named = own["id"].to_numpy(np.int64), ~own["anon"].to_numpy(bool)
+                hashes, docs, n_words = text_ngrams(list(own["text"]), order)
+                coef = np.concatenate(_coefficients(docs, n_words))
+                h, d = np.concatenate(hashes).view(np.int64), np.concatenate(docs)
+                at, hit = _find(keys, h)
+                known = -log_total * (n_words if order == 1 else np.minimum(n_words, 1))
+                if len(keys):
+                    np.add.at(known, d[hit], coef[hit] * logs[at[hit]])
+                h, d, coef = h[~hit], d[~hit], coef[~hit]
+                by = np.lexsort((h, d))
+                h, d, coef = h[by], d[by], coef[by]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, np.int64)
+                times = np.diff(np.r_[first, len(h)])
+                coef = np.add.reduceat(coef, first) if len(h) else coef
+                key = (_mix(ids.view(np.uint64)) & ~np.uint64(7)).view(np.int64)
+                yield pd.DataFrame({"id": ids[named], "h": key[named], "times": 0, "coef": known[named], "words": n_words[named]})
+                # texts without an id are counted and not scored
+                yield pd.DataFrame({"id": ids[d[first]], "h": h[first], "times": times, "coef": np.where(named[d[first]], coef, 0), "words": -1})
+
+    return run
+
+
+def score_corpus(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """What ``score`` gives with a model of all n-grams of ``docs`` themselves."""
+    spark = docs.sparkSession
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("anon"), F.col(text_col).alias("text"))
+    texts = src.select("text").where("text is not null")
+    some = texts.sample(min(1.0, LOOKED_AT / max(1, docs.count())), 1).mapInPandas(_count(order), "h long, count int").where(F.pmod("h", F.lit(8)) > 1)
+    some = some.groupBy("h").agg(F.sum("count").alias("count")).where("count > 1").orderBy(F.desc("count"), "h").limit(HEAD).select("h").toPandas()
+    chosen = spark.sparkContext.broadcast(np.sort(some["h"].to_numpy(np.int64)))
+    counts = texts.mapInPandas(_count(order, chosen), "h long, count int").groupBy("h").agg(F.sum("count").alias("count"))
+    counts = materialize(counts, "ngrams")
+    total = max(1, counts.where(F.pmod("h", F.lit(8)) == 1).agg(F.sum("count")).first()[0] or 0)
+    log = F.round(F.log(F.col("count").cast("double")) / UNIT).cast("long")
+    top = counts.orderBy(F.desc("count"), "h").limit(HEAD).select("h", log.alias("log")).toPandas().sort_values("h")
+    head = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["log"].to_numpy(np.int64)))
+    rows = src.mapInPandas(_deal(order, round(math.log(total) / UNIT), head), "id long, h long, times int, coef long, words int")
+    rows = rows.withColumn("count", F.expr("sum(times) over (partition by h)"))
+    own = F.col("words") >= 0
+    out = rows.groupBy("id").agg(F.sum(F.when(own, F.col("words").cast("long"))).alias("n_words"), F.sum(F.when(own, F.col("coef")).otherwise(F.col("coef") * log)).alias("steps"), F.count(F.when(own, 1)).alias("rows"))
+    mean = F.when(F.col("n_words") > 0, F.col("steps") / F.col("n_words") * UNIT)
+    return out.where("rows > 0").select(F.col("id").alias(id_col), F.expr("n_words div rows").alias("n_words"), mean.alias("log_score"))
