@@ -158,6 +158,24 @@ def test_mixing(spark, documents):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
 
+def test_a_budget_that_ends_with_a_document(spark):
+    digest = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+    groups = {}
+    for shift, n in ((48, 6), (36, 2)):  # ids that share the bucket of the first, and of the second histogram
+        found = collections.defaultdict(list)
+        for i in range(1, 60_000):
+            own = found[digest(i) >> shift]
+            own.append(i)
+            if len(own) == n:
+                groups[shift] = own
+                break
+    assert set(groups) == {48, 36}
+    for ids in groups.values():
+        out = by_id(mixing.mix(spark.createDataFrame([(i, "five words in each text", "s") for i in ids], "doc_id long, text string, source string")))
+        first = sorted(ids, key=digest)[: len(ids) // 2]
+        assert {i: out[i]["taken"] for i in ids} == {i: 10 if i in first else 5 for i in ids}
+
+
 def test_backoff_scores(spark, documents):
     model, floor = backoff_lm.train(documents)
     out = by_id(backoff_lm.score(documents.dropDuplicates(["doc_id"]), model, floor))

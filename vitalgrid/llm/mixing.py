@@ -78,12 +78,14 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     first = materialize(_boundary(hist.join(goal, "src"), ["src"], "d1"), "mixing-hist")
 
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
+    # below a cut bucket the budget may also end with a bucket's last word: that bucket is then the edge, taken in whole
+    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))
     left = (F.col("rest") - F.col("before")).alias("rest")
     for digit, keys in (("d2", ["src", "d1"]), ("hash", ["src", "d2"])):
-        edge = (first if digit == "d2" else at).where(cut).select(*keys, left)
+        edge = (first.where(cut) if digit == "d2" else at.where(ends)).select(*keys, left)
         own = base.join(edge, keys).groupBy(*keys, digit, "rest").agg(F.sum("size").alias("words"))
         at = _boundary(own, keys, digit)
-    edge = at.where(cut).select("src", F.col("hash").alias("edge"), (F.col("rest") - F.col("before")).alias("edge_rest"), F.col("words").alias("edge_words"))
+    edge = at.where(ends).select("src", F.col("hash").alias("edge"), (F.col("rest") - F.col("before")).alias("edge_rest"), F.col("words").alias("edge_words"))
     # Buckets wholly inside the budget are taken, the boundary bucket by the threshold; keyed by bucket, so that no source is hot.
     verdict = first.join(edge, "src", "left").withColumn("inside", F.col("before") + F.col("words") <= F.col("rest")).withColumn("cut", cut)
     verdict = verdict.select("src", "d1", "source_size", "target", "copies", "inside", "cut", "edge", "edge_rest", "edge_words")
