@@ -5,6 +5,8 @@ import hashlib
 import math
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 
@@ -100,6 +102,27 @@ def test_similarity_join(spark, documents, monkeypatch, limits):
     assert out.count() == docs.count()
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(out).items()} == {i: (len(sets[i]), want[i]) for i in sets}
 
+@pytest.mark.parametrize("group_docs", [None, 1])
+def test_links_of_documents_that_counting_cannot_rule_out(spark, monkeypatch, group_docs):
+    passage = [f"p{k}" for k in range(400)]
+    often = np.zeros((2, ngram_join.COUNTERS), bool)
+    for row, cells in zip(often, ngram_join._cells(ngram_join.shingle_sets([" ".join(passage)])[0])):
+        row[cells] = True
+    monkeypatch.setattr(ngram_join, "frequent", lambda counts: often)
+    if group_docs:  # few pairs meet in the first round
+        monkeypatch.setattr(ngram_join, "GROUP_DOCS", group_docs)
+    rows = []
+    for i in range(16):
+        a = [f"a{i}_{k}" for k in range(603)] + passage
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a + [f"b{i}_{k}" for k in range(140)]))]
+    dealt = pd.concat(ngram_join._dealt(np.packbits(often).tobytes(), ngram_join.SHINGLE, ngram_join.PERCENT)(iter([pd.DataFrame(rows, columns=["id", "text"])])))
+    need = dealt.groupby("hi")["need"].max()
+    needs = [need[ngram_join._key(ngram_join.shingle_sets([t])[0])[0]] for _, t in rows]
+    assert sum((a > 0) != (b > 0) for a, b in zip(needs[::2], needs[1::2])) >= 5  # one of both kinds
+    out = by_id(ngram_join.link_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["component_id"] for i, r in out.items()} == {i: i // 2 * 2 for i, _ in rows}
+
+
 @pytest.mark.parametrize("contexts", [48, 1])
 def test_repeats_are_cut(spark, documents, monkeypatch, contexts):
     monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", contexts)

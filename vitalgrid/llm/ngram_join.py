@@ -45,6 +45,8 @@ GROUP_DOCS = 500
 CLUSTER_SHINGLES = 3_000_000
 #: Share of long lists in DivideSkip.
 MU = 0.01
+#: Instead of a number of shingles: the row by which a document stays that cannot be ruled out by counting.
+MARK = -1
 #: Times that documents without enough shared shingles are looked for.
 PRUNINGS = 2
 
@@ -172,7 +174,7 @@ def _flags(often: bytes) -> np.ndarray:
 
 
 def _dealt(often: bytes, k: int, percent: int):
-    """(token, hi, need): shingles of the dealt part, and how many of them must be shared. need is 0 on the only row of a document that cannot be ruled out so."""
+    """(token, hi, need): shingles of the dealt part, and how many of them must be shared. A document that cannot be ruled out so needs 0, and has a row MARK of its own besides."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = _flags(often)
@@ -194,10 +196,10 @@ def _dealt(often: bytes, k: int, percent: int):
                     late = flags[0][a] & flags[1][b]
                     # a partner lacks at most n - ceil(percent * n / 100) of the set
                     wanted = int(counted) - (n - -(-percent * n // 100)) - int(late[:counted].sum())
-                    if wanted <= 0:
-                        head, late, wanted = np.array([own], np.int64).view(np.uint64), np.zeros(1, bool), 0
                     head = head[~late].view(np.int64)
-                    token.append(head), key.append(np.full(len(head), own)), need.append(np.full(len(head), wanted))
+                    token.append(head), key.append(np.full(len(head), own)), need.append(np.full(len(head), max(0, wanted)))
+                    if wanted <= 0:  # its partners still have to meet its shingles
+                        token.append(np.array([own])), key.append(np.array([own])), need.append(np.array([MARK]))
                 if token:
                     yield pd.DataFrame({"token": np.concatenate(token), "hi": np.concatenate(key), "need": np.concatenate(need)})
 
@@ -355,10 +357,10 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     # those that can have a partner at all, by what they share
     shared = src.where("text is not null and id is not null").mapInPandas(_dealt(often, k, percent), "token long, hi long, need int")
-    shared = shared.repartition("token").dropDuplicates(["token", "hi"])
+    shared = shared.repartition("token").dropDuplicates(["token", "hi", "need"])
     kept: list[DataFrame] = []
     for _ in range(PRUNINGS):
-        several = "min(hi) over (partition by token) < max(hi) over (partition by token) or need = 0"
+        several = f"min(hi) over (partition by token) < max(hi) over (partition by token) or need = {MARK}"
         shared = shared.withColumn("several", F.expr(several)).where("several").drop("several")
         shared = materialize(shared, "shared")
         kept.append(shared)
@@ -391,7 +393,7 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     # documents that share enough with those of their size in other components
     known = texts.select("id", "hi", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_ = slots(shared.join(small(materialize(known, "known")), "hi")).select("id", "slot", "bucket", "comp", "need")
-    open_ = open_.withColumn("mixed", F.expr(several.format("bucket") + " or need = 0")).where("mixed")
+    open_ = open_.withColumn("mixed", F.expr(several.format("bucket") + f" or need = {MARK}")).where("mixed")
     able = open_.groupBy("id", "slot").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "slot")
     able = materialize(able, "open")
     rows = slots(tokens.join(known.select("id", "comp"), "id")).join(small(able), ["id", "slot"], "left_semi").select("id", "slot", "n", "comp", "bucket")
