@@ -13,6 +13,8 @@ from vitalgrid.llm import mixing, ngram_join, quality, sentencepiece_codec, suff
 from vitalgrid.llm.common import materialize, table
 from vitalgrid.llm.registry import piece_model
 
+#: Words of a shingle, and the similarity in per cent that makes two documents near copies; the op6 query has its own.
+SHINGLE, PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group that shingle similarity links."""
-    linked = ngram_join.link_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    linked = ngram_join.link_classes(docs, k=SHINGLE, percent=PERCENT).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(linked, "doc_id", "left_anti").select(*COLUMNS)
 
 

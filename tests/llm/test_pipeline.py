@@ -100,3 +100,25 @@ def test_stages_keep_columns(spark, documents):
     assert len(names) == 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, documents.limit(0), "").columns == corpus_pipeline.COLUMNS
+
+
+def test_near_copies_share_80_per_cent_of_five_word_shingles(spark):
+    def words(name, n):
+        return [f"{name}{k}" for k in range(n)]
+
+    def changed(own, places):
+        return [f"new{k}" if k in places else w for k, w in enumerate(own)]
+
+    rows = []
+    for i, name in enumerate("abcd"):
+        own = words(name, 200)
+        other = [own + words("longer", 40), own + words("far", 52), changed(own, (20, 60, 100, 140)), changed(own, (20, 50, 80, 110, 140))][i]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+
+    def linked(a, b):
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return 100 * len(a & b) >= 80 * len(a | b)
+
+    want = {i for i, t in rows if not i % 2 or not linked(rows[i - 1][1], t)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want == {0, 2, 3, 4, 6, 7}
