@@ -6,15 +6,19 @@ the score of the shorter n-gram.  So the model is one table (n-gram hash, step),
 their numbers, and scoring is one join on the hash and one sum per document, in whatever order rows come.
 
 A corpus that is scored by its own counts, none left out, needs no steps: every n-gram is known, so the score of a text is
-a sum of logs of counts with whole coefficients, and the n-grams of all texts are dealt out once, by hash.
-
-Before the shuffle, steps (or counts) of the HEAD most frequent n-grams (a fixed number) are looked up in a broadcast table, which
-also takes the hot keys out of the join, and with a model of another corpus n-grams that a Bloom filter of fixed size shows to be unknown are left out,
-as they add nothing.
-
-Edge cases: null or empty text has no words, n_words 0 and a null score; repeated rows of one id get the same score;
-n-grams never cross texts; very long texts are taken whole; with an empty training corpus every word gets the floor;
-an empty table gives an empty result; extra columns are ignored.
+a sum of logs of counts with whole coefficients.  Its n-grams cross one exchange: a batch of texts sends one row of arrays
+to each bucket of hashes, which is unpacked where it arrives; there a window by hash gives the counts, and what n-grams add
+to their texts is summed by text.  N-grams that occur once add nothing and go no further.
+
+Before that exchange, steps (or counts) of the most frequent n-grams (HEAD at most, a fixed number) are looked up in a
+broadcast table, which also takes the hot keys out of it; and with a model of another corpus n-grams that a Bloom filter of
+fixed size shows to be unknown are left out, as they add nothing.
+
+Edge cases: null or empty text has no words, n_words 0 and a null score; n-grams never cross texts; very long texts are
+taken whole; with an empty training corpus every word gets the floor; an empty table gives an empty result; extra columns
+are ignored.  ``score_corpus`` gives one row for each row, also for repeated rows and those without an id, all of which are
+counted; it tells rows apart by their place in a partition, so its input should come from files.  ``score`` joins by id:
+rows of one id give one row, the mean of all their words, and rows without an id none.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .ngram_join import _mix, _word_codes
 
 #: Order of the model, factor of a backoff, least count of an n-gram that is kept.
@@ -40,12 +46,13 @@ LOOKED_AT = 10_000
 GRAMS = 2_000_000
 #: Steps are whole numbers of this fraction, so that sums do not depend on the order of rows.
 UNIT = 1e-6
-CHARS = 1_500_000
+#: Characters, and texts, worked on at once.
+CHARS, PART_TEXTS = 1_500_000, 30_000
 
 
-def text_ngrams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def text_ngrams(texts: list[str | bytes | None], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each n from 1 to ``order``: hashes of all n-grams and the text they stand in; and the words of each text."""
-    words = [x.encode("utf-8", "surrogatepass").split() if isinstance(x, str) else [] for x in texts]
+    words = [x.split() if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass").split() if isinstance(x, str) else [] for x in texts]
     n_words = np.fromiter(map(len, words), np.int64, len(words))
     codes = _word_codes([w for own in words for w in own])
     doc = np.repeat(np.arange(len(words)), n_words)
@@ -213,11 +220,25 @@ def _explode(order: int, back: int, head, bloom):
     return run
 
 
+def _most_frequent(counts: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """h, in order, and ``value`` of the n-grams of largest count: whole levels of counts, HEAD entries at most."""
+    level = F.floor(F.log2(F.col("count").cast("double")) * 16)
+    least, held = None, 0
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a thousand levels at most
+        held += row["n"]
+        if held > HEAD:
+            break
+        least = row["level"]
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    top = counts.where(level >= least).select("h", F.col(value).alias("value")).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64), top["value"].to_numpy(np.int64)
+
+
 def score(docs: DataFrame, model: DataFrame, floor: int, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """``id_col``, n_words and log_score (mean natural logarithm of the stupid-backoff score of a word) of every document."""
     spark = docs.sparkSession
-    top = model.orderBy(F.desc("count"), "h").limit(HEAD).select("h", "step").toPandas().sort_values("h")
-    head = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["step"].to_numpy(np.int64)))
+    head = spark.sparkContext.broadcast(_most_frequent(model, "step"))
     bloom = _filter_of(model)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     rows = src.mapInPandas(_explode(order, round(math.log(backoff) / UNIT), head, bloom), "id long, h long, times int, known long, words long, texts int")
@@ -244,52 +265,92 @@ def _coefficients(docs: list[np.ndarray], n_words: np.ndarray) -> list[np.ndarra
     return out
 
 
-def _deal(order: int, log_total: int, head):
-    """(id, h, times, coef, words): n-grams that the head table does not hold, with words -1; one row a text (times 0, any h) holds its words and, as coef, what the table gives."""
+def _deal(order: int, log_total: int, head, buckets: int):
+    """One row per batch of texts and bucket of hashes, with arrays: of each n-gram of a text that the head table does not
+    hold its hash, the text's place in the batch, its times and its coefficient.
+
+    Buckets below zero hold two entries of each text: its id (times 0) with what the head table gives, and (times -1) its words.
+    """
+    shift = np.uint64(64 - buckets.bit_length() + 1)
+
+    def lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, logs = head.value
-        for pdf in frames:
-            for own in _parts(pdf):
-                ids, named = own["id"].to_numpy(np.int64), ~own["anon"].to_numpy(bool)
-                hashes, docs, n_words = text_ngrams(list(own["text"]), order)
+        batch = TaskContext.get().partitionId() << 32
+        for frame in frames:
+            for own in _arrow_parts(frame):
+                batch += 1
+                n_texts = own.num_rows
+                hashes, docs, n_words = text_ngrams(own["text"].cast(pa.binary()).to_pylist(), order)
                 coef = np.concatenate(_coefficients(docs, n_words))
                 h, d = np.concatenate(hashes).view(np.int64), np.concatenate(docs)
                 at, hit = _find(keys, h)
                 known = -log_total * (n_words if order == 1 else np.minimum(n_words, 1))
                 if len(keys):
                     np.add.at(known, d[hit], coef[hit] * logs[at[hit]])
-                h, d, coef = h[~hit], d[~hit], coef[~hit]
-                by = np.lexsort((h, d))
+                h, d, coef = h[~hit].view(np.uint64), d[~hit], coef[~hit]
+                by = np.argsort(h, kind="stable")  # texts are in order already
                 h, d, coef = h[by], d[by], coef[by]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, np.int64)
                 times = np.diff(np.r_[first, len(h)])
                 coef = np.add.reduceat(coef, first) if len(h) else coef
-                key = (_mix(ids.view(np.uint64)) & ~np.uint64(7)).view(np.int64)
-                yield pd.DataFrame({"id": ids[named], "h": key[named], "times": 0, "coef": known[named], "words": n_words[named]})
-                # texts without an id are counted and not scored
-                yield pd.DataFrame({"id": ids[d[first]], "h": h[first], "times": times, "coef": np.where(named[d[first]], coef, 0), "words": -1})
+                h, d = h[first], d[first]
+                bucket = (h >> shift).astype(np.int32)
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else np.empty(0, np.int64)
+                ends = np.r_[cut, len(h)].astype(np.int32)
+                grams = [pa.array(bucket[cut], pa.int32()), pa.array(np.full(len(cut), batch), pa.int64())]
+                grams += [lists(pa.array(x, t), ends) for x, t in zip((h.view(np.int64), d, times, coef), _TYPES)]
+                yield pa.RecordBatch.from_arrays(grams, _NAMES)
+                ids = pa.concat_arrays([own["id"], own["id"]])
+                place = np.tile(np.arange(n_texts), 2)
+                texts = [pa.array([-1 - batch % buckets], pa.int32()), pa.array([batch], pa.int64())]
+                texts += [lists(x, np.array([0, 2 * n_texts])) for x in (ids, pa.array(place, _TYPES[1]), pa.array(np.repeat([0, -1], n_texts), _TYPES[2]), pa.array(np.r_[known, n_words], _TYPES[3]))]
+                yield pa.RecordBatch.from_arrays(texts, _NAMES)
 
     return run
 
 
+_NAMES, _TYPES = ["bucket", "batch", "h", "place", "times", "coef"], [pa.int64(), pa.int16(), pa.int32(), pa.int64()]
+
+
+def _arrow_parts(frame: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in parts of about CHARS bytes and PART_TEXTS texts at most."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(frame["text"]), 0).to_numpy(zero_copy_only=False)) if frame.num_rows else np.empty(0)
+    at = 0
+    while at < frame.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right"))
+        end = min(max(end, at + 1), at + PART_TEXTS)
+        yield frame.slice(at, end - at)
+        at = end
+
+
 def score_corpus(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
-    """What ``score`` gives with a model of all n-grams of ``docs`` themselves."""
+    """What ``score`` gives with a model of all n-grams of ``docs`` themselves: one row for each row of ``docs``."""
     spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("anon"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = src.select("text").where("text is not null")
     some = texts.sample(min(1.0, LOOKED_AT / max(1, docs.count())), 1).mapInPandas(_count(order), "h long, count int").where(F.pmod("h", F.lit(8)) > 1)
-    some = some.groupBy("h").agg(F.sum("count").alias("count")).where("count > 1").orderBy(F.desc("count"), "h").limit(HEAD).select("h").toPandas()
-    chosen = spark.sparkContext.broadcast(np.sort(some["h"].to_numpy(np.int64)))
+    some = materialize(some.groupBy("h").agg(F.sum("count").alias("count")).where("count > 1"), "tried")
+    chosen = spark.sparkContext.broadcast(_most_frequent(some, "count")[0])
+    discard(some)
     counts = texts.mapInPandas(_count(order, chosen), "h long, count int").groupBy("h").agg(F.sum("count").alias("count"))
     counts = materialize(counts, "ngrams")
     total = max(1, counts.where(F.pmod("h", F.lit(8)) == 1).agg(F.sum("count")).first()[0] or 0)
     log = F.round(F.log(F.col("count").cast("double")) / UNIT).cast("long")
-    top = counts.orderBy(F.desc("count"), "h").limit(HEAD).select("h", log.alias("log")).toPandas().sort_values("h")
-    head = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["log"].to_numpy(np.int64)))
-    rows = src.mapInPandas(_deal(order, round(math.log(total) / UNIT), head), "id long, h long, times int, coef long, words int")
-    rows = rows.withColumn("count", F.expr("sum(times) over (partition by h)"))
-    own = F.col("words") >= 0
-    out = rows.groupBy("id").agg(F.sum(F.when(own, F.col("words").cast("long"))).alias("n_words"), F.sum(F.when(own, F.col("coef")).otherwise(F.col("coef") * log)).alias("steps"), F.count(F.when(own, 1)).alias("rows"))
+    head = spark.sparkContext.broadcast(_most_frequent(counts.withColumn("log", log), "log"))
+    discard(counts)
+    # enough buckets for an even deal; a bucket's rows are unpacked and counted where they arrive, with no other exchange
+    buckets = 1 << max(10, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    dealt = src.mapInArrow(_deal(order, round(math.log(total) / UNIT), head, buckets), "bucket int, batch long, h array<long>, place array<short>, times array<int>, coef array<long>")
+    grams = dealt.repartition("bucket").select("bucket", "batch", "place", "times", "coef", F.posexplode("h").alias("at", "h"))
+    grams = grams.select("bucket", "h", "batch", F.get("place", "at").alias("place"), F.get("times", "at").alias("times"), F.get("coef", "at").alias("coef"))
+    grams = grams.withColumn("count", F.expr("sum(times) over (partition by h, bucket)"))
+    # the log of one adds nothing
+    own, steps = F.col("bucket") < 0, F.when(F.col("times") == 0, F.col("coef")).when(F.col("times") > 0, F.col("coef") * log)
+    out = grams.where(own | (F.col("count") > 1)).groupBy("batch", "place").agg(F.max(F.when(own, F.col("h"))).alias("id"), F.sum(F.when(F.col("times") == -1, F.col("coef"))).alias("n_words"), F.sum(steps).alias("steps"))
     mean = F.when(F.col("n_words") > 0, F.col("steps") / F.col("n_words") * UNIT)
-    return out.where("rows > 0").select(F.col("id").alias(id_col), F.expr("n_words div rows").alias("n_words"), mean.alias("log_score"))
+    return out.select(F.col("id").alias(id_col), "n_words", mean.alias("log_score"))
