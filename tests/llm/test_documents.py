@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -87,11 +88,11 @@ def shingles(t):
     return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("limits", [None, (5, 40)])
+@pytest.mark.parametrize("limits", [None, (500, 700), (1, 40)])
 def test_similarity_join(spark, documents, monkeypatch, limits):
     if limits:  # the ways for large groups
-        monkeypatch.setattr(ngram_join, "GROUP_DOCS", limits[0])
-        monkeypatch.setattr(ngram_join, "CLUSTER_SHINGLES", limits[1])
+        monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", limits[0])
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", limits[1])
     extra = spark.createDataFrame([(1000 + i, " ".join(f"w{k + (k in range(i, i + 9)) * 1000 * (i % 5)}" for k in range(150 + i % 7)), "s") for i in range(30)], "doc_id long, text string, source string")
     docs = documents.select("doc_id", "text", "source").unionByName(extra)
     all_texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -110,12 +111,13 @@ def test_links_of_documents_that_counting_cannot_rule_out(spark, monkeypatch, gr
         row[cells] = True
     monkeypatch.setattr(ngram_join, "frequent", lambda counts: often)
     if group_docs:  # few pairs meet in the first round
-        monkeypatch.setattr(ngram_join, "GROUP_DOCS", group_docs)
+        monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", group_docs)
     rows = []
     for i in range(16):
         a = [f"a{i}_{k}" for k in range(603)] + passage
         rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a + [f"b{i}_{k}" for k in range(140)]))]
-    dealt = pd.concat(ngram_join._dealt(np.packbits(often).tobytes(), ngram_join.SHINGLE, ngram_join.PERCENT)(iter([pd.DataFrame(rows, columns=["id", "text"])])))
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["id", "text"]))
+    dealt = pd.concat(x.to_pandas() for x in ngram_join._dealt(np.packbits(often).tobytes(), ngram_join.SHINGLE, ngram_join.PERCENT)(iter([batch])))
     need = dealt.groupby("hi")["need"].max()
     needs = [need[ngram_join._key(ngram_join.shingle_sets([t])[0])[0]] for _, t in rows]
     assert sum((a > 0) != (b > 0) for a, b in zip(needs[::2], needs[1::2])) >= 5  # one of both kinds

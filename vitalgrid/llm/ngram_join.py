@@ -11,11 +11,13 @@
    the required overlap are links.
 4. A first round over two groups of each document joins most copies; the second goes over all groups that still hold
    documents of different components, and is what makes the result exact.  Groups are also split by size, since linked
-   sets are of similar size.
+   sets are of similar size.  Groups that hang together are searched as one; what is more than a task should hold is
+   dealt out in blocks, and every two blocks meet in a task, so that no task's memory grows with a group.
 
 Edge cases: null text and text without words have the empty set, which links with nothing; repeated rows and equal
 texts share a component; very long texts are taken whole; an empty table gives an empty result; extra columns are
-ignored; rows without an id take no part in links, and have a null component.
+ignored; rows without an id take no part in links, and have a null component; ids are taken to name one text: rows of one
+id with different texts have the links of either.
 """
 
 from __future__ import annotations
@@ -24,25 +26,28 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small
+from .common import discard, frees, materialize, raw_texts, small, text_parts
 from .components import components
 
 #: Words of a shingle, and the similarity that links two documents, in per cent.
 SHINGLE, PERCENT = 4, 85
 #: Counters in each of the two rows of the sketch: a fixed 1 MB whatever the size of the corpus.
 COUNTERS = 1 << 16
-#: Documents of a group of the first round; larger groups are split, and what that parts is found in the second round.
-GROUP_DOCS = 500
-#: Shingles of all documents that a task of the second round searches at once, where its groups hang together.
-CLUSTER_SHINGLES = 3_000_000
+#: Shingles of a group of the first round; larger groups are split, and what that parts is found in the second round.
+GROUP_SHINGLES = 300_000
+#: Shingles of a block of documents that a task of the second round searches, against itself or another block.
+BLOCK_SHINGLES = 1_000_000
+#: Copies that a task remembers, so that it sends them once.
+REMEMBERED = 200_000
 #: Share of long lists in DivideSkip.
 MU = 0.01
 #: Instead of a number of shingles: the row by which a document stays that cannot be ruled out by counting.
@@ -63,7 +68,7 @@ _CODES = _Codes()
 
 
 def _word_codes(words: list[bytes]) -> np.ndarray:
-    if len(_CODES) > 500_000:
+    if len(_CODES) > 200_000:
         _CODES.clear()
     return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
 
@@ -76,9 +81,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], k: int = SHINGLE) -> list[np.ndarray]:
     """Of each text, the sorted 64-bit codes of its distinct k-word shingles, A-Z in lower case."""
-    words = [x.encode("utf-8", "surrogatepass").lower().split() if isinstance(x, str) else [] for x in texts]
+    words = [(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x).lower().split() if x else [] for x in texts]
     c = _word_codes([w for own in words for w in own])
     factor = np.uint64(0x9E3779B97F4A7C15)
     h = np.full(max(0, len(c) - k + 1), k, np.uint64)
@@ -101,13 +106,6 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _in_parts(pdf: pd.DataFrame, k: int, chars: int = 3_000_000) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Rows with their shingle sets, some at a time."""
-    part = pdf["text"].map(lambda x: len(x) if isinstance(x, str) else 0).cumsum() // chars
-    for _, own in pdf.groupby(part, sort=True):
-        yield own, shingle_sets(list(own["text"]), k)
-
-
 def _cells(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (codes & np.uint64(COUNTERS - 1)).astype(np.int64), ((codes >> np.uint64(20)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
@@ -144,29 +142,39 @@ def dealt_part(c: int, percent: int = PERCENT) -> float:
     return min(1.0, (1 - percent / 100) + 0.03 + 2 * (percent / 100) ** (c / 2))
 
 
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
+
+
+def _long(x) -> pa.Array:
+    return pa.array(x, pa.int64())
+
+
 def _base(k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, COUNTERS), np.int64)
         any_rows = False
-        for pdf in frames:
-            for own, sets in _in_parts(pdf, k):
+        for batch in batches:
+            for part in text_parts(batch):
                 any_rows = True
+                sets = shingle_sets(raw_texts(part), k)
                 for row, cell in enumerate(_cells(np.concatenate(sets))):
                     counts[row] += np.bincount(cell, minlength=COUNTERS)
                 hi, lo = zip(*map(_key, sets))
-                yield pd.DataFrame({"id": own["id"].array, "n": list(map(len, sets)), "hi": hi, "lo": lo, "sketch": None})
+                yield _batch(id=part["id"], n=_long(list(map(len, sets))), hi=_long(hi), lo=_long(lo), sketch=pa.nulls(len(sets), pa.binary()))
         if any_rows:
-            yield pd.DataFrame({"id": pd.array([None], "Int64"), "n": [-1], "hi": [0], "lo": [0], "sketch": [counts.tobytes()]})
+            yield _batch(id=pa.nulls(1, pa.int64()), n=_long([-1]), hi=_long([0]), lo=_long([0]), sketch=pa.array([counts.tobytes()], pa.binary()))
 
     return run
 
 
-def _sum_sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sum_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(2 * COUNTERS, np.int64)
-    for pdf in frames:
-        for x in pdf["sketch"]:
-            total += np.frombuffer(x, np.int64)
-    yield pd.DataFrame({"sketch": [total.tobytes()]})
+    for batch in batches:
+        for x in batch["sketch"]:
+            total += np.frombuffer(x.as_py(), np.int64)
+    yield _batch(sketch=pa.array([total.tobytes()], pa.binary()))
 
 
 def _flags(often: bytes) -> np.ndarray:
@@ -176,32 +184,32 @@ def _flags(often: bytes) -> np.ndarray:
 def _dealt(often: bytes, k: int, percent: int):
     """(token, hi, need): shingles of the dealt part, and how many of them must be shared. A document that cannot be ruled out so needs 0, and has a row MARK of its own besides."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = _flags(often)
         seen: set[int] = set()  # copies in a task are sent once
-        for pdf in frames:
-            for _, sets in _in_parts(pdf, k):
-                token, key, need = [], [], []
-                for codes in sets:
-                    n = len(codes)
-                    if not n or (own := _key(codes)[0]) in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(own)
-                    c = size_class(n, percent)
-                    top = np.array([dealt_part(c, percent), dealt_part(c + 1, percent)])
-                    sent, counted = np.searchsorted(codes, (np.minimum(top, 1 - 2**-53) * 2.0**64).astype(np.uint64))
-                    head = codes[:sent]
-                    a, b = _cells(head)
-                    late = flags[0][a] & flags[1][b]
-                    # a partner lacks at most n - ceil(percent * n / 100) of the set
-                    wanted = int(counted) - (n - -(-percent * n // 100)) - int(late[:counted].sum())
-                    head = head[~late].view(np.int64)
-                    token.append(head), key.append(np.full(len(head), own)), need.append(np.full(len(head), max(0, wanted)))
-                    if wanted <= 0:  # its partners still have to meet its shingles
-                        token.append(np.array([own])), key.append(np.array([own])), need.append(np.array([MARK]))
-                if token:
-                    yield pd.DataFrame({"token": np.concatenate(token), "hi": np.concatenate(key), "need": np.concatenate(need)})
+        for part in (part for batch in batches for part in text_parts(batch)):
+            token, key, need = [], [], []
+            for codes in shingle_sets(raw_texts(part), k):
+                n = len(codes)
+                if not n or (own := _key(codes)[0]) in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(own)
+                c = size_class(n, percent)
+                top = np.array([dealt_part(c, percent), dealt_part(c + 1, percent)])
+                sent, counted = np.searchsorted(codes, (np.minimum(top, 1 - 2**-53) * 2.0**64).astype(np.uint64))
+                head = codes[:sent]
+                a, b = _cells(head)
+                late = flags[0][a] & flags[1][b]
+                # a partner lacks at most n - ceil(percent * n / 100) of the set
+                wanted = int(counted) - (n - -(-percent * n // 100)) - int(late[:counted].sum())
+                head = head[~late].view(np.int64)
+                token.append(head), key.append(np.full(len(head), own)), need.append(np.full(len(head), max(0, wanted), np.int32))
+                if wanted <= 0:  # its partners still have to meet its shingles
+                    token.append(np.array([own])), key.append(np.array([own])), need.append(np.array([MARK], np.int32))
+            if token:
+                yield _batch(token=np.concatenate(token), hi=np.concatenate(key), need=np.concatenate(need))
 
     return run
 
@@ -209,13 +217,14 @@ def _dealt(often: bytes, k: int, percent: int):
 def _prefixes(often: bytes, k: int, percent: int):
     """(id, n, token): the shingles that lead each set in the common order."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = _flags(often)
-        for pdf in frames:
-            for own, sets in _in_parts(pdf, k):
-                heads = [ordered(codes, flags)[: prefix_length(len(codes), percent)].view(np.int64) for codes in sets]
-                n = list(map(len, heads))
-                yield pd.DataFrame({"id": np.repeat(own["id"].to_numpy(), n), "n": np.repeat(list(map(len, sets)), n), "token": np.concatenate(heads)})
+        for part in (part for batch in batches for part in text_parts(batch)):
+            sets = shingle_sets(raw_texts(part), k)
+            heads = [ordered(codes, flags)[: prefix_length(len(codes), percent)].view(np.int64) for codes in sets]
+            n = list(map(len, heads))
+            yield _batch(id=np.repeat(part["id"].to_numpy(), n), n=np.repeat(np.array(list(map(len, sets)), np.int64), n), token=np.concatenate(heads))
 
     return run
 
@@ -264,58 +273,66 @@ class Lists:
             last, count = i, 1
 
 
-def _grouped(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Whole groups of frames that are sorted by ``key``."""
-    held: list[pd.DataFrame] = []
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        k = pdf[key].to_numpy()
-        at = np.flatnonzero(k[1:] != k[:-1]) + 1
-        for part in np.split(np.arange(len(k)), at):
-            own = pdf.iloc[part[0] : part[-1] + 1]
-            if held and held[-1][key].iloc[0] != own[key].iloc[0]:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(own)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def _edges(a: list[int], b: list[int]) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+def _grouped(batches: Iterator[pa.RecordBatch], k: int, *columns: str) -> Iterator[tuple[list[np.ndarray], dict[str, list]]]:
+    """Shingle sets and columns of whole groups, from rows that are sorted by ``bucket``."""
+    sets: list[np.ndarray] = []
+    held: dict[str, list] = {c: [] for c in columns}
+    last = None
+    for batch in batches:
+        for part in text_parts(batch):
+            key = part["bucket"].to_numpy()
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            own, values = shingle_sets(raw_texts(part), k), {c: part[c].to_pylist() for c in columns}
+            for a, b in zip(cut, cut[1:]):
+                if sets and last != key[a]:
+                    yield sets, held
+                    sets, held = [], {c: [] for c in columns}
+                last = key[a]
+                sets += own[a:b]
+                for c in columns:
+                    held[c] += values[c][a:b]
+    if sets:
+        yield sets, held
+
+
+def _common(sets: list[np.ndarray]) -> list[list[int]]:
+    """The sets as small numbers, without the shingles that only one of them has: those cannot overlap."""
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both, cut = times[place] > 1, np.cumsum(list(map(len, sets)))[:-1]
+    return [x[m].tolist() for x, m in zip(np.split(place, cut), np.split(both, cut))]
 
 
 def _lead(k: int, percent: int):
     """First round: each document is linked to the first found of those that were linked to none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for group in _grouped(frames, "bucket"):
-            if len(group) < 2:
+        for sets, own in _grouped(batches, k, "id"):
+            if len(sets) < 2:
                 continue
-            index, ids = Lists(percent), []
-            for i, codes in zip(group["id"].tolist(), shingle_sets(list(group["text"]), k)):
-                codes = codes.tolist()
-                found = next(index.search(codes), None)
+            index, ids, sizes = Lists(percent), [], list(map(len, sets))
+            for i, codes, n in zip(own["id"], _common(sets), sizes):
+                found = next(index.search(codes, n=n), None)
                 if found is None:
-                    index.add(codes)
+                    index.add(codes, n)
                     ids.append(i)
                 elif ids[found] != i:
                     a.append(i), b.append(ids[found])
-        yield _edges(a, b)
+        yield _batch(a=_long(a), b=_long(b))
 
     return run
 
 
 def _across(k: int, percent: int):
-    """Second round: all links between documents of different components. The largest component is only searched in."""
+    """Second round: all links between documents of different components, within a block or between two blocks of a group. Within a block, the largest component is only searched in."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for group in _grouped(frames, "bucket"):
-            comp = group["comp"].tolist()
-            most = max(set(comp), key=comp.count) if len(comp) < 50 else group["comp"].mode().iloc[0]
+        for sets, own in _grouped(batches, k, "id", "comp", "side"):
+            ids, comp, side = own["id"], own["comp"], own["side"]
+            most = Counter(comp).most_common(1)[0][0] if 0 not in side else None
             root = {c: c for c in comp}
 
             def find(c):
@@ -323,40 +340,50 @@ def _across(k: int, percent: int):
                     root[c] = c = root[root[c]]
                 return c
 
-            index, ids = Lists(percent), group["id"].tolist()
-            found = shingle_sets(list(group["text"]), k)
-            sizes = list(map(len, found))
-            _, place, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            both = times[place] > 1  # shingles that no other document of the group has cannot overlap
-            cut = np.cumsum(sizes)[:-1]
-            sets = [x[m].tolist() for x, m in zip(np.split(place, cut), np.split(both, cut))]
-            del found, place, both
-            for codes, n in zip(sets, sizes):
-                index.add(codes, n)
+            index, at = Lists(percent), []
+            sizes, sets = list(map(len, sets)), _common(sets)
+            for i, (codes, n) in enumerate(zip(sets, sizes)):
+                if side[i]:
+                    index.add(codes, n)
+                    at.append(i)
             for i, codes in enumerate(sets):
-                if comp[i] != most:
-                    for j in index.search(codes, lambda j, i=i: find(comp[j]) == find(comp[i]), sizes[i]):
+                if side[i] != 1 and comp[i] != most:
+                    for j in index.search(codes, lambda j, i=i: find(comp[at[j]]) == find(comp[i]), sizes[i]):
+                        j = at[j]
                         if find(comp[j]) != find(comp[i]):
                             root[find(comp[i])] = find(comp[j])
                             a.append(ids[i]), b.append(ids[j])
-        yield _edges(a, b)
+        yield _batch(a=_long(a), b=_long(b))
 
     return run
 
 
+def _blocks(groups: DataFrame) -> DataFrame:
+    """(bucket, id, comp, side): documents of groups (group, shingles, id, comp) where they are searched.
+
+    A group of as many shingles as a block holds is searched whole (side 2); else its documents are dealt to blocks, and
+    every two blocks meet: side 0 asks, side 1 is searched in.
+    """
+    n = F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)).cast("int")
+    own = groups.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return own.select(F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "id", "comp", side.alias("side"))
+
+
 def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``id_col``, n_shingles and component_id (the smallest id reachable by links, itself included) of every document."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialize(src.mapInPandas(_base(k), "id long, n long, hi long, lo long, sketch binary"), "sets")
-    parts = base.where("sketch is not null").select("sketch").repartition(16).mapInPandas(_sum_sketches, "sketch binary")
-    found = parts.coalesce(1).mapInPandas(_sum_sketches, "sketch binary").first()
+    base = materialize(src.mapInArrow(_base(k), "id long, n long, hi long, lo long, sketch binary"), "sets")
+    parts = base.where("sketch is not null").select("sketch").repartition(16).mapInArrow(_sum_sketches, "sketch binary")
+    found = parts.coalesce(1).mapInArrow(_sum_sketches, "sketch binary").first()
     counts = np.frombuffer(found["sketch"], np.int64).reshape(2, COUNTERS) if found else np.zeros((2, COUNTERS), np.int64)
     often = np.packbits(frequent(counts)).tobytes()
     base = base.where("sketch is null").drop("sketch")
     classes = materialize(base.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
 
     # those that can have a partner at all, by what they share
-    shared = src.where("text is not null and id is not null").mapInPandas(_dealt(often, k, percent), "token long, hi long, need int")
+    shared = src.where("text is not null and id is not null").mapInArrow(_dealt(often, k, percent), "token long, hi long, need int")
     shared = shared.repartition("token").dropDuplicates(["token", "hi", "need"])
     kept: list[DataFrame] = []
     for _ in range(PRUNINGS):
@@ -372,18 +399,17 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     reps = classes.join(small(left), "hi", "left_semi").select(F.col("rep").alias("id"), "n", "hi")
     texts = materialize(src.join(small(materialize(reps, "reps")), "id"), "texts")
-    tokens = materialize(texts.select("id", "text").mapInPandas(_prefixes(often, k, percent), "id long, n long, token long"), "prefixes")
-
-    own = tokens.groupBy("id").agg(F.min("token").alias("t0"), F.min(F.xxhash64("token")).alias("t1"))
-    dealt = own.select("id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("t0").alias("token")), F.struct(F.lit(1).alias("round"), F.col("t1").alias("token")))).alias("to"))
-    dealt = dealt.select("id", "to.*").withColumn("docs", F.expr("count(*) over (partition by round, token)")).where("docs > 1")
-    salt = F.pmod(F.xxhash64("id", "round"), F.ceil(F.col("docs") / GROUP_DOCS))
-    dealt = dealt.select("id", F.xxhash64("round", "token", salt).alias("bucket"))
-    first = texts.select("id", "text", "n").join(dealt, "id").repartition("bucket").sortWithinPartitions("bucket", "n", "id").mapInPandas(_lead(k, percent), "a long, b long")
+    tokens = materialize(texts.select("id", "text").mapInArrow(_prefixes(often, k, percent), "id long, n long, token long"), "prefixes")
+
+    own = tokens.groupBy("id", "n").agg(F.min("token").alias("t0"), F.min(F.xxhash64("token")).alias("t1"))
+    dealt = own.select("id", "n", F.explode(F.array(F.xxhash64(F.lit(0), "t0"), F.xxhash64(F.lit(1), "t1"))).alias("group"))
+    dealt_table = dealt = materialize(dealt, "leads")
+    heavy = materialize(dealt.groupBy("group").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1"), "weights")
+    salt = F.pmod(F.xxhash64("id", "group"), F.ceil(F.col("shingles") / F.lit(GROUP_SHINGLES)))
+    dealt = dealt.join(small(heavy), "group").select("id", F.xxhash64("group", salt).alias("bucket"))
+    first = texts.select("id", "text", "n").join(dealt, "id").repartition("bucket").sortWithinPartitions("bucket", "n", "id").select("id", "text", "bucket").mapInArrow(_lead(k, percent), "a long, b long")
     first = materialize(first.distinct(), "links")
-    comps = components(first)
-
-    several = "min(comp) over (partition by {0}) < max(comp) over (partition by {0})"
+    comps = materialize(components(first), "components")
 
     def slots(df: DataFrame) -> DataFrame:
         """Each document in its size class and the next one: any two that can be linked meet in one."""
@@ -391,30 +417,37 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         return df.withColumn("slot", F.explode(F.array(level, level + 1))).withColumn("bucket", F.xxhash64("token", "slot"))
 
     # documents that share enough with those of their size in other components
-    known = texts.select("id", "hi", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    open_ = slots(shared.join(small(materialize(known, "known")), "hi")).select("id", "slot", "bucket", "comp", "need")
-    open_ = open_.withColumn("mixed", F.expr(several.format("bucket") + f" or need = {MARK}")).where("mixed")
+    known = materialize(texts.select("id", "hi", "n").join(small(comps), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "known")
+    open_ = slots(shared.join(small(known), "hi")).select("id", "slot", "bucket", "comp", "need")
+    several = f"min(comp) over (partition by bucket) < max(comp) over (partition by bucket) or need = {MARK}"  # no shingle here is frequent
+    open_ = open_.withColumn("mixed", F.expr(several)).where("mixed")
     able = open_.groupBy("id", "slot").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "slot")
     able = materialize(able, "open")
-    rows = slots(tokens.join(known.select("id", "comp"), "id")).join(small(able), ["id", "slot"], "left_semi").select("id", "slot", "n", "comp", "bucket")
-    rows = materialize(rows.withColumn("mixed", F.expr(several.format("bucket"))).where("mixed").withColumn("node", F.xxhash64("id", "slot")), "groups")
+    rows = slots(tokens.join(small(known.select("id", "comp")), "id")).join(small(able), ["id", "slot"], "left_semi")
+    rows = materialize(rows.select("id", "n", "comp", "bucket", F.xxhash64("id", "slot").alias("node")), "groups")
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("node").alias("low"), F.sum("n").alias("shingles")).where("least < most").drop("least", "most")
+    mixed = materialize(mixed, "mixed")
+    all_rows, rows = rows, materialize(rows.join(small(mixed), "bucket"), "groups")
     # groups that hang together are searched as one if they are small enough for a task: each document is sent once
-    star = rows.join(rows.groupBy("bucket").agg(F.min("node").alias("low")), "bucket").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    docs_of = rows.select("id", "node", "n", "comp").distinct().join(components(star).withColumnRenamed("id", "node"), "node")
-    size = docs_of.groupBy("component").agg(F.sum("n").alias("shingles"))
-    docs_of = materialize(docs_of.join(size, "component"), "clusters")
-    whole = docs_of.where(F.col("shingles") <= CLUSTER_SHINGLES).select("id", "comp", F.xxhash64("component").alias("bucket"))
+    star = rows.select(F.col("node").alias("a"), F.col("low").alias("b"))
+    docs_of = rows.select("id", "node", "n", "comp").distinct().join(small(materialize(components(star).withColumnRenamed("id", "node"), "components")), "node")
+    docs_of = materialize(docs_of, "clusters")
+    size = materialize(docs_of.groupBy("component").agg(F.sum("n").alias("shingles")), "sizes")
+    docs_of = docs_of.join(small(size), "component")
+    fits = F.col("shingles") <= BLOCK_SHINGLES
+    whole = docs_of.where(fits).select(F.xxhash64("component").alias("group"), "shingles", "id", "comp")
     # of the rest, groups that hold the same documents are searched once
-    rest = rows.join(docs_of.where(F.col("shingles") > CLUSTER_SHINGLES).select("node"), "node", "left_semi")
+    rest = rows.join(small(materialize(docs_of.where(~fits).select("node"), "large")), "node", "left_semi")
     group = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    group = group.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    searched = materialize(whole.unionByName(rest.join(group, "bucket", "left_semi").select("id", "comp", "bucket")), "groups")
-    second = texts.select("id", "text").join(searched, "id").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_across(k, percent), "a long, b long")
+    group = materialize(group.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "once")
+    rest = rest.join(small(group), "bucket", "left_semi").select(F.col("bucket").alias("group"), "shingles", "id", "comp")
+    searched = materialize(_blocks(whole.unionByName(rest)), "searched")
+    second = texts.select("id", "text").join(searched, "id").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(k, percent), "a long, b long")
     second = materialize(second.distinct(), "links")
-    comps = components(first.unionByName(second)) if not second.isEmpty() else comps
-    discard(*kept, texts, tokens, rows, docs_of, searched)
+    comps = materialize(components(first.unionByName(second)), "components") if not second.isEmpty() else comps
+    discard(*kept, texts, tokens, dealt_table, all_rows, rows, searched)
 
-    ranked = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
+    ranked = classes.join(small(comps.withColumnRenamed("id", "rep")), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = base.join(ranked, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -14,11 +14,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, materialize, small
+from .common import WORD, frees, materialize, small, text_parts
 
 #: A document fails with fewer words, or with a larger percentage of its words in repeated windows, or of symbols to words.
 MIN_WORDS, MAX_REPEAT_PCT, MAX_SYMBOL_PCT = 20, 30, 30
@@ -27,8 +28,6 @@ WINDOW = 8
 HOST_LIMIT = 0.5
 SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(WORD)
-#: Words measured at once, which bounds a task's memory (a longer text is measured alone).
-CHUNK_WORDS = 500_000
 
 
 def repeated_words(codes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -81,17 +80,40 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     }
 
 
-def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        part = pdf["text"].map(lambda x: len(x) if isinstance(x, str) else 0).cumsum() // (5 * CHUNK_WORDS)
-        for _, own in pdf.groupby(part, sort=True):
-            yield pd.DataFrame({"id": own["id"].to_numpy(), "host": own["host"].to_numpy(), **measure(list(own["text"]))})
+@frees
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_parts(batch):
+            counts = measure(part["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([part["id"], part["host"], *map(pa.array, counts.values())], ["id", "host", *counts])
 
 
 def features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
     """id, host and the counts of every document."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    return src.mapInPandas(_run, "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return src.mapInArrow(_run, "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, in whole. Every row is judged by its own text, also without an id or with one that another row has."""
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, text_col):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_failed(measure(part[text_col].to_pylist())))], [*part.schema.names, "_failed"])
+
+    marked = docs.mapInArrow(run, T.StructType(list(docs.schema.fields)).add("_failed", T.BooleanType()))
+    marked = materialize(marked, "marked")
+    hosts = shrunk_rates(marked.select(F.col(host_col).cast("string").alias("host"), F.col("_failed").alias("failed")))
+    bad = hosts.where(F.col("rate") >= host_limit).select(F.col("host").alias("_host"))
+    out = marked.where(~F.col("_failed")).join(small(bad), F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left_anti")
+    return out.select(*docs.columns)
+
+
+def _failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    n = counts["n_words"]
+    return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PCT * n) | (100 * counts["n_symbols"] > MAX_SYMBOL_PCT * n)
 
 
 def shrunk_rates(marked: DataFrame) -> DataFrame:

@@ -20,16 +20,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frees, text_parts
+
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Segments kept between batches by a worker; the cache is emptied beyond it.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 200_000
 #: Segments handled at once, which bounds a task's memory whatever the length of a text.
-CHUNK_SEGMENTS = 150_000
+CHUNK_SEGMENTS = 100_000
 #: Segments of more symbols are merged one by one with a heap: rounds over them would take quadratic time.
 LONG_SEGMENT = 3_000
 
@@ -314,23 +317,33 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _batches(pdf: pd.DataFrame, column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    size = pdf[column].map(lambda x: len(x) if isinstance(x, str) else 0).cumsum() // chars
-    for _, part in pdf.groupby(size, sort=True):
-        yield part
-
-
-def _texts(column: pd.Series) -> list[str | None]:
-    return [x if isinstance(x, str) else None for x in column]
-
+def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None, lossless_col: str | None = None) -> DataFrame:
+    """Columns ``keep`` of ``df`` (all, if not given) and ``out_col``, the ids of the whole of ``text_col`` without begin or end ids; null text gives an empty array.
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Add ``out_col`` (array of ids, no begin or end ids) for the whole of ``text_col``; null text gives an empty array."""
+    ``lossless_col``, if given, tells whether decoding the ids gives the text again.
+    """
+    keep = df.columns if keep is None else keep
+    checked = lossless_col is not None
 
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series(codec(model_path).encode(_texts(column)), dtype=object)
-
-    return df.withColumn(out_col, F.pandas_udf(run, T.ArrayType(T.IntegerType()))(F.col(text_col)))
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path)
+        for batch in batches:
+            for part in text_parts(batch, "_text"):
+                texts = part["_text"].to_pylist()
+                flat, ends, same = [], np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
+                for t, ids in enumerate(own.encode(texts)):
+                    flat.append(ids)
+                    ends[t + 1] = ends[t] + len(ids)
+                    if checked:
+                        same[t] = own.decode(ids) == (texts[t] or "")
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+                columns = [part[c] for c in keep] + [lists] + [pa.array(same)] * checked
+                yield pa.RecordBatch.from_arrays(columns, [*keep, out_col, *[lossless_col] * checked])
+
+    schema = T.StructType([df.schema[c] for c in keep]).add(out_col, T.ArrayType(T.IntegerType()))
+    schema = schema.add(lossless_col, T.BooleanType()) if checked else schema
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -345,12 +358,13 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
 def encode_digests(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id_col``, n_tokens, ids_sha256 and decoded_sha256 of every row, without holding all ids of a text at once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        for pdf in frames:
-            for part in _batches(pdf, "text"):
-                rows = own.digests(_texts(part["text"]))
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
+        for batch in batches:
+            for part in text_parts(batch):
+                n, ids, decoded = zip(*own.digests(part["text"].to_pylist()))
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

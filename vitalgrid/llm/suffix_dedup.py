@@ -3,16 +3,18 @@
 1. Every string of 100 bytes has an anchor: its 32-byte piece of least hash, the leftmost of equals.  Strings that are
    equal have equal anchors, so a document is cut into contexts, the runs of strings with one anchor, and contexts are
    dealt out by their anchors.  Contexts whose anchor stands nowhere else are done with.
-2. A context that occurs again as a whole is removed wherever it is not first.  What is left are first occurrences of
-   different contexts of one anchor: their texts are joined to a block, and blocks are sorted with the grouping
-   construction (``suffix_arrays``), many blocks in step.  In a suffix array equal strings are neighbours; all but the
-   first of them are removed.
-3. Groups of more contexts than BLOCK_CONTEXTS would make long blocks; their strings are compared one by one in a
-   shuffle by hash instead, which needs no group in one task.
+2. A context that occurs again as a whole is removed wherever it is not first.  Tasks tell most of these among their own
+   texts, and deal out only the first of equal ones, so that a passage of many documents sends few rows to one place.
+3. What is left are first occurrences of different contexts of one anchor: their texts are joined to a block, and blocks
+   are sorted with the grouping construction (``suffix_arrays``), many blocks in step.  In a suffix array equal strings
+   are neighbours; all but the first of them are removed.
+4. Groups of more contexts than BLOCK_CONTEXTS would make long blocks; their strings are compared one by one in a
+   shuffle by hash instead (the first of equal ones of a task), which needs no group in one task.
 
 Edge cases: null text counts as empty; texts below 100 bytes lose nothing; repeated rows (same id and text) count as
-one document and keep what it keeps; rows without an id lose nothing; very long texts are read in overlapping pieces;
-an empty table gives an empty result; extra columns are ignored.
+one document and keep what it keeps; ids are taken to name one text: of rows of one id with different texts, what is
+removed of any is removed of all; rows without an id lose nothing; very long texts are read in overlapping pieces; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, frees, materialize, raw_texts, text_parts
 
 #: Bytes of the strings whose repeats go, and of the pieces that serve as anchors.
 LENGTH, ANCHOR = 100, 32
 #: Contexts of an anchor that are sorted as one block.
 BLOCK_CONTEXTS = 48
-#: Bytes hashed, and bytes of blocks sorted, at once: what bounds a task's memory.
-PIECE_BYTES, SORT_BYTES = 1_000_000, 2_000_000
+#: Bytes hashed, and bytes of blocks sorted, at once, and contexts or strings compared within a task: what bounds a task's memory.
+PIECE_BYTES, SORT_BYTES, COMPARED = 250_000, 1_000_000, 400_000
 
 _RANDOM = np.random.RandomState(20240229)
 _OF_BYTE = _RANDOM.randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -246,47 +249,92 @@ def _bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def _contexts(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            held: list[tuple[int, int, bytes]] = []
-            size = 0
-            for i, text in zip(pdf["id"].tolist(), pdf["text"]):
-                raw = _bytes(text)
-                for at in range(0, max(1, len(raw) - length + 1), PIECE_BYTES):
-                    piece = raw[at : at + PIECE_BYTES + length - 1] if len(raw) > PIECE_BYTES else raw
-                    held.append((i, at, piece))
-                    size += len(piece)
-                    if size > PIECE_BYTES:
-                        yield _cut(held, length)
-                        held, size = [], 0
-            if held:
-                yield _cut(held, length)
+def _among(ids: np.ndarray, at: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal keys: which are the least by (id, at), each once, and which are not the least."""
+    first, again = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    if not len(ids):
+        return first, again
+    order = np.argsort(keys[0] ^ _mix(keys[1].view(np.uint64)).view(np.int64), kind="stable")
+    new = np.r_[True, np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])]
+    group = np.cumsum(new) - 1
+    several = np.bincount(group)[group] > 1
+    first[order[~several]] = True
+    rows, group = order[several], group[several]
+    by = np.lexsort((at[rows], ids[rows], group))
+    rows, group = rows[by], group[by]
+    new = np.r_[len(group) > 0, group[1:] != group[:-1]][: len(group)]
+    first[rows[new]] = True
+    head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))] if len(rows) else rows
+    again[rows] = (ids[rows] != ids[head]) | (at[rows] != at[head])
+    return first, again
+
+
+def _batches(names: list[str], columns: list[np.ndarray], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + rows]) for c in columns], names)
 
-    return run
 
+_CONTEXT = ["key", "own", "id", "at", "n", "again"]
+
+
+def _contexts(length: int):
+    """(key, own, id, at, n, again): the first of equal contexts of some texts, by anchor; and, at any key, runs of those that are not first."""
+
+    def told(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, at, n, anchor, own = (np.concatenate(x) for x in zip(*held))
+        first, again = _among(ids, at, anchor, own)
+        yield from _batches(_CONTEXT, [anchor[first], own[first], ids[first], at[first], n[first].astype(np.int32), np.zeros(int(first.sum()), bool)])
+        ids, at, n = ids[again], at[again], n[again]
+        if len(ids):  # neighbours in a text join to one run
+            new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + n[:-1])])
+            n = np.add.reduceat(n, new)
+            ids, at = ids[new], at[new]
+            spread = _mix(ids.astype(np.uint64) * _FACTOR + at.astype(np.uint64)).view(np.int64)
+            yield from _batches(_CONTEXT, [spread, spread, ids, at, n.astype(np.int32), np.ones(len(ids), bool)])
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in text_parts(batch):
+                for i, raw in zip(part["id"].to_pylist(), raw_texts(part)):
+                    for base in range(0, max(1, len(raw) - length + 1), PIECE_BYTES):
+                        first, count, anchor, own = anchors(np.frombuffer(raw[base : base + PIECE_BYTES + length - 1], np.uint8), length)
+                        held.append((np.full(len(first), i, np.int64), first + base, count, anchor, own))
+                        size += len(first)
+                if size > COMPARED:
+                    yield from told(held)
+                    held, size = [], 0
+        if held:
+            yield from told(held)
 
-def _cut(held: list[tuple[int, int, bytes]], length: int) -> pd.DataFrame:
-    ids, at, n, anchor, own = [], [], [], [], []
-    for i, base, piece in held:
-        first, count, a, o = anchors(np.frombuffer(piece, np.uint8), length)
-        ids.append(np.full(len(first), i, np.int64)), at.append(first + base), n.append(count), anchor.append(a), own.append(o)
-    return pd.DataFrame({"id": np.concatenate(ids), "at": np.concatenate(at), "n": np.concatenate(n).astype(np.int32), "anchor": np.concatenate(anchor), "own": np.concatenate(own)})
+    return run
 
 
 def _fetch(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for i, text, wanted in zip(pdf["id"].tolist(), pdf["text"], pdf["wanted"]):
-                raw = _bytes(text)
-                rows += [(w["anchor"], w["docs"], i, w["at"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in wanted]
-            yield pd.DataFrame(rows, columns=["anchor", "contexts", "id", "at", "text"])
+    """(anchor, contexts, id, at, text) of the contexts that are wanted of each text."""
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "contexts", "id", "at", "text"]
+        for batch in batches:
+            for part in text_parts(batch):
+                anchor, contexts, at, n = (part[c] for c in ("anchor", "contexts", "ats", "ns"))
+                each = np.diff(at.offsets.to_numpy())
+                of = np.repeat(np.arange(part.num_rows), each)
+                raws = raw_texts(part)
+                start, more = at.flatten().to_numpy(), n.flatten().to_numpy()
+                texts = [raws[t][a : a + m - 1 + length] for t, a, m in zip(of.tolist(), start.tolist(), more.tolist())]
+                ids = part["id"].to_numpy()[of]
+                yield pa.RecordBatch.from_arrays([anchor.flatten(), contexts.flatten(), pa.array(ids), pa.array(start), pa.array(texts, pa.binary())], names)
 
     return run
 
 
-def _spans(ids: list[int], at: list[int], gone: list[np.ndarray], length: int) -> pd.DataFrame:
+_SPAN = "id long, start long, end long"
+
+
+def _spans(ids: list[int], at: list[int], gone: list[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
     """Runs of removed strings as (id, start, end) of bytes."""
     i, a, b = [], [], []
     for own, base, t in zip(ids, at, gone):
@@ -294,40 +342,43 @@ def _spans(ids: list[int], at: list[int], gone: list[np.ndarray], length: int) -
             cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1] + 1])
             last = np.r_[cut[1:], len(t)] - 1
             i.append(np.full(len(cut), own, np.int64)), a.append(t[cut] + base), b.append(t[last] + base + length)
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return pd.DataFrame({"id": cat(i), "start": cat(a), "end": cat(b)})
+    if i:
+        yield from _batches(["id", "start", "end"], [np.concatenate(x) for x in (i, a, b)])
 
 
 def _sort_blocks(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Removed strings of blocks; rows come sorted by anchor, id and place."""
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at, groups, size, last = [], [], [], 0, None
 
-        def flush() -> pd.DataFrame:
-            gone = [g for group in repeats(groups, length) for g in group]
-            return _spans(ids, at, gone, length)
-
-        for pdf in frames:
-            for anchor, i, start, text in zip(pdf["anchor"].tolist(), pdf["id"].tolist(), pdf["at"].tolist(), pdf["text"]):
-                if anchor != last:
-                    if size > SORT_BYTES:
-                        yield flush()
-                        ids, at, groups, size = [], [], [], 0
-                    groups.append([])
-                    last = anchor
-                elif (ids[-1], at[-1]) == (i, start):  # a repeated row
-                    continue
-                groups[-1].append(bytes(text)), ids.append(i), at.append(start)
-                size += len(text)
+        def done() -> Iterator[pa.RecordBatch]:
+            yield from _spans(ids, at, [g for group in repeats(groups, length) for g in group], length)
+
+        for batch in batches:
+            for part in text_parts(batch):
+                for anchor, i, start, text in zip(*(part[c].to_pylist() for c in ("anchor", "id", "at", "text"))):
+                    if anchor != last:
+                        if size > SORT_BYTES:
+                            yield from done()
+                            ids, at, groups, size = [], [], [], 0
+                        groups.append([])
+                        last = anchor
+                    elif (ids[-1], at[-1]) == (i, start):  # a repeated row
+                        continue
+                    groups[-1].append(text), ids.append(i), at.append(start)
+                    size += len(text)
         if groups:
-            yield flush()
+            yield from done()
 
     return run
 
 
 def _strings(length: int):
-    """Every string of the contexts of large groups, as two hashes."""
+    """(a, b, id, start, again): strings of the contexts of large groups as two hashes, the first of equal ones; and, at any hash, those that are not first."""
 
-    def cut(ids: list[int], at: list[int], texts: list[bytes]) -> pd.DataFrame:
+    def cut(ids: np.ndarray, at: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         sizes = np.array(list(map(len, texts)))
         ends = np.cumsum(sizes)
         values = _OF_BYTE[np.frombuffer(b"".join(texts), np.uint8)]
@@ -335,14 +386,29 @@ def _strings(length: int):
         inside = np.flatnonzero(of[: len(of) - length + 1] == of[length - 1 :])  # strings that lie in one context
         a, b = (_mix(_pieces_hash(values, length, f)[inside]).view(np.int64) for f in (_FACTOR, _FACTOR2))
         of = of[inside]
-        start = np.array(at)[of] + inside - (ends - sizes)[of]
-        return pd.DataFrame({"id": np.array(ids, np.int64)[of], "start": start, "a": a, "b": b})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for k in range(0, len(pdf), 2000):
-                own = pdf.iloc[k : k + 2000]
-                yield cut(own["id"].tolist(), own["at"].tolist(), list(map(bytes, own["text"])))
+        return ids[of], at[of] + inside - (ends - sizes)[of], a, b
+
+    def told(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, at, a, b = (np.concatenate(x) for x in zip(*held))
+        first, again = _among(ids, at, a, b)
+        names = ["a", "b", "id", "start", "again"]
+        yield from _batches(names, [a[first], b[first], ids[first], at[first], np.zeros(int(first.sum()), bool)])
+        ids, at = ids[again], at[again]
+        spread = _mix(ids.astype(np.uint64) * _FACTOR + at.astype(np.uint64)).view(np.int64)
+        yield from _batches(names, [spread, spread, ids, at, np.ones(len(ids), bool)])
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in text_parts(batch, size=PIECE_BYTES):
+                held.append(cut(part["id"].to_numpy(), part["at"].to_numpy(), part["text"].to_pylist()))
+                size += len(held[-1][0])
+                if size > COMPARED:
+                    yield from told(held)
+                    held, size = [], 0
+        if held:
+            yield from told(held)
 
     return run
 
@@ -360,70 +426,83 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def removed_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """(id, start, end): byte ranges, overlapping ones included, of the strings of ``length`` bytes that start earlier elsewhere."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").where(F.octet_length("text") >= length)
-    found = src.mapInPandas(_contexts(length), "id long, at long, n int, anchor long, own long").repartition("anchor")
-    # all three windows use the one shuffle by anchor
-    found = found.withColumn("docs", F.expr("count(*) over (partition by anchor)")).where("docs > 1")
-    found = found.withColumn("lead", F.expr("min(struct(id, at)) over (partition by anchor, own)")).withColumn("first", F.expr("lead = struct(id, at)"))
-    found = found.withColumn("docs", F.expr("count(if(first, 1, null)) over (partition by anchor)"))
-    found = materialize(found.where("not first or docs > 1").select("id", "at", "n", "anchor", "first", "docs"), "contexts")
+    found = src.mapInArrow(_contexts(length), "key long, own long, id long, at long, n int, again boolean").repartition("key")
+    # all windows use the one shuffle by key; the first occurrences are those of tasks, so that no key has many rows of one context
+    found = found.withColumn("docs", F.expr("count(*) over (partition by key)")).where("docs > 1 or again")
+    found = found.withColumn("lead", F.expr("min(struct(id, at)) over (partition by key, own)")).withColumn("first", F.expr("not again and lead = struct(id, at)"))
+    found = found.withColumn("docs", F.expr("count(if(first, 1, null)) over (partition by key)"))
+    found = materialize(found.where("not first or docs > 1").select("id", "at", "n", "key", "first", "docs"), "contexts")
     again = found.where("not first").select("id", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
 
-    wanted = found.where("first").dropDuplicates(["id", "at"]).groupBy("id").agg(F.collect_list(F.struct("anchor", "docs", "at", "n")).alias("wanted"))
-    cut = src.join(wanted, "id").mapInPandas(_fetch(length), "anchor long, contexts long, id long, at long, text binary")
+    wanted = found.where("first").dropDuplicates(["id", "at"]).groupBy("id").agg(F.collect_list(F.struct("key", "docs", "at", "n")).alias("wanted"))
+    wanted = wanted.select("id", F.col("wanted.key").alias("anchor"), F.col("wanted.docs").alias("contexts"), F.col("wanted.at").alias("ats"), F.col("wanted.n").alias("ns"))
+    cut = src.join(wanted, "id").mapInArrow(_fetch(length), "anchor long, contexts long, id long, at long, text binary")
     cut = materialize(cut, "blocks")
-    some = cut.where(F.col("contexts") <= BLOCK_CONTEXTS).repartition("anchor").sortWithinPartitions("anchor", "id", "at").mapInPandas(_sort_blocks(length), "id long, start long, end long")
-    many = cut.where(F.col("contexts") > BLOCK_CONTEXTS).mapInPandas(_strings(length), "id long, start long, a long, b long")
-    many = many.withColumn("lead", F.expr("min(struct(id, start)) over (partition by a, b)")).where("lead < struct(id, start)")
+    some = cut.where(F.col("contexts") <= BLOCK_CONTEXTS).repartition("anchor").sortWithinPartitions("anchor", "id", "at").mapInArrow(_sort_blocks(length), _SPAN)
+    many = cut.where(F.col("contexts") > BLOCK_CONTEXTS).mapInArrow(_strings(length), "a long, b long, id long, start long, again boolean")
+    many = many.withColumn("lead", F.expr("min(struct(id, start)) over (partition by a, b)")).where("again or lead < struct(id, start)")
     many = many.select("id", "start", (F.col("start") + length).alias("end"))
     spans = materialize(again.unionByName(some).unionByName(many), "spans")
     discard(found, cut)
     return spans
 
 
-def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        rows = []
-        for i, text, spans in zip(pdf["id"].tolist(), pdf["text"], pdf["spans"]):
-            raw = _bytes(text)
-            merged = merge_spans([(s["start"], s["end"]) for s in spans]) if spans is not None else []
-            kept, at = hashlib.sha256(), 0
-            for a, b in merged:
-                kept.update(raw[at:a])
-                at = b
-            kept.update(raw[at:])
-            rows.append((i, len(raw), sum(b - a for a, b in merged), len(merged), kept.hexdigest()))
-        yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"id": "Int64"})
+def _merged(packed: np.ndarray | None) -> list[tuple[int, int]]:
+    """Ranges from their packed form: the start in the upper, the length in the lower 32 bits."""
+    return merge_spans([(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in packed]) if packed is not None else []
+
+
+@frees
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_parts(batch):
+            sizes, removed, runs, digests = [], [], [], []
+            for raw, spans in zip(raw_texts(part), part["spans"].to_pylist()):
+                raw, merged = raw or b"", _merged(spans)
+                kept, at = hashlib.sha256(), 0
+                for a, b in merged:
+                    kept.update(raw[at:a])
+                    at = b
+                kept.update(raw[at:])
+                sizes.append(len(raw)), removed.append(sum(b - a for a, b in merged)), runs.append(len(merged)), digests.append(kept.hexdigest())
+            yield pa.RecordBatch.from_arrays([part["id"], *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _by_document(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    own = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return docs.join(own, docs[id_col].cast("long") == own["id"], "left").drop(own["id"])
+    """``docs`` with spans, the packed ranges of its id."""
+    packed = F.shiftleft(F.col("start"), 32) + (F.col("end") - F.col("start"))
+    own = spans.groupBy("id").agg(F.collect_set(packed).alias("spans")).withColumnRenamed("id", "_own")
+    return docs.join(own, docs[id_col].cast("long") == own["_own"], "left").drop("_own")
 
 
 def digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    out = _by_document(src, removed_spans(docs, text_col, id_col, length), id_col).select(F.col(id_col).alias("id"), "text", "spans")
-    return out.mapInPandas(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = _by_document(src, removed_spans(docs, text_col, id_col, length), "id").select("id", "text", "spans")
+    return out.mapInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def cut_text(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text_col``; bytes of a character cut in two go too."""
+    place = docs.columns.index(text_col)
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, text_col):
+                texts = []
+                for raw, spans in zip(raw_texts(part, text_col), part["spans"].to_pylist()):
+                    if raw is not None and spans is not None:
+                        at, parts = 0, []
+                        for a, b in _merged(spans):
+                            parts.append(raw[at:a])
+                            at = b
+                        parts.append(raw[at:])
+                        raw = "".join(p.decode("utf-8", "ignore") for p in parts).encode()
+                    texts.append(raw)
+                columns = part.columns[:-1]
+                columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
-    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, spans):
-            if own is None or not isinstance(text, str):
-                out.append(text)
-                continue
-            raw, at, parts = _bytes(text), 0, []
-            for a, b in merge_spans([(s["start"], s["end"]) for s in own]):
-                parts.append(raw[at:a])
-                at = b
-            parts.append(raw[at:])
-            out.append("".join(p.decode("utf-8", "ignore") for p in parts))
-        return pd.Series(out, dtype=object)
-
-    columns = docs.columns
     joined = _by_document(docs, removed_spans(docs, text_col, id_col, length), id_col)
-    return joined.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col), F.col("spans"))).select(*columns)
+    return joined.select(*[joined[c] for c in docs.columns], "spans").mapInArrow(run, docs.schema)
