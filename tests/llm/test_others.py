@@ -1,8 +1,11 @@
 """Vectors, pages and conversations."""
 
+import collections
 import hashlib
 import html
+import math
 import re
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -94,6 +97,63 @@ def test_what_all_pages_of_a_host_show_goes(spark):
     assert html_tree.extract(out.withColumn("html", F.lit("x")).limit(0)).collect() == []
 
 
+def brute_tree(pages):
+    """Importance of presentation and content of each path of one host, path as labels; pages: html of plain elements, each on its own."""
+    shown = collections.defaultdict(list)
+    for page in pages:
+        own = collections.defaultdict(lambda: ([], []))
+
+        def walk(node, path):
+            own[path][0].append([c.tag for c in node])
+            own[path][1].append("".join(node.itertext()))
+            for c in node:
+                walk(c, path + (c.tag + (f".{c.get('class')}" if c.get("class") else ""),))
+
+        walk(ElementTree.fromstring(f"<root>{page}</root>"), ())
+        for path, (look, text) in own.items():
+            shown[path].append((repr(look), repr(text)))
+    out = {}
+    for path, rows in shown.items():
+        m, both = len(rows), []
+        for kind in (0, 1):
+            p = [c / m for c in collections.Counter(r[kind] for r in rows).values()]
+            both.append(-sum(x * math.log(x) for x in p) / math.log(m) if m > 1 else 1.0)
+        out[path] = (m, *both)
+    return out
+
+
+def test_style_tree_against_brute_force(spark):
+    pages = [f"<html><body><div class='a'><p>same</p>{'<p>two</p>' * (i % 2)}</div><div class='b'>text {i % 3}</div><main><h1>h{i}</h1></main></body></html>" for i in range(12)]
+    want = {}
+    for path, (m, look, content) in brute_tree(pages).items():
+        h = html_tree.ROOT
+        for label in path:
+            h = html_tree.child_path(h, label)
+        want[h] = (m, look, content)
+    rows = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r["path"]: (r["pages"], r["look"], r["content"]) for r in html_tree.style_trees(rows).collect()}
+    assert set(got) == set(want)
+    for path, values in want.items():
+        assert got[path] == pytest.approx(values)
+
+
+def test_the_tree_decides_where_tags_do_not(spark):
+    body = "<html><body><div class='k1'>{top}</div><article><p>{text}</p><p class='k2'>{note}</p></article><div class='k3'>{end}</div></body></html>"
+    rows = [(i, f"http://notes/{i}", body.format(top="t", text=f"own text {i}", note="the same note", end="e")) for i in range(10)]  # boilerplate inside the article
+    rows += [(100 + i, f"http://outside/{i}", body.format(top="t", text="a teaser", note="n", end=f"all that the page {i} says")) for i in range(10)]  # the article is the boilerplate
+    rows += [(200 + i, "http://copies/1" if i < 6 else f"http://copies/{i}", "<article><p>w</p><ul><li>one list</li></ul></article>" if i < 6 else f"<article><p>text {i}</p></article>") for i in range(20)]  # a list that only copies of one page have
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit(1)).withColumn("low", F.lit("x"))
+    got = {r["page_id"]: r["text"] for r in html_tree.extract(df).collect()}
+    assert got[3] == "own text 3" and got[104] == "all that the page 4 says" and got[201] == "w one list" and got[210] == "text 10"
+    plain = {r["page_id"]: r["text"] for r in html_tree.extract(df, use_tree=False).collect()}
+    assert plain[3] == "own text 3 the same note" and plain[104] == "a teaser n"
+
+
+def test_deep_pages_take_linear_memory():
+    page = "<div class='x'>" * 50_000 + "deep" + "</div>" * 50_000
+    assert html_tree.main_text(page) == "deep" and len(html_tree.variants(page)) == 50_001
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     html_of = {r["page_id"]: r["html"] for r in pages.collect()}

@@ -1,15 +1,18 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged to one tree: elements of equal tag, class and id below equal parents are one node.  Of
-each node the tree counts the variants its pages show: presentations (the tags below it) and contents (the text below
-it).  A node's importance is the entropy of its variants, as a share of what as many different pages would give; a
-branch that looks and reads alike on most pages of a host that else differ is boilerplate.  Pages are then read again
-without low branches, nor those whose tag or class says that they hold no main text.
+The pages of a host are merged to one tree: elements of equal tag, class and id (longer numbers apart) below equal parents are one
+node.  Of each node the tree counts the variants its pages show: presentations (the tags below it) and contents (the text
+below it).  A node's importance is the entropy of its variants, as a share of what as many different pages would give; a
+branch that looks and reads alike on most pages of a host that else differ is boilerplate, wherever it stands.
+
+Tags decide only where entropy cannot: what a tag or class calls a menu, form or comment is no main text however it varies;
+and where a host has articles, text outside them goes with the menus, unless the tree finds that what varies from page to
+page stands mostly outside: then articles are elements like others.  Pages are read again without what is left out.
 
 Edge cases: null or empty html gives an empty text; a page without a host shares a tree with others of that kind; text
 of hosts of few pages is judged by tags and classes alone; unclosed and nested elements are closed as browsers do, and
-an article ends any unclosed menu; very long pages are read in whole; repeated rows give equal rows; an empty table
-gives an empty result; extra columns are ignored.
+an article ends any unclosed menu; very long and very deep pages are read in whole; repeated rows give equal rows; rows
+without an id are rows like others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ import html as _html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, small
+from .common import frees, materialize, small, text_parts
 
 #: Pages of a host from which its tree counts, importance below which a branch goes, and that for branches inside an article.
-MIN_PAGES, LOW, LOW_INSIDE = 5, 0.5, 0.05
+MIN_PAGES, LOW, LOW_INSIDE = 5, 0.5, 0.2
 #: Elements without main text, words of class and id that say so, elements whose text is not markup, void
 #: elements, and elements that do not end a block.
 NOISE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas dialog menu title".split())
@@ -45,13 +49,24 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([
 _NAME = re.compile(r"[a-z]+")
 
 
+#: Path of the root of every tree.
+ROOT = 0
+_DIGITS = re.compile(r"\d{2,}")
+
+
 class _Node:
     __slots__ = ("path", "tag", "noise", "main", "parts", "below")
 
-    def __init__(self, path: str, tag: str, noise: bool, main: bool):
+    def __init__(self, path: int, tag: str, noise: bool, main: bool):
         self.path, self.tag, self.noise, self.main = path, tag, noise, main
         self.parts: list = []  # strings and nodes
-        self.below: list[str] = []
+        self.below = xxhash.xxh3_64()
+
+
+def child_path(path: int, label: str) -> int:
+    """Hash of the labels from the root down: of one size at any depth."""
+    h = xxhash.xxh3_64_intdigest(f"{path}/{label}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _attributes(text: str) -> tuple[str, bool]:
@@ -62,7 +77,7 @@ def _attributes(text: str) -> tuple[str, bool]:
     for name, a, b, c in _ATTR.findall(text):
         name, value = name.lower(), (a or b or c)
         if name in ("class", "id"):
-            label += ("." if name == "class" else "#") + " ".join(value.split())
+            label += ("." if name == "class" else "#") + _DIGITS.sub("0", " ".join(value.split()))
             words = set(_NAME.findall(value.lower()))
             noise |= bool(words & NOISE_WORDS)
         elif name == "role":
@@ -74,7 +89,7 @@ def _attributes(text: str) -> tuple[str, bool]:
 
 def parse(page: str) -> _Node:
     """The tree of a page, in which inline elements are dissolved and character references are decoded."""
-    root = _Node("", "", False, False)
+    root = _Node(ROOT, "", False, False)
     stack, at, raw = [root], 0, None
     for m in _TOKEN.finditer(page):
         if m.start() < at:
@@ -125,9 +140,9 @@ def parse(page: str) -> _Node:
         top = stack[-1]
         main = top.main or tag in MAIN_TAGS
         noise = top.noise or tag in NOISE_TAGS or (noise and tag not in ("html", "body") and tag not in MAIN_TAGS) or (tag == "header" and not top.main)
-        node = _Node(f"{top.path}/{tag}{label}", tag, noise, main)
+        node = _Node(child_path(top.path, tag + label), tag, noise, main)
         top.parts.append(node)
-        top.below.append(tag + label)
+        top.below.update(f"{tag}{label} ".encode("utf-8", "surrogatepass"))
         if tag in RAW_TAGS:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -151,11 +166,12 @@ def _collect(node: _Node, out: list[str], low: frozenset, low_inside: frozenset)
             todo.extend(reversed(x.parts))
 
 
-def main_text(page: str | None, low: frozenset = frozenset(), low_inside: frozenset = frozenset()) -> str:
+def main_text(page: str | None, low: frozenset = frozenset(), low_inside: frozenset = frozenset(), open_: bool = False) -> str:
+    """The text of a page without the low paths of its host, and without what stands outside its articles unless the host's tree is ``open_``."""
     if not isinstance(page, str) or not page:
         return ""
     root = parse(page)
-    has_main, todo = False, [root]
+    has_main, todo = False, [] if open_ else [root]
     while todo and not has_main:
         x = todo.pop()
         has_main = x.main and not x.noise
@@ -177,8 +193,8 @@ def main_text(page: str | None, low: frozenset = frozenset(), low_inside: frozen
     return " ".join(_html.unescape("".join(out)).split())
 
 
-def variants(page: str | None) -> dict[str, tuple[int, int, bool]]:
-    """Of each node of the page's tree: hash of its presentation, hash of its content, whether it is inside an article."""
+def variants(page: str | None) -> dict[int, tuple[int, int, bool, bool, int]]:
+    """Of each node of the page's tree: hash of its presentation, hash of its content, whether it is inside an article, whether tags call it noise, and characters of its own text."""
     if not isinstance(page, str) or not page:
         return {}
     root = parse(page)
@@ -188,72 +204,96 @@ def variants(page: str | None) -> dict[str, tuple[int, int, bool]]:
         order.append(x)
         todo.extend(p for p in x.parts if not isinstance(p, str))
     content: dict[int, int] = {}
-    merged: dict[str, tuple[list, list, bool]] = {}
+    merged: dict[int, list] = {}
     for x in reversed(order):  # children before parents
-        h = xxhash.xxh3_64()
+        h, chars = xxhash.xxh3_64(), 0
         for p in x.parts:
-            h.update(p.strip() if isinstance(p, str) else content[id(p)].to_bytes(8, "little"))
+            if isinstance(p, str):
+                p = p.strip()
+                chars += len(p)
+                h.update(p.encode("utf-8", "surrogatepass"))
+            else:
+                h.update(content.pop(id(p)).to_bytes(8, "little"))
         content[id(x)] = h.intdigest()
-        own = merged.setdefault(x.path, ([], [], x.main))
-        own[0].append(" ".join(x.below)), own[1].append(content[id(x)])
-    return {path: (xxhash.xxh3_64_intdigest("\n".join(a)), xxhash.xxh3_64_intdigest(repr(b)), main) for path, (a, b, main) in merged.items()}
+        own = merged.setdefault(x.path, [xxhash.xxh3_64(), xxhash.xxh3_64(), x.main, x.noise, 0])
+        own[0].update(x.below.digest()), own[1].update(h.digest())
+        own[4] += chars
+    return {path: (a.intdigest(), b.intdigest(), main, noise, chars) for path, (a, b, main, noise, chars) in merged.items()}
+
+
+_COUNTED = "host string, path long, inside boolean, noise boolean, kind int, variant long, pages long, chars long"
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, path, inside, kind, variant, pages), summed over a batch."""
-    for pdf in frames:
-        count: dict[tuple, int] = {}
-        for host, page in zip(pdf["host"], pdf["html"]):
-            for path, (look, text, main) in variants(page).items():
+@frees
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each variant of each node of some pages: kind 0 its presentation, 1 its content."""
+    names = [x.split()[0] for x in _COUNTED.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    for part in (part for batch in batches for part in text_parts(batch, "html")):
+        count: dict[tuple, list[int]] = {}
+        for host, page in zip(part["host"].to_pylist(), part["html"].to_pylist()):
+            for path, (look, text, main, noise, chars) in variants(page).items():
                 for kind, v in ((0, look), (1, text)):
-                    key = (host, path, main, kind, v)
-                    count[key] = count.get(key, 0) + 1
-        keys = list(zip(*count)) or [[], [], [], [], []]
-        variant = pd.array([v - (1 << 64) if v >= 1 << 63 else v for v in keys[4]], "int64")
-        yield pd.DataFrame({"host": list(keys[0]), "path": list(keys[1]), "inside": pd.array(keys[2], "bool"), "kind": pd.array(keys[3], "int32"), "variant": variant, "pages": pd.array(list(count.values()), "int64")})
+                    own = count.setdefault((host, path, main, noise, kind, v - (1 << 64) if v >> 63 else v), [0, 0])
+                    own[0] += 1
+                    own[1] += chars * kind
+        columns = [*zip(*count)] + [*zip(*count.values())] if count else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
 def style_trees(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """host, path, inside, pages, look and content: the importance, 0 to 1, of presentation and content of each node of each host's tree."""
+    """host, path, inside, noise, pages, look, content and chars: of each node of each host's tree the importance, 0 to 1, of its presentation and content, and all characters of its own text."""
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    seen = src.mapInPandas(_counted, "host string, path string, inside boolean, kind int, variant long, pages long")
-    seen = seen.groupBy("host", "path", "inside", "kind", "variant").agg(F.sum("pages").alias("c"))
+    seen = src.mapInArrow(_counted, _COUNTED)
+    node = ["host", "path", "inside", "noise"]
+    seen = seen.groupBy(*node, "kind", "variant").agg(F.sum("pages").alias("c"), F.sum("chars").alias("chars"))
     c = F.col("c").cast("double")
-    node = seen.groupBy("host", "path", "inside", "kind").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("clogc"))
+    kinds = seen.groupBy(*node, "kind").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("clogc"), F.sum("chars").alias("chars"))
     m = F.col("m").cast("double")
     entropy = F.when(F.col("m") > 1, (F.log(m) - F.col("clogc") / m) / F.log(m)).otherwise(F.lit(1.0))
-    node = node.withColumn("importance", entropy)
-    return node.groupBy("host", "path", "inside").agg(F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("importance"))).alias("look"), F.max(F.when(F.col("kind") == 1, F.col("importance"))).alias("content"))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("importance")))
+    return kinds.withColumn("importance", entropy).groupBy(*node).agg(F.max("m").alias("pages"), of(0).alias("look"), of(1).alias("content"), F.sum("chars").alias("chars"))
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def low_branches(trees: DataFrame) -> DataFrame:
-    """host, low and low_inside: paths to leave out, outside and inside articles."""
+def verdicts(trees: DataFrame) -> DataFrame:
+    """host, low and low_inside (paths to leave out, outside and inside articles) and open (what varies stands mostly outside articles), of hosts whose pages differ."""
+    counts = F.col("pages") >= MIN_PAGES
     both = F.greatest("look", "content")
-    whole = trees.where("path = ''").select("host", F.col("content").alias("varied"))
-    low = trees.where((F.col("pages") >= MIN_PAGES) & (F.col("path") != "") & (both < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW)))
-    low = low.join(whole, "host").where(F.col("varied") >= LOW)
-    return low.groupBy("host").agg(F.collect_list(F.when(~F.col("inside"), F.col("path"))).alias("low"), F.collect_list(F.when(F.col("inside"), F.col("path"))).alias("low_inside"))
-
-
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
-    """``id_col``, ``url_col``, text and n_chars of every page."""
-    low = materialize(low_branches(style_trees(pages, html_col, url_col)), "trees").withColumnRenamed("host", "own")
+    low = (F.col("path") != ROOT) & (both < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW))
+    marked = trees.where(counts).withColumn("low", low)
+    mass = lambda cond: F.coalesce(F.sum(F.when(cond & ~F.col("noise") & ~F.col("low"), F.col("chars") * F.col("content"))), F.lit(0.0))
+    of = lambda cond: F.collect_list(F.when(cond & F.col("low"), F.struct("pages", "path")))
+    root = lambda name: F.max(F.when(F.col("path") == ROOT, F.col(name)))
+    out = marked.groupBy("host").agg(of(~F.col("inside")).alias("low"), of(F.col("inside")).alias("low_inside"), (mass(~F.col("inside")) > mass(F.col("inside"))).alias("open"), root("content").alias("varied"), root("pages").alias("all"))
+    # a branch of few pages, which may be copies of one, is no boilerplate of the host
+    common = lambda name: F.transform(F.filter(name, lambda x: 2 * x["pages"] >= F.col("all")), lambda x: x["path"]).alias(name)
+    return out.where(F.col("varied") >= LOW).select("host", common("low"), common("low_inside"), "open")
+
+
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id", use_tree: bool = True) -> DataFrame:
+    """``id_col``, ``url_col``, text and n_chars of every page; without the tree, by tags and classes alone."""
+    found = materialize(verdicts(style_trees(pages, html_col, url_col) if use_tree else style_trees(pages, html_col, url_col).limit(0)), "trees").withColumnRenamed("host", "own")
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    src = src.join(small(low), host_of(F.col("url")) == F.col("own"), "left").select("id", "url", "html", "low", "low_inside")
+    width = 8 * (F.size("low") + F.size("low_inside"))
+    src = src.join(small(found, width), host_of(F.col("url")) == F.col("own"), "left").select("id", "url", "html", "low", "low_inside", "open")
 
-    def run(pages_: pd.Series, outside: pd.Series, inside: pd.Series) -> pd.Series:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[tuple, frozenset] = {}
 
-        def as_set(x) -> frozenset:
-            key = tuple(x) if x is not None else ()
+        def as_set(x: list | None) -> frozenset:
+            key = tuple(x or ())
             return sets.setdefault(key, frozenset(key))
 
-        return pd.Series([main_text(p, as_set(a), as_set(b)) for p, a, b in zip(pages_, outside, inside)], dtype=object)
+        for part in (part for batch in batches for part in text_parts(batch, "html")):
+            if len(sets) > 1000:
+                sets.clear()
+            texts = [main_text(p, as_set(a), as_set(b), bool(o)) for p, a, b, o in zip(*(part[c].to_pylist() for c in ("html", "low", "low_inside", "open")))]
+            yield pa.RecordBatch.from_arrays([part["id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    text = F.pandas_udf(run, "string")("html", "low", "low_inside")
-    out = src.withColumn("text", text)
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    schema = T.StructType([src.schema["id"], src.schema["url"]]).add("text", "string").add("n_chars", "long")
+    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
