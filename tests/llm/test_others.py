@@ -37,16 +37,31 @@ def brute(rows, k):
     return out
 
 
+def found(df, factor=1.0):
+    got = {}
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, 20, factor).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
 @pytest.mark.parametrize("limits", [None, (60, 50, 7)])
 def test_exact_search(spark, monkeypatch, limits):
     if limits:
         for name, v in zip(("CELL_ROWS", "SHARD_ROWS", "QUERY_ROWS"), limits):
             monkeypatch.setattr(vptree, name, v)
     df = vectors(spark)
-    got = {}
-    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, 20, 1.0).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert got == brute(df.collect(), 20)
+    assert found(df) == brute(df.collect(), 20)
+
+
+@pytest.mark.parametrize("shard", [40_000, 5])
+def test_shards_of_fewer_points_than_are_asked_for(spark, monkeypatch, shard):
+    monkeypatch.setattr(vptree, "CELL_ROWS", 16), monkeypatch.setattr(vptree, "SHARD_ROWS", shard)
+    rng = np.random.RandomState(5)
+    centres = rng.normal(size=(32, 8))
+    x = np.repeat(centres, 16, axis=0) + rng.normal(size=(512, 8)) * 0.01
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).round(5)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], VEC)
+    assert found(df) == brute(df.collect(), 20)
 
 
 def test_recall_with_pruning(spark):

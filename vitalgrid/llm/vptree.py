@@ -2,9 +2,12 @@
 
 Inner products become distances by one more component: with M the largest norm, |(q, 0) - (x, sqrt(M^2 - |x|^2))|^2 =
 |q|^2 + M^2 - 2 q.x, so the nearest point has the largest product.  A tree over a bounded sample deals the space into
-cells; a shard is a cell (or a part of a large one) with a tree of its own.  Each query first searches its home cell, and
-then, knowing its k-th distance, the cells that the triangle inequality cannot rule out.  Everywhere a branch is left
-out when factor * lower bound > k-th distance: factor 1 is exact, larger factors prune more.
+cells, more of them the more vectors there are; a shard is a cell (or a part of a large one) with a tree of its own.  Each
+query first searches its home cell, and then, knowing its k-th distance, the cells that the triangle inequality cannot rule
+out.  Everywhere a branch is left out when factor * lower bound > k-th distance: factor 1 is exact, larger factors prune more.
+
+In each of the two rounds every point goes to its shard once, where the tree is built, and the queries of the shard
+stream past it; neither is copied for the other.
 
 Edge cases: vectors that are null, zero, of another than the most common length, or hold null or non-finite components
 take no part; equal vectors are searched once and listed by id; repeated rows (one id twice) count once; with fewer
@@ -17,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frees, materialize
 
-#: Vectors in the sample that places the cells, the vectors meant for a cell, and the most cells.
-SAMPLE, CELL_ROWS, MOST_CELLS = 8_192, 4_000, 64
-#: Most vectors and queries in one task's search; larger cells are split, and more queries come in blocks.
-SHARD_ROWS, QUERY_ROWS = 40_000, 20_000
+#: Vectors meant for a cell, vectors of the sample for each cell and in all, and numbers that the sample may hold (64 MB): the bound of what comes to the driver.
+CELL_ROWS, SAMPLED, SAMPLE, SAMPLE_NUMBERS = 4_000, 16, 8_192, 8_000_000
+#: Most vectors of a shard, and queries that are searched at once.
+SHARD_ROWS, QUERY_ROWS = 40_000, 4_000
 #: Vectors of a leaf.
 LEAF = 48
 
@@ -65,9 +69,10 @@ class Tree:
         best = np.full((len(q), k), np.inf)
         rows = np.full((len(q), k), -1, np.int64)
         norm, q_norm = (self.x**2).sum(1), (q**2).sum(1)
+        slack = 1e-7 * float(np.sqrt(norm.max(initial=0.0)))  # distances come from sums of squares that cancel
 
         def radius(i: np.ndarray) -> np.ndarray:
-            return np.minimum(best[i].max(axis=1), limit[i])
+            return np.minimum(best[i].max(axis=1), limit[i]) + slack
 
         def visit(node, i: np.ndarray) -> None:
             if not len(i):
@@ -132,19 +137,46 @@ def _ground(q: np.ndarray) -> np.ndarray:
     return np.hstack([q, np.zeros((len(q), 1))])
 
 
+def _vectors(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _searched(k: int, factor: float, most: float):
-    def run(key, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.empty(0, np.int64), "limit": np.empty(0), "point": np.empty(0, np.int64), "score": np.empty(0)})
-        if not len(points) or not len(queries):
-            return empty
-        points = points.sort_values("point")
-        x, q = _stack(points["vector"]), _stack(queries["vector"])
-        tree = Tree(_lift(x, most))
-        d, r = tree.search(_ground(q), min(k, len(x)), factor, queries["limit"].to_numpy(np.float64))
+    """(query, limit, point, score) of the k nearest points of a shard, for rows sorted by shard, points (kind 0) before queries.
+
+    limit is the distance within which the k nearest lie: infinite where the shard has fewer.
+    """
+
+    def found(tree: Tree, points: np.ndarray, raw: np.ndarray, ids: np.ndarray, limit: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        d, r = tree.search(_ground(q), k, factor, limit)
         i, j = np.nonzero(r >= 0)
         rows = r[i, j]
-        score = (q[i] * x[rows]).sum(1)
-        return pd.DataFrame({"query": queries["query"].to_numpy()[i], "limit": d.max(axis=1)[i], "point": points["point"].to_numpy()[rows], "score": score})
+        columns = [ids[i], d.max(axis=1)[i], points[rows], (q[i] * raw[rows]).sum(1)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "limit", "point", "score"])
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, vectors, tree = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, part, kind, own, limit = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "part", "kind", "id", "limit"))
+            x = _vectors(batch["vector"])
+            cut = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cut], [*cut, len(own)]):
+                if last != (cell[a], part[a]):
+                    last, ids, vectors, tree = (cell[a], part[a]), [], [], None
+                if not kind[a]:
+                    ids.append(own[a:b]), vectors.append(x[a:b])
+                elif ids:
+                    if tree is None:
+                        points, raw = np.concatenate(ids), np.concatenate(vectors)
+                        by = np.argsort(points)
+                        points, raw = points[by], raw[by]
+                        tree = Tree(_lift(raw, most))
+                    for c in range(a, b, QUERY_ROWS):
+                        e = min(b, c + QUERY_ROWS)
+                        yield found(tree, points, raw, own[c:e], limit[c:e], x[c:e])
 
     return run
 
@@ -191,27 +223,30 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, i
 
     square = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     total = points.agg(F.count("*").alias("n"), F.max(square).alias("square")).first()
-    n_queries = asked.select("query").distinct().count()
     most = float(np.sqrt(total["square"] or 0.0)) * (1 + 1e-12)
-    sample = points.orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("vector").toPandas()
-    n_cells = min(MOST_CELLS, max(1, total["n"] // CELL_ROWS))
+    n_sample = min(max(SAMPLE, SAMPLED * (total["n"] // CELL_ROWS)), max(1, SAMPLE_NUMBERS // max(1, dimension)))
+    # ids at a distance by hash: a part of the rows, of which only the wanted number is sorted out
+    share = min(1.0, 2 * n_sample / max(1, total["n"]) + 1e-6)
+    some = points.where(F.pmod(F.xxhash64("point"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = some.select("vector").limit(n_sample).toPandas()
+    n_cells = max(1, min(total["n"] // CELL_ROWS, len(sample) // SAMPLED))
     lifted = _lift(_stack(sample["vector"]), most) if len(sample) else np.zeros((0, dimension + 1))
     tree = Tree(lifted, depth=int(np.log2(n_cells)))
     tree.x = None  # only the vantage points and bounds travel
-    parts = max(1, -(-total["n"] // (tree.n_leaves * SHARD_ROWS)))
-    blocks = max(1, -(-n_queries // QUERY_ROWS))
 
     cell = F.pandas_udf(_cells(tree, most), "long")
-    shards = points.select("point", "vector", cell("vector").alias("cell"), F.pmod(F.xxhash64("point"), F.lit(parts)).alias("part"))
-    shards = materialize(shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "shards")
+    shards = materialize(points.select("point", "vector", cell("vector").alias("cell")), "shards")
+    parts = shards.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(SHARD_ROWS)).cast("int").alias("parts"))
+    parts = F.broadcast(materialize(parts, "parts"))  # one row a cell, whose number is bounded by the sample
     home = queries.withColumn("home", F.pandas_udf(lambda c: pd.Series(tree.leaf_of(_ground(_stack(c))) if len(c) else np.empty(0, np.int64)), "long")("vector"))
     home = materialize(home, "homes")
-    key = ["cell", "part", "block"]
-    places = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    spread = shards.join(parts, "cell").select("cell", F.pmod(F.xxhash64("point"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), F.col("point").alias("id"), F.lit(0.0).alias("limit"), "vector")
 
     def search(asking: DataFrame) -> DataFrame:
-        asking = asking.withColumn("part", places).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-        return shards.groupBy(*key).cogroup(asking.groupBy(*key)).applyInPandas(_searched(k + 1, factor, most), "query long, limit double, point long, score double")
+        asking = asking.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = spread.unionByName(asking.select("cell", "part", F.lit(1).alias("kind"), F.col("query").alias("id"), "limit", "vector"))
+        rows = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
+        return rows.mapInArrow(_searched(k + 1, factor, most), "query long, limit double, point long, score double")
 
     first = materialize(search(home.select("query", "vector", F.col("home").alias("cell"), F.lit(float("inf")).alias("limit"))), "near")
     reach = first.groupBy("query").agg(F.min("limit").alias("limit"))
