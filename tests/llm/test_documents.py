@@ -264,17 +264,57 @@ def test_the_backoff_query_is_a_model_of_all_counts(spark, tmp_path):
 
 
 def test_licenses(spark):
-    mit = licenses.TEMPLATES["MIT", "text"]
+    mit = licenses.TEMPLATES["MIT", "grant"]
     words = mit.split()
     edited = " ".join(words[:30] + ["indeed"] + words[31:])
     rows = [(1, None), (2, ""), (3, "x\nReleased under the MIT License.\ny Licensed under CC BY-NC 4.0. Released under the MIT License!"), (4, "é " * 200 + edited + " tail"), (5, "licensed under the sky"), (6, prose(1, 30_000) + "\n" + mit)]
+    rows += [(7, "This work is really licensed under the GNU Public License, version 3."), (8, "Licensed under the Apache License, Version 1.0."), (9, "Licensed under CC BY-NC-ND 4.0."), (10, licenses.TEMPLATES["Apache-2.0", "header"]), (11, licenses.TEMPLATES["BSD-3-Clause", "text"])]
+    rows += [(None, "Licensed under the MIT License."), (3, rows[2][1])]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2.0) for i, t in rows], "doc_id long, text string, license string, start int, coverage double")
     got = collections.defaultdict(list)
-    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    for r in licenses.scan(docs).collect():
         got[r["doc_id"]].append((r["license"], r["form"], r["start"], dict(rows)[r["doc_id"]][r["start"] : r["end"]], r["coverage"]))
-    assert set(got) == {3, 4, 6}
-    assert sorted(x[:2] for x in got[3]) == [("CC-BY-NC-4.0", "notice"), ("MIT", "notice"), ("MIT", "notice")]
+    assert set(got) == {None, 3, 4, 6, 7, 10, 11}
+    assert sorted(x[:2] for x in got[3]) == [("CC-BY-NC-4.0", "notice")] * 2 + [("MIT", "notice")] * 4  # a repeated row
     assert [x[3] for x in got[4]] == [edited.rstrip(".")] and got[4][0][2] == 400 and 0.98 < got[4][0][4] < 1
     assert got[6][0][3] == mit.rstrip(".")
+    assert [x[:2] for x in got[7]] == [("GPL-3.0", "notice")] and got[7][0][4] < 1
+    assert [x[:2] for x in got[10]] == [("Apache-2.0", "header")] and [x[:2] for x in got[11]] == [("BSD-3-Clause", "text")]
+
+
+@pytest.mark.parametrize("before", [0, 70, 100, 130, 160, 200, 300, 420])
+def test_a_license_at_the_end_of_a_part_is_reported_once(before):
+    index = licenses.Index({("A", "text"): prose(8, 60), ("B", "notice"): "Licensed under the MIT License."})
+    text = prose(1, before) + " " + prose(8, 60) + " " + prose(2, 500)
+    got = licenses.find(text, index, at_once=8)
+    assert [(h[0], h[2], text[h[4] : h[5]]) for h in got] == [("A", 1.0, prose(8, 60))]
+
+
+def test_alignments_against_brute_force():
+    """Every template against a whole text, without fingerprints and bands."""
+    rng = np.random.RandomState(1)
+    templates = {("A", "t"): prose(8, 40), ("B", "t"): prose(9, 25), ("C", "n"): "Released under the MIT License.", ("D", "n"): "Licensed under CC BY-NC 4.0.", ("E", "n"): "public domain"}
+    index = licenses.Index(templates)
+    for _ in range(40):
+        words, want = prose(int(rng.randint(1000)) + 50, 30).split(), []
+        for name, t in templates.items():
+            own = t.split()
+            for _ in range(int(rng.randint(3)) if len(own) > 20 else 0):  # change, drop or add words far from each other
+                at = int(rng.randint(5, len(own) - 5))
+                own[at : at + int(rng.randint(2))] = ["odd"] * int(rng.randint(2))
+            if rng.randint(2):
+                words += own + prose(int(rng.randint(1000)) + 50, int(rng.randint(25, 40))).split()
+                want.append(name)
+        text = " ".join(words)
+        codes = licenses._word_codes(licenses.plain(text).split()).tolist()
+        plain = set()
+        for t, name in enumerate(index.names):
+            same, telling, first, last = licenses.align(index.words[t].tolist(), codes, 0, 0, len(codes), index.apart)
+            if index.holds(t, codes, same, telling, first, last, 0.8):
+                plain.add((name, same, first, last))
+        offsets = [m.span() for m in re.finditer(rb"\S+", licenses.plain(text))]
+        assert {((h[0], h[1]), h[3], h[4], h[5]) for h in licenses.find(text, index)} == {(name, same, offsets[a][0], offsets[b][1]) for name, same, a, b in plain}
+        assert {name for name, *_ in plain} == set(want)
 
 
 @pytest.mark.parametrize("run", [lambda d: sentencepiece_codec.encode_digests(d, piece_model()), quality.judge, ngram_join.link_classes, suffix_dedup.digests, suffix_dedup.cut_text, mixing.mix, licenses.scan, lambda d: backoff_lm.score(d, *backoff_lm.train(d))])
