@@ -45,7 +45,7 @@ COUNTERS = 1 << 16
 #: Shingles of a group of the first round; larger groups are split, and what that parts is found in the second round.
 GROUP_SHINGLES = 300_000
 #: Shingles of a block of documents that a task of the second round searches, against itself or another block.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 1_500_000
 #: Copies that a task remembers, so that it sends them once.
 REMEMBERED = 200_000
 #: Share of long lists in DivideSkip.
@@ -428,13 +428,14 @@ def link_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("node").alias("low"), F.sum("n").alias("shingles")).where("least < most").drop("least", "most")
     mixed = materialize(mixed, "mixed")
     all_rows, rows = rows, materialize(rows.join(small(mixed), "bucket"), "groups")
-    # groups that hang together are searched as one if they are small enough for a task: each document is sent once
+    # groups that hang together are searched as one, block by block, unless that takes more copies of documents than group by group
     star = rows.select(F.col("node").alias("a"), F.col("low").alias("b"))
-    docs_of = rows.select("id", "node", "n", "comp").distinct().join(small(materialize(components(star).withColumnRenamed("id", "node"), "components")), "node")
+    docs_of = rows.groupBy("id", "node", "n", "comp").agg(F.count("*").alias("places")).join(small(materialize(components(star).withColumnRenamed("id", "node"), "components")), "node")
     docs_of = materialize(docs_of, "clusters")
-    size = materialize(docs_of.groupBy("component").agg(F.sum("n").alias("shingles")), "sizes")
+    size = docs_of.groupBy("component").agg(F.sum("n").alias("shingles"), F.sum("places").alias("places"), F.count("*").alias("docs"))
+    size = materialize(size.withColumn("fits", F.col("docs") * F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)) <= F.col("places")).drop("places", "docs"), "sizes")
     docs_of = docs_of.join(small(size), "component")
-    fits = F.col("shingles") <= BLOCK_SHINGLES
+    fits = F.col("fits")
     whole = docs_of.where(fits).select(F.xxhash64("component").alias("group"), "shingles", "id", "comp")
     # of the rest, groups that hold the same documents are searched once
     rest = rows.join(small(materialize(docs_of.where(~fits).select("node"), "large")), "node", "left_semi")
