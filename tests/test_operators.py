@@ -165,7 +165,7 @@ def test_propose_renders(spark):
         ("delete_hr_range", {"deviceId": "d", "fromTs": 0, "toTs": 15}, "DELETE 1 HR samples 1970-01-01 00:00Z → 1970-01-01 00:00Z (d)"),
         ("add_annotation", {"day": "2024-01-01", "tags": ["alcohol"], "detail": "two beers", "source": "user_reported"}, "ANNOTATE 2024-01-01 [alcohol] (user_reported): two beers"),
         ("delete_workout", {"deviceId": "d", "startTs": 1, "sport": "run"}, "target_not_found"),
-        ("set_baseline_note", {"note": "new", "deviceId": "d"}, "NOTE [d]: new\n  ⚠ REPLACES the current note for d (1970-01-01): \"old\"\n    Only the latest note per deviceId is surfaced, so the old one becomes invisible.\n    For a DATED event use add_annotation instead — baseline notes are for STANDING context."),
+        ("set_baseline_note", {"note": "new", "deviceId": "d"}, "NOTE [d]: new\n  ⚠ hides the note of d from 1970-01-01: \"old\"\n    A device shows its last note only. What belongs to a day is better added by add_annotation."),
     ]
     batch = spark.createDataFrame([(f"{i:02}", k, json.dumps(p), "r", 0) for i, (k, p, _) in enumerate(cases)], "id string, kind string, payloadJSON string, rationale string, createdAt long")
     got = E.propose(batch, data, journal(spark, ("set_baseline_note", {"note": "old", "deviceId": "d"}, None))).orderBy("id").collect()

@@ -12,8 +12,12 @@ U16 = 65_536
 #: Names of activity classes, sleep states and buffer sizes.
 SLEEP_STATES = {0: "wake", 1: "still", 2: "asleep", 3: "up"}
 BUFFER_KINDS = {1244: "imu-6axis-100hz", 2140: "optical-ppg-undecoded"}
+#: Shapes of tags, days, zones, event kinds and chunk paths.
 TAG = "^[a-z][a-z0-9_]{1,31}$"
 DAY = r"^\d{4}-\d{2}-\d{2}$"
+ZONE = r"^(?:[A-Za-z_]+/[A-Za-z0-9_+\-/]+|UTC)\z"
+KIND = r"^(.*)\((\d+)\)$"
+CHUNK = r"deepbuf/v1/([0-9-]+)/(\d{16})\.jsonl\.deflate$"
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -72,9 +76,8 @@ def shift_day(day: Column, days: int | Column) -> Column:
 
 
 def normalize_tz(zone: Column) -> Column:
-    """A zone name of IANA shape, or null (P-12)."""
-    z = F.trim(zone)
-    return F.when(z.rlike(r"^[A-Za-z][A-Za-z0-9_+-]*(/[A-Za-z0-9_+-]+){0,2}$") & (F.length(z) <= 64), z)
+    """A zone name of the shape Area/Location, or UTC, as it is; else null (P-12)."""
+    return F.when(zone.rlike(ZONE), zone)
 
 
 def kind_matches(kind: Column, wanted: list[str]) -> Column:
@@ -84,18 +87,16 @@ def kind_matches(kind: Column, wanted: list[str]) -> Column:
 
 def split_kind(kind: Column) -> Column:
     """Label and opcode of ``LABEL(op)``, split at the last parenthesis (P-4)."""
-    pattern = r"^(.*)\((\d+)\)$"
-    fits = kind.rlike(pattern)
-    label = F.when(fits, F.regexp_extract(kind, pattern, 1)).otherwise(kind)
-    return F.struct(label.alias("label"), F.when(fits, F.regexp_extract(kind, pattern, 2).cast("int")).alias("opcode"))
+    fits = kind.rlike(KIND)
+    label = F.when(fits, F.regexp_extract(kind, KIND, 1)).otherwise(kind)
+    return F.struct(label.alias("label"), F.when(fits, F.regexp_extract(kind, KIND, 2).cast("int")).alias("opcode"))
 
 
 def parse_payload(text: Column) -> Column:
-    """(payload, payloadRaw): parsed JSON, or the raw text where it is none; both null for nothing and ``{}`` (P-5)."""
-    nothing = text.isNull() | F.trim(text).isin("", "{}")
+    """(payload, payloadRaw): parsed JSON, or the raw text where it is none, blank text included; both null for nothing and an object without keys (P-5)."""
     parsed = F.try_parse_json(text)
-    payload = F.when(~nothing, F.to_json(parsed))
-    return F.struct(payload.alias("payload"), F.when(~nothing & parsed.isNull(), text).alias("payloadRaw"))
+    shown = F.to_json(parsed)
+    return F.struct(F.when(shown != "{}", shown).alias("payload"), F.when((text != "") & parsed.isNull(), text).alias("payloadRaw"))
 
 
 def skin_temp_celsius(raw: Column, model: Column) -> Column:
@@ -142,9 +143,8 @@ def chunk_path(generation: Column, byte_start: Column) -> Column:
 
 def chunk_identity(path: Column) -> Column:
     """(generation, byteStart) of a chunk's path (F-7)."""
-    pattern = r"deepbuf/v1/([0-9-]+)/(\d{16})\.jsonl\.deflate$"
-    fits = path.rlike(pattern)
-    return F.struct(F.when(fits, F.regexp_extract(path, pattern, 1)).alias("generation"), F.when(fits, F.regexp_extract(path, pattern, 2).cast("long")).alias("byteStart"))
+    fits = path.rlike(CHUNK)
+    return F.struct(F.when(fits, F.regexp_extract(path, CHUNK, 1)).alias("generation"), F.when(fits, F.regexp_extract(path, CHUNK, 2).cast("long")).alias("byteStart"))
 
 
 def stages_of(text: Column) -> Column:

@@ -34,7 +34,7 @@ def resolve_local_tz(sessions: DataFrame, zones: DataFrame) -> DataFrame:
     return out.withColumn("localDay", F.when(F.col("tzId").isNotNull(), local_day(F.col("startTs"), F.coalesce("tzId", F.lit("UTC")))).otherwise(utc_day(F.col("startTs"))))
 
 
-def _matches(annotations: DataFrame, prior: bool) -> DataFrame:
+def _matches(annotations: DataFrame, prior: bool, by: list[str]) -> DataFrame:
     """Annotations by each day they bear on, with matchedOn and its rank."""
     last = F.greatest(F.coalesce("endDay", "day"), F.col("day"))
     days = F.transform(F.sequence(F.to_date("day"), F.to_date(last)), lambda d: F.date_format(d, "yyyy-MM-dd"))
@@ -42,7 +42,7 @@ def _matches(annotations: DataFrame, prior: bool) -> DataFrame:
     if prior:
         own = F.concat(own, F.array(F.struct(shift_day(F.col("day"), 1).alias("onDay"), F.lit(2).alias("rank"))))
     rows = annotations.withColumn("m", F.explode(own)).select("*", "m.onDay", "m.rank").drop("m")
-    first = F.min("rank").over(Window.partitionBy("onDay", "seq"))
+    first = F.min("rank").over(Window.partitionBy(*by, "onDay", "seq"))
     rows = rows.withColumn("best", first).where("rank = best").drop("best")
     name = F.element_at(F.array(*map(F.lit, RANKS)), F.col("rank") + 1)
     return rows.withColumn("matchedOn", name).drop("rank")
@@ -53,16 +53,21 @@ def _listed(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("annotations"))
 
 
-def annotations_on_day(days: DataFrame, annotations: DataFrame) -> DataFrame:
-    """J-6: days with the annotations of that day and of spans over it; an equi-join on the day."""
-    own = _listed(_matches(annotations, False).join(days.select(F.col("day").alias("onDay")).distinct(), "onDay", "left_semi"), ["onDay"])
-    return days.join(own.withColumnRenamed("onDay", "day"), "day", "left")
+def annotations_on_day(days: DataFrame, annotations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """J-6: days with the annotations of that day and of spans over it; an equi-join on the day.
 
+    ``by`` names columns of both sides that tell owners apart; a journal of one owner needs none.
+    """
+    wanted = days.select(*by, F.col("day").alias("onDay")).distinct()
+    own = _listed(_matches(annotations, False, [*by]).join(wanted, [*by, "onDay"], "left_semi"), [*by, "onDay"])
+    return days.join(own.withColumnRenamed("onDay", "day"), [*by, "day"], "left")
 
-def annotations_for_night(sessions: DataFrame, annotations: DataFrame) -> DataFrame:
-    """J-7: sessions (with localDay) with the annotations of the day, of spans, and of the evening before."""
-    own = _listed(_matches(annotations, True), ["onDay"])
-    return sessions.join(own.withColumnRenamed("onDay", "localDay"), "localDay", "left")
+
+def annotations_for_night(sessions: DataFrame, annotations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """J-7: sessions (with localDay) with the annotations of the day, of spans, and of the evening before; of their owner, if ``by`` names one."""
+    wanted = sessions.select(*by, F.col("localDay").alias("onDay")).distinct()
+    own = _listed(_matches(annotations, True, [*by]).join(wanted, [*by, "onDay"], "left_semi"), [*by, "onDay"])
+    return sessions.join(own.withColumnRenamed("onDay", "localDay"), [*by, "localDay"], "left")
 
 
 def recent_annotations(annotations: DataFrame, start: str | None = None, end: str | None = None, tags: list[str] | None = None, source: str | None = None, limit: int = 200) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import date_in, half_up, safe_day, safe_ts, shift_day, source_family, utc_day
+from .annotations import annotation_summary, annotations_on_day, latest_baseline_notes
 from .overlay import drop_deleted_points
 from .series import join_device_registry
 
@@ -21,6 +22,16 @@ READERS = {
     "appleStepHour": "motion_series", "appleDaily": "health_snapshot", "imuActivity": "imu_series", "battery": "battery_series", "event": "event_kind_counts", "sleepSession": "sleep_detail", "workout": "overlay_workouts",
     "dailyMetric": "health_snapshot", "metricSeries": "metric_series",
 }
+#: What a reader should know of tables that hold little or are not read.
+NOTES = {
+    "spo2Sample": "straps of this kind send none: empty is normal",
+    "respSample": "breathing rate is no sampled stream: empty is normal",
+    "v18AuxSample": "auxiliary bytes kept as they came and read by nothing; devices keep a limited number of rows, so older ones go with the next upload",
+    "ppgWaveformSample": "raw optical samples for later estimators; what is derived from them is ppgHrSample",
+    "ouraRaw": "pages of another vendor's archive as they came; day is null, as a page covers several",
+    "scoreInputProvenance": "which device's values went into a day's scores; joined to nothing here",
+    "appleDaily": "a second copy of daily values that dailyMetric has",
+}
 SOURCE_TABLES = ("hrSample", "rrInterval", "dailyMetric", "metricSeries", "sleepSession", "workout")
 TIME_COLUMNS = ("ts", "startTs", "day")
 
@@ -91,8 +102,8 @@ def trailing_days(latest: DataFrame, n: int) -> DataFrame:
     return latest.select(shift_day(F.col("day"), -(n - 1)).alias("fromDay"), F.col("day").alias("toDay"))
 
 
-def health_snapshot(daily: DataFrame, series: DataFrame, deleted: DataFrame, days: int | None = 3) -> DataFrame:
-    """A-16: by day and family the first value of each field in order of devices, daily values before series values, and all devices with a row."""
+def health_snapshot(daily: DataFrame, series: DataFrame, deleted: DataFrame, days: int | None = 3, annotations: DataFrame | None = None) -> DataFrame:
+    """A-16: by day and family the first value of each field in order of devices, daily values before series values, and all devices with a row; with the day's annotations, if given."""
     fields = list(SNAPSHOT_FIELDS)
     series = series.where(F.col("key").isin(fields))
     if days is not None:
@@ -103,7 +114,8 @@ def health_snapshot(daily: DataFrame, series: DataFrame, deleted: DataFrame, day
     values = _points(daily, series, deleted, fields).groupBy("day", "family").agg(*[F.min_by(F.when(F.col("metric") == f, F.col("value")), F.when(F.col("metric") == f, first)).alias(f) for f in fields])
     seen = daily.select("deviceId", "day").union(series.select("deviceId", "day")).withColumn("family", source_family(F.col("deviceId")))
     seen = seen.groupBy("day", "family").agg(F.sort_array(F.collect_set("deviceId")).alias("sources"))
-    return seen.join(values, ["day", "family"], "left")
+    out = seen.join(values, ["day", "family"], "left")
+    return out if annotations is None else annotations_on_day(out, annotations)
 
 
 def metric_series(series: DataFrame, deleted: DataFrame, key: str, start: str | None = None, end: str | None = None, device: str | None = None) -> DataFrame:
@@ -147,7 +159,7 @@ def metric_key_counts(series: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def stream_inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """A-15: by table rows, time column, extent, devices, reader, and whether it is a gap: filled, unread and no bookkeeping."""
+    """A-15: by table rows, time column, extent, devices, reader, note, and whether it is a gap: filled, unread and no bookkeeping."""
     parts = []
     for name, df in tables.items():
         time = next((c for c in TIME_COLUMNS if c in df.columns), None)
@@ -157,7 +169,7 @@ def stream_inventory(tables: dict[str, DataFrame]) -> DataFrame:
         row = df.agg(F.count("*").alias("rows"), first.alias("first"), last.alias("last"), own.alias("deviceIds"))
         plain = name in NON_STREAM or name.startswith("_litestream")
         reader = F.lit(READERS.get(name)).cast("string")
-        parts.append(row.select(F.lit(name).alias("table"), "rows", F.lit(time).cast("string").alias("timeCol"), "first", "last", "deviceIds", reader.alias("readBy"), ((F.col("rows") > 0) & reader.isNull() & F.lit(not plain)).alias("gap")))
+        parts.append(row.select(F.lit(name).alias("table"), "rows", F.lit(time).cast("string").alias("timeCol"), "first", "last", "deviceIds", reader.alias("readBy"), F.lit(NOTES.get(name)).cast("string").alias("note"), ((F.col("rows") > 0) & reader.isNull() & F.lit(not plain)).alias("gap")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -171,9 +183,11 @@ def search_days(daily: DataFrame, query: str = "", k: int = 20, window: int = 31
 
 def day_digest(daily: DataFrame, deleted: DataFrame) -> DataFrame:
     """A-28: by day a text with a line for each device; a dash for null and deleted values."""
-    for name, _ in DIGEST:
-        gone = deleted.where(F.col("key") == name).select("deviceId", "day").distinct().withColumn("gone", F.lit(True))
-        daily = daily.join(gone, ["deviceId", "day"], "left").withColumn(name, F.when(F.col("gone").isNull(), F.col(name))).drop("gone")
+    fields = [name for name, _ in DIGEST]
+    gone = deleted.where(F.col("key").isin(fields)).groupBy("deviceId", "day").agg(F.collect_set("key").alias("gone"))
+    daily = daily.join(gone, ["deviceId", "day"], "left")
+    for name in fields:
+        daily = daily.withColumn(name, F.when(~F.coalesce(F.array_contains("gone", name), F.lit(False)), F.col(name)))
 
     def shown(name: str):
         number = F.col(name).cast("double")
@@ -189,12 +203,21 @@ def day_digest(daily: DataFrame, deleted: DataFrame) -> DataFrame:
     return lines.select("day", F.concat(F.lit("Biometrics for "), F.col("day"), F.lit("\n"), F.array_join("l.line", "\n")).alias("text"))
 
 
-def data_freshness(streams: dict[str, DataFrame], daily: DataFrame, pending: DataFrame, journal: DataFrame, notes: DataFrame, ingest_log: DataFrame, now: int) -> DataFrame:
-    """A-26: one row: newest sample and its age, newest data day, waiting edits, last seq, notes, and the phone's last zone."""
-    newest = reduce(DataFrame.union, [df.agg(safe_ts(F.max("ts")).alias("ts")) for df in streams.values()]).agg(F.max("ts").alias("latestTs"))
-    row = newest.crossJoin(F.broadcast(daily.agg(F.max("day").alias("latestDay"))))  # frames of one row each
-    row = row.crossJoin(F.broadcast(pending.agg(F.count("*").alias("pendingEdits"))))
-    row = row.crossJoin(F.broadcast(journal.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("journalSeq"))))
-    row = row.crossJoin(F.broadcast(notes.agg(F.count("*").alias("baselineNotes"))))
-    row = row.crossJoin(F.broadcast(ingest_log.agg(F.max_by("phoneTz", F.when(F.col("phoneTz").isNotNull(), F.col("id"))).alias("phoneTz"))))
+def data_freshness(
+    tables: dict[str, DataFrame], devices: DataFrame, daily: DataFrame, series: DataFrame, pending: DataFrame, journal: DataFrame, notes: DataFrame, annotations: DataFrame, ingest_log: DataFrame, now: int
+) -> DataFrame:
+    """A-26: one row: newest sample and its age, newest data day, sources (A-13), daily columns, metric keys (A-14), waiting
+    edits, last seq, the notes that hold (A-18), summary of annotations (A-19), last upload, and the phone's zone at it."""
+    own = sources(tables, devices)
+    listed = own.agg(F.max("latestTs").alias("latestTs"), F.array_sort(F.collect_list(F.struct("deviceId", "family", "latestDay", "tables"))).alias("sources"))
+    keys = metric_key_counts(series).agg(F.array_sort(F.collect_list(F.struct("key", "whoop", "oura", "apple", "n"))).alias("metricSeriesKeys"))
+    held = latest_baseline_notes(notes).agg(F.array_sort(F.collect_list(F.struct("deviceId", "note", "at", "supersededCount"))).alias("baselineNotes"))
+    summary = annotation_summary(annotations).select(F.struct("count", "firstDay", "lastDay", "tags").alias("annotations"))
+    upload = ingest_log.agg(F.max_by(F.struct("receivedAt", "phoneTz"), "id").alias("u")).select(F.col("u.receivedAt").alias("lastIngestAt"), F.col("u.phoneTz").alias("phoneTz"))
+    parts = [daily.agg(F.max("day").alias("latestDay")), keys, pending.agg(F.count("*").alias("pendingEdits")), journal.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("journalSeq")), held, summary, upload]
+    row = listed
+    for part in parts:  # frames of one row each
+        row = row.crossJoin(F.broadcast(part))
+    columns = [c for c in daily.columns if c not in ("deviceId", "day")]
+    row = row.withColumn("dailyMetricColumns", F.array(*map(F.lit, columns)).cast("array<string>"))
     return row.withColumn("ageSeconds", F.greatest(F.lit(now) - F.col("latestTs"), F.lit(0)).cast("long"))

@@ -41,8 +41,7 @@ def drop_deleted_ranges(samples: DataFrame, ranges: DataFrame) -> DataFrame:
 def hr_series(samples: DataFrame, seconds: int = 300) -> DataFrame:
     """A-1: average (one decimal), least, most and number by device and bucket."""
     grouped = samples.groupBy("deviceId", bucket(F.col("ts"), seconds).alias("bucketTs"))
-    out = grouped.agg(half_up(F.avg("bpm"), 1).alias("avg"), F.min("bpm").alias("min"), F.max("bpm").alias("max"), F.count("*").alias("n"))
-    return out.withColumn("family", source_family(F.col("deviceId")))
+    return grouped.agg(*hr_cell()).withColumn("family", source_family(F.col("deviceId")))
 
 
 def clean_rr(beats: DataFrame, seconds: int = 300) -> DataFrame:
@@ -118,19 +117,35 @@ def motion_with_phone(steps: DataFrame, gravity: DataFrame, hours: DataFrame, se
 
 def imu_series(rows: DataFrame, seconds: int = 300) -> DataFrame:
     """A-5: movement energy, and cadence as a mean weighted by strength over the rows that have one."""
+    cell = rows.groupBy("deviceId", bucket(F.col("ts"), seconds).alias("bucketTs")).agg(*imu_cell())
+    return cell.withColumn("family", source_family(F.col("deviceId")))
+
+
+def hr_cell(value: str = "bpm") -> list[Column]:
+    """What A-1 says of a bucket."""
+    return [half_up(F.avg(value), 1).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.count("*").alias("n")]
+
+
+def imu_cell() -> list[Column]:
+    """What A-5 says of a bucket."""
     has = F.col("cadenceHz").isNotNull()
     cadence = F.try_divide(F.sum(F.when(has, F.col("cadenceHz") * F.col("cadenceStrength"))), F.sum(F.when(has, F.col("cadenceStrength"))))
-    cell = rows.groupBy("deviceId", bucket(F.col("ts"), seconds).alias("bucketTs")).agg(
+    return [
         F.count("*").alias("seconds"),
         half_up(F.avg("accelEnergyG"), 3).alias("accelEnergyG"),
         half_up(F.max("accelEnergyG"), 3).alias("accelEnergyPeakG"),
         half_up(F.avg("gyroEnergyDps"), 3).alias("gyroEnergyDps"),
         half_up(F.avg("jerkRms"), 3).alias("jerkRms"),
-        cadence.alias("c"),
         half_up(F.avg(has.cast("double")), 3).alias("rhythmicFraction"),
-    )
-    out = cell.withColumn("cadenceHz", half_up(F.col("c"), 3)).withColumn("cadenceStepsPerMin", half_up(F.col("c") * 60)).drop("c")
-    return out.withColumn("family", source_family(F.col("deviceId")))
+        half_up(cadence, 3).alias("cadenceHz"),
+        half_up(cadence * 60).alias("cadenceStepsPerMin"),
+    ]
+
+
+def temp_cell() -> list[Column]:
+    """What A-6 says of a bucket of samples with tempC."""
+    two = lambda f, name: half_up(f("tempC"), 2).alias(name)
+    return [two(F.avg, "avgC"), two(F.min, "minC"), two(F.max, "maxC"), half_up(F.avg("raw"), 1).alias("avgRaw"), F.count("*").alias("n")]
 
 
 def join_device_registry(df: DataFrame, devices: DataFrame, on: str = "deviceId") -> DataFrame:
@@ -145,9 +160,7 @@ def temp_samples(rows: DataFrame, devices: DataFrame) -> DataFrame:
 
 def temp_series(rows: DataFrame, devices: DataFrame, seconds: int = 300) -> DataFrame:
     """A-6: skin temperature by device and bucket; degrees have two decimals, the raw average one."""
-    cell = temp_samples(rows, devices).groupBy("deviceId", bucket(F.col("ts"), seconds).alias("bucketTs")).agg(
-        half_up(F.avg("tempC"), 2).alias("avgC"), half_up(F.min("tempC"), 2).alias("minC"), half_up(F.max("tempC"), 2).alias("maxC"), half_up(F.avg("raw"), 1).alias("avgRaw"), F.count("*").alias("n")
-    )
+    cell = temp_samples(rows, devices).groupBy("deviceId", bucket(F.col("ts"), seconds).alias("bucketTs")).agg(*temp_cell())
     return cell.withColumn("family", source_family(F.col("deviceId")))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import half_up, iso, source_family, stages_of, state_label, utc_day
 from .series import classify_ticks, counter_delta, drop_deleted_ranges, posture_changes
 
-#: Seconds of a block in joins of sessions and samples.
-DAY = 86_400
+#: Seconds of a block in joins of sessions and samples of one device, of any device, and in orderings that nothing parts.
+DAY, HOUR, STRETCH = 86_400, 3_600, 30 * 86_400
 
 
 def _runs(df: DataFrame, starts, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -75,15 +75,25 @@ def imu_coverage_totals(rows: DataFrame, gap: int = 60) -> DataFrame:
 def gap_sessions_intervals(rows: DataFrame, gap: int = 60, by: list[str] | None = None, first: str = "firstTs", last: str = "lastTs") -> DataFrame:
     """W-7: intervals with the number of their session; a session ends when the next begins more than ``gap`` after all that went before.
 
-    ``by`` parts the ordering (an archive, an owner); without it all rows are one ordering.
+    ``by`` parts the ordering (an archive, an owner). Without it all rows are one ordering, which is worked on by stretches
+    of time: only one row a stretch, its reach and its number of sessions, passes through a window over all.
     """
-    by = by or []
+    if by:
 
-    def starts(w):
-        reach = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        return F.coalesce(F.col(first) - reach > gap, F.lit(True))
+        def starts(w):
+            reach = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
+            return F.coalesce(F.col(first) - reach > gap, F.lit(True))
 
-    return _runs(rows, starts, by, [first, last], "session")
+        return _runs(rows, starts, by, [first, last], "session")
+    w, over = Window.partitionBy("stretch").orderBy(first, last), Window.partitionBy().orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("stretch", F.floor(F.col(first) / STRETCH))
+    reach = rows.groupBy("stretch").agg(F.max(last).alias("reach")).select("stretch", F.max("reach").over(over).alias("before"))
+    inside = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("inside", inside).join(reach, "stretch")
+    rows = rows.withColumn("starts", F.coalesce(F.col(first) - F.greatest("inside", "before") > gap, F.lit(True)).cast("long"))
+    number = rows.groupBy("stretch").agg(F.sum("starts").alias("n")).select("stretch", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("earlier"))
+    rows = rows.withColumn("n", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(number, "stretch")
+    return rows.withColumn("session", F.col("earlier") + F.col("n")).drop("stretch", "inside", "before", "starts", "n", "earlier")
 
 
 def deep_buffer_coverage(chunks: DataFrame, gap: int = 60, by: list[str] | None = None) -> DataFrame:
@@ -154,14 +164,22 @@ def first_k_payloads(rows: DataFrame, k: int = 5, by: list[str] | None = None, o
 def session_sample_join(sessions: DataFrame, samples: DataFrame) -> DataFrame:
     """J-8: samples in each session's time: those of its own device, or of any device where it has none.
 
-    An equi-join on day blocks; columns of samples other than ts keep their names, their device is sampleDevice.
+    An equi-join on device and day; only sessions that it leaves without a sample are joined to all devices, by the hour.
+    Columns of samples other than ts keep their names, their device is sampleDevice.
     """
-    s = sessions.select(F.col("deviceId"), F.col("startTs"), F.col("endTs")).distinct()
-    s = s.where("startTs <= endTs").withColumn("b", F.explode(F.sequence(F.floor(F.col("startTs") / DAY), F.floor(F.col("endTs") / DAY))))
-    x = samples.withColumnRenamed("deviceId", "sampleDevice").withColumn("b", F.floor(F.col("ts") / DAY))
-    pairs = s.join(x, "b").where(F.col("ts").between(F.col("startTs"), F.col("endTs"))).drop("b")
-    own = F.max((F.col("sampleDevice") == F.col("deviceId")).cast("int")).over(Window.partitionBy("deviceId", "startTs", "endTs"))
-    return pairs.withColumn("own", own).where((F.col("own") == 0) | (F.col("sampleDevice") == F.col("deviceId"))).drop("own")
+    key = ["deviceId", "startTs", "endTs"]
+    s = sessions.select(*key).where("startTs <= endTs").distinct()
+    x = samples.withColumnRenamed("deviceId", "sampleDevice")
+
+    def meet(some: DataFrame, block: int, on: list[tuple[str, str]]) -> DataFrame:
+        a = some.withColumn("b", F.explode(F.sequence(F.floor(F.col("startTs") / block), F.floor(F.col("endTs") / block))))
+        b = x.withColumn("b", F.floor(F.col("ts") / block))
+        here = [a[p] == b[q] for p, q in on] + [a["b"] == b["b"]]
+        return a.join(b, here).where(F.col("ts").between(F.col("startTs"), F.col("endTs"))).select(*key, *x.columns)
+
+    own = meet(s, DAY, [("deviceId", "sampleDevice")])
+    rest = s.join(own.select(*key).distinct(), key, "left_anti")
+    return own.unionByName(meet(rest, HOUR, []))
 
 
 def sleep_detail(sessions: DataFrame, hr: DataFrame, steps: DataFrame, gravity: DataFrame, deleted_hr: DataFrame, bounds: DataFrame, stage_edits: DataFrame, cap: int = 5000) -> tuple[DataFrame, DataFrame]:

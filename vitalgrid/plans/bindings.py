@@ -5,6 +5,8 @@ Derived values are whole numbers, so that sums do not depend on the order of row
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def power(e: DataFrame) -> DataFrame:
 
 
 def kinds(e: DataFrame) -> DataFrame:
-    return e.select("event_id", "deviceId", "ts", F.concat(F.upper("event_type"), F.lit("("), (F.col("k") % 7).cast("string"), F.lit(")")).alias("kind"), F.when(F.col("k") % 5 == 0, "{}").when(F.col("k") % 5 == 1, "no json").otherwise(F.concat(F.lit('{"k":'), F.col("k").cast("string"), F.lit("}"))).alias("payloadJSON"))
+    return e.select("event_id", "deviceId", "ts", F.concat(F.upper("event_type"), F.lit("("), (F.col("k") % 7).cast("string"), F.lit(")")).alias("kind"), F.when(F.col("k") % 10 == 0, "{}").when(F.col("k") % 5 == 0, "{ }").when(F.col("k") % 10 == 1, "no json").when(F.col("k") % 5 == 1, "  ").otherwise(F.concat(F.lit('{"k":'), F.col("k").cast("string"), F.lit("}"))).alias("payloadJSON"))
 
 
 def states(e: DataFrame) -> DataFrame:
@@ -152,6 +154,34 @@ def journal(e: DataFrame) -> DataFrame:
     return edits.unionByName(undo)
 
 
+#: Numbers of later edits: what is added to the event's own.
+SECOND, THIRD, FOURTH, UNDONE = 2_000_000_000, 3_000_000_000, 4_000_000_000, 9_000_000_000
+
+
+def journal_of_all_kinds(e: DataFrame) -> DataFrame:
+    """``journal`` with edits of the other kinds, and later ones on the targets of earlier ones; some of the later ones are undone."""
+    k, ts, device = F.col("k"), F.col("ts"), F.col("deviceId")
+    null = F.lit(None).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    stage = lambda a, b, name: F.struct((ts + a).alias("start"), (ts + b).alias("end"), F.lit(name).alias("stage"))
+    key = [device, ts.alias("startTs")]
+
+    def rows(where: str, shift: int, kind: str, payload) -> DataFrame:
+        return e.where(where).select((F.col("event_id") + shift).alias("seq"), text("e", F.col("event_id") + shift).alias("editId"), F.lit(kind).alias("kind"), payload.alias("payloadJSON"), null.alias("beforeJSON"), F.lit("r").alias("rationale"), ts.alias("appliedAt"), F.lit(None).cast("long").alias("targetSeq"))
+
+    more = [
+        rows("event_type = 'click' and k % 5 <> 0 and k % 3 = 0", SECOND, "fix_workout", text('{"deviceId":"', device, '","startTs":', ts, ',"sport":"sport0","patch":{"energyKcal":7,"distanceM":', k, "}}")),
+        rows("event_type = 'purchase' and k % 4 = 0", SECOND, "adjust_sleep_bounds", F.to_json(F.struct(*key, (ts + 40_000).alias("newEndTs")))),
+        rows("event_type = 'purchase' and k % 2 = 0", THIRD, "edit_sleep_stages", F.to_json(F.struct(*key, F.array(stage(0, 1800, "rem"), stage(1800, 3600, "awake")).alias("stages")))),
+        rows("event_type = 'purchase' and k % 6 = 0", FOURTH, "edit_sleep_stages", F.to_json(F.struct(*key, F.array(stage(0, 600, "deep")).alias("stages")))),
+        rows("event_type = 'error'", SECOND, "add_workout", F.to_json(F.struct(ts.alias("startTs"), (ts + 600).alias("endTs"), F.lit("added").alias("sport"), F.when(k % 2 == 1, k).alias("energyKcal")))),
+        rows("event_type = 'view' and k % 10 = 0", SECOND, "set_baseline_note", F.to_json(F.struct(text("n", k).alias("note"), device))),
+        rows("event_type = 'error' and k % 2 = 0", THIRD, "add_annotation", F.to_json(F.struct("day", F.array(F.lit("tag_a"), text("t", k % 4)).alias("tags"), F.lit("d").alias("detail"), F.lit("user_reported").alias("source"), F.create_map(F.lit("x"), k.cast("string")).alias("values")))),
+    ]
+    undo = e.where("event_id % 17 = 0").select((F.col("event_id") + UNDONE).alias("seq"), text("y", F.col("event_id")).alias("editId"), F.lit("undo").alias("kind"), F.lit("{}").alias("payloadJSON"), null.alias("beforeJSON"), null.alias("rationale"), ts.alias("appliedAt"), (F.col("event_id") + SECOND).alias("targetSeq"))
+    return reduce(DataFrame.unionByName, [journal(e), *more, undo])
+
+
 def acks(e: DataFrame) -> DataFrame:
     a = e.where("event_id % 7 = 0").select(F.col("event_id").alias("seq"), F.col("ts").alias("ackedAt"))
     return a.unionByName(a.select("seq", (F.col("ackedAt") + 5).alias("ackedAt")))
@@ -161,12 +191,12 @@ def annotations(e: DataFrame) -> DataFrame:
     """Each error event is a dated event of up to three days."""
     last = F.date_format(F.date_add(F.to_date("day"), (F.col("k") % 3).cast("int")), "yyyy-MM-dd")
     return e.where("event_type = 'error'").select(
-        F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("editId"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), "day", F.when(F.col("k") % 3 != 0, last).alias("endDay"), F.lit(None).cast("long").alias("startTs"), F.lit(None).cast("long").alias("endTs"),
+        "deviceId", F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("editId"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), "day", F.when(F.col("k") % 3 != 0, last).alias("endDay"), F.lit(None).cast("long").alias("startTs"), F.lit(None).cast("long").alias("endTs"),
         F.array(F.lit("tag_error"), F.concat(F.lit("t"), (F.col("k") % 4).cast("string"))).alias("tags"), F.concat(F.lit("d"), F.col("k").cast("string")).alias("detail"), F.when(F.col("k") % 2 == 0, "user_reported").otherwise("agent_inferred").alias("source"), F.lit(None).cast("string").alias("tz"), F.lit(None).cast("map<string,string>").alias("values"), F.lit(None).cast("string").alias("rationale"),
     )
 
 
-ANN = """ann AS (SELECT 'a' || event_id AS editId, event_id AS seq, ts AS "at", day, CASE WHEN k % 3 <> 0 THEN strftime(CAST(day AS DATE) + CAST(k % 3 AS INTEGER), '%Y-%m-%d') END AS endDay, ['tag_error', 't' || (k % 4)] AS tags, 'd' || k AS detail,
+ANN = """ann AS (SELECT deviceId, 'a' || event_id AS editId, event_id AS seq, ts AS "at", day, CASE WHEN k % 3 <> 0 THEN strftime(CAST(day AS DATE) + CAST(k % 3 AS INTEGER), '%Y-%m-%d') END AS endDay, ['tag_error', 't' || (k % 4)] AS tags, 'd' || k AS detail,
   CASE WHEN k % 2 = 0 THEN 'user_reported' ELSE 'agent_inferred' END AS source FROM ev WHERE event_type = 'error')"""
 
 

@@ -59,10 +59,12 @@ def latest_seq(journal: DataFrame, since: int = 0) -> DataFrame:
 
 
 def publish_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str, received_at: int, bytes_: int = 0, phone_tz: str | None = None) -> bool:
-    """SNK-1: write a whole upload beside the others and make it the latest; False, and nothing changed for readers, where the marker table is absent or empty."""
+    """SNK-1: write a whole upload beside the others and make it the latest; False, and nothing changed for readers, where the marker table is absent or empty. A published id is not written again."""
     if MARKER not in tables or tables[MARKER].isEmpty():
         return False
     spark = tables[MARKER].sparkSession
+    if not read_stream_table(spark, root, "ingestLog").where(F.col("snapshot") == snapshot_id).isEmpty():
+        raise ValueError(f"snapshot {snapshot_id} is published")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/snapshot={snapshot_id}/{name}")
     day = tables["dailyMetric"].agg(F.max("day").alias("d")) if "dailyMetric" in tables else tables["hrSample"].agg(safe_day(F.max("ts")).alias("d")) if "hrSample" in tables else None
@@ -73,18 +75,27 @@ def publish_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str,
     return True
 
 
-def number_rows(batch: DataFrame, last: DataFrame, order: list[str | Column], name: str = "seq") -> DataFrame:
-    """Rows of a small batch numbered on from the one number in ``last``."""
-    n = F.row_number().over(Window.orderBy(*order))
+def number_rows(batch: DataFrame, last: DataFrame, order: list[str | Column], name: str = "seq", stretch: Column | None = None) -> DataFrame:
+    """Rows numbered on from the one number in ``last``.
+
+    ``stretch`` grows with the order: rows are numbered within a stretch, and only one row a stretch, its number of rows,
+    passes through a window over all.
+    """
+    rows = batch.withColumn("stretch", F.lit(0) if stretch is None else stretch)
+    sizes = rows.groupBy("stretch").agg(F.count("*").alias("size"))
+    over = Window.partitionBy().orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("stretch", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("before"))
     top = last.select(F.col(last.columns[0]).alias("top"))
-    return batch.withColumn("n", n).crossJoin(F.broadcast(top)).withColumn(name, (F.col("top") + F.col("n")).cast("long")).drop("n", "top")  # last has one row
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("stretch").orderBy(*order))).join(sizes, "stretch")
+    rows = rows.crossJoin(F.broadcast(top))  # last has one row
+    return rows.withColumn(name, (F.col("top") + F.col("before") + F.col("n")).cast("long")).drop("stretch", "n", "before", "top")
 
 
-def append_journal(spark: SparkSession, root: str, batch: DataFrame, order: tuple[str, ...] = ("appliedAt", "editId")) -> None:
-    """SNK-2: append edits with growing seq; edits whose editId is there already are left out."""
+def append_journal(spark: SparkSession, root: str, batch: DataFrame) -> None:
+    """SNK-2: append edits with growing seq, in order of (appliedAt, editId); edits whose editId is there already are left out."""
     journal = read_stream_table(spark, root, "editJournal")
     new = batch.dropDuplicates(["editId"]).join(journal.select("editId"), "editId", "left_anti")
-    rows = number_rows(new, latest_seq(journal), list(order))
+    rows = number_rows(new, latest_seq(journal), ["appliedAt", "editId"], stretch=F.coalesce(F.floor(F.col("appliedAt") / 3600), F.lit(-(2**62))))
     conform(rows, ALL["editJournal"]).write.mode("append").parquet(f"{root}/editJournal")
 
 

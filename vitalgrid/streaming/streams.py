@@ -7,12 +7,12 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
-from ..functions.exprs import U16, half_up
-from ..operators.series import MOST_STEP
+from ..functions.exprs import U16
+from ..operators.series import MOST_STEP, hr_cell, imu_cell, temp_cell, temp_samples
 from ..schemas import ALL, key_of
 from ..sources.catalog import write_chunk_manifest
 from ..sources.deepbuf import inflate_chunks, manifest_rows, read_chunk_files
@@ -63,7 +63,13 @@ def merge_delta(base: DataFrame, delta: DataFrame, keys: list[str], now: int) ->
 
 
 def apply_delta(spark: SparkSession, root: str, table: str, delta: DataFrame, now: int) -> None:
-    """ST-3: merge a batch into ``root/table``, stored by UTC day; only the days that it touches are rewritten."""
+    """ST-3: merge a batch into ``root/table``, stored by UTC day; only the days that it touches are rewritten.
+
+    The merged days are written to the session's checkpoint folder before the files they come from are replaced, so that
+    a lost executor costs nothing; without such a folder nothing is done.
+    """
+    if spark.sparkContext.getCheckpointDir() is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{root}/{table}"
     schema = ALL[table]
     names = [*[f.name for f in schema.fields], "version", "since"]
@@ -76,8 +82,7 @@ def apply_delta(spark: SparkSession, root: str, table: str, delta: DataFrame, no
         base = spark.createDataFrame([], schema)
     delta = delta.select(*[f.name for f in schema.fields], "op", "version")
     merged = merge_delta(base, delta, key_of(table), now).withColumn("utcDay", F.floor(F.col("ts") / 86_400).cast("long"))
-    merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()  # the read must end before its files are replaced
-    merged.count()
+    merged = merged.checkpoint()
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("utcDay").parquet(path)
 
 
@@ -86,11 +91,26 @@ def delta_stream(spark: SparkSession, source: DataFrame, root: str, table: str,
     return source.writeStream.foreachBatch(lambda batch, _: apply_delta(batch.sparkSession, root, table, batch, now)).option("checkpointLocation", checkpoint)
 
 
-def bucket_stream(rows: DataFrame, seconds: int, late: str, value: str = "bpm") -> DataFrame:
-    """ST-4: average, least, most and number by device and bucket, emitted once a bucket is older than ``late`` (ST-7: later rows are dropped)."""
+def _buckets(rows: DataFrame, seconds: int, late: str, cells: list[Column]) -> DataFrame:
     timed = rows.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
-    cell = timed.groupBy("deviceId", F.window("at", f"{seconds} seconds")).agg(half_up(F.avg(value), 1).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.count("*").alias("n"))
-    return cell.select("deviceId", F.unix_timestamp(F.col("window.start").cast("timestamp")).alias("bucketTs"), "avg", "min", "max", "n")
+    out = timed.groupBy("deviceId", F.window("at", f"{seconds} seconds")).agg(*cells)
+    start = F.unix_timestamp(F.col("window.start").cast("timestamp")).alias("bucketTs")
+    return out.select("deviceId", start, *[c for c in out.columns if c not in ("deviceId", "window")])
+
+
+def bucket_stream(rows: DataFrame, seconds: int, late: str, value: str = "bpm") -> DataFrame:
+    """ST-4: A-1 as a stream: each bucket is emitted once, when it is older than ``late`` (ST-7: later rows are dropped)."""
+    return _buckets(rows, seconds, late, hr_cell(value))
+
+
+def imu_bucket_stream(rows: DataFrame, seconds: int, late: str) -> DataFrame:
+    """ST-4: A-5 as a stream."""
+    return _buckets(rows, seconds, late, imu_cell())
+
+
+def temp_bucket_stream(rows: DataFrame, devices: DataFrame, seconds: int, late: str) -> DataFrame:
+    """ST-4: A-6 as a stream, against the registry of devices as it stands."""
+    return _buckets(temp_samples(rows, devices), seconds, late, temp_cell())
 
 
 def session_stream(rows: DataFrame, gap: int, late: str) -> DataFrame:
