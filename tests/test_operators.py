@@ -77,6 +77,32 @@ def test_imu_coverage_never_rounds_up(spark):
     assert U.imu_coverage(frame(spark, [("d", i, 1.0, None) for i in range(9)], ddl)).first()["coverage"] == 1.0
 
 
+def test_sessions_of_one_ordering_are_worked_on_by_stretches(spark):
+    step = U.STRETCH // 7
+    spans = [(i * step + (i * 7919) % 1000, i * step + (i * 7919) % 1000 + (5 * step if i % 11 == 0 else step // 2 + i % 3 * step // 4)) for i in range(200)]
+    df = frame(spark, [(a, b) for a, b in spans], "firstTs long, lastTs long")
+    want, reach, n = {}, None, 0
+    for a, b in sorted(spans):
+        n += reach is None or a - reach > step // 3
+        reach = b if reach is None else max(reach, b)
+        want[a, b] = n
+    assert {(r["firstTs"], r["lastTs"]): r["session"] for r in U.gap_sessions_intervals(df, step // 3).collect()} == want and 5 < n < 150
+
+
+def test_samples_of_the_own_device_come_first(spark):
+    nights = frame(spark, [("a", 0, 100), ("b", 0, 90_000), ("c", 50, 60)], "deviceId string, startTs long, endTs long")
+    samples = frame(spark, [("a", 10, 1), ("x", 20, 2), ("x", 55, 3), ("b", 89_000, 4), ("x", 95, 5)], "deviceId string, ts long, bpm int")
+    got = sorted((r["deviceId"], r["sampleDevice"], r["bpm"]) for r in U.session_sample_join(nights, samples).collect())
+    assert got == [("a", "a", 1), ("b", "b", 4), ("c", "x", 3)]
+
+
+def test_zones_and_payloads_by_shape(spark):
+    zones = frame(spark, [(z,) for z in ("Europe/Paris", "America/Argentina/Buenos_Aires", "UTC", "CET", " UTC", "UTC\n", "+02:00", "Etc/GMT+2", "")], "z string")
+    assert [r[0] for r in zones.select(X.normalize_tz(F.col("z"))).collect()] == ["Europe/Paris", "America/Argentina/Buenos_Aires", "UTC", None, None, None, None, "Etc/GMT+2", None]
+    texts = frame(spark, [(t,) for t in (None, "", "{}", "{ }", "  ", "x", "[]", '{"a":1}')], "t string")
+    assert [tuple(r[0]) for r in texts.select(X.parse_payload(F.col("t"))).collect()] == [(None, None)] * 4 + [(None, "  "), (None, "x"), ("[]", None), ('{"a":1}', None)]
+
+
 def test_segments_break_on_gap_and_state(spark):
     rows = [("d", 0, 2), ("d", 60, 2), ("d", 300, 2), ("d", 310, 7)]
     got = sorted((r["startTs"], r["endTs"], r["label"]) for r in U.rle_segments(frame(spark, rows, "deviceId string, ts long, state int"), 120).collect())

@@ -35,6 +35,19 @@ def test_buckets_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, out.where("deviceId = 'd'").select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_imu_and_temperature_buckets_equal_the_batch(spark, tmp_path):
+    imu = [("d", t, 0.5 + t % 3, 1.0, 2.0, None if t % 2 else 1.5, 1.0 + t % 4, 100) for t in range(0, 700, 9)]
+    skin, far = [("d", t, 3000 + t) for t in range(0, 700, 9)], [FAR, FAR + 10]
+    devices = spark.createDataFrame([("d", "b", "4.0", "strap")], STREAMS["pairedDevice"])
+    cases = {"imuActivity": (imu, [("z", t, *[1.0] * 5, 1) for t in far], lambda r: T.imu_bucket_stream(r, 300, "1 seconds"), lambda r: S.imu_series(r, 300)), "skinTempSample": (skin, [("z", t, 1) for t in far], lambda r: T.temp_bucket_stream(r, devices, 300, "1 seconds"), lambda r: S.temp_series(r, devices, 300))}
+    for name, (rows, ends, stream, batch) in cases.items():
+        for k in range(2):  # rows far ahead move the watermark on
+            put(spark, [*rows, ends[0]] if not k else [ends[1]], STREAMS[name], tmp_path / name)
+            out = run(stream(spark.readStream.schema(STREAMS[name]).parquet(str(tmp_path / name))), spark, tmp_path, name)
+        want = batch(spark.createDataFrame(rows, STREAMS[name])).drop("family")
+        assert sorted(map(tuple, out.where("deviceId = 'd'").select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_sessions_equal_the_batch(spark, tmp_path):
     rows = [("d", t, 1) for t in (0, 60, 121, 181, 400)]
     put(spark, rows, HR, tmp_path / "in")

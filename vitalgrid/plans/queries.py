@@ -518,13 +518,215 @@ def p15_validate_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate_chunk(rows).select("id", "reject_reason")
 
 
-@query(None)
+_LATER = "event_id % 17 = 0"
+_NIGHT = f"""sl AS (SELECT deviceId, CASE WHEN k % 3 <> 0 AND NOT {_UNDONE} THEN ts - 600 ELSE ts END AS startTs, CASE WHEN k % 3 <> 1 AND NOT {_UNDONE} THEN ts + 30000 ELSE ts + 21600 + k * 60 END AS endTs, NOT {_UNDONE} AS edited FROM ev WHERE event_type = 'purchase'),
+win AS (SELECT DISTINCT deviceId, startTs, endTs FROM sl)"""
+_TAKEN = "{name} AS (SELECT * FROM (SELECT w.deviceId, w.startTs, w.endTs, x.deviceId AS dev, x.* EXCLUDE (deviceId), max(CASE WHEN x.deviceId = w.deviceId THEN 1 ELSE 0 END) OVER (PARTITION BY w.deviceId, w.startTs, w.endTs) AS own FROM win w JOIN {of} x ON x.ts BETWEEN w.startTs AND w.endTs) WHERE own = 0 OR dev = deviceId)"
+
+
+@query(
+    f"""WITH {EV}, {_NIGHT}, st AS (SELECT deviceId, ts, event_id * 37 % 65536 AS c, CASE WHEN k % 4 <> 3 THEN k % 4 END AS cls FROM ev), gv AS (SELECT deviceId, ts, ((k + v) % 9 - 4) / 4 AS x, ((k * 2 + v) % 9 - 4) / 4 AS y, ((k * 3 + v) % 9 - 4) / 4 AS z FROM ev WHERE event_type = 'view'),
+{_TAKEN.format(name="ps", of="st")}, {_TAKEN.format(name="pg", of="gv")}, l AS (SELECT *, (c - lag(c) OVER (PARTITION BY deviceId, startTs, dev ORDER BY ts, c) + 65536) % 65536 AS raw FROM ps), q AS (SELECT *, CASE WHEN raw BETWEEN 1 AND 511 THEN raw END AS d FROM l),
+t AS (SELECT deviceId, startTs, {_TICKS} FROM q GROUP BY 1, 2), b AS (SELECT deviceId, startTs, ts // 300 AS slot, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pg GROUP BY 1, 2, 3),
+m AS (SELECT deviceId, startTs, abs(x - lag(x) OVER w) > 0.5 OR abs(y - lag(y) OVER w) > 0.5 OR abs(z - lag(z) OVER w) > 0.5 AS moved FROM b WINDOW w AS (PARTITION BY deviceId, startTs ORDER BY slot)), c AS (SELECT deviceId, startTs, count(*) FILTER (moved) AS n FROM m GROUP BY 1, 2)
+SELECT sl.deviceId, sl.startTs, endTs, CAST(floor((endTs - sl.startTs) / 60 + 0.5) AS BIGINT) AS durationMin, edited, 3 AS stages, CAST(steps AS BIGINT) AS steps, CAST(walkTicks AS BIGINT) AS walkTicks, CAST(runTicks AS BIGINT) AS runTicks, CAST(stillTicks AS BIGINT) AS stillTicks, CAST(unclassifiedTicks AS BIGINT) AS unclassifiedTicks, coalesce(n, 0) AS postureChanges
+FROM sl LEFT JOIN t ON t.deviceId = sl.deviceId AND t.startTs = sl.startTs LEFT JOIN c ON c.deviceId = sl.deviceId AND c.startTs = sl.startTs"""
+)
 def a25_sleep_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = B.events(spark, sf_dir)
+    out, _ = _sleep_detail(B.events(spark, sf_dir))
+    return out.select("deviceId", "startTs", "endTs", "durationMin", "edited", F.size("stages").alias("stages"), "steps", "walkTicks", "runTicks", "stillTicks", "unclassifiedTicks", "postureChanges")
+
+
+@query(
+    f"""WITH {EV}, {_NIGHT}, hr AS (SELECT deviceId, ts, v AS bpm FROM ev c WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM ev r WHERE r.event_type = 'error' AND r.deviceId = c.deviceId AND c.ts BETWEEN r.ts AND r.ts + 21600)), {_TAKEN.format(name="p", of="hr")},
+r AS (SELECT *, row_number() OVER (PARTITION BY deviceId, startTs ORDER BY ts, dev) - 1 AS i, count(*) OVER (PARTITION BY deviceId, startTs) AS total FROM p), d AS (SELECT *, CASE WHEN total > 50 THEN CAST(ceil(total / 50) AS BIGINT) ELSE 1 END AS stride FROM r) SELECT deviceId, startTs, dev AS sampleDevice, ts, bpm, total, stride FROM d WHERE i % stride = 0"""
+)
+def a25_sleep_detail_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, thin = _sleep_detail(B.events(spark, sf_dir), 50)
+    return thin.select("deviceId", "startTs", "sampleDevice", "ts", "bpm", "total", "stride")
+
+
+def _sleep_detail(e: DataFrame, cap: int = 5000) -> tuple[DataFrame, DataFrame]:
     active = _act(e)
     hr = e.where("event_type = 'click'").select("deviceId", "ts", F.col("v").alias("bpm"))
-    out, _ = U.sleep_detail(B.sleeps(e), hr, B.steps(e), B.gravity(e), B.error_ranges(e), O.sleep_bounds(active), O.stage_edits(active))
-    return out.select("deviceId", "startTs", "endTs", "durationMin", "edited", F.size("stages").alias("stages"), "steps", "walkTicks", "runTicks", "stillTicks", "unclassifiedTicks", "postureChanges")
+    return U.sleep_detail(B.sleeps(e), hr, B.steps(e), B.gravity(e), B.error_ranges(e), O.sleep_bounds(active), O.stage_edits(active), cap)
+
+
+# a journal of all kinds, with later edits of earlier targets
+def _all(e: DataFrame) -> DataFrame:
+    return O.active_edits(B.journal_of_all_kinds(e))
+
+
+_SEC, _THI, _FOU = B.SECOND, B.THIRD, B.FOURTH
+_PATCH = f"""pa AS (SELECT *, k % 5 <> 0 AND NOT {_UNDONE} AS one, k % 5 <> 0 AND k % 3 = 0 AND NOT {_LATER} AS two FROM ev WHERE event_type = 'click')"""
+over_events(
+    f"""WITH {EV}, {_PATCH} SELECT deviceId, ts AS startTs, 'sport' || (k % 3) AS sport, CASE WHEN one AND k % 4 IN (2, 3) THEN 'run' END AS newSport, CASE WHEN two THEN 7.0 WHEN k % 4 = 1 THEN CAST(k AS DOUBLE) END AS newEnergy, two OR k % 4 IN (0, 1) AS hasEnergy, CASE WHEN two THEN CAST(k AS DOUBLE) END AS newDistance, CASE WHEN one AND k % 4 = 1 THEN ts + 1000 END AS newEnd,
+'e' || (CASE WHEN two THEN event_id + {_SEC} ELSE event_id END) AS editId FROM pa WHERE one OR two""",
+    "e2b_workout_patches_in_turn",
+    lambda e: O.workout_patches(_all(e)).select("deviceId", "startTs", "sport", F.col("new_sport.value").alias("newSport"), F.col("new_energyKcal.value").alias("newEnergy"), F.col("new_energyKcal").isNotNull().alias("hasEnergy"), F.col("new_distanceM.value").alias("newDistance"), F.col("new_endTs.value").alias("newEnd"), "editId"),
+)
+over_events(f"WITH {EV} SELECT 'e' || (event_id + {_SEC}) AS editId, 'cloud' AS deviceId, 'added' AS sport, ts AS startTs, ts + 600 AS endTs, CASE WHEN k % 2 = 1 THEN CAST(k AS DOUBLE) END AS energyKcal FROM ev WHERE event_type = 'error' AND NOT {_LATER}", "e2c_added_workouts", lambda e: O.added_workouts(_all(e)).select("editId", "deviceId", "sport", "startTs", "endTs", "energyKcal"))
+_BOUNDS = f"""bo AS (SELECT *, NOT {_UNDONE} AS one, k % 4 = 0 AND NOT {_LATER} AS two FROM ev WHERE event_type = 'purchase')"""
+over_events(
+    f"""WITH {EV}, {_BOUNDS} SELECT deviceId, ts AS startTs, CASE WHEN one AND k % 3 <> 0 THEN ts - 600 END AS newStartTs, CASE WHEN two THEN ts + 40000 WHEN one AND k % 3 <> 1 THEN ts + 30000 END AS newEndTs, 'e' || (CASE WHEN two THEN event_id + {_SEC} ELSE event_id END) AS editId FROM bo WHERE one OR two""",
+    "e2d_sleep_bounds_in_turn",
+    lambda e: O.sleep_bounds(_all(e)),
+)
+over_events(f"WITH {EV} SELECT event_id + {_SEC} AS seq, 'n' || k AS note, deviceId, ts AS at FROM ev WHERE event_type = 'view' AND k % 10 = 0 AND NOT {_LATER}", "e2f_baseline_notes", lambda e: O.baseline_notes(_all(e)))
+_STAGED = f"""SELECT deviceId, ts AS startTs, CASE WHEN k % 6 = 0 THEN 'deep 10m' ELSE 'rem 30m/awake 30m' END AS stages, 'e' || (CASE WHEN k % 6 = 0 THEN event_id + {_FOU} ELSE event_id + {_THI} END) AS stageEditId FROM ev WHERE event_type = 'purchase' AND k % 2 = 0"""
+over_events(f"WITH {EV} {_STAGED}", "e2g_stage_edits", lambda e: O.stage_edits(_all(e)).select("deviceId", "startTs", E.stage_summary(F.col("newStages")).alias("stages"), "stageEditId"))
+over_events(
+    f"WITH {EV}, se AS ({_STAGED}) SELECT ev.deviceId, ts AS startTs, coalesce(se.stages, 'light 90m/deep 270m') AS stages, se.stages IS NOT NULL AS stagesEdited FROM ev LEFT JOIN se ON se.deviceId = ev.deviceId AND se.startTs = ts WHERE event_type = 'purchase'",
+    "j11_overlay_stages",
+    lambda e: O.overlay_stages(B.sleeps(e), O.stage_edits(_all(e))).select("deviceId", "startTs", E.stage_summary(F.col("stages")).alias("stages"), "stagesEdited"),
+)
+over_events(
+    f"WITH {EV} SELECT 'e' || (event_id + {_THI}) AS editId, event_id + {_THI} AS seq, ts AS at, day, 'tag_a,t' || (k % 4) AS tags, 'd' AS detail, 'user_reported' AS source, CAST(k AS VARCHAR) AS x, 'r' AS rationale FROM ev WHERE event_type = 'error' AND k % 2 = 0",
+    "e2i_annotations",
+    lambda e: O.annotations(_all(e)).select("editId", "seq", "at", "day", F.array_join("tags", ",").alias("tags"), "detail", "source", F.col("values")["x"].alias("x"), "rationale"),
+)
+over_events(
+    f"""WITH {EV}, {_PATCH}, w AS (SELECT deviceId, ts, k, v, one, two FROM pa WHERE NOT (k % 5 = 0 AND NOT {_UNDONE}))
+SELECT deviceId, ts AS startTs, CASE WHEN one AND k % 4 = 1 THEN ts + 1000 ELSE ts + 600 + k END AS endTs, CASE WHEN one AND k % 4 > 1 THEN 'run' ELSE 'sport' || (k % 3) END AS sport, CASE WHEN two THEN 7.0 WHEN one AND k % 4 = 0 THEN NULL WHEN one AND k % 4 = 1 THEN CAST(k AS DOUBLE) ELSE CAST(v AS DOUBLE) END AS energyKcal, CASE WHEN two THEN CAST(k AS DOUBLE) END AS distanceM,
+CAST(CASE WHEN one AND k % 4 = 1 THEN 1000 ELSE 600 + k END AS DOUBLE) AS durationS, 'strap' AS source, one OR two AS edited, false AS added FROM w
+UNION ALL SELECT 'cloud', ts, ts + 600, 'added', CASE WHEN k % 2 = 1 THEN CAST(k AS DOUBLE) END, NULL, 600.0, 'cloud', false, true FROM ev WHERE event_type = 'error' AND NOT {_LATER}""",
+    "j10_overlay_workouts_with_added",
+    lambda e: O.overlay_workouts(B.workouts(e), O.deleted_workouts(_all(e)), O.workout_patches(_all(e)), O.added_workouts(_all(e))).select("deviceId", "startTs", "endTs", "sport", "energyKcal", "distanceM", "durationS", "source", "edited", "added"),
+)
+
+
+def _any_edit(e: DataFrame) -> DataFrame:
+    """An edit of each kind in turn, right or broken in one way."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    ts, fine = F.col("ts"), F.col("k") % 2 == 0
+    key = ('"deviceId":"', F.col("deviceId"), '","startTs":', ts)
+    payloads = {
+        "fix_workout": text("{", *key, ',"sport":"s","patch":', F.when(fine, '{"energyKcal":null}').otherwise('{"colour":1}'), "}"),
+        "delete_workout": text("{", *key, F.when(fine, ',"sport":"s"').otherwise(',"sport":5'), "}"),
+        "add_workout": text('{"startTs":', ts, ',"endTs":', F.when(fine, ts + 1).otherwise(ts - 1), ',"sport":"s"}'),
+        "adjust_sleep_bounds": text("{", *key, F.when(fine, ',"newEndTs":9').otherwise(""), "}"),
+        "delete_metric_point": text('{"deviceId":"d","key":"k","day":"', F.when(fine, "2024-01-01").otherwise("yesterday"), '"}'),
+        "set_baseline_note": text('{"note":"', F.when(fine, "n").otherwise(""), '"}'),
+        "edit_sleep_stages": text("{", *key, ',"stages":[{"start":0,"end":9,"stage":"deep"},{"start":', F.when(fine, "9").otherwise("8"), ',"end":20,"stage":"rem"}]}'),
+        "delete_hr_range": text('{"deviceId":"d","fromTs":0,"toTs":', F.when(fine, "9").otherwise("99999"), "}"),
+        "add_annotation": text('{"day":"2024-01-02","detail":"x","source":"user_reported","tags":["', F.when(fine, "good_tag").otherwise("Bad"), '"]', F.when(fine, "").otherwise(',"endDay":"2024-01-01"'), "}"),
+        "unheard_of": F.lit("{}"),
+    }
+    n = F.pmod("event_id", F.lit(len(payloads)))
+    pick = lambda values: F.element_at(F.array(*values), (n + 1).cast("int"))
+    return e.select(F.col("event_id").alias("id"), pick([F.lit(k) for k in payloads]).alias("kind"), pick(list(payloads.values())).alias("payloadJSON"))
+
+
+over_events(
+    f"""WITH {EV} SELECT event_id AS id, CASE WHEN event_id % 10 = 9 THEN 'unknown_kind' WHEN k % 2 = 0 THEN '' ELSE CASE event_id % 10 WHEN 0 THEN 'unknown_patch_key' WHEN 1 THEN 'bad_sport' WHEN 2 THEN 'end_not_after_start' WHEN 3 THEN 'no_bound' WHEN 4 THEN 'day_shape' WHEN 5 THEN 'bad_note' WHEN 6 THEN 'stages_not_contiguous' WHEN 7 THEN 'range_too_long' ELSE 'end_day_before_day,tag_shape' END END AS violations FROM ev""",
+    "p8_validate_edits_of_all_kinds",
+    lambda e: E.validate_edits(_any_edit(e)).select("id", F.array_join("violations", ",").alias("violations")),
+)
+
+
+def _some_of_all(e: DataFrame) -> DataFrame:
+    """Proposals of eight kinds, of which some have no target."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, ts, device = F.col("k"), F.col("ts"), F.when(F.col("k") % 5 == 0, "nobody").otherwise(F.col("deviceId"))
+    key = ('"deviceId":"', device, '","startTs":', ts)
+    sport = ('"sport":"sport', k % 3, '"')
+    click, purchase = F.col("event_type") == "click", F.col("event_type") == "purchase"
+    cases = [
+        (click & (k % 2 == 0), "delete_workout", text("{", *key, ",", *sport, "}")), (click, "fix_workout", text("{", *key, ",", *sport, ',"patch":{"sport":"walk","energyKcal":null}}')),
+        (purchase & (k % 2 == 0), "adjust_sleep_bounds", text("{", *key, ',"newEndTs":', ts + 60, "}")), (purchase, "edit_sleep_stages", text("{", *key, ',"stages":[{"start":0,"end":600,"stage":"rem"}]}')),
+        (k % 4 == 0, "add_workout", text('{"startTs":', ts, ',"endTs":', ts + 60, ',"sport":"row"}')), (k % 4 == 1, "set_baseline_note", text('{"note":"n', k, '"}')), (k % 4 == 2, "add_annotation", text('{"day":"', F.col("day"), '","tags":["a_tag"],"detail":"x","source":"user_reported"}')),
+    ]
+    kind, payload = F.lit("delete_metric_point"), text('{"deviceId":"', F.when(k % 5 == 0, "nobody").otherwise("my-whoop"), '","day":"', F.col("day"), '","key":"recovery"}')
+    for when, name, own in reversed(cases):
+        kind, payload = F.when(when, name).otherwise(kind), F.when(when, own).otherwise(payload)
+    return e.select(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("id"), kind.alias("kind"), payload.alias("payloadJSON"), F.lit("r").alias("rationale"), ts.alias("createdAt"))
+
+
+_AT = _MIN.format("ts")
+over_events(
+    f"""WITH {EV}, {DAILY}, d AS (SELECT day, recovery FROM daily WHERE deviceId = 'my-whoop' AND recovery IS NOT NULL), x AS (SELECT ev.*, d.recovery FROM ev LEFT JOIN d ON d.day = ev.day),
+t AS (SELECT event_id, k % 5 = 0 AS lost, CASE WHEN event_type = 'click' AND k % 2 = 0 THEN 'DELETE workout sport' || (k % 3) || ' @ ' || {_AT} || ' (' || CAST(floor((k + 600) / 60 + 0.5) AS BIGINT) || ' min, source strap, ' || deviceId || ')'
+WHEN event_type = 'click' THEN 'FIX workout sport' || (k % 3) || ' @ ' || {_AT} || ' (' || deviceId || '): sport: "sport' || (k % 3) || '" ⇒ "walk", energyKcal: ' || v || ' ⇒ null'
+WHEN event_type = 'purchase' AND k % 2 = 0 THEN 'ADJUST sleep @ ' || {_AT} || ' (' || deviceId || '): end ' || {_MIN.format("(ts + 21600 + k * 60)")} || ' ⇒ ' || {_MIN.format("(ts + 60)")} WHEN event_type = 'purchase' THEN 'RESTAGE sleep @ ' || {_AT} || ' (' || deviceId || '): light 90m/deep 270m ⇒ rem 10m'
+WHEN k % 4 = 3 THEN 'DELETE dailyMetric column recovery=' || CAST(recovery AS BIGINT) || ' on ' || day || ' (my-whoop)' END AS targeted,
+CASE WHEN event_type IN ('click', 'purchase') THEN NULL WHEN k % 4 = 0 THEN 'ADD workout row ' || {_AT} || ' → ' || {_MIN.format("(ts + 60)")} || ' (source cloud)' WHEN k % 4 = 1 THEN 'NOTE: n' || k WHEN k % 4 = 2 THEN 'ANNOTATE ' || day || ' [a_tag] (user_reported): x' END AS free FROM x)
+SELECT 'p' || event_id AS id, CASE WHEN free IS NOT NULL THEN free WHEN NOT lost THEN targeted END AS diffText, CASE WHEN free IS NULL AND (lost OR targeted IS NULL) THEN 'target_not_found' END AS error FROM t""",
+    "e4_e5_propose_of_all_kinds",
+    lambda e: E.propose(_some_of_all(e), _data(e), B.journal(e)).select("id", "diffText", "error"),
+)
+over_events(
+    f"""WITH {EV} SELECT event_id AS id, CASE k % 4 WHEN 0 THEN 'no stages' WHEN 1 THEN 'rem ' || CAST(floor(k * 30 / 60 + 0.5) AS BIGINT) || 'm' WHEN 2 THEN 'light ' || (1 + k) || 'm' ELSE 'deep 1m/awake ' || k || 'm/deep 2m' END AS summary FROM ev""",
+    "a27_stage_summary_of_many_forms",
+    lambda e: e.select(F.col("event_id").alias("id"), E.stage_summary(_some_stages()).alias("summary")),
+)
+
+
+def _some_stages():
+    k = F.col("k").cast("long")
+    stage = lambda a, b, name: F.struct(F.lit(a).cast("long").alias("start") if isinstance(a, int) else a.alias("start"), F.lit(b).cast("long").alias("end") if isinstance(b, int) else b.alias("end"), F.lit(name).alias("stage"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,stage:string>>")
+    return F.when(k % 4 == 0, none).when(k % 4 == 1, F.array(stage(0, k * 30, "rem"))).when(k % 4 == 2, F.array(stage(0, 60, "light"), stage(60, 60 + k * 60, "light"))).otherwise(F.array(stage(0, 60, "deep"), stage(60, 60 + k * 60, "awake"), stage(0, 120, "deep")))
+
+
+over_events(
+    f"""WITH {EV} SELECT deviceId, ts, v + 1 AS bpm FROM ev WHERE event_id % 7 = 0 UNION ALL SELECT deviceId, ts, v FROM ev a WHERE NOT EXISTS (SELECT 1 FROM ev b WHERE b.event_id % 7 = 0 AND b.deviceId = a.deviceId AND b.ts // 86400 = a.ts // 86400)""",
+    "st3_merge_delta_replace",
+    lambda e: merge_delta(e.select("deviceId", "ts", F.col("v").alias("bpm")), e.where("event_id % 7 = 0").select("deviceId", "ts", (F.col("v") + 1).alias("bpm"), F.lit("replace").alias("op"), F.lit(5).alias("version")), ["deviceId", "ts"], NOW).select("deviceId", "ts", "bpm"),
+)
+over_events(
+    f"WITH {EV} SELECT event_id AS id, 'deepbuf/v1/170-' || k || '/' || lpad(CAST(event_id AS VARCHAR), 16, '0') || '.jsonl.deflate' AS path, '170-' || k AS generation, event_id AS byteStart FROM ev",
+    "f7_chunk_paths",
+    lambda e: e.select(F.col("event_id").alias("id"), X.chunk_path(F.concat(F.lit("170-"), F.col("k").cast("string")), F.col("event_id")).alias("path")).withColumn("i", X.chunk_identity(F.col("path"))).select("id", "path", "i.*"),
+)
+over_events(
+    f"WITH {EV}, {_STEP.split('WITH ' + EV + ', ')[1]} SELECT deviceId, ts // 86400 * 86400 AS bucketTs, CAST(sum(d) AS BIGINT) AS steps FROM q GROUP BY 1, 2 HAVING sum(d) IS NOT NULL UNION ALL SELECT 'apple-health', ts // 86400 * 86400, sum(k) FROM ev GROUP BY 2",
+    "a3_a4_motion_with_phone",
+    lambda e: S.motion_with_phone(B.steps(e), B.gravity(e), e.select(F.lit("apple-health").alias("deviceId"), X.bucket(F.col("ts"), 86_400).alias("ts"), F.col("k").alias("steps")), 86_400).where("steps > 0").select("deviceId", "bucketTs", "steps"),
+)
+
+
+def _root(spark: SparkSession) -> str:
+    """A new folder for datasets that a query writes before it reads them."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="vitalgrid-")
+    return f"{base}/root-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {EV} SELECT deviceId, ts, CAST(v AS DOUBLE) AS soc, NULL AS mv, NULL AS synced, NULL AS charging FROM ev")
+def src1_read_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that lacks some columns and has another."""
+    root = _root(spark)
+    B.events(spark, sf_dir).select(F.lit(1).alias("other"), "ts", "deviceId", F.col("v").alias("soc")).write.parquet(f"{root}/battery")
+    return C.read_stream_table(spark, root, "battery")
+
+
+@query(f"WITH {EV} SELECT deviceId, ts, v AS bpm, 2 AS uploads, (SELECT max(day) FROM ev) AS latestDay FROM ev WHERE event_id % 2 = 1")
+def snk1_publish_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two uploads and one without its marker: the second holds."""
+    root, e = _root(spark), B.events(spark, sf_dir)
+    hr = e.select("deviceId", "ts", F.col("v").alias("bpm"))
+    marker, day = spark.range(1).select(F.lit("v1").alias("identifier")), e.select("deviceId", "day")
+    C.publish_snapshot({"hrSample": hr, "dailyMetric": day, "grdb_migrations": marker}, root, "one", 1)
+    C.publish_snapshot({"hrSample": hr.join(e.where("event_id % 2 = 1").select("deviceId", "ts").distinct(), ["deviceId", "ts"], "left_semi"), "dailyMetric": day, "grdb_migrations": marker}, root, "two", 2)
+    C.publish_snapshot({"hrSample": hr.limit(0)}, root, "three", 3)
+    log = C.read_stream_table(spark, root, "ingestLog").agg(F.count("*").cast("int").alias("uploads"), F.max_by("latestDay", "id").alias("latestDay"))
+    return C.read_snapshot_table(spark, root, "hrSample").crossJoin(F.broadcast(log))  # one row
+
+
+@query(f"WITH {EV}, o AS (SELECT *, row_number() OVER (ORDER BY event_type <> 'click', ts, 'e' || event_id) AS seq FROM ev) SELECT seq, 'e' || event_id AS editId, ts AS appliedAt FROM o")
+def snk2_append_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some edits, then all of them."""
+    root, e = _root(spark), B.events(spark, sf_dir)
+    rows = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("editId"), F.lit("set_baseline_note").alias("kind"), F.lit("{}").alias("payloadJSON"), F.col("ts").alias("appliedAt"))
+    C.append_journal(spark, root, rows.join(e.where("event_type = 'click'").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("editId")), "editId", "left_semi"))
+    C.append_journal(spark, root, rows)
+    return C.read_stream_table(spark, root, "editJournal").select("seq", "editId", "appliedAt")
 
 
 #: What the bench runs.
