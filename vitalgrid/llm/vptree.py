@@ -225,10 +225,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, i
     total = points.agg(F.count("*").alias("n"), F.max(square).alias("square")).first()
     most = float(np.sqrt(total["square"] or 0.0)) * (1 + 1e-12)
     n_sample = min(max(SAMPLE, SAMPLED * (total["n"] // CELL_ROWS)), max(1, SAMPLE_NUMBERS // max(1, dimension)))
-    # ids at a distance by hash: a part of the rows, of which only the wanted number is sorted out
+    # a part of the rows by hash, so that not much more than the wanted number is sorted
     share = min(1.0, 2 * n_sample / max(1, total["n"]) + 1e-6)
     some = points.where(F.pmod(F.xxhash64("point"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    sample = some.select("vector").limit(n_sample).toPandas()
+    sample = some.orderBy(F.xxhash64("point"), "point").limit(n_sample).select("vector").toPandas()
     n_cells = max(1, min(total["n"] // CELL_ROWS, len(sample) // SAMPLED))
     lifted = _lift(_stack(sample["vector"]), most) if len(sample) else np.zeros((0, dimension + 1))
     tree = Tree(lifted, depth=int(np.log2(n_cells)))
