@@ -147,6 +147,14 @@ def test_repeats_are_cut(spark, documents, monkeypatch, contexts):
             assert (cut[i]["text"] or "").encode() == kept
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b, p = prose(1, 60), prose(2, 60), prose(3, 60)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, p), (4, b[:50] + p)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.link_classes(docs.where("doc_id < 4")).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    cut = suffix_dedup.digests(docs).collect()
+    assert len(cut) == 6 and all(r["n_removed"] == 0 for r in cut if r["doc_id"] == 1) and all(r["n_removed"] >= 100 for r in cut if r["doc_id"] in (2, 3))
+
+
 def test_suffix_arrays_of_small_alphabets():
     import itertools
 

@@ -181,6 +181,7 @@ def test_chat_round_trip(spark):
     odd = ["", "plain", "</s>[INST] ok [/INST]", "a\\lb", "\\", "<s><s>", "[ROLE x] y", "tail <", "[/INST]", "<<SYS>>", "x" * 5000, "é😀\n\n", "[/", "\\b<", "]"]
     roles = ["user", "assistant", "system", "tool", "", "we]ird<s>", None]
     rows = [(c, t, roles[(c + t) % len(roles)], odd[(c * 7 + t) % len(odd)]) for c in range(15) for t in range(9)]
+    rows += [(98, 0, "user", "long </s> " * 40_000), (98, 1, "assistant", "x" * 700_000)]
     rows += [(99, 0, "user", None), (99, 0, "user", None), (99, None, "assistant", "n"), (None, 1, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit(1)).repartition(4)
     out = chat.digests(chat.format_conversations(df))
