@@ -29,11 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, frees, materialize, raw_texts, text_parts
 from .ngram_join import _mix, _word_codes
 
 #: Order of the model, factor of a backoff, least count of an n-gram that is kept.
@@ -43,11 +42,11 @@ HEAD, BLOOM_BITS = 1 << 17, 1 << 26
 #: Texts in which n-grams of several words are looked for that may be among the most frequent; results do not depend on them.
 LOOKED_AT = 10_000
 #: n-grams of an order that a task brings together before it sends their counts.
-GRAMS = 2_000_000
+GRAMS = 1_000_000
 #: Steps are whole numbers of this fraction, so that sums do not depend on the order of rows.
 UNIT = 1e-6
 #: Characters, and texts, worked on at once.
-CHARS, PART_TEXTS = 1_500_000, 30_000
+CHARS, PART_TEXTS = 1_000_000, 30_000
 
 
 def text_ngrams(texts: list[str | bytes | None], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -84,23 +83,23 @@ def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count(order: int, chosen=None):
     """(h, count): the distinct n-grams of as many texts as GRAMS allows; of those of several words only the chosen ones, if given."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             for own in held:
                 if own:
                     uniq, count = np.unique(np.concatenate(own), return_counts=True)
                     own.clear()
                     for k in range(0, len(uniq), 200_000):
-                        yield pd.DataFrame({"h": uniq[k : k + 200_000].view(np.int64), "count": count[k : k + 200_000].astype(np.int32)})
+                        yield pa.RecordBatch.from_arrays([pa.array(uniq[k : k + 200_000].view(np.int64)), pa.array(count[k : k + 200_000], pa.int32())], ["h", "count"])
 
-        for pdf in frames:
-            for own in _parts(pdf):
-                for n, h in enumerate(text_ngrams(list(own["text"]), order)[0]):
-                    held[n].append(h if chosen is None or not n else h[_find(chosen.value, h.view(np.int64))[1]])
-                if sum(map(len, held[0])) > GRAMS:
-                    yield from flush()
+        for part in (part for batch in batches for part in text_parts(batch, size=CHARS, rows=PART_TEXTS)):
+            for n, h in enumerate(text_ngrams(raw_texts(part), order)[0]):
+                held[n].append(h if chosen is None or not n else h[_find(chosen.value, h.view(np.int64))[1]])
+            if sum(map(len, held[0])) > GRAMS:
+                yield from flush()
         yield from flush()
 
     return run
@@ -137,7 +136,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, backoff:
     """The table (h, step, count) of the corpus, and the floor of a word in UNITs."""
     src = docs.select(F.col(text_col).alias("text")).where("text is not null")
     # dealt out first: tasks send each n-gram about once, so that adding up before would only take memory
-    counts = src.mapInPandas(_count(order), "h long, count int").repartition("h").groupBy("h").agg(F.sum("count").alias("count"))
+    counts = src.mapInArrow(_count(order), "h long, count int").repartition("h").groupBy("h").agg(F.sum("count").alias("count"))
     counts = counts.where(F.col("count") >= min_count).withColumn("n", F.pmod("h", F.lit(8)).cast("int"))
     counts = materialize(counts, "ngrams")
     total = max(1, counts.where("n = 1").agg(F.sum("count")).first()[0] or 0)
@@ -276,16 +275,17 @@ def _deal(order: int, log_total: int, head, buckets: int):
     def lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
+    @frees
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         keys, logs = head.value
         batch = TaskContext.get().partitionId() << 32
         for frame in frames:
-            for own in _arrow_parts(frame):
+            for own in text_parts(frame, size=CHARS, rows=PART_TEXTS):
                 batch += 1
                 n_texts = own.num_rows
-                hashes, docs, n_words = text_ngrams(own["text"].cast(pa.binary()).to_pylist(), order)
+                hashes, docs, n_words = text_ngrams(raw_texts(own), order)
                 coef = np.concatenate(_coefficients(docs, n_words))
                 h, d = np.concatenate(hashes).view(np.int64), np.concatenate(docs)
                 at, hit = _find(keys, h)
@@ -317,27 +317,16 @@ def _deal(order: int, log_total: int, head, buckets: int):
 _NAMES, _TYPES = ["bucket", "batch", "h", "place", "times", "coef"], [pa.int64(), pa.int16(), pa.int32(), pa.int64()]
 
 
-def _arrow_parts(frame: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows in parts of about CHARS bytes and PART_TEXTS texts at most."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(frame["text"]), 0).to_numpy(zero_copy_only=False)) if frame.num_rows else np.empty(0)
-    at = 0
-    while at < frame.num_rows:
-        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right"))
-        end = min(max(end, at + 1), at + PART_TEXTS)
-        yield frame.slice(at, end - at)
-        at = end
-
-
 def score_corpus(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
     """What ``score`` gives with a model of all n-grams of ``docs`` themselves: one row for each row of ``docs``."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = src.select("text").where("text is not null")
-    some = texts.sample(min(1.0, LOOKED_AT / max(1, docs.count())), 1).mapInPandas(_count(order), "h long, count int").where(F.pmod("h", F.lit(8)) > 1)
+    some = texts.sample(min(1.0, LOOKED_AT / max(1, docs.count())), 1).mapInArrow(_count(order), "h long, count int").where(F.pmod("h", F.lit(8)) > 1)
     some = materialize(some.groupBy("h").agg(F.sum("count").alias("count")).where("count > 1"), "tried")
     chosen = spark.sparkContext.broadcast(_most_frequent(some, "count")[0])
     discard(some)
-    counts = texts.mapInPandas(_count(order, chosen), "h long, count int").groupBy("h").agg(F.sum("count").alias("count"))
+    counts = texts.mapInArrow(_count(order, chosen), "h long, count int").groupBy("h").agg(F.sum("count").alias("count"))
     counts = materialize(counts, "ngrams")
     total = max(1, counts.where(F.pmod("h", F.lit(8)) == 1).agg(F.sum("count")).first()[0] or 0)
     log = F.round(F.log(F.col("count").cast("double")) / UNIT).cast("long")
