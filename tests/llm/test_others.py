@@ -44,10 +44,10 @@ def found(df, factor=1.0):
     return got
 
 
-@pytest.mark.parametrize("limits", [None, (60, 50, 7)])
+@pytest.mark.parametrize("limits", [None, (60, 50, 7, 8)])
 def test_exact_search(spark, monkeypatch, limits):
     if limits:
-        for name, v in zip(("CELL_ROWS", "SHARD_ROWS", "QUERY_ROWS"), limits):
+        for name, v in zip(("CELL_ROWS", "SHARD_ROWS", "QUERY_ROWS", "LEAF"), limits):
             monkeypatch.setattr(vptree, name, v)
     df = vectors(spark)
     assert found(df) == brute(df.collect(), 20)
@@ -55,7 +55,8 @@ def test_exact_search(spark, monkeypatch, limits):
 
 @pytest.mark.parametrize("shard", [40_000, 5])
 def test_shards_of_fewer_points_than_are_asked_for(spark, monkeypatch, shard):
-    monkeypatch.setattr(vptree, "CELL_ROWS", 16), monkeypatch.setattr(vptree, "SHARD_ROWS", shard)
+    for name, v in (("CELL_ROWS", 16), ("SHARD_ROWS", shard), ("LEAF", 4)):
+        monkeypatch.setattr(vptree, name, v)
     rng = np.random.RandomState(5)
     centres = rng.normal(size=(32, 8))
     x = np.repeat(centres, 16, axis=0) + rng.normal(size=(512, 8)) * 0.01

@@ -30,20 +30,20 @@ from .common import frees, materialize
 CELL_ROWS, SAMPLED, SAMPLE, SAMPLE_NUMBERS = 4_000, 16, 8_192, 8_000_000
 #: Most vectors of a shard, and queries that are searched at once.
 SHARD_ROWS, QUERY_ROWS = 40_000, 4_000
-#: Vectors of a leaf.
-LEAF = 48
+#: Vectors of a leaf: fewer make more steps, each of which costs more than the distances that it saves.
+LEAF = 256
 
 
 class Tree:
-    """A vantage-point tree over the rows of ``x``; ``depth`` bounds it, else leaves hold LEAF rows at most."""
+    """A vantage-point tree over the rows of ``x``; ``depth`` bounds it, else leaves hold ``leaf`` rows at most."""
 
-    def __init__(self, x: np.ndarray, depth: int | None = None, seed: int = 7):
-        self.x, self.random = x, np.random.RandomState(seed)
+    def __init__(self, x: np.ndarray, depth: int | None = None, seed: int = 7, leaf: int = LEAF):
+        self.x, self.random, self.leaf = x, np.random.RandomState(seed), leaf
         self.n_leaves = 0
         self.root = self._grow(np.arange(len(x)), depth)
 
     def _grow(self, rows: np.ndarray, depth: int | None):
-        if depth == 0 or (depth is None and len(rows) <= LEAF) or len(rows) < 2:
+        if depth == 0 or (depth is None and len(rows) <= self.leaf) or len(rows) < 2:
             self.n_leaves += 1
             return ("leaf", self.n_leaves - 1, rows)
         some = rows[self.random.randint(0, len(rows), min(8, len(rows)))]
@@ -54,7 +54,7 @@ class Tree:
         mid = float(np.median(d))
         inside = d < mid
         if not inside.any() or inside.all():  # many equal distances
-            if depth is None and len(rows) > LEAF:
+            if depth is None and len(rows) > self.leaf:
                 half = len(rows) // 2
                 by = np.argsort(d, kind="stable")
                 near, far = rows[by[:half]], rows[by[half:]]
@@ -141,7 +141,7 @@ def _vectors(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _searched(k: int, factor: float, most: float):
+def _searched(k: int, factor: float, most: float, leaf: int, at_once: int):
     """(query, limit, point, score) of the k nearest points of a shard, for rows sorted by shard, points (kind 0) before queries.
 
     limit is the distance within which the k nearest lie: infinite where the shard has fewer.
@@ -173,9 +173,9 @@ def _searched(k: int, factor: float, most: float):
                         points, raw = np.concatenate(ids), np.concatenate(vectors)
                         by = np.argsort(points)
                         points, raw = points[by], raw[by]
-                        tree = Tree(_lift(raw, most))
-                    for c in range(a, b, QUERY_ROWS):
-                        e = min(b, c + QUERY_ROWS)
+                        tree = Tree(_lift(raw, most), leaf=leaf)
+                    for c in range(a, b, at_once):
+                        e = min(b, c + at_once)
                         yield found(tree, points, raw, own[c:e], limit[c:e], x[c:e])
 
     return run
@@ -246,7 +246,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, i
         asking = asking.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = spread.unionByName(asking.select("cell", "part", F.lit(1).alias("kind"), F.col("query").alias("id"), "limit", "vector"))
         rows = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
-        return rows.mapInArrow(_searched(k + 1, factor, most), "query long, limit double, point long, score double")
+        return rows.mapInArrow(_searched(k + 1, factor, most, LEAF, QUERY_ROWS), "query long, limit double, point long, score double")
 
     first = materialize(search(home.select("query", "vector", F.col("home").alias("cell"), F.lit(float("inf")).alias("limit"))), "near")
     reach = first.groupBy("query").agg(F.min("limit").alias("limit"))
