@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat, html_tree, licenses, mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup, vptree
+from . import backoff_lm, chat, html_tree, licenses, mixing, ngram_join, quality, sentencepiece_codec, spelling, suffix_dedup, vptree
 from .common import table
 from .oracle import ORACLE
 
@@ -66,6 +66,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_vptree": op2_vptree,
@@ -77,11 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_html_tree": op9_html_tree,
     "op10_chat": op10_chat,
+    "op11_spelling": op11_spelling,
 }
 
 
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
