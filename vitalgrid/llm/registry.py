@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat, html_tree, licenses, maxscore, mixing, ngram_join, quality, sentencepiece_codec, spelling, suffix_dedup, vptree
+from . import backoff_lm, chat, collocations, html_tree, licenses, maxscore, mixing, ngram_join, quality, sentencepiece_codec, spelling, suffix_dedup, vptree
 from .common import table
 from .oracle import ORACLE
 
@@ -74,6 +74,10 @@ def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_vptree": op2_vptree,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
     "op11_spelling": op11_spelling,
     "op12_maxscore": op12_maxscore,
+    "op13_collocations": op13_collocations,
 }
 
 
