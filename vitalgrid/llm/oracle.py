@@ -37,4 +37,34 @@ e AS (SELECT *, regexp_matches(text, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(3 + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4 ELSE 14 + length(role) END + length(text) + CASE WHEN odd THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars FROM e GROUP BY 1"""
 
-ORACLE = {"op4_quality": OP4, "op6_ngram_join": OP6, "op8_mixing": OP8, "op10_chat": OP10}
+OP11 = r"""WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS x FROM documents)),
+u AS (SELECT d, w, count(*) AS n, hex(encode(d || ':' || w)) AS raw FROM r WHERE length(w) >= 7 GROUP BY 1, 2),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(raw), 2), lambda j: CAST(CAST('0x' || raw[j:j + 1] AS INTEGER) AS BIGINT))), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) AS h FROM u, t),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+e AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+o AS (SELECT e.word AS a, v.word AS b FROM e JOIN v ON e.cut = v.word),
+p AS (SELECT a, b FROM o UNION SELECT b, a FROM o UNION SELECT x.word, y.word FROM e x JOIN e y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word),
+q AS (SELECT p.a AS word, count(*) AS n_near, max(v.n) AS most, min(struct_pack(less := -v.n, near := p.b)) AS best FROM p JOIN v ON v.word = p.b GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN best.near END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n FROM v LEFT JOIN q USING (word)),
+g AS (SELECT word, word AS last, 0 AS step FROM f UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON f.word = g.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(last, step) AS root FROM g GROUP BY 1) k ON k.word = f.word"""
+
+OP12 = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10"""
+
+OP13 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) r(k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1),
+u AS (SELECT lang, k, phrase, a, cut, array_to_string(s[1:cut], ' ') AS x, array_to_string(s[cut + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+z AS (SELECT u.lang, u.phrase, u.a, min(struct_pack(score := (CAST(2000000 AS HUGEINT) * u.a) // (CAST(l.f AS HUGEINT) + r.f), cut := cut, l := l.f, r := r.f)) AS b FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.x JOIN f r ON r.lang = u.lang AND r.phrase = u.y GROUP BY 1, 2, 3),
+i AS (SELECT lang, array_to_string(s[i:j], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, k, a, s, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM c WHERE k > 2)) WHERE j - i + 1 < k GROUP BY 1, 2),
+y AS (SELECT z.lang, z.phrase, z.a, b.l AS l, b.r AS r, b.score AS score, row_number() OVER (PARTITION BY z.lang ORDER BY b.score DESC, z.a DESC, z.phrase) AS rank FROM z LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * z.a)
+SELECT y.lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM y JOIN t USING (lang) WHERE rank <= 2000"""
+
+ORACLE = {"op4_quality": OP4, "op6_ngram_join": OP6, "op8_mixing": OP8, "op10_chat": OP10, "op11_spelling": OP11, "op12_maxscore": OP12, "op13_collocations": OP13}
