@@ -1,13 +1,14 @@
 """Exact top-k search by inner product of whole numbers, with MaxScore over sharded postings.
 
-A component of a vector is a term.  A shard holds, for each term, two postings lists in order of id: the rows whose weight
-is above zero and those whose weight is below it.  For a query, the lists on the side of its own sign add to a score, by
-``|q| * most`` at the most, and are sorted by that bound; those on the other side only take away, so that their bound is zero.
+A component of a vector is a term; a shard holds the postings of each term, the rows in which its weight is not zero, in
+order of id.  A term can add no more to the score of a query than its own weight in the query times the largest (or, for a
+weight below zero, the least) weight of its list.  The terms of a query are sorted by that bound.
 
-While a shard is searched, the k-th best score so far divides the lists: the last ones, whose bounds together do not
-exceed it, are non-essential, as no row that occurs in them alone can get in.  Only the essential lists are traversed, a
-window of ids at a time; the rows found there are looked up in the others, largest bound first and the taking lists last,
-and are dropped as soon as what they have and what is left to add do not exceed the k-th best score.
+While a shard is searched, the k-th best score so far divides them: the last ones, whose bounds together do not exceed it (by
+choice, ``SPARE`` of it), are non-essential, as no row that occurs in them alone can get in.  Only the essential postings are
+traversed, a window of ids at a time; the rows found there are looked up in the others, largest bound first, and are dropped
+as soon as what they have and what is left to add do not exceed the k-th best score.  Postings that hold an eighth of all
+rows or more are kept as columns, so that those of a block of queries are traversed by one product of matrices.
 
 Rows are dealt to shards by a hash of their id, each once; the queries of a shard stream past its index.  Each shard gives
 its k best rows of a query, and the best of all shards are the answer.
@@ -29,101 +30,118 @@ from pyspark.sql import functions as F
 
 from .common import discard, frees, materialize
 
-#: Weights that a shard holds, rows of a window, and queries that are searched between two outputs.
-SHARD_WEIGHTS, WINDOW, QUERY_ROWS = 2_000_000, 16_384, 512
+#: Weights that a shard holds, rows of a window, queries of a block, and the share of the k-th best score that non-essential bounds may reach.
+SHARD_WEIGHTS, WINDOW, QUERY_ROWS, SPARE = 2_000_000, 8_192, 128, 0.5
 
 
 class Postings:
-    """Postings lists of some rows, by term and sign, with the largest weight of each list in absolute terms."""
+    """Postings of some rows by term, with the largest and least weight of each list."""
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, values: np.ndarray, window: int = WINDOW):
         self.ids, self.window = ids, window
         size = np.diff(offsets)
         row = np.repeat(np.arange(len(ids)), size)
         term = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], size)
-        self.most = int(max(values.max(initial=0), -int(values.min(initial=0))))
+        some = np.flatnonzero(values)
+        some = some[np.argsort(term[some], kind="stable")]  # within a term by row
+        term, row, values = term[some], row[some], values[some]
+        self.terms, start = np.unique(term, return_index=True)
+        ends = np.append(start, len(term))
+        if len(term):
+            self.high, self.low = np.maximum.reduceat(values, start), np.minimum.reduceat(values, start)
+        else:
+            self.high = self.low = np.empty(0, np.int64)
+        self.most = int(max(self.high.max(initial=0), -int(self.low.min(initial=0))))
+        dense = np.diff(ends) * 8 >= len(ids)
+        self.column = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.columns = np.zeros((int(dense.sum()), len(ids)), np.float64 if self.most < 2**53 else object)
         edges = np.arange(0, len(ids) + window, window)
-        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
-        order = np.argsort(term, kind="stable")  # within a term by row
-        term, row, values = term[order], row[order], values[order]
-        ends = np.searchsorted(term, np.arange(int(term.max(initial=-1)) + 2))
-        for t in range(len(ends) - 1):
-            own, r = values[ends[t] : ends[t + 1]], row[ends[t] : ends[t + 1]]
-            for sign in (1, -1):
-                at = np.flatnonzero(own * sign > 0)
-                if len(at):
-                    w = own[at]
-                    self.lists[t, sign] = (r[at], w, np.searchsorted(r[at], edges), int(max(w.max(), -int(w.min()))))
-
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows."""
-        wide = self.most * int(np.abs(q.astype(object)).max(initial=0)) * max(1, len(q)) >= 2**62
-        kind = object if wide else np.int64
-        adds, takes = [], []
-        for t in np.flatnonzero(q).tolist():
-            x = int(q[t])
-            sign = 1 if x > 0 else -1
-            if (t, sign) in self.lists:
-                adds.append((abs(x) * self.lists[t, sign][3], x, self.lists[t, sign]))
-            if (t, -sign) in self.lists:
-                takes.append((abs(x) * self.lists[t, -sign][3], x, self.lists[t, -sign]))
-        adds.sort(key=lambda a: -a[0])
-        takes.sort(key=lambda a: -a[0])
-        left = [0]  # left[i]: the most that the last i adding lists add
-        for bound, _, _ in reversed(adds):
-            left.append(left[-1] + bound)
-        best_row, best = np.empty(0, np.int64), np.empty(0, kind)
-        own = int(np.searchsorted(self.ids, query_id))
-        own = own if own < len(self.ids) and self.ids[own] == query_id else -1
-
+        self.lists: list[tuple] = []
+        for t in range(len(self.terms)):
+            r, w = row[ends[t] : ends[t + 1]], values[ends[t] : ends[t + 1]]
+            if dense[t]:
+                self.columns[self.column[t], r] = w
+            self.lists.append(() if dense[t] else (r, w, np.searchsorted(r, edges)))
+
+    def search(self, query_ids: np.ndarray, queries: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best rows of each query."""
+        largest = max((int(np.abs(q.astype(object)).max(initial=0)) for q in queries), default=0)
+        kind = np.float64 if self.most * largest * max(1, len(self.terms)) < 2**53 else object  # exact either way
+        columns = self.columns.astype(kind)
+        plans = [self._plan(q, kind) for q in queries]
+        own = [int(np.searchsorted(self.ids, i)) for i in query_ids]
+        own = [at if at < len(self.ids) and self.ids[at] == i else -1 for at, i in zip(own, query_ids)]
+        best = [(np.empty(0, np.int64), np.empty(0, kind)) for _ in queries]
         for n, lo in enumerate(range(0, len(self.ids), self.window)):
-            rows = min(self.window, len(self.ids) - lo)
-            limit = best[-1] if len(best) == k else None
-            score, seen = np.zeros(rows, kind), np.zeros(rows, bool)
-            spare = 0  # non-essential lists
-            if limit is None or limit < 0:
-                seen[:] = True  # a row that occurs in no list has a score of zero
+            rows = slice(lo, min(lo + self.window, len(self.ids)))
+            limits = [b[1][-1] if len(b[1]) == k else None for b in best]
+            essential = [self._essential(plan[2], limit) for plan, limit in zip(plans, limits)]
+            weight = np.zeros((len(queries), len(columns)), kind)
+            for i, (at, x, _) in enumerate(plans):
+                c = self.column[at[: essential[i]]]
+                weight[i, c[c >= 0]] = x[: essential[i]][c >= 0]
+            scores = weight.dot(columns[:, rows])
+            for i in range(len(queries)):
+                best[i] = self._window(n, lo, scores[i], plans[i], essential[i], limits[i], own[i], best[i], k, columns, kind)
+        whole = lambda b: np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in b], np.int64)
+        return [(self.ids[r], whole(b)) for r, b in best]
+
+    def _plan(self, q: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray, list]:
+        """Terms of a query by falling bound, its weights, and what the terms from each one on can add."""
+        at = np.flatnonzero(self.terms < len(q))
+        x = q[self.terms[at]].astype(object)
+        at, x = at[x != 0], x[x != 0]
+        bound = np.array([max(0, int(w * (self.high[t] if w > 0 else self.low[t]))) for t, w in zip(at.tolist(), x)], object)
+        order = np.array(sorted(range(len(at)), key=lambda i: -bound[i]), np.int64)
+        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0) if len(at) else np.array([0], object)
+        return at[order], x[order].astype(kind), left.tolist()
+
+    @staticmethod
+    def _essential(left: list, limit) -> int:
+        """How many terms are essential: all while a row without any could still get in."""
+        n = len(left) - 1
+        if limit is not None and limit >= 0:
+            while n and left[n - 1] <= limit * SPARE:
+                n -= 1
+        return n
+
+    def _window(self, n: int, lo: int, score: np.ndarray, plan: tuple, essential: int, limit, own: int, best: tuple, k: int, columns: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
+        at, x, left = plan
+        for t, w in zip(at[:essential].tolist(), x[:essential]):
+            if self.column[t] < 0:
+                row, weight, edge = self.lists[t]
+                score[row[edge[n] : edge[n + 1]] - lo] += w * weight[edge[n] : edge[n + 1]].astype(kind)
+        if limit is None:
+            alive = np.arange(len(score))
+        else:  # a row that occurs in no essential list has a score of zero here, and left does not exceed the limit
+            alive = np.flatnonzero(score + left[essential] > limit)
+        if 0 <= own - lo < len(score):
+            alive = alive[alive != own - lo]
+        value = score[alive]
+        for j in range(essential, len(at)):
+            if not len(alive):
+                break
+            t, w = int(at[j]), x[j]
+            if self.column[t] >= 0:
+                value += w * columns[self.column[t], alive + lo]
             else:
-                while spare < len(adds) and left[spare + 1] <= limit:
-                    spare += 1
-            for _, x, (row, weight, edge, _) in adds[: len(adds) - spare]:
-                at = slice(edge[n], edge[n + 1])
-                own_rows = row[at] - lo
-                score[own_rows] += x * (weight[at].astype(object) if wide else weight[at])
-                seen[own_rows] = True
-            if 0 <= own - lo < rows:
-                seen[own - lo] = False
-            alive = np.flatnonzero(seen)
-            value = score[alive]
-
-            def competitive(more: int) -> None:
-                nonlocal alive, value
-                if limit is not None:
-                    fine = np.asarray(value + more > limit, bool)
-                    alive, value = alive[fine], value[fine]
-
-            competitive(left[spare])
-            probes = [(left[spare - 1 - i], x, own_list) for i, (_, x, own_list) in enumerate(adds[len(adds) - spare :])]
-            for more, x, (row, weight, edge, _) in probes + [(0, x, own_list) for _, x, own_list in takes]:
-                if not len(alive):
-                    break
+                row, weight, edge = self.lists[t]
                 row, weight = row[edge[n] : edge[n + 1]], weight[edge[n] : edge[n + 1]]
                 if len(row):
-                    at = np.minimum(np.searchsorted(row, alive + lo), len(row) - 1)
-                    there = row[at] == alive + lo
-                    w = weight[at[there]]
-                    value[there] += x * (w.astype(object) if wide else w)
-                competitive(more)
-            if len(alive):
-                rows_now, all_scores = np.concatenate([best_row, alive + lo]), np.concatenate([best, value])
-                order = np.lexsort((rows_now, (-all_scores).astype(np.float64) if wide else -all_scores))
-                if wide:  # floats order nearly; the rest by exact numbers
-                    order = np.array(sorted(order.tolist(), key=lambda i: (-all_scores[i], rows_now[i])), np.int64)
-                order = order[:k]
-                best_row, best = rows_now[order], all_scores[order]
-        if wide:
-            best = np.array([max(-(2**63), min(2**63 - 1, int(b))) for b in best], np.int64)
-        return self.ids[best_row], best
+                    spot = np.minimum(np.searchsorted(row, alive + lo), len(row) - 1)
+                    there = row[spot] == alive + lo
+                    value[there] += w * weight[spot[there]].astype(kind)
+            if limit is not None:
+                fine = np.asarray(value + left[j + 1] > limit, bool)
+                alive, value = alive[fine], value[fine]
+        if not len(alive):
+            return best
+        if kind is np.float64 and len(alive) > 4 * k:  # the k best, with all that tie with the last of them
+            fine = value >= np.partition(value, len(value) - k)[len(value) - k]
+            alive, value = alive[fine], value[fine]
+        rows, values = np.concatenate([best[0], alive + lo]), np.concatenate([best[1], value])
+        order = sorted(range(len(rows)), key=lambda i: (-values[i], rows[i]))[:k]
+        return rows[order], values[order]
 
 
 def _flat(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +182,11 @@ def _searched(k: int):
                 if index is None:
                     index, points = built(), []
                 for lo in range(0, len(ids), QUERY_ROWS):
-                    found = []
-                    for i in range(lo, min(lo + QUERY_ROWS, len(ids))):
-                        found.append((ids[i], *index.search(int(ids[i]), values[offsets[i] : offsets[i + 1]], k)))
-                    query = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]).astype(np.int64), pa.int64())], names=["query_id", "id", "score"])
+                    some = range(lo, min(lo + QUERY_ROWS, len(ids)))
+                    found = index.search(ids[some.start : some.stop], [values[offsets[i] : offsets[i + 1]] for i in some], k)
+                    query = np.repeat(ids[some.start : some.stop], [len(f[0]) for f in found])
+                    columns = [query, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "id", "score"])
 
     return run
 
