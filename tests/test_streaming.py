@@ -1,12 +1,16 @@
 import itertools
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from tests.test_sources import write_chunks
+from tests.test_sources import deflate, write_chunks
 from vitalgrid.operators import series as S
 from vitalgrid.operators import sessions as U
 from vitalgrid.schemas import SERVER, STREAMS
 from vitalgrid.sources import catalog as C
+from vitalgrid.sources import deepbuf as D
+from vitalgrid.sources import versions as V
 from vitalgrid.streaming import streams as T
 
 HR = STREAMS["hrSample"]
@@ -85,6 +89,103 @@ def test_chunks_are_stored_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/root/rejected").count() == 1
 
 
+def chunk(lines, start, folder):
+    """A chunk file of some lines; folders may hold a copy of the same chunk."""
+    out = folder / "deepbuf" / "v1" / "170-7"
+    out.mkdir(parents=True, exist_ok=True)
+    (out / f"{start:016}.jsonl.deflate").write_bytes(deflate(lines))
+
+
+def intake(spark, source, root, checkpoint):
+    q = T.ingest_chunks_stream(spark, f"{source}/deepbuf/v1/*/*.deflate", str(root), str(checkpoint), 5).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+
+
+def stored(spark, root):
+    manifest = C.read_manifest(spark, str(root))
+    lines = D.stored_lines(spark, str(root), manifest)
+    return sorted((r["byteStart"], r["lineNo"], r["line"]) for r in lines.collect()), manifest.count()
+
+
+def line(i):
+    return json.dumps({"ts_ms": i * 1000, "strap_ts": i, "size": 1244})
+
+
+def test_the_same_chunk_in_a_second_batch_is_stored_once(spark, tmp_path):
+    three = [line(i) for i in range(3)]
+    chunk(three, 0, tmp_path / "a")
+    intake(spark, tmp_path / "a", tmp_path / "root", tmp_path / "ck")
+    chunk(three, 0, tmp_path / "b")  # the device sends it again, from elsewhere
+    for folder in ("a", "b"):
+        intake(spark, tmp_path / folder, tmp_path / "root", tmp_path / f"ck-{folder}")
+    rows, chunks = stored(spark, tmp_path / "root")
+    assert len(rows) == 3 and chunks == 1
+
+
+def test_another_chunk_with_a_new_checkpoint_keeps_the_first(spark, tmp_path):
+    chunk([line(i) for i in range(3)], 0, tmp_path / "a")
+    chunk([line(i) for i in range(10, 14)], 500, tmp_path / "b")
+    intake(spark, tmp_path / "a", tmp_path / "root", tmp_path / "ck1")
+    intake(spark, tmp_path / "b", tmp_path / "root", tmp_path / "ck2")  # its first batch has the number of the other's
+    rows, chunks = stored(spark, tmp_path / "root")
+    assert len(rows) == 7 and chunks == 2
+
+
+def test_intake_after_a_crash_gives_the_same(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        chunk([line(10 * i + j) for j in range(i + 1)], 100 * i, tmp_path / "a")
+    files = D.read_chunk_files(spark, f"{tmp_path}/a/deepbuf/v1/*/*.deflate")
+    assert T.store_chunks(files, str(tmp_path / "whole"), 5) == (3, 0)
+    want = stored(spark, tmp_path / "whole")
+
+    def fails(*_):
+        raise RuntimeError("lost driver")
+
+    monkeypatch.setattr(T, "write_chunk_manifest", fails)  # the payload is there, the manifest is not
+    with pytest.raises(RuntimeError):
+        T.store_chunks(files, str(tmp_path / "root"), 5)
+    assert stored(spark, tmp_path / "root") == ([], 0)
+    monkeypatch.undo()
+    assert T.store_chunks(files, str(tmp_path / "root"), 6) == (3, 0)
+    assert T.store_chunks(files, str(tmp_path / "root"), 7) == (0, 3)
+    assert T.store_chunks(files.unionByName(files), str(tmp_path / "root"), 8) == (0, 6)
+    assert T.store_chunks(files.unionByName(files), str(tmp_path / "twice"), 8) == (3, 3)
+    assert stored(spark, tmp_path / "root") == stored(spark, tmp_path / "twice") == want
+
+
+def test_a_reader_sees_one_version_and_a_lost_race_raises(spark, tmp_path):
+    root, ddl = str(tmp_path), "deviceId string, ts long, bpm int, op string, version long"
+    delta = lambda rows: spark.createDataFrame(rows, ddl)
+    first = T.apply_delta(spark, root, "hrSample", delta([("d", 10, 1, "append", 0), ("d", 100_000, 2, "append", 0)]), 200_000)
+    held = T.read_table(spark, root, "hrSample")
+    T.apply_delta(spark, root, "hrSample", delta([("d", 10, 5, "append", 1), ("e", 11, 6, "append", 1)]), 200_000)
+    assert sorted((r["ts"], r["bpm"]) for r in held.collect()) == [(10, 1), (100_000, 2)]
+    assert sorted((r["ts"], r["bpm"]) for r in T.read_table(spark, root, "hrSample").collect()) == [(10, 5), (11, 6), (100_000, 2)]
+    assert T.read_table(spark, root, "hrSample", first).count() == 2
+
+    before = V.entry(spark, root)
+    T.apply_delta(spark, root, "hrSample", delta([("d", 12, 7, "append", 2)]), 200_000)
+    with pytest.raises(V.LostRace):  # a writer that has read the version before
+        V.replace_days(spark, root, "hrSample", spark.createDataFrame([("d", 12, 9)], HR), [0], before)
+    other = V.replace_days(spark, root, "battery", spark.createDataFrame([("d", 5, 1.0, 1, 1, True)], STREAMS["battery"]), [0], before)
+    assert V.entry(spark, root)["number"] == other  # another table: tried again on top
+    with pytest.raises(V.LostRace):
+        V.take(spark, f"{root}/_log", other, {})
+    assert T.read_table(spark, root, "hrSample").count() == 4
+    assert V.expire(spark, root, keep=1) > 0
+    assert T.read_table(spark, root, "hrSample").count() == 4 and V.read_days(spark, root, "battery").count() == 1
+
+
+def test_statistics_follow_every_version(spark, tmp_path):
+    root, ddl = str(tmp_path), "deviceId string, ts long, bpm int, op string, version long"
+    T.apply_delta(spark, root, "hrSample", spark.createDataFrame([("d", t, 1, "append", 0) for t in range(0, 300_000, 1000)], ddl), 400_000)
+    T.apply_delta(spark, root, "hrSample", spark.createDataFrame([("d", 86_400, 1, "replace", 1), ("e", 5, 1, "append", 1)], ddl), 400_000)
+    got = sorted(map(tuple, V.read_statistics(spark, root, "hrSample").select("deviceId", "utcDay", "rows", "firstTs", "lastTs").collect()))
+    want = V.statistics(T.read_table(spark, root, "hrSample")).select("deviceId", "utcDay", "rows", "firstTs", "lastTs")
+    assert got == sorted(map(tuple, want.collect())) and ("d", 1, 1, 86_400, 86_400) in got
+
+
 def test_deltas_in_any_order_and_twice(spark, tmp_path):
     base = spark.createDataFrame([("d", 10, 1), ("d", 20, 2), ("d", 100_000, 3)], HR)
     ddl = "deviceId string, ts long, bpm int, op string, version long"
@@ -96,9 +197,9 @@ def test_deltas_in_any_order_and_twice(spark, tmp_path):
         start = base.withColumn("op", F.lit("append")).withColumn("version", F.lit(0).cast("long"))
         for delta in (start, *order, order[0]):
             T.apply_delta(spark, root, "hrSample", delta, 200_000)
-        got = sorted((r["ts"], r["bpm"]) for r in spark.read.parquet(f"{root}/hrSample").collect())
+        got = sorted((r["ts"], r["bpm"]) for r in T.read_table(spark, root, "hrSample").collect())
         assert got == [(10, 1), (20, 7), (30, 6), (100_001, 8)]
         if k == 2:
             break
     T.repair_days(spark, root, "hrSample", spark.createDataFrame([("d", 11, 4)], HR), 300_000)
-    assert sorted(r["ts"] for r in spark.read.parquet(f"{root}/hrSample").collect()) == [11, 100_001]
+    assert sorted(r["ts"] for r in T.read_table(spark, root, "hrSample").collect()) == [11, 100_001]

@@ -14,11 +14,12 @@ BLOCK = 21_600
 
 
 def range_scan(df: DataFrame, start: int | None = None, end: int | None = None, device: str | None = None) -> DataFrame:
-    """SRC-2: rows whose ts lies in the range, ends included."""
+    """SRC-2: rows whose ts lies in the range, ends included; of tables stored by utcDay only the days of the range are opened."""
+    stored = "utcDay" in df.columns
     if start is not None:
-        df = df.where(F.col("ts") >= start)
+        df = df.where(F.col("ts") >= start).where(F.col("utcDay") >= start // 86_400 if stored else F.lit(True))
     if end is not None:
-        df = df.where(F.col("ts") <= end)
+        df = df.where(F.col("ts") <= end).where(F.col("utcDay") <= end // 86_400 if stored else F.lit(True))
     return df if device is None else df.where(F.col("deviceId") == device)
 
 

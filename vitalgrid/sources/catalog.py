@@ -1,7 +1,7 @@
 """Reading and writing the datasets: streams by name, snapshots, journal, acknowledgements, chunk manifest.
 
-A root holds ``snapshot=ID/<table>`` folders of Parquet and the append-only server datasets beside them. A table that is
-absent reads as empty, a column that is absent as null.
+A root holds tables in versions (see ``versions``) and the append-only server datasets beside them. A table that is absent
+reads as empty, a column that is absent as null.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 
 from ..functions.exprs import normalize_tz, safe_day
 from ..schemas import ALL
+from . import versions
 
 #: Fixed value: the table without which an upload is no snapshot.
 MARKER = "grdb_migrations"
@@ -27,6 +28,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_stream_table(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """SRC-1: a table of a root by name; without files it is an empty frame of its schema."""
     schema = schema or ALL.get(name)
+    if name == "ingestLog":
+        return ingest_log(spark, root)
     try:
         df = spark.read.parquet(f"{root}/{name}")
     except AnalysisException as e:
@@ -36,11 +39,29 @@ def read_stream_table(spark: SparkSession, root: str, name: str, schema: T.Struc
     return df if schema is None else conform(df, schema)
 
 
-def read_snapshot_table(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table of the latest published snapshot."""
-    last = latest_upload(read_stream_table(spark, root, "ingestLog")).first()
-    schema = schema or ALL.get(name)
-    return spark.createDataFrame([], schema) if last is None else read_stream_table(spark, f"{root}/snapshot={last['snapshot']}", name, schema)
+def ingest_log(spark: SparkSession, root: str) -> DataFrame:
+    """Uploads, from the log of the root's versions."""
+    if not versions.numbers(spark, root):
+        return spark.createDataFrame([], ALL["ingestLog"])
+    entries = spark.read.schema(T.StructType([T.StructField("upload", ALL["ingestLog"])])).json(f"{root}/_log/*.json")
+    return entries.where("upload is not null").select("upload.*")
+
+
+def read_snapshot_table(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None, snapshot: str | None = None, days: bool = False) -> DataFrame:
+    """A table of the latest published snapshot, or of the one that is named; with utcDay, by which it is stored, if asked for."""
+    at = _upload(spark, root, snapshot)
+    if at is None and snapshot is not None:
+        raise ValueError(f"no snapshot {snapshot}")
+    df = versions.read_days(spark, root, name, schema or ALL.get(name), at or {"tables": {}})
+    return df if days else df.drop("utcDay")
+
+
+def _upload(spark: SparkSession, root: str, snapshot: str | None = None) -> dict | None:
+    """The entry of the log that the last upload made, or the one of a name."""
+    if snapshot is None:
+        last = versions.entry(spark, root)["uploaded"]
+        return versions.entry(spark, root, last) if last else None
+    return next((e for e in (versions.entry(spark, root, n) for n in reversed(versions.numbers(spark, root))) if e["upload"] and e["upload"]["snapshot"] == snapshot), None)
 
 
 def latest_upload(log: DataFrame) -> DataFrame:
@@ -59,19 +80,25 @@ def latest_seq(journal: DataFrame, since: int = 0) -> DataFrame:
 
 
 def publish_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str, received_at: int, bytes_: int = 0, phone_tz: str | None = None) -> bool:
-    """SNK-1: write a whole upload beside the others and make it the latest; False, and nothing changed for readers, where the marker table is absent or empty. A published id is not written again."""
+    """SNK-1: write a whole upload as new versions of all tables, stored by day, and make it the latest.
+
+    False, and nothing changed for readers, where the marker table is absent or empty. A published id is not written again.
+    Tables that the upload lacks are gone. Of two publishers at the same time the slower one gets ``versions.LostRace``.
+    """
     if MARKER not in tables or tables[MARKER].isEmpty():
         return False
     spark = tables[MARKER].sparkSession
-    if not read_stream_table(spark, root, "ingestLog").where(F.col("snapshot") == snapshot_id).isEmpty():
+    before = versions.entry(spark, root)
+    log = ingest_log(spark, root)
+    if not log.where(F.col("snapshot") == snapshot_id).isEmpty():
         raise ValueError(f"snapshot {snapshot_id} is published")
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/snapshot={snapshot_id}/{name}")
     day = tables["dailyMetric"].agg(F.max("day").alias("d")) if "dailyMetric" in tables else tables["hrSample"].agg(safe_day(F.max("ts")).alias("d")) if "hrSample" in tables else None
     latest = day.first()["d"] if day is not None else None
-    before = read_stream_table(spark, root, "ingestLog").agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
-    row = spark.range(1).select(F.lit(before + 1).cast("long").alias("id"), F.lit(received_at).cast("long").alias("receivedAt"), F.lit(bytes_).cast("long").alias("bytes"), F.lit(latest).cast("string").alias("latestDay"), normalize_tz(F.lit(phone_tz).cast("string")).alias("phoneTz"), F.lit(snapshot_id).alias("snapshot"))
-    row.write.mode("append").parquet(f"{root}/ingestLog")  # last: readers see the snapshot only now
+    zone = spark.range(1).select(normalize_tz(F.lit(phone_tz).cast("string"))).first()[0]
+    changes = {name: versions.write_days(conform(df, ALL[name]) if name in ALL else df, root, name) for name, df in tables.items()}
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
+    upload = {"id": last + 1, "receivedAt": received_at, "bytes": bytes_, "latestDay": latest, "phoneTz": zone, "snapshot": snapshot_id}
+    versions.commit(spark, root, before | {"tables": {}}, changes, upload, alone=True)
     return True
 
 
@@ -124,12 +151,20 @@ def new_chunks(chunks: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataF
     return marked.where(fresh).drop("n", "stored"), marked.where(~fresh).drop("n", "stored")
 
 
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The chunk manifest, one row a chunk: the first that was received, should two writers have stored one at the same time."""
+    rows = read_stream_table(spark, root, "deepBufferChunk")
+    order = Window.partitionBy("generation", "byteStart").orderBy("receivedAt", "byteEnd", "objectKey")
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
 def write_chunk_manifest(spark: SparkSession, root: str, chunks: DataFrame) -> tuple[int, int]:
     """SNK-4: append new chunks; returns how many were stored and how many were duplicates."""
     chunks = conform(chunks, ALL["deepBufferChunk"]).persist()
     fresh, _ = new_chunks(chunks, read_stream_table(spark, root, "deepBufferChunk"))
     fresh = fresh.persist()
     n, total = fresh.count(), chunks.count()
-    fresh.select(*[f.name for f in ALL["deepBufferChunk"].fields]).write.mode("append").parquet(f"{root}/deepBufferChunk")
+    if n:
+        fresh.select(*[f.name for f in ALL["deepBufferChunk"].fields]).coalesce(1).write.mode("append").parquet(f"{root}/deepBufferChunk")
     fresh.unpersist(), chunks.unpersist()
     return n, total - n

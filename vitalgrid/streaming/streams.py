@@ -6,19 +6,20 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from ..functions.exprs import U16
 from ..operators.series import MOST_STEP, hr_cell, imu_cell, temp_cell, temp_samples
 from ..schemas import ALL, key_of
-from ..sources.catalog import write_chunk_manifest
+from ..sources import versions
+from ..sources.catalog import read_manifest, write_chunk_manifest
 from ..sources.deepbuf import inflate_chunks, manifest_rows, read_chunk_files
 
 #: Fixed value: rows more than this many seconds after now are refused.
-FUTURE = 86_400
+FUTURE = DAY = 86_400
 
 
 def tail_journal(spark: SparkSession, root: str) -> DataFrame:
@@ -26,19 +27,40 @@ def tail_journal(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.schema(ALL["editJournal"]).parquet(f"{root}/editJournal")
 
 
+def store_chunks(batch: DataFrame, root: str, now: int) -> tuple[int, int]:
+    """ST-2: chunk files (path, content) into the payload table, and then into the manifest; returns how many were new and how many not.
+
+    The manifest is the log of what is stored. Only chunks that it lacks are written, each into the folder of its own
+    (generation, byteStart), which is replaced as a whole: a batch that comes again after a crash between both steps writes
+    the same folders again, and one that comes after the second step writes nothing. Two of one chunk in a batch are one.
+    """
+    spark = batch.sparkSession
+    key = ["generation", "byteStart"]
+    many = batch.count()
+    batch = batch.dropDuplicates(["path"]).persist()
+    inflated = inflate_chunks(batch).persist()
+    rows = manifest_rows(batch, inflated, now).persist()
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("byteEnd", "path"))
+    fine = rows.where("reject_reason is null").withColumn("n", order).where("n = 1").drop("n")
+    fresh = fine.join(read_manifest(spark, root).select(*key), key, "left_anti").persist()
+    dynamic = lambda df, by, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
+    try:
+        refused = rows.where("reject_reason is not null").select("path", "reject_reason", F.xxhash64("path").alias("id"))
+        dynamic(refused, ["id"], "rejected")
+        dynamic(inflated.where("lineNo >= 0").join(fresh.select("path", *key), "path").select("lineNo", "line", *key), key, "deepLines")
+        stored, _ = write_chunk_manifest(spark, root, fresh)
+        return stored, many - stored - refused.count()
+    finally:
+        for df in (fresh, rows, inflated, batch):
+            df.unpersist()
+
+
 def ingest_chunks_stream(spark: SparkSession, source: str, root: str, checkpoint: str, now: int) -> DataStreamWriter:
-    """ST-2: chunk files as they arrive, into the payload table first and the manifest second; a repeated chunk is stored once."""
+    """ST-2: chunk files as they arrive, each stored once, however often and in whatever batches it comes."""
     files = read_chunk_files(spark, source, stream=True)
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        inflated = inflate_chunks(batch).persist()
-        rows = manifest_rows(batch, inflated, now)
-        rows.where("reject_reason is not null").select("path", "reject_reason").write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}")
-        fine = rows.where("reject_reason is null")
-        inflated.where("lineNo >= 0").join(fine.select("path"), "path", "left_semi").select("path", "lineNo", "line").write.mode("overwrite").parquet(f"{root}/deepLines/batch={batch_id}")
-        write_chunk_manifest(batch.sparkSession, root, fine)
-        inflated.unpersist(), batch.unpersist()
+    def store(batch: DataFrame, _: int) -> None:
+        store_chunks(batch, root, now)
 
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
@@ -62,28 +84,27 @@ def merge_delta(base: DataFrame, delta: DataFrame, keys: list[str], now: int) ->
     return rows.withColumn("newest", newest).where("newest = 1").select(*names, "version", "since")
 
 
-def apply_delta(spark: SparkSession, root: str, table: str, delta: DataFrame, now: int) -> None:
-    """ST-3: merge a batch into ``root/table``, stored by UTC day; only the days that it touches are rewritten.
+def apply_delta(spark: SparkSession, root: str, table: str, delta: DataFrame, now: int) -> int:
+    """ST-3: merge a batch into a table of ``root``; only the days that it touches are written anew, beside the old ones.
 
-    The merged days are written to the session's checkpoint folder before the files they come from are replaced, so that
-    a lost executor costs nothing; without such a folder nothing is done.
+    Readers see the table before the batch or after it. Returns the number of the new version, or that of the last one where
+    the batch holds nothing; ``versions.LostRace`` where another writer has changed the table meanwhile.
     """
-    if spark.sparkContext.getCheckpointDir() is None:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{root}/{table}"
-    schema = ALL[table]
-    names = [*[f.name for f in schema.fields], "version", "since"]
-    days = [r[0] for r in delta.where(F.col("ts") <= now + FUTURE).select(F.floor(F.col("ts") / 86_400).cast("long")).distinct().collect()]  # days of one batch
+    before = versions.entry(spark, root)
+    fields = [*ALL[table].fields, T.StructField("version", T.LongType()), T.StructField("since", T.LongType())]
+    delta = delta.select(*[f.name for f in ALL[table].fields], "op", "version")
+    days = [r[0] for r in delta.where(F.col("ts") <= now + FUTURE).select(F.floor(F.col("ts") / DAY).cast("long")).distinct().collect()]  # days of one batch
     if not days:
-        return
-    try:
-        base = spark.read.parquet(path).where(F.col("utcDay").isin(days)).select(*names)
-    except AnalysisException:
-        base = spark.createDataFrame([], schema)
-    delta = delta.select(*[f.name for f in schema.fields], "op", "version")
-    merged = merge_delta(base, delta, key_of(table), now).withColumn("utcDay", F.floor(F.col("ts") / 86_400).cast("long"))
-    merged = merged.checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("utcDay").parquet(path)
+        return before["number"]
+    wanted = set(days)
+    base = versions.read_days(spark, root, table, T.StructType(fields), before, lambda d: d in wanted).drop("utcDay")
+    return versions.replace_days(spark, root, table, merge_delta(base, delta, key_of(table), now), days, before)
+
+
+def read_table(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
+    """A table that deltas are merged into, with utcDay, version and since: as it is now, or as it was at a version."""
+    fields = [*ALL[table].fields, T.StructField("version", T.LongType()), T.StructField("since", T.LongType())]
+    return versions.read_days(spark, root, table, T.StructType(fields), versions.entry(spark, root, version))
 
 
 def delta_stream(spark: SparkSession, source: DataFrame, root: str, table: str, checkpoint: str, now: int) -> DataStreamWriter:
