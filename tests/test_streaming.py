@@ -1,5 +1,6 @@
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,25 +53,59 @@ def test_imu_and_temperature_buckets_equal_the_batch(spark, tmp_path):
         assert sorted(map(tuple, out.where("deviceId = 'd'").select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_sessions_equal_the_batch(spark, tmp_path):
-    rows = [("d", t, 1) for t in (0, 60, 121, 181, 400)]
-    put(spark, rows, HR, tmp_path / "in")
-    put(spark, [("z", FAR, 1)], HR, tmp_path / "in")
-    df = lambda: T.session_stream(spark.readStream.schema(HR).parquet(str(tmp_path / "in")), 60, "1 seconds")
-    run(df(), spark, tmp_path, "sessions")
-    put(spark, [("z", FAR + 10, 1)], HR, tmp_path / "in")
-    out = run(df(), spark, tmp_path, "sessions").where("deviceId = 'd'")
-    want = U.gap_sessions_points(spark.createDataFrame(rows, HR), 60).groupBy("session").agg(F.min("ts"), F.max("ts"), F.count("*"))
-    assert sorted((r["startTs"], r["endTs"], r["seconds"]) for r in out.collect()) == sorted(tuple(r)[1:] for r in want.collect()) == [(0, 60, 2), (121, 181, 2), (400, 400, 1)]
+def in_batches(spark, tmp_path, name, rows, schema, stream, late, parts=4, seed=3):
+    """The output of a stream over rows that come shuffled, in several batches, and then one far ahead."""
+    rnd = random.Random(seed)
+    own = sorted(rows, key=lambda r: r[1] + rnd.uniform(0, late * 0.9))  # late, but never too late
+    step = -(-len(own) // parts)
+    for i in range(parts + 2):
+        some = own[i * step : (i + 1) * step] if i < parts else [("z", FAR + i * 10**6, *rows[0][2:])]
+        rnd.shuffle(some)
+        put(spark, some, schema, tmp_path / name)
+        out = run(stream(spark.readStream.schema(schema).parquet(str(tmp_path / name))), spark, tmp_path, name)
+    return out.where("deviceId <> 'z'")
+
+
+def test_sessions_with_holes_equal_the_batch(spark, tmp_path):
+    schema = "deviceId string, ts long, cadenceHz double, accelEnergyG double"
+    rnd = random.Random(1)
+    rows = [(d, t, rnd.choice([None, 1.5]), rnd.choice([None, -1.0, 0.25, 0.5])) for d in "de" for t in sorted(rnd.sample(range(0, 4000), 220))]
+    rows += [(d, 9000 + t, None, None) for d in "de" for t in range(5)]
+    out = in_batches(spark, tmp_path, "sessions", rows, schema, lambda r: T.session_stream(r, 30, "500 seconds"), 500)
+    want = U.imu_coverage(spark.createDataFrame(rows, schema), 30)
+    assert sorted(map(tuple, out.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert want.where("gaps > 0").count() > 5 and want.where("coverage = 1").count() > 0
 
 
-def test_counter_is_carried_between_batches(spark, tmp_path):
+def test_shuffled_counters_equal_the_batch(spark, tmp_path):
     schema = "deviceId string, ts long, counter int"
-    df = lambda: T.counter_delta_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    put(spark, [("d", 0, 65530), ("d", 1, 10)], schema, tmp_path / "in")
-    run(df(), spark, tmp_path, "counters")
-    put(spark, [("d", 2, 20000), ("d", 3, 20015)], schema, tmp_path / "in")
-    assert sorted(map(tuple, run(df(), spark, tmp_path, "counters").collect())) == [("d", 1, 16), ("d", 3, 15)]
+    rnd = random.Random(2)
+    rows = [(d, t, (k * 97 + rnd.randrange(300)) % 65536) for d in "de" for k, t in enumerate(sorted(rnd.sample(range(0, 6000), 300)))]
+    out = in_batches(spark, tmp_path, "counters", rows, schema, lambda r: T.counter_delta_stream(r, "900 seconds"), 900)
+    want = S.counter_delta(spark.createDataFrame(rows, schema)).where("delta is not null").select("deviceId", "ts", "delta")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 300
+
+
+def test_late_rows_end_in_the_same_tables_as_a_batch_run(spark, tmp_path):
+    root, late, seconds = str(tmp_path / "root"), 600, 300
+    rnd = random.Random(4)
+    rows = [(d, t, rnd.randrange(50, 90)) for d in "de" for t in sorted(rnd.sample(range(0, 200_000), 400))]
+    early, behind = [r for r in rows if r[1] % 11], [r for r in rows if r[1] % 11 == 0]
+    batches = [early[::2], early[1::2], behind[::2] + [("d", FAR, 1)], behind[1::2]]
+    source = lambda: spark.readStream.schema(HR).parquet(str(tmp_path / "in"))
+    for i, some in enumerate([*batches, [("d", FAR + 10**6, 1)]]):
+        put(spark, some, HR, tmp_path / "in")
+        one = T.bucket_stream(source(), seconds, f"{late} seconds").writeStream.foreachBatch(lambda b, _: T.put_buckets(spark, root, "hrBuckets", b)).option("checkpointLocation", str(tmp_path / "ck1"))
+        two = T.repairing_stream(spark, source(), root, "hrSample", "hrBuckets", lambda r: S.hr_series(r, seconds).drop("family"), seconds, late, str(tmp_path / "ck2"), FAR + 10**7)
+        for writer in (one, two) if i % 2 else (two, one):
+            q = writer.trigger(availableNow=True).start()
+            q.awaitTermination(120)
+            assert q.exception() is None
+    want = S.hr_series(spark.createDataFrame(rows, HR), seconds).drop("family")
+    got = V.read_days(spark, root, "hrBuckets").where(f"bucketTs < {FAR - 1000}").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    seen = spark.read.parquet(f"{root}/late/hrSample/batch=2", f"{root}/late/hrSample/batch=3").count()
+    assert 0 < seen < len(rows) and T.read_table(spark, root, "hrSample").count() == len(rows) + 2
 
 
 def test_journal_tail(spark, tmp_path):

@@ -58,12 +58,18 @@ def imu_coverage(rows: DataFrame, gap: int = 60) -> DataFrame:
         F.sum((F.col("hole") > 0).cast("long")).alias("gaps"),
         F.max("hole").alias("largestGapSeconds"),
         F.count("cadenceHz").alias("rhythmicSeconds"),
-        half_up(F.greatest(F.max("accelEnergyG"), F.lit(0.0)), 3).alias("accelEnergyPeakG"),
+        F.max("accelEnergyG").alias("peak"),
     )
+    return coverage_of(s.drop("session"))
+
+
+def coverage_of(sessions: DataFrame) -> DataFrame:
+    """What A-23 says of sessions (deviceId, startTs, endTs, seconds, gaps, largestGapSeconds, rhythmicSeconds, peak)."""
+    s = sessions.withColumn("accelEnergyPeakG", half_up(F.greatest(F.col("peak"), F.lit(0.0)), 3)).drop("peak")
     s = s.withColumn("spanSeconds", F.col("endTs") - F.col("startTs") + 1).withColumn("missingSeconds", F.col("spanSeconds") - F.col("seconds"))
     part = F.least(half_up(F.col("seconds") / F.col("spanSeconds"), 3), F.lit(0.999))
     out = s.withColumn("coverage", F.when(F.col("seconds") == F.col("spanSeconds"), F.lit(1.0)).otherwise(part))
-    return out.drop("session").withColumn("family", source_family(F.col("deviceId"))).withColumn("start", iso(F.col("startTs"))).withColumn("end", iso(F.col("endTs")))
+    return out.withColumn("family", source_family(F.col("deviceId"))).withColumn("start", iso(F.col("startTs"))).withColumn("end", iso(F.col("endTs")))
 
 
 def imu_coverage_totals(rows: DataFrame, gap: int = 60) -> DataFrame:

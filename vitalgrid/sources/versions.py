@@ -45,19 +45,19 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def names(spark: SparkSession, folder: str) -> list[str]:
     p, fs = _path(spark, folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _put(spark: SparkSession, path: str, value: Any) -> None:
+def put(spark: SparkSession, path: str, value: Any) -> None:
     p, fs = _path(spark, path)
     out = fs.create(p, True)
     out.write(json.dumps(value).encode())
     out.close()
 
 
-def _get(spark: SparkSession, path: str) -> Any:
+def get(spark: SparkSession, path: str) -> Any:
     p, fs = _path(spark, path)
     stream = fs.open(p)
     text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -73,7 +73,7 @@ def delete(spark: SparkSession, path: str) -> None:
 def take(spark: SparkSession, folder: str, number: int, entry: Any) -> None:
     """Write entry ``number`` of a log, whole or not at all; ``LostRace`` where it is taken."""
     own, name = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{number:020d}.json"
-    _put(spark, own, entry)
+    put(spark, own, entry)
     if urlparse(folder).scheme in ("", "file"):
         try:  # a link is made by one only
             os.link(urlparse(own).path, urlparse(name).path)
@@ -98,7 +98,7 @@ def take(spark: SparkSession, folder: str, number: int, entry: Any) -> None:
 
 
 def numbers(spark: SparkSession, root: str) -> list[int]:
-    return [int(n[:20]) for n in _names(spark, f"{root}/_log") if n.endswith(".json") and not n.startswith(".")]
+    return [int(n[:20]) for n in names(spark, f"{root}/_log") if n.endswith(".json") and not n.startswith(".")]
 
 
 def entry(spark: SparkSession, root: str, number: int | None = None) -> dict:
@@ -106,13 +106,13 @@ def entry(spark: SparkSession, root: str, number: int | None = None) -> dict:
     there = numbers(spark, root)
     if number is None:
         number = there[-1] if there else 0
-    return {"number": 0, "tables": {}, "upload": None, "uploaded": 0} if not number else _get(spark, f"{root}/_log/{number:020d}.json")
+    return {"number": 0, "tables": {}, "upload": None, "uploaded": 0} if not number else get(spark, f"{root}/_log/{number:020d}.json")
 
 
 def pointers(spark: SparkSession, root: str, table: str, at: dict) -> dict[str, str]:
     """Folder of each day of a table."""
     own = at["tables"].get(table)
-    return _get(spark, f"{root}/{table}/pointers/{own}.json") if own else {}
+    return get(spark, f"{root}/{table}/pointers/{own}.json") if own else {}
 
 
 def commit(spark: SparkSession, root: str, before: dict, changes: dict[str, dict[str, str]], upload: dict | None = None, alone: bool = False) -> int:
@@ -123,7 +123,7 @@ def commit(spark: SparkSession, root: str, before: dict, changes: dict[str, dict
     named = {}
     for table, own in changes.items():
         named[table] = uuid.uuid4().hex
-        _put(spark, f"{root}/{table}/pointers/{named[table]}.json", own)
+        put(spark, f"{root}/{table}/pointers/{named[table]}.json", own)
     last = before
     for _ in range(TRIES):
         number = last["number"] + 1
@@ -141,11 +141,11 @@ def commit(spark: SparkSession, root: str, before: dict, changes: dict[str, dict
 
 
 def time_column(df: DataFrame) -> str | None:
-    return next((c for c in ("ts", "startTs", "day") if c in df.columns), None)
+    return next((c for c in ("ts", "startTs", "bucketTs", "day") if c in df.columns), None)
 
 
 def day_number(df: DataFrame) -> Column:
-    """UTC day of a row, counted from 1970, by its ts, startTs or day."""
+    """UTC day of a row, counted from 1970, by its ts, startTs, bucketTs or day."""
     name = time_column(df)
     day = F.lit(None).cast("long") if name is None else F.unix_date(F.try_to_date("day")).cast("long") if name == "day" else F.floor(F.col(name) / DAY).cast("long")
     return F.coalesce(day, F.lit(NO_DAY).cast("long"))
@@ -157,10 +157,10 @@ def write_days(df: DataFrame, root: str, table: str) -> dict[str, str]:
     Rows are parted by ranges of (day, device, time), so that a day with many rows is shared by several tasks.
     """
     spark, v = df.sparkSession, uuid.uuid4().hex
-    order = ["utcDay", *[c for c in ("deviceId", "ts", "startTs") if c in df.columns]]
+    order = ["utcDay", *[c for c in ("deviceId", "ts", "startTs", "bucketTs") if c in df.columns]]
     rows = df.withColumn("utcDay", day_number(df))
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("utcDay").parquet(f"{root}/{table}/data/v={v}")
-    days = {n.split("=")[1]: v for n in _names(spark, f"{root}/{table}/data/v={v}") if n.startswith("utcDay=")}
+    days = {n.split("=")[1]: v for n in names(spark, f"{root}/{table}/data/v={v}") if n.startswith("utcDay=")}
     if days:
         written = spark.read.schema(rows.schema).parquet(f"{root}/{table}/data/v={v}")
         statistics(written).coalesce(1).write.partitionBy("utcDay").parquet(f"{root}/{table}/stats/v={v}")
@@ -170,7 +170,7 @@ def write_days(df: DataFrame, root: str, table: str) -> dict[str, str]:
 def statistics(rows: DataFrame) -> DataFrame:
     """Rows and extent by day and device of rows with utcDay."""
     name = time_column(rows)
-    ts = F.col(name) if name in ("ts", "startTs") else F.lit(None).cast("long")
+    ts = F.col(name) if name not in (None, "day") else F.lit(None).cast("long")
     device = F.col("deviceId") if "deviceId" in rows.columns else F.lit(None).cast("string")
     day = F.max("day") if "day" in rows.columns else F.lit(None).cast("string")
     return rows.groupBy(device.alias("deviceId"), "utcDay").agg(F.count("*").alias("rows"), F.min(ts).alias("firstTs"), F.max(ts).alias("lastTs"), day.alias("lastDay"))
@@ -233,18 +233,18 @@ def expire(spark: SparkSession, root: str, keep: int = 10) -> int:
     To be run while nobody writes, as folders that are not committed yet are named by nothing.
     """
     there = numbers(spark, root)
-    kept = [_get(spark, f"{root}/_log/{n:020d}.json") for n in there[-keep:]]
+    kept = [get(spark, f"{root}/_log/{n:020d}.json") for n in there[-keep:]]
     for n in there[:-keep]:
         delete(spark, f"{root}/_log/{n:020d}.json")
     gone = 0
     for table in {t for e in kept for t in e["tables"]}:
         named = {e["tables"][table] for e in kept if table in e["tables"]}
-        live = {v for n in named for v in _get(spark, f"{root}/{table}/pointers/{n}.json").values()}
-        for n in _names(spark, f"{root}/{table}/pointers"):
+        live = {v for n in named for v in get(spark, f"{root}/{table}/pointers/{n}.json").values()}
+        for n in names(spark, f"{root}/{table}/pointers"):
             if n.removesuffix(".json") not in named:
                 delete(spark, f"{root}/{table}/pointers/{n}")
         for part in ("data", "stats"):
-            for n in _names(spark, f"{root}/{table}/{part}"):
+            for n in names(spark, f"{root}/{table}/{part}"):
                 if n.startswith("v=") and n[2:] not in live:
                     delete(spark, f"{root}/{table}/{part}/{n}")
                     gone += part == "data"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from ..functions.exprs import U16
 from ..operators.series import MOST_STEP, hr_cell, imu_cell, temp_cell, temp_samples
+from ..operators.sessions import coverage_of
 from ..schemas import ALL, key_of
 from ..sources import versions
 from ..sources.catalog import read_manifest, write_chunk_manifest
@@ -134,41 +135,190 @@ def temp_bucket_stream(rows: DataFrame, devices: DataFrame, seconds: int, late:
     return _buckets(temp_samples(rows, devices), seconds, late, temp_cell())
 
 
-def session_stream(rows: DataFrame, gap: int, late: str) -> DataFrame:
-    """ST-5: capture sessions by device; neighbours as far apart as ``gap`` still belong together."""
-    timed = rows.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
-    s = timed.groupBy("deviceId", F.session_window("at", f"{gap} seconds")).agg(F.min("ts").alias("startTs"), F.max("ts").alias("endTs"), F.count("*").alias("seconds"))
-    return s.select("deviceId", "startTs", "endTs", "seconds")
+class InOrder(StatefulProcessor):
+    """Holds the rows of a device back until the watermark has passed them, and hands them on in order of time.
 
+    What is held is what came within the lateness that the watermark allows. A timer fires when the watermark passes the
+    first row that is held.
+    """
 
-class CounterProcessor(StatefulProcessor):
-    """Keeps each device's last counter between batches."""
+    #: Columns of rows and of what is carried from row to row.
+    ROWS, CARRIED = "ts long, counter int", "ts long, counter int"
 
     def init(self, handle: Any) -> None:
-        self.last = handle.getValueState("last", "ts long, counter int")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "counter"])
-        before = self.last.get() if self.last.exists() else None
-        if before is not None:  # rows at or before the last one came too late for this form; see ST-7
-            pdf = pdf[pdf["ts"] > before[0]]
-        if not len(pdf):
-            return
-        previous = pdf["counter"].shift(1)
-        if before is not None:
-            previous.iloc[0] = before[1]
-        step = (pdf["counter"] - previous) % U16
-        keep = step.between(1, MOST_STEP)
-        self.last.update((int(pdf["ts"].iloc[-1]), int(pdf["counter"].iloc[-1])))
-        yield pd.DataFrame({"deviceId": key[0], "ts": pdf["ts"][keep], "delta": step[keep].astype(int)})
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.ROWS)
+        self.carried = handle.getValueState("carried", self.CARRIED)
+        self.names = [c.split()[0] for c in self.ROWS.split(", ")]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            held = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in pdf[self.names].astype(object).itertuples(index=False)]
+            if held:
+                self.rows.appendList(held)
+                low = min(r[0] for r in held)
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first * 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        due, rest = sorted((r for r in held if r[0] * 1000 < mark), key=self.order), [r for r in held if r[0] * 1000 >= mark]
+        if due:
+            if rest:
+                self.rows.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest) * 1000 + 1)
+            else:
+                self.rows.clear()
+        yield from self.released(key, due, mark)
+
+    @staticmethod
+    def order(row: tuple) -> tuple:
+        return tuple((v is not None, v) for v in row)
+
+    def released(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-def counter_delta_stream(rows: DataFrame) -> DataFrame:
-    """ST-6: counter steps with the last counter carried over; needs the RocksDB state store."""
-    return rows.groupBy("deviceId").transformWithStateInPandas(CounterProcessor(), "deviceId string, ts long, delta int", "Append", "None")
+class CounterProcessor(InOrder):
+    """W-1 over rows in order: the last counter is carried."""
+
+    def released(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        last = self.carried.get() if self.carried.exists() else None
+        out = []
+        for ts, counter in rows:
+            if last is not None and 1 <= (counter - last[1]) % U16 <= MOST_STEP:
+                out.append((key[0], ts, (counter - last[1]) % U16))
+            last = (ts, counter)
+        if rows:
+            self.carried.update(last)
+        if out:
+            yield pd.DataFrame(out, columns=["deviceId", "ts", "delta"])
+
+
+class SessionProcessor(InOrder):
+    """W-6 and A-23 over rows in order: the session that is open is carried, with its holes, and is emitted once it is over."""
+
+    ROWS = "ts long, cadenceHz double, accelEnergyG double"
+    CARRIED = "startTs long, endTs long, seconds long, gaps long, largestGapSeconds long, rhythmicSeconds long, peak double"
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def released(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        own = tuple(self.carried.get()) if self.carried.exists() else None
+        over = []
+        for ts, cadence, energy in rows:
+            if own is not None and ts - own[1] > self.gap:
+                over.append(own)
+                own = None
+            hole = 0 if own is None else max(0, ts - own[1] - 1)
+            start, _, seconds, gaps, largest, rhythmic, peak = own or (ts, ts, 0, 0, 0, 0, None)
+            peak = energy if peak is None else peak if energy is None else max(peak, energy)
+            own = (start, ts, seconds + 1, gaps + (hole > 0), max(largest, hole), rhythmic + (cadence is not None), peak)
+        if own is not None and (own[1] + self.gap) * 1000 < mark:  # what is still to come is later
+            over.append(own)
+            own = None
+        if own is None:
+            self.carried.clear()
+        else:
+            self.carried.update(own)
+            self.handle.registerTimer((own[1] + self.gap) * 1000 + 1)
+        if over:
+            yield pd.DataFrame([(key[0], *o) for o in over], columns=["deviceId", *[c.split()[0] for c in self.CARRIED.split(", ")]])
+
+
+def _in_order(rows: DataFrame, processor: InOrder, schema: str, late: str) -> DataFrame:
+    timed = rows.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
+    return timed.groupBy("deviceId").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def session_stream(rows: DataFrame, gap: int, late: str) -> DataFrame:
+    """ST-5: capture sessions by device with their holes and coverage, as A-23 gives them; neighbours as far apart as ``gap`` still belong together.
+
+    ``rows`` (deviceId, ts, and cadenceHz and accelEnergyG, if there are such) may come in any order within ``late``; needs the
+    RocksDB state store.
+    """
+    for name in ("cadenceHz", "accelEnergyG"):
+        rows = rows.withColumn(name, (F.col(name) if name in rows.columns else F.lit(None)).cast("double"))
+    rows = rows.select("deviceId", F.col("ts").cast("long").alias("ts"), "cadenceHz", "accelEnergyG")
+    return coverage_of(_in_order(rows, SessionProcessor(gap), f"deviceId string, {SessionProcessor.CARRIED}", late))
+
+
+def counter_delta_stream(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """ST-6: counter steps by device, in order of time, for rows (deviceId, ts, counter) that come in any order within ``late``; needs the RocksDB state store."""
+    rows = rows.select("deviceId", F.col("ts").cast("long").alias("ts"), F.col("counter").cast("int").alias("counter"))
+    return _in_order(rows, CounterProcessor(), "deviceId string, ts long, delta int", late)
+
+
+# late rows
+
+
+def put_buckets(spark: SparkSession, root: str, table: str, buckets: DataFrame) -> int:
+    """ST-7: merge buckets (deviceId, bucketTs, n, ...) into a table stored by day; of two of one key the one of more rows stays.
+
+    Late rows only ever add to a bucket, so a stream and a repair may write the same bucket in any order, and again.
+    """
+    buckets = buckets.persist()
+    try:
+        for _ in range(versions.TRIES):
+            before = versions.entry(spark, root)
+            days = [r[0] for r in buckets.select(versions.day_number(buckets)).distinct().collect()]  # days of one batch
+            if not days:
+                return before["number"]
+            wanted = set(days)
+            old = versions.read_days(spark, root, table, buckets.schema, before, lambda d: d in wanted).select(*buckets.columns)
+            rows = old.unionByName(buckets)
+            most = F.row_number().over(Window.partitionBy("deviceId", "bucketTs").orderBy(F.desc("n"), F.xxhash64(*rows.columns)))
+            try:
+                return versions.replace_days(spark, root, table, rows.withColumn("best", most).where("best = 1").drop("best"), days, before)
+            except versions.LostRace:  # what both merge is the same in either order
+                continue
+        raise versions.LostRace(f"{versions.TRIES} others were faster")
+    finally:
+        buckets.unpersist()
+
+
+def late_rows(batch: DataFrame, limit: int | None, seconds: int = 1) -> DataFrame:
+    """Rows of a batch whose bucket a stream has closed: it ends at the watermark ``limit`` or before."""
+    closed = F.floor(F.col("ts") / seconds) * seconds + seconds <= (limit if limit is not None else -(2**62))
+    return batch.where(closed)
+
+
+def repairing_stream(spark: SparkSession, source: DataFrame, root: str, table: str, out: str, rebuild: Callable[[DataFrame], DataFrame], seconds: int, late: int, checkpoint: str, now: int) -> DataStreamWriter:
+    """ST-7: find rows that come too late for a stream of buckets, and repair the buckets of their device days.
+
+    Each batch is merged into the stream table; rows behind the watermark (the latest second of the batches before, less
+    ``late``) go to ``root/late/<table>`` as well, so that one can see which they were, and the device days that they touch are
+    built again from the stream table by ``rebuild`` and merged into ``out``. Rows in time are left to ST-4. A batch that is
+    replayed after a crash does the same again.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        log = f"{root}/late/log/{table}"
+        before = versions.get(spark, f"{log}/{number - 1}.json")["top"] if number and f"{number - 1}.json" in versions.names(spark, log) else None
+        top = batch.where(F.col("ts") <= now + FUTURE).agg(F.max("ts")).first()[0]
+        versions.put(spark, f"{log}/{number}.json", {"top": max((t for t in (before, top) if t is not None), default=None)})
+        apply_delta(spark, root, table, batch.withColumn("op", F.lit("append")).withColumn("version", F.lit(number).cast("long")), now)
+        behind = late_rows(batch.where(F.col("ts") <= now + FUTURE), None if before is None else before - late, seconds)
+        behind.write.mode("overwrite").parquet(f"{root}/late/{table}/batch={number}")
+        day = F.floor(F.col("ts") / DAY).cast("long")
+        touched = behind.select("deviceId", day.alias("utcDay")).distinct().persist()
+        days = {r[0] for r in touched.select("utcDay").distinct().collect()}  # days of one batch
+        if days:
+            at = versions.entry(spark, root)
+            own = versions.read_days(spark, root, table, ALL[table], at, lambda d: d in days).join(touched, ["deviceId", "utcDay"], "left_semi")
+            put_buckets(spark, root, out, rebuild(own.drop("utcDay")))
+        touched.unpersist(), batch.unpersist()
+
+    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
 def repair_days(spark: SparkSession, root: str, table: str, corrected: DataFrame, now: int) -> None:
