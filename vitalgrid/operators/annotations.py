@@ -53,36 +53,49 @@ def _listed(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("annotations"))
 
 
-def annotations_on_day(days: DataFrame, annotations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """J-6: days with the annotations of that day and of spans over it; an equi-join on the day.
+def owner_key(*frames: DataFrame) -> tuple[str, ...]:
+    """The column that tells owners apart, if all frames have it; data without it are those of one owner."""
+    return ("owner",) if all("owner" in df.columns for df in frames) else ()
 
-    ``by`` names columns of both sides that tell owners apart; a journal of one owner needs none.
+
+def annotations_on_day(days: DataFrame, annotations: DataFrame, by: tuple[str, ...] | None = None) -> DataFrame:
+    """J-6: days with the annotations of that day and of spans over it; an equi-join on the day and owner.
+
+    ``by`` names columns of both sides that tell owners apart: ``owner``, if both have it.
     """
+    by = owner_key(days, annotations) if by is None else by
     wanted = days.select(*by, F.col("day").alias("onDay")).distinct()
     own = _listed(_matches(annotations, False, [*by]).join(wanted, [*by, "onDay"], "left_semi"), [*by, "onDay"])
     return days.join(own.withColumnRenamed("onDay", "day"), [*by, "day"], "left")
 
 
-def annotations_for_night(sessions: DataFrame, annotations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """J-7: sessions (with localDay) with the annotations of the day, of spans, and of the evening before; of their owner, if ``by`` names one."""
+def annotations_for_night(sessions: DataFrame, annotations: DataFrame, by: tuple[str, ...] | None = None) -> DataFrame:
+    """J-7: sessions (with localDay) with the annotations of the day, of spans, and of the evening before, of their owner (see J-6)."""
+    by = owner_key(sessions, annotations) if by is None else by
     wanted = sessions.select(*by, F.col("localDay").alias("onDay")).distinct()
     own = _listed(_matches(annotations, True, [*by]).join(wanted, [*by, "onDay"], "left_semi"), [*by, "onDay"])
     return sessions.join(own.withColumnRenamed("onDay", "localDay"), [*by, "localDay"], "left")
 
 
 def recent_annotations(annotations: DataFrame, start: str | None = None, end: str | None = None, tags: list[str] | None = None, source: str | None = None, limit: int = 200) -> DataFrame:
-    """L-2: the newest ``limit`` annotations that overlap the days, with any of the tags, and the number that matched."""
-    rows = annotations
+    """L-2: the newest ``limit`` annotations that overlap the days, with any of the tags, in reading order.
+
+    ``place`` numbers them from the oldest on; ``matched`` is how many fit what was asked, ``total`` how many there are.
+    """
+    fits = F.lit(True)
     if start is not None:
-        rows = rows.where(F.coalesce("endDay", "day") >= start)
+        fits &= F.coalesce("endDay", "day") >= start
     if end is not None:
-        rows = rows.where(F.col("day") <= end)
+        fits &= F.col("day") <= end
     if tags:
-        rows = rows.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+        fits &= F.arrays_overlap("tags", F.array(*map(F.lit, tags)))
     if source is not None:
-        rows = rows.where(F.col("source") == source)
-    count = rows.agg(F.count("*").alias("matched"))
-    return rows.orderBy(F.desc("day"), F.desc("seq")).limit(limit).crossJoin(F.broadcast(count))  # one row of a count
+        fits &= F.col("source") == source
+    rows = annotations.withColumn("fits", F.coalesce(fits, F.lit(False)))
+    count = rows.agg(F.count_if("fits").alias("matched"), F.count("*").alias("total"))
+    kept = rows.where("fits").drop("fits").orderBy(F.desc("day"), F.desc("seq")).limit(limit)
+    kept = kept.withColumn("place", F.row_number().over(Window.orderBy("day", "seq")))  # at most limit rows
+    return kept.crossJoin(F.broadcast(count)).orderBy("place")  # one row of counts
 
 
 def latest_baseline_notes(notes: DataFrame) -> DataFrame:

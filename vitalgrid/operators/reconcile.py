@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import date_in, half_up, safe_day, safe_ts, shift_day, source_family, utc_day
-from .annotations import annotation_summary, annotations_on_day, latest_baseline_notes
+from .annotations import annotation_summary, annotations_on_day, latest_baseline_notes, owner_key
 from .overlay import drop_deleted_points
 from .series import join_device_registry
 
@@ -22,16 +22,6 @@ READERS = {
     "appleStepHour": "motion_series", "appleDaily": "health_snapshot", "imuActivity": "imu_series", "battery": "battery_series", "event": "event_kind_counts", "sleepSession": "sleep_detail", "workout": "overlay_workouts",
     "dailyMetric": "health_snapshot", "metricSeries": "metric_series",
 }
-#: What a reader should know of tables that hold little or are not read.
-NOTES = {
-    "spo2Sample": "straps of this kind send none: empty is normal",
-    "respSample": "breathing rate is no sampled stream: empty is normal",
-    "v18AuxSample": "auxiliary bytes kept as they came and read by nothing; devices keep a limited number of rows, so older ones go with the next upload",
-    "ppgWaveformSample": "raw optical samples for later estimators; what is derived from them is ppgHrSample",
-    "ouraRaw": "pages of another vendor's archive as they came; day is null, as a page covers several",
-    "scoreInputProvenance": "which device's values went into a day's scores; joined to nothing here",
-    "appleDaily": "a second copy of daily values that dailyMetric has",
-}
 SOURCE_TABLES = ("hrSample", "rrInterval", "dailyMetric", "metricSeries", "sleepSession", "workout")
 TIME_COLUMNS = ("ts", "startTs", "day")
 
@@ -55,23 +45,24 @@ def start_scan(df: DataFrame, start: str | None = None, end: str | None = None)
     return df if end is None else df.where(F.col("startTs") <= at(f"{end} 23:59:59"))
 
 
-def unpivot_daily(daily: DataFrame, metrics: list[str]) -> DataFrame:
-    """P-9: (deviceId, day, metric, value) of the metrics that exist; nulls and unknown metrics give no rows."""
+def unpivot_daily(daily: DataFrame, metrics: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """P-9: (deviceId, day, metric, value) of the metrics that exist, with the columns ``by``; nulls and unknown metrics give no rows."""
     there = [m for m in metrics if m in daily.columns]
+    key = [*by, "deviceId", "day"]
     if not there:
-        return daily.select("deviceId", "day", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).where(F.lit(False))
-    return daily.select("deviceId", "day", *[F.col(m).cast("double").alias(m) for m in there]).unpivot(["deviceId", "day"], there, "metric", "value").where("value is not null")
+        return daily.select(*key, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).where(F.lit(False))
+    return daily.select(*key, *[F.col(m).cast("double").alias(m) for m in there]).unpivot(key, there, "metric", "value").where("value is not null")
 
 
-def day_universe(daily: DataFrame, series: DataFrame) -> DataFrame:
+def day_universe(daily: DataFrame, series: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """J-13: days that either side has a row of, deleted or not."""
-    return daily.select("day").union(series.select("day")).distinct()
+    return daily.select(*by, "day").union(series.select(*by, "day")).distinct()
 
 
-def _points(daily: DataFrame, series: DataFrame, deleted: DataFrame, metrics: list[str]) -> DataFrame:
+def _points(daily: DataFrame, series: DataFrame, deleted: DataFrame, metrics: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """(deviceId, day, metric, value, priority, family): daily values first, series values second, deleted ones gone."""
-    a = unpivot_daily(daily, metrics).withColumn("priority", F.lit(0))
-    b = series.where(F.col("key").isin(metrics)).select("deviceId", "day", F.col("key").alias("metric"), F.col("value").cast("double").alias("value")).withColumn("priority", F.lit(1))
+    a = unpivot_daily(daily, metrics, by).withColumn("priority", F.lit(0))
+    b = series.where(F.col("key").isin(metrics)).select(*by, "deviceId", "day", F.col("key").alias("metric"), F.col("value").cast("double").alias("value")).withColumn("priority", F.lit(1))
     return drop_deleted_points(a.unionByName(b), deleted, "metric").withColumn("family", source_family(F.col("deviceId")))
 
 
@@ -81,20 +72,25 @@ def fallback_fill(points: DataFrame, by: list[str]) -> DataFrame:
     return points.where("value is not null").withColumn("best", best).where("priority = best").drop("best")
 
 
-def compare_sources(daily: DataFrame, series: DataFrame, deleted: DataFrame, metrics: list[str]) -> DataFrame:
-    """A-17: by day and metric the mean of each family (map), their spread in per cent, and all devices where a family has several."""
-    days = day_universe(daily, series.where(F.col("key").isin(metrics)))
-    points = fallback_fill(_points(daily, series, deleted, metrics), ["day", "metric", "family"])
-    fam = points.groupBy("day", "metric", "family").agg(half_up(F.avg("value"), 1).alias("mean"), F.count("*").alias("devices"), F.collect_list(F.struct("deviceId", "value")).alias("own"))
-    cell = fam.groupBy("day", "metric").agg(
+def compare_sources(daily: DataFrame, series: DataFrame, deleted: DataFrame, metrics: list[str], annotations: DataFrame | None = None) -> DataFrame:
+    """A-17: by day and metric the mean of each family (map), their spread in per cent, and all devices where a family has several; with the day's annotations, if given.
+
+    Where both sides have an ``owner``, each owner's days are compared on their own, so that a row holds one person's devices.
+    """
+    by = owner_key(daily, series)
+    days = day_universe(daily, series.where(F.col("key").isin(metrics)), by)
+    points = fallback_fill(_points(daily, series, deleted, metrics, by), [*by, "day", "metric", "family"])
+    fam = points.groupBy(*by, "day", "metric", "family").agg(half_up(F.avg("value"), 1).alias("mean"), F.count("*").alias("devices"), F.collect_list(F.struct("deviceId", "value")).alias("own"))
+    cell = fam.groupBy(*by, "day", "metric").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "mean")))).alias("families"),
         F.count("*").alias("n"), F.max("mean").alias("hi"), F.min("mean").alias("lo"), F.sum("mean").alias("total"), F.max("devices").alias("most"), F.flatten(F.collect_list("own")).alias("all"),
     )
     spread = F.when(F.col("n") >= 2, half_up(F.try_divide(F.col("hi") - F.col("lo"), F.col("total") / F.col("n")) * 100, 1)).otherwise(F.lit(0.0))
     per_device = F.when(F.col("most") > 1, F.map_from_entries(F.array_sort("all")))
-    cell = cell.select("day", "metric", "families", spread.alias("spreadPct"), per_device.alias("perDevice"))
+    cell = cell.select(*by, "day", "metric", "families", spread.alias("spreadPct"), per_device.alias("perDevice"))
     grid = days.withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
-    return grid.join(cell, ["day", "metric"], "left").withColumn("spreadPct", F.when(F.col("families").isNull(), F.lit(0.0)).otherwise(F.col("spreadPct")))
+    out = grid.join(cell, [*by, "day", "metric"], "left").withColumn("spreadPct", F.when(F.col("families").isNull(), F.lit(0.0)).otherwise(F.col("spreadPct")))
+    return out if annotations is None else annotations_on_day(out, annotations)
 
 
 def trailing_days(latest: DataFrame, n: int) -> DataFrame:
@@ -103,18 +99,19 @@ def trailing_days(latest: DataFrame, n: int) -> DataFrame:
 
 
 def health_snapshot(daily: DataFrame, series: DataFrame, deleted: DataFrame, days: int | None = 3, annotations: DataFrame | None = None) -> DataFrame:
-    """A-16: by day and family the first value of each field in order of devices, daily values before series values, and all devices with a row; with the day's annotations, if given."""
-    fields = list(SNAPSHOT_FIELDS)
+    """A-16: by day and family the first value of each field in order of devices, daily values before series values, and all devices with a row; with the day's annotations, if given. By owner, where both sides have one."""
+    fields, by = list(SNAPSHOT_FIELDS), owner_key(daily, series)
     series = series.where(F.col("key").isin(fields))
     if days is not None:
         window = trailing_days(daily.select(F.max("day").alias("day")), max(1, min(days, 31)))
         keep = lambda df: df.join(F.broadcast(window), F.col("day").between(F.col("fromDay"), F.col("toDay"))).drop("fromDay", "toDay")  # noqa: E731  one row
         daily, series = keep(daily), keep(series)
     first = F.struct("priority", "deviceId")
-    values = _points(daily, series, deleted, fields).groupBy("day", "family").agg(*[F.min_by(F.when(F.col("metric") == f, F.col("value")), F.when(F.col("metric") == f, first)).alias(f) for f in fields])
-    seen = daily.select("deviceId", "day").union(series.select("deviceId", "day")).withColumn("family", source_family(F.col("deviceId")))
-    seen = seen.groupBy("day", "family").agg(F.sort_array(F.collect_set("deviceId")).alias("sources"))
-    out = seen.join(values, ["day", "family"], "left")
+    cell = [*by, "day", "family"]
+    values = _points(daily, series, deleted, fields, by).groupBy(*cell).agg(*[F.min_by(F.when(F.col("metric") == f, F.col("value")), F.when(F.col("metric") == f, first)).alias(f) for f in fields])
+    seen = daily.select(*by, "deviceId", "day").union(series.select(*by, "deviceId", "day")).withColumn("family", source_family(F.col("deviceId")))
+    seen = seen.groupBy(*cell).agg(F.sort_array(F.collect_set("deviceId")).alias("sources"))
+    out = seen.join(values, cell, "left")
     return out if annotations is None else annotations_on_day(out, annotations)
 
 
@@ -158,19 +155,71 @@ def metric_key_counts(series: DataFrame, limit: int = 100) -> DataFrame:
     return own.groupBy("key").agg(*[F.count(F.when(F.col("family") == f, 1)).alias(f) for f in ("whoop", "oura", "apple")], F.count("*").alias("n"))
 
 
-def stream_inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """A-15: by table rows, time column, extent, devices, reader, note, and whether it is a gap: filled, unread and no bookkeeping."""
+def stream_inventory(tables: dict[str, DataFrame], notes: DataFrame | None = None) -> DataFrame:
+    """A-15: by table rows, time column, extent, number of devices, reader, note, and whether it is a gap: filled, unread and no bookkeeping.
+
+    ``notes`` (table, note) is what the caller knows of tables. Tables in versions are better asked by ``inventory_from_statistics``.
+    """
     parts = []
     for name, df in tables.items():
         time = next((c for c in TIME_COLUMNS if c in df.columns), None)
         show = (lambda x: x.cast("string")) if time == "day" else (lambda x: safe_ts(x).cast("string"))
         first, last = (show(F.min(time)), show(F.max(time))) if time else (F.lit(None).cast("string"),) * 2
-        own = F.sort_array(F.collect_set("deviceId")) if "deviceId" in df.columns else F.array().cast("array<string>")
-        row = df.agg(F.count("*").alias("rows"), first.alias("first"), last.alias("last"), own.alias("deviceIds"))
-        plain = name in NON_STREAM or name.startswith("_litestream")
-        reader = F.lit(READERS.get(name)).cast("string")
-        parts.append(row.select(F.lit(name).alias("table"), "rows", F.lit(time).cast("string").alias("timeCol"), "first", "last", "deviceIds", reader.alias("readBy"), F.lit(NOTES.get(name)).cast("string").alias("note"), ((F.col("rows") > 0) & reader.isNull() & F.lit(not plain)).alias("gap")))
-    return reduce(DataFrame.unionByName, parts)
+        devices = F.count_distinct("deviceId") if "deviceId" in df.columns else F.lit(0).cast("long")
+        row = df.agg(F.count("*").alias("rows"), first.alias("first"), last.alias("last"), devices.alias("devices"))
+        parts.append(row.select(F.lit(name).alias("table"), "rows", F.lit(time).cast("string").alias("timeCol"), "first", "last", "devices"))
+    return _inventory(reduce(DataFrame.unionByName, parts), notes)
+
+
+def _inventory(rows: DataFrame, notes: DataFrame | None) -> DataFrame:
+    reader = F.lit(None).cast("string")
+    for name, by in READERS.items():
+        reader = F.when(F.col("table") == name, by).otherwise(reader)
+    plain = F.col("table").isin(*NON_STREAM) | F.col("table").startswith("_litestream")
+    rows = rows.withColumn("readBy", reader).withColumn("gap", (F.col("rows") > 0) & F.col("readBy").isNull() & ~plain)
+    none = F.lit(None).cast("string").alias("note")
+    return rows.withColumn("note", none) if notes is None else rows.join(notes.select("table", "note"), "table", "left")
+
+
+# the same questions, asked of the statistics that writers keep (see sources.versions): no stream is scanned
+
+
+def sources_from_statistics(statistics: DataFrame, devices: DataFrame) -> DataFrame:
+    """A-13 from (table, deviceId, lastTs, lastDay, ...)."""
+    own = statistics.where("deviceId is not null").groupBy("deviceId", "table").agg(safe_ts(F.max("lastTs")).alias("latestTs"), F.max("lastDay").alias("d"))
+    own = own.withColumn("d", F.coalesce("d", utc_day(F.col("latestTs"))))
+    out = own.groupBy("deviceId").agg(F.sort_array(F.collect_set("table")).alias("tables"), F.max("d").alias("latestDay"), F.max("latestTs").alias("latestTs"))
+    return join_device_registry(out.withColumn("family", source_family(F.col("deviceId"))), devices).drop("model")
+
+
+def inventory_from_statistics(statistics: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """A-15 from statistics; ``sources_from_statistics`` names the devices."""
+    day = F.max("timeCol") == "day"
+    show = lambda own, ts: F.when(day, own).otherwise(safe_ts(ts).cast("string"))
+    rows = statistics.groupBy("table").agg(
+        F.sum("rows").alias("rows"), F.max("timeCol").alias("timeCol"), show(F.min("firstDay"), F.min("firstTs")).alias("first"), show(F.max("lastDay"), F.max("lastTs")).alias("last"), F.count_distinct("deviceId").alias("devices")
+    )
+    return _inventory(rows, notes)
+
+
+def freshness_by_device(statistics: DataFrame, now: int) -> DataFrame:
+    """A-26 for many owners: by device the newest sample, its age, the newest day and the rows of all tables."""
+    own = statistics.where("deviceId is not null").groupBy("deviceId").agg(F.max(safe_ts(F.col("lastTs"))).alias("latestTs"), F.max("lastDay").alias("latestDay"), F.sum("rows").alias("rows"), F.count_distinct("table").alias("tables"))
+    age = F.when(F.col("latestTs").isNotNull(), F.greatest(F.lit(now) - F.col("latestTs"), F.lit(0)).cast("long"))
+    return own.withColumn("ageSeconds", age).withColumn("family", source_family(F.col("deviceId")))
+
+
+def freshness_summary(statistics: DataFrame, pending: DataFrame, journal: DataFrame, annotations: DataFrame, ingest_log: DataFrame, now: int) -> DataFrame:
+    """A-26 in one row of single values: newest sample and its age, newest data day, devices, waiting edits, last seq, annotations and the last upload.
+
+    What is a list there comes as rows: ``freshness_by_device``, A-13, A-14 and A-18.
+    """
+    row = statistics.agg(F.max(safe_ts(F.col("lastTs"))).alias("latestTs"), F.max("lastDay").alias("latestDay"), F.count_distinct("deviceId").alias("devices"))
+    own = annotations.agg(F.count("*").alias("annotations"), F.min("day").alias("firstAnnotation"), F.max(F.coalesce("endDay", "day")).alias("lastAnnotation"))
+    upload = ingest_log.agg(F.max_by(F.struct("receivedAt", "phoneTz"), "id").alias("u")).select(F.col("u.receivedAt").alias("lastIngestAt"), F.col("u.phoneTz").alias("phoneTz"))
+    for part in (pending.agg(F.count("*").alias("pendingEdits")), journal.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("journalSeq")), own, upload):
+        row = row.crossJoin(F.broadcast(part))  # one row of single values
+    return row.withColumn("ageSeconds", F.greatest(F.lit(now) - F.col("latestTs"), F.lit(0)).cast("long"))
 
 
 def search_days(daily: DataFrame, query: str = "", k: int = 20, window: int = 31) -> DataFrame:
@@ -182,7 +231,8 @@ def search_days(daily: DataFrame, query: str = "", k: int = 20, window: int = 31
 
 
 def day_digest(daily: DataFrame, deleted: DataFrame) -> DataFrame:
-    """A-28: by day a text with a line for each device; a dash for null and deleted values."""
+    """A-28: by day, and owner if there is one, a text with a line for each device; a dash for null and deleted values."""
+    by = owner_key(daily)
     fields = [name for name, _ in DIGEST]
     gone = deleted.where(F.col("key").isin(fields)).groupBy("deviceId", "day").agg(F.collect_set("key").alias("gone"))
     daily = daily.join(gone, ["deviceId", "day"], "left")
@@ -199,14 +249,14 @@ def day_digest(daily: DataFrame, deleted: DataFrame) -> DataFrame:
         before, after = text.split("{}")
         parts.append(F.concat(F.lit(before), shown(name), F.lit(after)))
     line = F.concat(source_family(F.col("deviceId")), F.lit(": "), F.concat_ws(", ", *parts))
-    lines = daily.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("deviceId", line.alias("line")))).alias("l"))
-    return lines.select("day", F.concat(F.lit("Biometrics for "), F.col("day"), F.lit("\n"), F.array_join("l.line", "\n")).alias("text"))
+    lines = daily.groupBy(*by, "day").agg(F.array_sort(F.collect_list(F.struct("deviceId", line.alias("line")))).alias("l"))
+    return lines.select(*by, "day", F.concat(F.lit("Biometrics for "), F.col("day"), F.lit("\n"), F.array_join("l.line", "\n")).alias("text"))
 
 
 def data_freshness(
     tables: dict[str, DataFrame], devices: DataFrame, daily: DataFrame, series: DataFrame, pending: DataFrame, journal: DataFrame, notes: DataFrame, annotations: DataFrame, ingest_log: DataFrame, now: int
 ) -> DataFrame:
-    """A-26: one row: newest sample and its age, newest data day, sources (A-13), daily columns, metric keys (A-14), waiting
+    """A-26 of one owner, in one row: newest sample and its age, newest data day, sources (A-13), daily columns, metric keys (A-14), waiting
     edits, last seq, the notes that hold (A-18), summary of annotations (A-19), last upload, and the phone's zone at it."""
     own = sources(tables, devices)
     listed = own.agg(F.max("latestTs").alias("latestTs"), F.array_sort(F.collect_list(F.struct("deviceId", "family", "latestDay", "tables"))).alias("sources"))

@@ -9,8 +9,8 @@ from ..functions.exprs import U16, bucket, half_up, skin_temp_celsius, source_fa
 
 #: Counter steps kept, beats kept in ms, deviation that marks a beat as an artifact, beats that make a value.
 MOST_STEP, RR_LOW, RR_HIGH, RR_DEVIATION, RR_BEATS = 511, 250, 3000, 0.20, 20
-#: Seconds of a block: the longest range that can be deleted.
-BLOCK = 21_600
+#: Seconds of a block: the longest range that can be deleted. Seconds of a stretch, within which the rows of a device are ordered.
+BLOCK, STRETCH = 21_600, 30 * 86_400
 
 
 def range_scan(df: DataFrame, start: int | None = None, end: int | None = None, device: str | None = None) -> DataFrame:
@@ -68,14 +68,32 @@ def hrv_series(beats: DataFrame, seconds: int = 300, least: int = RR_BEATS) -> D
     return cell.select("deviceId", "bucketTs", source_family(F.col("deviceId")).alias("family"), F.when(enough, rmssd).alias("rmssd"), F.when(enough, mean).alias("meanHr"), "n")
 
 
-def counter_delta(steps: DataFrame, by: tuple[str, ...] = ("deviceId",)) -> DataFrame:
+def with_before(rows: DataFrame, by: list[str], order: list[str], fields: list[str], stretch: int | None = STRETCH) -> DataFrame:
+    """Rows with ``before``, the fields of the row ahead of each in the order of its ``by``; null for the first.
+
+    Rows are ordered within stretches of time, so that a device's whole history is never one window; the first row of a
+    stretch gets the last row of the one before, and only that row of each stretch passes through a window over all.
+    """
+    item = F.struct(*fields)
+    if stretch is None:
+        return rows.withColumn("before", F.lag(item).over(Window.partitionBy(*by).orderBy(*order)))
+    rows = rows.withColumn("stretch", F.floor(F.col("ts") / stretch))
+    last = rows.groupBy(*by, "stretch").agg(F.max_by(item, F.struct(*order)).alias("last"))
+    edge = last.select(*by, "stretch", F.lag("last").over(Window.partitionBy(*by).orderBy("stretch")).alias("edge"))
+    inside = F.lag(item).over(Window.partitionBy(*by, "stretch").orderBy(*order))
+    return rows.withColumn("before", inside).join(edge, [*by, "stretch"], "left").withColumn("before", F.coalesce("before", "edge")).drop("edge", "stretch")
+
+
+def counter_delta(steps: DataFrame, by: tuple[str, ...] = ("deviceId",), stretch: int | None = STRETCH) -> DataFrame:
     """W-1: steps of a wrapping 16-bit counter between neighbours; null for the first row and where the step is no motion.
 
-    Cut to a range before calling: the first row of a range has no step.
+    Cut to a range before calling: the first row of a range has no step. Where ``by`` parts rows into short spans, such as
+    sessions, they need no stretches.
     """
-    w = Window.partitionBy(*by).orderBy("ts", "counter")
-    delta = F.pmod(F.col("counter") - F.lag("counter").over(w), F.lit(U16))
-    return steps.withColumn("delta", F.when(delta.between(1, MOST_STEP), delta).cast("int"))
+    columns = steps.columns
+    rows = with_before(steps, [*by], ["ts", "counter"], ["counter"], stretch)
+    delta = F.pmod(F.col("counter") - F.col("before.counter"), F.lit(U16))
+    return rows.select(*columns, F.when(delta.between(1, MOST_STEP), delta).cast("int").alias("delta"))
 
 
 def _ticks(wanted: Column, name: str) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up, iso, source_family, stages_of, state_label, utc_day
-from .series import classify_ticks, counter_delta, drop_deleted_ranges, posture_changes
+from .series import STRETCH, classify_ticks, counter_delta, drop_deleted_ranges, posture_changes, with_before
 
-#: Seconds of a block in joins of sessions and samples of one device, of any device, and in orderings that nothing parts.
-DAY, HOUR, STRETCH = 86_400, 3_600, 30 * 86_400
+#: Seconds of a block in joins of sessions and samples of one device, and of any device.
+DAY, HOUR = 86_400, 3_600
 
 
 def _runs(df: DataFrame, starts, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -18,14 +18,20 @@ def _runs(df: DataFrame, starts, by: list[str], order: list[str], name: str) ->
     return df.withColumn("starts", starts(w)).withColumn(name, F.sum(F.col("starts").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 
-def rle_segments(samples: DataFrame, gap: int = 120) -> DataFrame:
-    """W-5: stretches of one state of a device, broken by other states and by gaps above ``gap`` seconds."""
+def _numbered(rows: DataFrame, starts, order: list[str], name: str, stretch: int) -> DataFrame:
+    """Number a device's rows by how many runs have started up to them: within a stretch, and on from the stretches before, of which one row each passes through a window."""
+    rows = rows.withColumn("starts", starts.cast("long")).withColumn("stretch", F.floor(F.col("ts") / stretch))
+    earlier = F.sum("n").over(Window.partitionBy("deviceId").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    each = rows.groupBy("deviceId", "stretch").agg(F.sum("starts").alias("n")).select("deviceId", "stretch", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    inside = F.sum("starts").over(Window.partitionBy("deviceId", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("inside", inside).join(each, ["deviceId", "stretch"], "left").withColumn(name, F.col("earlier") + F.col("inside")).drop("earlier", "inside", "stretch")
 
-    def starts(w):
-        same = (F.lag("state").over(w) == F.col("state")) & (F.col("ts") - F.lag("ts").over(w) <= gap)
-        return ~F.coalesce(same, F.lit(False))
 
-    runs = _runs(samples, starts, ["deviceId"], ["ts", "state"], "run")
+def rle_segments(samples: DataFrame, gap: int = 120, stretch: int = STRETCH) -> DataFrame:
+    """W-5: stretches of one state of a device, broken by other states and by gaps above ``gap`` seconds."""
+    rows = with_before(samples, ["deviceId"], ["ts", "state"], ["ts", "state"], stretch)
+    same = (F.col("before.state") == F.col("state")) & (F.col("ts") - F.col("before.ts") <= gap)
+    runs = _numbered(rows.withColumn("same", F.coalesce(same, F.lit(False))), ~F.col("same"), ["ts", "state"], "run", stretch)
     seg = runs.groupBy("deviceId", "run").agg(F.first("state").alias("state"), F.min("ts").alias("startTs"), F.max("ts").alias("endTs"), F.count("*").alias("samples"))
     out = seg.withColumn("label", state_label(F.col("state"))).withColumn("durationS", F.col("endTs") - F.col("startTs"))
     return out.select("deviceId", source_family(F.col("deviceId")).alias("family"), "state", "label", "startTs", "endTs", iso(F.col("startTs")).alias("startIso"), iso(F.col("endTs")).alias("endIso"), "durationS", "samples")
@@ -36,17 +42,14 @@ def sleep_state_totals(segments: DataFrame) -> DataFrame:
     return segments.groupBy("label").agg(F.sum("durationS").alias("seconds"))
 
 
-def gap_sessions_points(rows: DataFrame, gap: int = 60) -> DataFrame:
+def gap_sessions_points(rows: DataFrame, gap: int = 60, stretch: int = STRETCH) -> DataFrame:
     """W-6: rows with the number of their device's session, and the hole before them in seconds (0 at a session's start)."""
-
-    def starts(w):
-        return F.coalesce(F.col("ts") - F.lag("ts").over(w) > gap, F.lit(True))
-
-    w = Window.partitionBy("deviceId").orderBy("ts")
-    rows = rows.withColumn("hole", F.col("ts") - F.lag("ts").over(w) - 1)
-    rows = _runs(rows, starts, ["deviceId"], ["ts"], "session")
-    first = F.row_number().over(Window.partitionBy("deviceId", "session").orderBy("ts")) == 1
-    return rows.withColumn("hole", F.when(first, F.lit(0)).otherwise(F.greatest("hole", F.lit(0))))
+    columns = rows.columns
+    rows = with_before(rows, ["deviceId"], ["ts"], ["ts"], stretch)
+    starts = F.coalesce(F.col("ts") - F.col("before.ts") > gap, F.lit(True))
+    rows = _numbered(rows, starts, ["ts"], "session", stretch)
+    hole = F.when(F.col("starts") == 1, F.lit(0)).otherwise(F.greatest(F.col("ts") - F.col("before.ts") - 1, F.lit(0)))
+    return rows.select(*columns, "session", hole.alias("hole"))
 
 
 def imu_coverage(rows: DataFrame, gap: int = 60) -> DataFrame:
@@ -167,39 +170,53 @@ def first_k_payloads(rows: DataFrame, k: int = 5, by: list[str] | None = None, o
     return rows.withColumn("payload", F.when(F.col("at") <= k, F.col(payload))).withColumn("ref", F.when(F.col("at") > k, F.col(handle))).drop("at")
 
 
-def session_sample_join(sessions: DataFrame, samples: DataFrame) -> DataFrame:
-    """J-8: samples in each session's time: those of its own device, or of any device where it has none.
+def session_sample_join(sessions: DataFrame, samples: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """J-8: samples in each session's time: those of its own device, or of any device of its owner where it has none.
 
-    An equi-join on device and day; only sessions that it leaves without a sample are joined to all devices, by the hour.
-    Columns of samples other than ts keep their names, their device is sampleDevice.
+    ``owners`` (deviceId, utcDay, owner) tells who wore which device on which day; a session belongs to who wore its device
+    on the day it starts, a sample to who wore its device then. Without ``owners`` there is one owner, and every device is
+    theirs. An equi-join on device and day; only sessions that it leaves without a sample are joined to other devices, by
+    owner and hour. Columns of samples other than ts keep their names, their device is sampleDevice.
     """
     key = ["deviceId", "startTs", "endTs"]
     s = sessions.select(*key).where("startTs <= endTs").distinct()
     x = samples.withColumnRenamed("deviceId", "sampleDevice")
+    columns = x.columns
 
-    def meet(some: DataFrame, block: int, on: list[tuple[str, str]]) -> DataFrame:
+    def meet(some: DataFrame, of: DataFrame, block: int, on: list[tuple[str, str]]) -> DataFrame:
         a = some.withColumn("b", F.explode(F.sequence(F.floor(F.col("startTs") / block), F.floor(F.col("endTs") / block))))
-        b = x.withColumn("b", F.floor(F.col("ts") / block))
+        b = of.withColumn("b", F.floor(F.col("ts") / block))
         here = [a[p] == b[q] for p, q in on] + [a["b"] == b["b"]]
-        return a.join(b, here).where(F.col("ts").between(F.col("startTs"), F.col("endTs"))).select(*key, *x.columns)
+        return a.join(b, here).where(F.col("ts").between(F.col("startTs"), F.col("endTs"))).select(*key, *columns)
 
-    own = meet(s, DAY, [("deviceId", "sampleDevice")])
+    own = meet(s, x, DAY, [("deviceId", "sampleDevice")])
     rest = s.join(own.select(*key).distinct(), key, "left_anti")
-    return own.unionByName(meet(rest, HOUR, []))
+    if owners is None:
+        return own.unionByName(meet(rest, x, HOUR, []))
+    worn = lambda df, device, ts, name: df.withColumn("utcDay", F.floor(F.col(ts) / DAY)).join(
+        owners.select(F.col("deviceId").alias(device), "utcDay", F.col("owner").alias(name)).distinct(), [device, "utcDay"]
+    ).drop("utcDay")
+    other = meet(worn(rest, "deviceId", "startTs", "wearer"), worn(x, "sampleDevice", "ts", "sampleOwner"), HOUR, [("wearer", "sampleOwner")])
+    return own.unionByName(other.distinct())  # a device may have had two owners on a day
+
 
+def sleep_detail(
+    sessions: DataFrame, hr: DataFrame, steps: DataFrame, gravity: DataFrame, deleted_hr: DataFrame, bounds: DataFrame, stage_edits: DataFrame, cap: int = 5000, owners: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A-25: (sessions with bounds, stages, steps and posture changes; thinned heart rate), for all sessions at once.
 
-def sleep_detail(sessions: DataFrame, hr: DataFrame, steps: DataFrame, gravity: DataFrame, deleted_hr: DataFrame, bounds: DataFrame, stage_edits: DataFrame, cap: int = 5000) -> tuple[DataFrame, DataFrame]:
-    """A-25: (sessions with bounds, stages, steps and posture changes; thinned heart rate), for all sessions at once."""
+    Samples are those of the session's device, or of its owner's (see ``session_sample_join``).
+    """
     from .overlay import overlay_sleep, overlay_stages
 
     key = ["deviceId", "startTs"]
     s = overlay_stages(overlay_sleep(sessions, bounds).withColumn("originalTs", F.col("originalStartTs")), stage_edits)
     window = s.select("deviceId", "startTs", "endTs")
-    taken = session_sample_join(window, drop_deleted_ranges(hr, deleted_hr))
+    taken = session_sample_join(window, drop_deleted_ranges(hr, deleted_hr), owners)
     thin = decimate_evenly(taken, cap, key, ["ts", "sampleDevice"])
-    walked = session_sample_join(window, steps)
-    deltas = counter_delta(walked, ("deviceId", "startTs", "sampleDevice")).groupBy(*key).agg(*classify_ticks())
-    moved = posture_changes(session_sample_join(window, gravity), tuple(key))
+    walked = session_sample_join(window, steps, owners)
+    deltas = counter_delta(walked, ("deviceId", "startTs", "sampleDevice"), None).groupBy(*key).agg(*classify_ticks())
+    moved = posture_changes(session_sample_join(window, gravity, owners), tuple(key))
     out = s.drop("originalTs").join(deltas, key, "left").join(moved, key, "left")
     return out.withColumn("postureChanges", F.coalesce("postureChanges", F.lit(0))).withColumn("family", source_family(F.col("deviceId"))), thin
 

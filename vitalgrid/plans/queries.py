@@ -291,7 +291,7 @@ _BASE = f"WITH {EV}, {DAILY}"
 over_events(_BASE + " SELECT deviceId, day, metric, value FROM (SELECT deviceId, day, restingHr, avgHrv, recovery FROM daily) UNPIVOT (value FOR metric IN (restingHr, avgHrv, recovery))", "p9_unpivot_daily", lambda e: R.unpivot_daily(B.daily(e), ["restingHr", "avgHrv", "recovery", "absent"]))
 over_events(_BASE + " SELECT day FROM daily UNION SELECT day FROM series", "j13_day_universe", lambda e: R.day_universe(B.daily(e), B.series(e)))
 over_events(_BASE + " SELECT deviceId, day, key, value FROM series s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.deviceId = s.deviceId AND g.day = s.day AND g.key = s.key)", "j3_drop_deleted_points", lambda e: O.drop_deleted_points(B.series(e), B.gone_points(e)))
-over_events(_BASE + " SELECT day, value FROM series s WHERE key = 'avgHrv' AND deviceId = 'oura-api' AND day BETWEEN '2024-01-05' AND '2024-01-20' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.deviceId = s.deviceId AND g.day = s.day AND g.key = s.key)", "src3_metric_series", lambda e: R.metric_series(B.series(e), B.gone_points(e), "avgHrv", "2024-01-05", "2024-01-20", "oura-api").select("day", "value"))
+over_events(_BASE + " SELECT day, value FROM series s WHERE key = 'vo2max' AND deviceId = 'my-whoop' AND day BETWEEN '2024-01-05' AND '2024-01-20' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.deviceId = s.deviceId AND g.day = s.day AND g.key = s.key)", "src3_metric_series", lambda e: R.metric_series(B.series(e), B.gone_points(e), "vo2max", "2024-01-05", "2024-01-20", "my-whoop").select("day", "value"))
 over_events(_BASE + " SELECT deviceId, day, key, value FROM series WHERE key IN ('steps', 'vo2max') AND day >= '2024-01-10'", "src5_series_for_keys", lambda e: R.day_scan(B.series(e), "2024-01-10", keys=["steps", "vo2max"]))
 over_events(f"WITH {EV} SELECT deviceId, ts AS startTs FROM ev WHERE event_type = 'purchase' AND day BETWEEN '2024-01-05' AND '2024-01-06'", "src4_start_scan", lambda e: R.start_scan(B.sleeps(e), "2024-01-05", "2024-01-06").select("deviceId", "startTs"))
 _POINTS = _BASE + """, pt AS (SELECT deviceId, day, metric, value, 0 AS pr FROM (SELECT deviceId, day, restingHr, avgHrv, CAST(steps AS DOUBLE) AS steps FROM daily) UNPIVOT (value FOR metric IN (restingHr, avgHrv, steps)) UNION ALL SELECT deviceId, day, key, value, 1 FROM series WHERE key IN ('avgHrv', 'steps')),
@@ -326,10 +326,10 @@ SELECT a.*, CASE WHEN deviceId LIKE 'u%' AND CAST(substr(deviceId, 2) AS BIGINT)
 )
 over_events(
     f"""WITH {EV}, {DAILY} SELECT 'hrSample' AS "table", count(*) AS rows, 'ts' AS timeCol, CAST(min(ts) AS VARCHAR) AS first, CAST(max(ts) AS VARCHAR) AS last, 'hr_series' AS readBy, NULL AS note, false AS gap, count(DISTINCT deviceId) AS devices FROM ev
-UNION ALL SELECT 'mysteryStream', count(*), 'day', min(day), max(day), NULL, NULL, true, count(DISTINCT deviceId) FROM daily UNION ALL SELECT 'ouraRaw', count(*), 'day', min(day), max(day), NULL, $${R.NOTES["ouraRaw"]}$$, true, count(DISTINCT deviceId) FROM series
+UNION ALL SELECT 'mysteryStream', count(*), 'day', min(day), max(day), NULL, NULL, true, count(DISTINCT deviceId) FROM daily UNION ALL SELECT 'ouraRaw', count(*), 'day', min(day), max(day), NULL, 'pages as they came', true, count(DISTINCT deviceId) FROM series
 UNION ALL SELECT 'pairedDevice', count(DISTINCT deviceId), NULL, NULL, NULL, NULL, NULL, false, 0 FROM ev WHERE user_id % 5 <> 4""",
     "a15_stream_inventory",
-    lambda e: R.stream_inventory({"hrSample": e.select("deviceId", "ts"), "mysteryStream": B.daily(e), "ouraRaw": B.series(e), "pairedDevice": B.registry(e)}).withColumn("devices", F.size("deviceIds").cast("long")).drop("deviceIds"),
+    lambda e: R.stream_inventory({"hrSample": e.select("deviceId", "ts"), "mysteryStream": B.daily(e), "ouraRaw": B.series(e), "pairedDevice": B.registry(e)}, e.sparkSession.createDataFrame([("ouraRaw", "pages as they came")], "table string, note string")),
 )
 over_events(_BASE + " SELECT DISTINCT day FROM daily WHERE CAST(day AS DATE) >= (SELECT CAST(max(day) AS DATE) - 30 FROM daily) ORDER BY day DESC LIMIT 20", "l3_search_days", lambda e: R.search_days(B.daily(e)))
 _SHOW = ", ".join(f"CASE WHEN {n} IS NULL OR EXISTS (SELECT 1 FROM gone g WHERE g.deviceId = d.deviceId AND g.day = d.day AND g.key = '{n}') THEN '—' ELSE CAST(CAST({n} AS BIGINT) AS VARCHAR) END AS {n}" for n, _ in R.DIGEST)
@@ -403,9 +403,9 @@ SELECT s.deviceId, s.startTs, tzId, strftime(t + coalesce(off, 0) * INTERVAL 1 H
     lambda e: N.resolve_local_tz(B.sleeps(e).select("deviceId", "startTs"), B.zones(e)),
 )
 over_events(
-    _ANN + ", f AS (SELECT * FROM ann WHERE coalesce(endDay, day) >= '2024-01-05' AND day <= '2024-01-20' AND list_has_any(tags, ['t1', 't2']) AND source = 'user_reported') SELECT editId, day, (SELECT count(*) FROM f) AS matched FROM f ORDER BY day DESC, seq DESC LIMIT 50",
+    _ANN + ", f AS (SELECT * FROM ann WHERE coalesce(endDay, day) >= '2024-01-05' AND day <= '2024-01-20' AND list_has_any(tags, ['t1', 't2']) AND source = 'user_reported'), t AS (SELECT * FROM f ORDER BY day DESC, seq DESC LIMIT 50) SELECT editId, day, (SELECT count(*) FROM f) AS matched, (SELECT count(*) FROM ann) AS total, CAST(row_number() OVER (ORDER BY day, seq) AS INTEGER) AS place FROM t",
     "l2_recent_annotations",
-    lambda e: N.recent_annotations(B.annotations(e), "2024-01-05", "2024-01-20", ["t1", "t2"], "user_reported", 50).select("editId", "day", "matched"),
+    lambda e: N.recent_annotations(B.annotations(e), "2024-01-05", "2024-01-20", ["t1", "t2"], "user_reported", 50).select("editId", "day", "matched", "total", "place"),
 )
 over_events(f"WITH {EV} SELECT deviceId, max_by('n' || v, event_id) AS note, max_by(ts, event_id) AS at, count(*) - 1 AS supersededCount FROM ev GROUP BY 1", "a18_latest_baseline_notes", lambda e: N.latest_baseline_notes(e.select(F.col("event_id").alias("seq"), F.concat(F.lit("n"), F.col("v").cast("string")).alias("note"), "deviceId", F.col("ts").alias("at"))))
 over_events(_ANN + " SELECT count(*) AS count, min(day) AS firstDay, max(coalesce(endDay, day)) AS lastDay, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT unnest(tags) AS t FROM ann)) AS tags FROM ann", "a19_annotation_summary", lambda e: N.annotation_summary(B.annotations(e)).withColumn("tags", F.array_join("tags", ",")))
@@ -685,7 +685,7 @@ over_events(
 )
 
 
-def _root(spark: SparkSession) -> str:
+def new_root(spark: SparkSession) -> str:
     """A new folder for datasets that a query writes before it reads them."""
     import tempfile
     import uuid
@@ -701,7 +701,7 @@ def _root(spark: SparkSession) -> str:
 @query(f"WITH {EV} SELECT deviceId, ts, CAST(v AS DOUBLE) AS soc, NULL AS mv, NULL AS synced, NULL AS charging FROM ev")
 def src1_read_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that lacks some columns and has another."""
-    root = _root(spark)
+    root = new_root(spark)
     B.events(spark, sf_dir).select(F.lit(1).alias("other"), "ts", "deviceId", F.col("v").alias("soc")).write.parquet(f"{root}/battery")
     return C.read_stream_table(spark, root, "battery")
 
@@ -709,7 +709,7 @@ def src1_read_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV} SELECT deviceId, ts, v AS bpm, 2 AS uploads, (SELECT max(day) FROM ev) AS latestDay FROM ev WHERE event_id % 2 = 1")
 def snk1_publish_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two uploads and one without its marker: the second holds."""
-    root, e = _root(spark), B.events(spark, sf_dir)
+    root, e = new_root(spark), B.events(spark, sf_dir)
     hr = e.select("deviceId", "ts", F.col("v").alias("bpm"))
     marker, day = spark.range(1).select(F.lit("v1").alias("identifier")), e.select("deviceId", "day")
     C.publish_snapshot({"hrSample": hr, "dailyMetric": day, "grdb_migrations": marker}, root, "one", 1)
@@ -722,12 +722,14 @@ def snk1_publish_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV}, o AS (SELECT *, row_number() OVER (ORDER BY event_type <> 'click', ts, 'e' || event_id) AS seq FROM ev) SELECT seq, 'e' || event_id AS editId, ts AS appliedAt FROM o")
 def snk2_append_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some edits, then all of them."""
-    root, e = _root(spark), B.events(spark, sf_dir)
+    root, e = new_root(spark), B.events(spark, sf_dir)
     rows = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("editId"), F.lit("set_baseline_note").alias("kind"), F.lit("{}").alias("payloadJSON"), F.col("ts").alias("appliedAt"))
     C.append_journal(spark, root, rows.join(e.where("event_type = 'click'").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("editId")), "editId", "left_semi"))
     C.append_journal(spark, root, rows)
     return C.read_stream_table(spark, root, "editJournal").select("seq", "editId", "appliedAt")
 
 
+from . import stored  # noqa: E402,F401  queries over tables, chunk files and streams that are written first
+
 #: What the bench runs.
-HEADLINE = ["a1_hr_series", "a2_hrv_series", "a3_motion_series", "a5_imu_series", "a7_battery_series", "w5_rle_segments", "a23_imu_coverage", "a22_deep_buffer_coverage", "a17_compare_sources", "a16_health_snapshot", "j8_session_sample_join", "j10_overlay_workouts", "j7_annotations_for_night_by_owner", "e4_e5_propose", "q1_snapshot_churn", "st3_merge_delta"]
+HEADLINE = ["a1_hr_series", "a2_hrv_series", "a3_motion_series", "a5_imu_series", "a7_battery_series", "w5_rle_segments", "a23_imu_coverage", "a22_deep_buffer_coverage", "a17_compare_sources", "a16_health_snapshot", "j8_session_sample_join", "j10_overlay_workouts", "j7_annotations_for_night", "j7_annotations_for_night_by_owner", "e4_e5_propose", "q1_snapshot_churn", "st3_merge_delta"]

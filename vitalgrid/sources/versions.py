@@ -30,7 +30,10 @@ from ..schemas import ALL
 DAY, NO_DAY = 86_400, -(2**31)
 #: How often a writer tries again where others, who did not touch its table, were faster.
 TRIES = 20
-STATS = T.StructType([T.StructField(n, t) for n, t in (("deviceId", T.StringType()), ("rows", T.LongType()), ("firstTs", T.LongType()), ("lastTs", T.LongType()), ("lastDay", T.StringType()), ("utcDay", T.LongType()))])
+#: Statistics of a table: by device and day.
+STATS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("deviceId", "timeCol", "firstDay", "lastDay")] + [T.StructField(n, T.LongType()) for n in ("rows", "firstTs", "lastTs", "utcDay")]
+)
 
 
 class LostRace(RuntimeError):
@@ -172,8 +175,10 @@ def statistics(rows: DataFrame) -> DataFrame:
     name = time_column(rows)
     ts = F.col(name) if name not in (None, "day") else F.lit(None).cast("long")
     device = F.col("deviceId") if "deviceId" in rows.columns else F.lit(None).cast("string")
-    day = F.max("day") if "day" in rows.columns else F.lit(None).cast("string")
-    return rows.groupBy(device.alias("deviceId"), "utcDay").agg(F.count("*").alias("rows"), F.min(ts).alias("firstTs"), F.max(ts).alias("lastTs"), day.alias("lastDay"))
+    day = F.col("day") if "day" in rows.columns else F.lit(None).cast("string")
+    return rows.groupBy(device.alias("deviceId"), "utcDay").agg(
+        F.count("*").alias("rows"), F.min(ts).alias("firstTs"), F.max(ts).alias("lastTs"), F.min(day).alias("firstDay"), F.max(day).alias("lastDay"), F.lit(name).cast("string").alias("timeCol")
+    )
 
 
 def _read(spark: SparkSession, root: str, table: str, part: str, own: dict[str, str], schema: T.StructType) -> DataFrame:
@@ -207,7 +212,7 @@ def read_range(spark: SparkSession, root: str, table: str, start: int | None = N
 
 
 def read_statistics(spark: SparkSession, root: str, table: str, at: dict | None = None) -> DataFrame:
-    """(deviceId, rows, firstTs, lastTs, lastDay, utcDay) of a table, as kept by its writers."""
+    """Statistics of a table by device and utcDay, as kept by its writers."""
     at = entry(spark, root) if at is None else at
     return _read(spark, root, table, "stats", pointers(spark, root, table, at), STATS)
 
