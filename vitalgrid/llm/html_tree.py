@@ -11,7 +11,8 @@ page stands mostly outside: then articles are elements like others.  Pages are r
 
 Edge cases: null or empty html gives an empty text; a page without a host shares a tree with others of that kind; text
 of hosts of few pages is judged by tags and classes alone; unclosed and nested elements are closed as browsers do, and
-an article ends any unclosed menu; very long and very deep pages are read in whole; repeated rows give equal rows; rows
+an article ends any unclosed menu; very long and very deep pages are read in whole, in time that grows with their length;
+a quote that nothing closes is no quote; repeated rows give equal rows; rows
 without an id are rows like others; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,7 +46,11 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BARRIERS = frozenset("table ul ol dl article main section div body".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words that, beside noise words, may stand in a class name inside an article that says the element holds no main text.
+HOLDER_WORDS = frozenset("area bar block box button buttons container content form group icon icons inner item items link links list module outer panel post posts row section widget wrap wrapper".split())
+
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -69,7 +75,18 @@ def child_path(path: int, label: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _attributes(text: str) -> tuple[str, bool]:
+def _says_noise(names: str, main: bool) -> bool:
+    """Whether a class or id says that an element holds no main text: by any word of it, inside an article only by a whole name made of such words."""
+    if not main:
+        return not NOISE_WORDS.isdisjoint(_NAME.findall(names))
+    for name in names.split():
+        words = set(_NAME.findall(name))
+        if words & NOISE_WORDS and words <= NOISE_WORDS | HOLDER_WORDS:
+            return True
+    return False
+
+
+def _attributes(text: str, main: bool) -> tuple[str, bool]:
     """A label of class and id, and whether they say that the element holds no main text."""
     if not text or text == "/":
         return "", False
@@ -78,8 +95,7 @@ def _attributes(text: str) -> tuple[str, bool]:
         name, value = name.lower(), (a or b or c)
         if name in ("class", "id"):
             label += ("." if name == "class" else "#") + _DIGITS.sub("0", " ".join(value.split()))
-            words = set(_NAME.findall(value.lower()))
-            noise |= bool(words & NOISE_WORDS)
+            noise |= _says_noise(value.lower(), main)
         elif name == "role":
             noise |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
         else:
@@ -87,69 +103,121 @@ def _attributes(text: str) -> tuple[str, bool]:
     return label, noise
 
 
+class _Pages:
+    """The markup of a page, read once from its start to its end."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.next = page, "\"'", {}
+
+    def tokens(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """(start, end, tag or None, whether it closes, attributes) of what is markup; a reader may set ``at`` forward."""
+        self.at = 0
+        while True:
+            m = _MARKUP.search(self.page, self.at)
+            if m is None:
+                return
+            if m[2] is None:
+                self.at = m.end()
+                yield m.start(), m.end(), None, False, ""
+                continue
+            end = self._end(m.end())
+            if end < 0:  # no tag ends any more
+                return
+            self.at = end
+            yield m.start(), end, m[2].lower(), bool(m[1]), self.page[m.end() : end - 1]
+
+    def _end(self, start: int) -> int:
+        """Where a tag ends: behind the next > outside quotes. A quote that nothing closes counts no more on this page, and none if no tag can end."""
+        at = start
+        while self.quotes:
+            at = _PLAIN.match(self.page, at).end()
+            if at == len(self.page):
+                self.quotes = ""
+            elif self.page[at] == ">":
+                return at + 1
+            elif self.page[at] not in self.quotes:
+                at += 1
+            else:
+                close = self.page.find(self.page[at], at + 1)
+                if close < 0:
+                    self.quotes = self.quotes.replace(self.page[at], "")
+                at = close + 1 or start
+        return self.page.find(">", start) + 1 or -1
+
+    def ahead(self, what: re.Pattern) -> re.Match | None:
+        """The first match from here on; each part of the page is searched once for each pattern."""
+        known = self.next.get(what)
+        if known is None or (known is not False and known.start() < self.at):
+            known = self.next[what] = what.search(self.page, self.at) or False
+        return known or None
+
+
+_BLOCK = re.compile(r"<(?:p|div|article|main)[\s>]")
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS | INLINE_TAGS}
+
+
 def parse(page: str) -> _Node:
     """The tree of a page, in which inline elements are dissolved and character references are decoded."""
     root = _Node(ROOT, "", False, False)
-    stack, at, raw = [root], 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    stack, done, open_ = [root], 0, Counter()
+    markup = _Pages(page)
+
+    def cut(k: int) -> None:
+        open_.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
+    for start, end, tag, closes, attributes in markup.tokens():
+        if start > done:
+            stack[-1].parts.append(page[done:start])
+        done = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closes:
             if tag in INLINE_TAGS:
                 continue
-            if tag == "br" or tag == "p" and all(n.tag != "p" for n in stack):
+            if tag == "br" or tag == "p" and open_["p"] <= 0:
                 stack[-1].parts.append(" ")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            elif open_[tag] > 0:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in INLINE_TAGS and tag not in VOID_TAGS:
-            label, noise = _attributes(m[3]) if m[3] else ("", False)
-            if not noise:
-                continue
-            tag = "span" if tag not in ("a",) else tag
-            close = re.compile(rf"</{re.escape(m[2])}\s*>", re.I).search(page, at)  # an inline element that holds no main text
-            if close and not re.search(r"<(?:p|div|article|main)[\s>]", page[at : close.start()]):
-                at = close.end()
+            if _attributes(attributes, stack[-1].main)[1]:  # an inline element that holds no main text
+                close, block = markup.ahead(_CLOSE[tag]), markup.ahead(_BLOCK)
+                if close and not (block and block.start() < close.start()):
+                    markup.at = done = close.end()
             continue
         if tag in VOID_TAGS:
             if tag not in INLINE_TAGS:
                 stack[-1].parts.append(" ")
             continue
         if tag in MAIN_TAGS and stack[-1].noise and not stack[-1].main:
-            while len(stack) > 1 and stack[-1].noise:
-                stack.pop()
-        if tag in ENDS_P or tag in CLOSES:
-            ends = ("p",) if tag in ENDS_P else CLOSES[tag]
+            k = len(stack)
+            while k > 1 and stack[k - 1].noise:
+                k -= 1
+            cut(k)
+        ends = ("p",) if tag in ENDS_P else CLOSES.get(tag, ())
+        if any(open_[e] > 0 for e in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in BARRIERS:
                     break
-        label, noise = _attributes(m[3]) if m[3] else ("", False)
         top = stack[-1]
+        label, noise = _attributes(attributes, top.main)
         main = top.main or tag in MAIN_TAGS
         noise = top.noise or tag in NOISE_TAGS or (noise and tag not in ("html", "body") and tag not in MAIN_TAGS) or (tag == "header" and not top.main)
         node = _Node(child_path(top.path, tag + label), tag, noise, main)
         top.parts.append(node)
         top.below.update(f"{tag}{label} ".encode("utf-8", "surrogatepass"))
         if tag in RAW_TAGS:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = markup.ahead(_CLOSE[tag])
+            markup.at = done = close.end() if close else len(page)
         else:
             stack.append(node)
-    if at < len(page):
-        stack[-1].parts.append(page[at:])
+            open_[tag] += 1
+    if done < len(page):
+        stack[-1].parts.append(page[done:])
     return root
 
 
