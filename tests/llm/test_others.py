@@ -65,7 +65,10 @@ def test_shards_of_fewer_points_than_are_asked_for(spark, monkeypatch, shard):
     assert found(df) == brute(df.collect(), 20)
 
 
-def test_recall_with_pruning(spark):
+@pytest.mark.parametrize("cell", [vptree.CELL_ROWS, 60])
+def test_recall_with_pruning(spark, monkeypatch, cell):
+    """In one cell, and between cells, of which a query looks into few."""
+    monkeypatch.setattr(vptree, "CELL_ROWS", cell)
     df = spark.read.parquet(f"{DATA}/../sf0.01/embeddings.parquet")
     found = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, 20, 1.5).collect()}
     x = np.stack([np.array(r["embedding"], float) for r in df.orderBy("vec_id").collect()])

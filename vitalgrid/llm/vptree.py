@@ -28,8 +28,8 @@ from .common import frees, materialize
 
 #: Vectors meant for a cell, vectors of the sample for each cell and in all, and numbers that the sample may hold (64 MB): the bound of what comes to the driver.
 CELL_ROWS, SAMPLED, SAMPLE, SAMPLE_NUMBERS = 4_000, 16, 8_192, 8_000_000
-#: Most vectors of a shard, and queries that are searched at once.
-SHARD_ROWS, QUERY_ROWS = 40_000, 4_000
+#: Most vectors of a shard, queries that are searched at once, and queries that are held against all cells at once.
+SHARD_ROWS, QUERY_ROWS, REACHED_ROWS = 40_000, 4_000, 500
 #: Vectors of a leaf: fewer make more steps, each of which costs more than the distances that it saves.
 LEAF = 256
 
@@ -189,15 +189,17 @@ def _cells(tree: Tree, most: float):
 
 
 def _reached(tree: Tree, factor: float):
-    """Cells, other than the home cell, that a query must look into."""
+    """Cells, other than the home cell, that a query must look into; ``REACHED_ROWS`` queries are held against all cells at once."""
 
     def run(vector: pd.Series, limit: pd.Series, home: pd.Series) -> pd.Series:
-        if not len(vector):
-            return pd.Series([], dtype=object)
-        low = tree.leaf_bounds(_ground(_stack(vector)))
-        wanted = factor * low <= limit.to_numpy()[:, None]
-        wanted[np.arange(len(low)), home.to_numpy()] = False
-        return pd.Series([np.flatnonzero(w).tolist() for w in wanted])
+        out = []
+        for lo in range(0, len(vector), REACHED_ROWS):
+            some = slice(lo, lo + REACHED_ROWS)
+            low = tree.leaf_bounds(_ground(_stack(vector.iloc[some])))
+            wanted = factor * low <= limit.iloc[some].to_numpy()[:, None]
+            wanted[np.arange(len(low)), home.iloc[some].to_numpy()] = False
+            out += [np.flatnonzero(w).tolist() for w in wanted]
+        return pd.Series(out, dtype=object)
 
     return run
 
