@@ -475,16 +475,16 @@ over_events(
 over_events(f"WITH {EV} SELECT deviceId, ts AS startTs, 'light 90m/deep 270m' AS summary FROM ev WHERE event_type = 'purchase'", "a27_stage_summary", lambda e: U.stages_from_json(B.sleeps(e)).select("deviceId", "startTs", E.stage_summary(F.col("stages")).alias("summary")))
 
 # snapshots
-_OLD = "event_id % 10 <> 0"
+OLD = "event_id % 10 <> 0"
 
 
 def _snap(e: DataFrame, new: bool) -> DataFrame:
     rows = e.select("event_id", "deviceId", "ts", (F.col("v") + (F.when(F.col("event_id") % 7 == 0, 1).otherwise(0) if new else F.lit(0))).alias("v"))
-    return rows.where("event_id % 20 <> 1") if new else rows.where(_OLD)
+    return rows.where("event_id % 20 <> 1") if new else rows.where(OLD)
 
 
 over_events(
-    f"""WITH {EV}, c AS (SELECT count(*) FILTER (event_id % 20 <> 1) AS newRows, count(*) FILTER ({_OLD} AND event_id % 20 <> 1 AND event_id % 7 = 0) AS differing, count(*) FILTER (NOT ({_OLD})) AS added, count(*) FILTER (event_id % 20 = 1) AS removed FROM ev)
+    f"""WITH {EV}, c AS (SELECT count(*) FILTER (event_id % 20 <> 1) AS newRows, count(*) FILTER ({OLD} AND event_id % 20 <> 1 AND event_id % 7 = 0) AS differing, count(*) FILTER (NOT ({OLD})) AS added, count(*) FILTER (event_id % 20 = 1) AS removed FROM ev)
 SELECT *, differing + added AS delta, floor((differing + added) / newRows * 100 * 10 + 0.5) / 10 AS churnPct, false AS bootstrap, false AS schemaChanged FROM c""",
     "q1_snapshot_churn",
     lambda e: Q.snapshot_churn(_snap(e, False), _snap(e, True), ["event_id"]),
@@ -492,14 +492,14 @@ SELECT *, differing + added AS delta, floor((differing + added) / newRows * 100
 over_events(f"WITH {EV} SELECT ts AS measuredAt, 'e' || event_id AS tableName FROM ev ORDER BY ts DESC, tableName DESC LIMIT 20", "q2_churn_history", lambda e: Q.churn_history(e.select(F.col("ts").alias("measuredAt"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("tableName"))))
 over_events(f"""WITH {EV} SELECT 'hrSample' AS "table", deviceId, ts // 86400 AS utcDay, count(*) AS rows FROM ev GROUP BY 2, 3""", "q3_partition_digest", lambda e: Q.partition_digest(e, "hrSample"))
 over_events(
-    f"""WITH {EV}, a AS (SELECT deviceId, ts // 86400 AS utcDay, count(*) FILTER ({_OLD}) AS mine, count(*) AS theirs FROM ev GROUP BY 1, 2) SELECT deviceId, utcDay, nullif(mine, 0) AS mine, theirs FROM a WHERE mine <> theirs""",
+    f"""WITH {EV}, a AS (SELECT deviceId, ts // 86400 AS utcDay, count(*) FILTER ({OLD}) AS mine, count(*) AS theirs FROM ev GROUP BY 1, 2) SELECT deviceId, utcDay, nullif(mine, 0) AS mine, theirs FROM a WHERE mine <> theirs""",
     "q3_stale_partitions",
-    lambda e: Q.stale_partitions(Q.partition_digest(e.where(_OLD), "t"), Q.partition_digest(e, "t")).drop("table"),
+    lambda e: Q.stale_partitions(Q.partition_digest(e.where(OLD), "t"), Q.partition_digest(e, "t")).drop("table"),
 )
 over_events(
-    f"""WITH {EV} SELECT deviceId, ts, CASE WHEN event_id % 7 = 0 THEN v + 1 ELSE v END AS bpm FROM ev WHERE {_OLD} OR event_id % 7 = 0""",
+    f"""WITH {EV} SELECT deviceId, ts, CASE WHEN event_id % 7 = 0 THEN v + 1 ELSE v END AS bpm FROM ev WHERE {OLD} OR event_id % 7 = 0""",
     "st3_merge_delta",
-    lambda e: merge_delta(e.where(_OLD).select("deviceId", "ts", F.col("v").alias("bpm")), e.where("event_id % 7 = 0").select("deviceId", "ts", (F.col("v") + 1).alias("bpm"), F.lit("append").alias("op"), F.lit(5).alias("version")), ["deviceId", "ts"], NOW).select("deviceId", "ts", "bpm"),
+    lambda e: merge_delta(e.where(OLD).select("deviceId", "ts", F.col("v").alias("bpm")), e.where("event_id % 7 = 0").select("deviceId", "ts", (F.col("v") + 1).alias("bpm"), F.lit("append").alias("op"), F.lit(5).alias("version")), ["deviceId", "ts"], NOW).select("deviceId", "ts", "bpm"),
 )
 
 

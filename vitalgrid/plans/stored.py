@@ -20,7 +20,7 @@ from ..sources import deepbuf as D
 from ..sources import versions as V
 from ..streaming import streams as T
 from . import bindings as B
-from .queries import EV, FAM, NOW, new_root, query
+from .queries import EV, FAM, NOW, OLD, new_root, query
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Seconds after all events, at which a row moves a watermark past them.
@@ -244,6 +244,32 @@ def st7_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.read_days(spark, root, "hrBuckets").where("deviceId <> 'end'").drop("utcDay").crossJoin(F.broadcast(behind))  # one row
 
 
+@query(f"""WITH {EV} SELECT deviceId, ts, CASE WHEN event_id % 7 = 0 THEN v + 1 ELSE v END AS bpm, ts // 86400 AS utcDay FROM ev WHERE {OLD} OR event_id % 7 = 0""")
+def st3_delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table, a stream of deltas in two batches, and the same stream again from its start."""
+    root, e = new_root(spark), B.events(spark, sf_dir)
+    rows = lambda where, value, version: e.where(where).select("deviceId", "ts", value.alias("bpm"), F.lit("append").alias("op"), F.lit(version).cast("long").alias("version"))
+    T.apply_delta(spark, root, "hrSample", rows(OLD, F.col("v"), 0), NOW)
+    for even in (0, 1):
+        rows(f"event_id % 7 = 0 and event_id % 2 = {even}", F.col("v") + 1, 5 + even).coalesce(1).write.mode("append").parquet(f"{root}/deltas")
+    schema = "deviceId string, ts long, bpm int, op string, version long"
+    for i in range(2):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/deltas")
+        _finish(T.delta_stream(spark, source, root, "hrSample", f"{root}/checkpoint{i}", NOW))
+    return T.read_table(spark, root, "hrSample").drop("version", "since")
+
+
+# several sources of a day, with what was noted on it
+
+
+@query(f"""WITH {EV}, {B.DAILY}, {B.ANN}, days AS (SELECT day FROM daily UNION SELECT day FROM series WHERE key IN ('avgHrv', 'steps'))
+SELECT g.day, metric, (SELECT string_agg((CASE WHEN a.day = g.day THEN 'sameDay' ELSE 'span' END) || ':' || editId, ',' ORDER BY a.day, seq) FROM ann a WHERE a.day = g.day OR (a.day < g.day AND g.day <= a.endDay)) AS found FROM days g, (SELECT unnest(['restingHr', 'avgHrv', 'steps']) AS metric)""")
+def a17_compare_sources_with_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.events(spark, sf_dir)
+    out = R.compare_sources(B.daily(e), B.series(e), B.gone_points(e), ["restingHr", "avgHrv", "steps"], B.annotations(e))
+    return out.select("day", "metric", F.array_join(F.transform("annotations", lambda a: F.concat(a["matchedOn"], F.lit(":"), a["editId"])), ",").alias("found"))
+
+
 # who wore what
 
 _OWNER = "(CAST(substr(deviceId, 2) AS BIGINT) + ts // 86400) % 40"
