@@ -78,6 +78,15 @@ def test_of_two_publishers_one_loses(spark, tmp_path, monkeypatch):
         C.read_snapshot_table(spark, root, "hrSample", snapshot="slower")
 
 
+@pytest.mark.parametrize("once", [V._link_once, V._rename_once])
+def test_a_number_is_taken_once(spark, tmp_path, once):
+    V.put(spark, f"file://{tmp_path}/log/a", {"n": 1})
+    V.put(spark, f"file://{tmp_path}/log/b", {"n": 2})
+    assert once(spark, f"file://{tmp_path}/log/a", f"file://{tmp_path}/log/1.json")
+    assert not once(spark, f"file://{tmp_path}/log/b", f"file://{tmp_path}/log/1.json")
+    assert V.get(spark, f"{tmp_path}/log/1.json") == {"n": 1}
+
+
 def test_odd_rows_are_stored_and_read(spark, tmp_path):
     rows = [("a", None, 1), (None, 5, 2), ("a", 9 * 10**15, 3), ("a", -1, 4)]
     C.publish_snapshot({"hrSample": spark.createDataFrame(rows, STREAMS["hrSample"]), "grdb_migrations": marker(spark)}, str(tmp_path), "s", 1)

@@ -20,6 +20,7 @@ from functools import reduce
 from typing import Any
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,24 +78,37 @@ def take(spark: SparkSession, folder: str, number: int, entry: Any) -> None:
     """Write entry ``number`` of a log, whole or not at all; ``LostRace`` where it is taken."""
     own, name = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{number:020d}.json"
     put(spark, own, entry)
-    if urlparse(folder).scheme in ("", "file"):
-        try:  # a link is made by one only
-            os.link(urlparse(own).path, urlparse(name).path)
-        except FileExistsError:
-            raise LostRace(f"entry {number} of {folder} is taken") from None
-        finally:
-            delete(spark, own)
-        return
-    jvm = spark._jvm
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE  # never over another file
+    once = _link_once if urlparse(folder).scheme in ("", "file") else _rename_once
     try:
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, folder)[0].toUri(), spark._jsc.hadoopConfiguration()).rename(_path(spark, own)[0], _path(spark, name)[0], options)
-    except Exception as e:
+        taken = once(spark, own, name)
+    finally:
         delete(spark, own)
-        if "FileAlreadyExists" in str(e):
-            raise LostRace(f"entry {number} of {folder} is taken") from None
+    if not taken:
+        raise LostRace(f"entry {number} of {folder} is taken")
+
+
+def _link_once(_: SparkSession, own: str, name: str) -> bool:
+    """On the driver's own file system a link is made by one only."""
+    try:
+        os.link(urlparse(own).path, urlparse(name).path)
+    except FileExistsError:
+        return False
+    return True
+
+
+def _rename_once(spark: SparkSession, own: str, name: str) -> bool:
+    """A rename that never goes over another file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.NONE
+    (source, _), (target, _) = _path(spark, own), _path(spark, name)
+    try:
+        hadoop.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(source, target, options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            return False
         raise
+    return True
 
 
 # the log
