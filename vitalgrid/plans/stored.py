@@ -30,14 +30,30 @@ FAR = 4_000_000_000
 # streams stored by day
 
 
+#: Folders that queries only read once they are written, by application, tables and what is in them.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, write: Callable[[SparkSession, str], str]) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = write(spark, sf_dir)
+    return _WRITTEN[key]
+
+
 def _published(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A root with one upload."""
+    return _once(spark, sf_dir, "upload", _publish), B.events(spark, sf_dir)
+
+
+def _publish(spark: SparkSession, sf_dir: str) -> str:
     root, e = new_root(spark), B.events(spark, sf_dir)
     tables = {
         "hrSample": e.select("deviceId", "ts", F.col("v").alias("bpm")), "dailyMetric": B.daily(e), "sleepSession": B.sleeps(e), "mysteryStream": e.where("event_type = 'view'").select("deviceId", "day", "k"),
         "grdb_migrations": spark.range(1).select(F.lit("v1").alias("identifier")),
     }
     C.publish_snapshot(tables, root, "one", 1)
-    return root, e
+    return root
 
 
 @query(f"WITH {EV} SELECT deviceId, ts, v AS bpm FROM ev WHERE ts BETWEEN 1704500000 AND 1705500000 AND deviceId = 'u8'")
@@ -49,7 +65,7 @@ def src2_read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV} SELECT deviceId, ts, v AS bpm, 2 AS uploads FROM ev")
 def snk1_snapshot_of_a_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of two uploads, after the second has replaced it."""
-    root, e = _published(spark, sf_dir)
+    root, e = _publish(spark, sf_dir), B.events(spark, sf_dir)
     C.publish_snapshot({"hrSample": e.limit(0).select("deviceId", "ts", F.col("v").alias("bpm")), "grdb_migrations": spark.range(1).select(F.lit("v1").alias("identifier"))}, root, "two", 2)
     uploads = C.ingest_log(spark, root).agg(F.count("*").cast("int").alias("uploads"))
     return C.read_snapshot_table(spark, root, "hrSample", snapshot="one").crossJoin(F.broadcast(uploads))  # one row
@@ -103,11 +119,15 @@ def _lines(e: DataFrame) -> DataFrame:
 
 
 def _archive(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """Chunk files in a folder of their own, and their manifest."""
+    """A folder with chunk files, and the files."""
+    root = _once(spark, sf_dir, "chunks", _write_chunks)
+    return root, D.read_chunk_files(spark, f"{root}/deepbuf/v1/*/*.deflate")
+
+
+def _write_chunks(spark: SparkSession, sf_dir: str) -> str:
     root = new_root(spark)
     D.put_chunk_files(D.pack_chunks(_lines(B.events(spark, sf_dir))), root)
-    files = D.read_chunk_files(spark, f"{root}/deepbuf/v1/*/*.deflate")
-    return root, files
+    return root
 
 
 @query(_LINES + """ SELECT key, lineNo, bad, CASE WHEN NOT bad THEN ts END AS strap_ts, CASE WHEN NOT bad THEN size END AS size, CASE WHEN bad OR size NOT IN (1244, 2140) THEN 'other' WHEN size = 1244 THEN 'imu-6axis-100hz' ELSE 'optical-ppg-undecoded' END AS kind, CASE WHEN NOT bad THEN 'h' || event_id END AS hex FROM l""")
