@@ -97,7 +97,7 @@ def a26_freshness_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EV}, {B.ANN} SELECT (SELECT max(ts) FROM ev) AS latestTs, (SELECT max(day) FROM ev WHERE event_type = 'view') AS latestDay, (SELECT count(DISTINCT d) FROM (SELECT deviceId AS d FROM ev UNION ALL SELECT deviceId FROM (WITH {B.DAILY.replace('series AS', 'unused AS')} SELECT deviceId FROM daily))) AS devices,
-(SELECT count(*) FROM ev WHERE event_id % 5 = 0) AS pendingEdits, (SELECT max(event_id) FROM ev) AS journalSeq, (SELECT count(*) FROM ann) AS annotations, (SELECT min(day) FROM ann) AS firstAnnotation, (SELECT max(coalesce(endDay, day)) FROM ann) AS lastAnnotation, 1 AS lastIngestAt, NULL AS phoneTz, greatest({NOW} - (SELECT max(ts) FROM ev), 0) AS ageSeconds""")
+(SELECT count(*) FROM ev WHERE event_id % 5 = 0) AS pendingEdits, (SELECT max(event_id) FROM ev) AS journalSeq, (SELECT count(*) FROM ann) AS annotations, (SELECT min(day) FROM ann) AS firstAnnotation, (SELECT max(coalesce(endDay, day)) FROM ann) AS lastAnnotation, CAST(1 AS BIGINT) AS lastIngestAt, CAST(NULL AS VARCHAR) AS phoneTz, greatest({NOW} - (SELECT max(ts) FROM ev), 0) AS ageSeconds""")
 def a26_freshness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, e = _published(spark, sf_dir)
     return R.freshness_summary(V.all_statistics(spark, root), e.where("event_id % 5 = 0"), e.select(F.col("event_id").alias("seq")), B.annotations(e), C.ingest_log(spark, root), NOW)
