@@ -4,12 +4,14 @@ import collections
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose, some_documents
 from vitalgrid.llm import backoff_lm, licenses, mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup
@@ -261,14 +263,57 @@ def test_backoff_keeps_every_count(spark, documents, monkeypatch, order, head):
             assert math.isclose(r["log_score"], plain(others[i].split()), abs_tol=1e-4)
 
 
-def test_the_backoff_query_is_a_model_of_all_counts(spark, tmp_path):
+def cross_scores(rows, order):
+    """(id, words, score) of each row under the stupid-backoff model of the texts whose crc32 is odd, or even, where its own is not."""
+    half = lambda t: zlib.crc32(t.encode("utf-8")) & 1
+    counts = [collections.Counter(), collections.Counter()]
+    for _, t in rows:
+        w = WORD.findall(t or "")
+        counts[half(t or "")].update(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    totals = [max(1, sum(c for g, c in x.items() if len(g) == 1)) for x in counts]
+    out, backed = [], 0
+    for i, t in rows:
+        w, s = WORD.findall(t or ""), 0.0
+        known, total = (x[1 - half(t or "")] for x in (counts, totals))
+        for k in range(len(w)):
+            for n in range(min(order, k + 1), 0, -1):
+                if c := known[tuple(w[k - n + 1 : k + 1])]:
+                    s += math.log(c / (known[tuple(w[k - n + 1 : k])] if n > 1 else total))
+                    break
+                backed += n > 1
+                s += math.log(0.4) if n > 1 else math.log(1 / (2 * total))
+        out.append((i, len(w), s / len(w) if w else None))
+    return out, backed
+
+
+def same_scores(got, want):
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0)
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and (g[2] is None if w[2] is None else math.isclose(g[2], w[2], abs_tol=1e-4))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("head", [None, 5])
+def test_each_half_is_scored_by_the_other(spark, documents, monkeypatch, order, head):
+    if head:  # nearly all n-grams are looked up by the join
+        monkeypatch.setattr(backoff_lm, "HEAD", head)
+    odd = [(None, "one two three"), (90, "seen once"), (90, "another text of one id"), (91, "seen once more"), (92, "a"), (93, prose(3, 3_000)), (94, prose(4, 3_000)), (94, prose(4, 3_000))]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    want, backed = cross_scores([tuple(r) for r in docs.collect()], order)
+    assert order == 1 or backed > 1_000
+    same_scores(backoff_lm.cross_score(docs, order=order).collect(), want)
+    assert backoff_lm.cross_score(docs.limit(0), order=order).count() == 0
+
+
+def test_the_backoff_query_holds_each_half_against_the_other(spark, tmp_path):
     from vitalgrid.llm.registry import queries
 
-    rows = [(1, "rare word"), (2, "rare word"), (3, "another one")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {i: r["log_score"] for i, r in by_id(queries()["op7_backoff_lm"](spark, str(tmp_path))).items()}
-    want = {1: math.log(2 / 6) / 2, 2: math.log(2 / 6) / 2, 3: math.log(1 / 6) / 2}
-    assert all(math.isclose(got[i], want[i], abs_tol=1e-5) for i in want)
+    rows = [(i, f"rare word {i % 4} and another one {i}" + " rare word" * (i % 3)) for i in range(40)] + [(None, None), (50, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("row", F.lit("x"))
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    same_scores(queries()["op7_backoff_lm"](spark, str(tmp_path)).collect(), cross_scores(rows, backoff_lm.ORDER)[0])
 
 
 def test_licenses(spark):

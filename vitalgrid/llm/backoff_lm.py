@@ -24,6 +24,7 @@ rows of one id give one row, the mean of all their words, and rows without an id
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,17 @@ UNIT = 1e-6
 CHARS, PART_TEXTS = 1_000_000, 30_000
 
 
-def text_ngrams(texts: list[str | bytes | None], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each n from 1 to ``order``: hashes of all n-grams and the text they stand in; and the words of each text."""
+def folds_of(texts: list[bytes | None]) -> np.ndarray:
+    """0 or 1 for each text, by what it says: equal texts lie in one fold."""
+    return np.fromiter((zlib.crc32(x) & 1 if x else 0 for x in texts), np.uint64, len(texts))
+
+
+def text_ngrams(texts: list[str | bytes | None], order: int, folds: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each n from 1 to ``order``: hashes of all n-grams and the text they stand in; and the words of each text.
+
+    The last three bits of a hash tell n, the fourth the fold (0, or that given for the text): n-grams of one fold are other
+    n-grams than those of the other.
+    """
     words = [x.split() if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass").split() if isinstance(x, str) else [] for x in texts]
     n_words = np.fromiter(map(len, words), np.int64, len(words))
     codes = _word_codes([w for own in words for w in own])
@@ -62,16 +72,12 @@ def text_ngrams(texts: list[str | bytes | None], order: int) -> tuple[list[np.nd
         for i in range(n):
             h = h * factor + codes[i : len(codes) - n + 1 + i]
         inside = doc[: len(h)] == doc[n - 1 :][: len(h)]
-        hashes.append((_mix(h[inside]) & ~np.uint64(7)) | np.uint64(n)), docs.append(doc[: len(h)][inside])  # the last bits tell the order
+        docs.append(doc[: len(h)][inside])
+        own = np.uint64(0) if folds is None else folds[docs[-1]] << np.uint64(3)
+        hashes.append((_mix(h[inside]) & ~np.uint64(15)) | own | np.uint64(n))
     return hashes, docs, n_words
 
 
-def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    part = pdf["text"].map(lambda x: len(x) if isinstance(x, str) else 0).cumsum() // CHARS
-    for _, own in pdf.groupby(part, sort=True):
-        yield own
-
-
 def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each h stands in the sorted keys, and whether it does."""
     if not len(keys):
@@ -105,60 +111,81 @@ def _count(order: int, chosen=None):
     return run
 
 
-def _links(order: int, bloom):
-    """(h, before, after): the n-gram, n > 1, without its last and without its first word, where the filter does not rule it out."""
+def _grams(order: int, folded: bool):
+    """(h, before, after, count): the distinct n-grams of as many texts as GRAMS allows, each with itself less its last and
+    less its first word (0 for a single word)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(bloom.value, np.uint8)
-        seen = [np.empty(0, np.uint64)] * order  # what this task has sent, up to a bound
-        for pdf in frames:
-            for own in _parts(pdf):
-                hashes, docs, _ = text_ngrams(list(own["text"]), order)
-                some = np.arange(len(own))
-                for n in range(1, order):
-                    h, at = np.unique(hashes[n], return_index=True)
-                    keep = _passes(bits, h.view(np.int64))
-                    h, at = h[keep], at[keep]
-                    if len(seen[n]):
-                        new = seen[n][np.minimum(np.searchsorted(seen[n], h), len(seen[n]) - 1)] != h
-                        h, at = h[new], at[new]
-                    if len(seen[n]) < GRAMS:
-                        seen[n] = np.union1d(seen[n], h)
-                    # a text has one n-gram less with each order, which shifts those of the texts after it
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(order)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for own in held:
+                if own:
+                    h, before, after = map(np.concatenate, zip(*own))
+                    own.clear()
+                    uniq, at, count = np.unique(h, return_index=True, return_counts=True)
+                    for k in range(0, len(uniq), 200_000):
+                        cut = slice(k, k + 200_000)
+                        columns = [pa.array(x.view(np.int64)) for x in (uniq[cut], before[at[cut]], after[at[cut]])]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(count[cut], pa.int32())], ["h", "before", "after", "count"])
+
+        for part in (part for batch in batches for part in text_parts(batch, size=CHARS, rows=PART_TEXTS)):
+            texts = raw_texts(part)
+            hashes, docs, _ = text_ngrams(texts, order, folds_of(texts) if folded else None)
+            some = np.arange(len(texts))
+            for n, h in enumerate(hashes):
+                if n:  # a text has one n-gram less with each order, which shifts those of the texts after it
                     shift = np.searchsorted(docs[n - 1], some) - np.searchsorted(docs[n], some)
-                    place = at + shift[docs[n][at]]
-                    yield pd.DataFrame({"h": h.view(np.int64), "before": hashes[n - 1][place].view(np.int64), "after": hashes[n - 1][place + 1].view(np.int64)})
+                    place = np.arange(len(h)) + shift[docs[n]]
+                    held[n].append((h, hashes[n - 1][place], hashes[n - 1][place + 1]))
+                else:
+                    held[n].append((h, np.zeros_like(h), np.zeros_like(h)))
+            if sum(len(x[0]) for x in held[0]) > GRAMS:
+                yield from flush()
+        yield from flush()
 
     return run
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> tuple[DataFrame, int]:
     """The table (h, step, count) of the corpus, and the floor of a word in UNITs."""
+    table, floors = _train(docs, text_col, order, backoff, min_count, False)
+    return table, floors[0]
+
+
+def _train(docs: DataFrame, text_col: str, order: int, backoff: float, min_count: int, folded: bool) -> tuple[DataFrame, list[int]]:
+    """One model, or one of each fold: an n-gram's hash tells its fold, so that both are one table. And the floors of both."""
     src = docs.select(F.col(text_col).alias("text")).where("text is not null")
     # dealt out first: tasks send each n-gram about once, so that adding up before would only take memory
-    counts = src.mapInArrow(_count(order), "h long, count int").repartition("h").groupBy("h").agg(F.sum("count").alias("count"))
-    counts = counts.where(F.col("count") >= min_count).withColumn("n", F.pmod("h", F.lit(8)).cast("int"))
-    counts = materialize(counts, "ngrams")
-    total = max(1, counts.where("n = 1").agg(F.sum("count")).first()[0] or 0)
+    grams = src.mapInArrow(_grams(order, folded), "h long, before long, after long, count int").repartition("h")
+    counts = grams.groupBy("h").agg(F.min("before").alias("before"), F.min("after").alias("after"), F.sum("count").alias("count"))
+    counts = materialize(counts.where(F.col("count") >= min_count).withColumn("n", F.pmod("h", F.lit(8)).cast("int")), "ngrams")
+    fold = F.pmod(F.shiftright("h", 3), F.lit(2)).cast("int")
+    words = {r["fold"]: r["words"] for r in counts.where("n = 1").groupBy(fold.alias("fold")).agg(F.sum("count").alias("words")).collect()}  # two rows at most
+    total = [max(1, words.get(f, 0)) for f in (0, 1)]
     # an unknown word scores as one half as frequent as the rarest known one
-    unknown = math.log(min_count / (2 * total))
-    known = counts.where("n = 1").select("h", "count", F.log(F.col("count") / F.lit(float(total))).alias("score"))
-    table = known.withColumn("lower", F.lit(unknown))
-    if order > 1:
-        links = src.mapInPandas(_links(order, _filter_of(counts.where("n > 1"))), "h long, before long, after long")
-        links = materialize(links.repartition("h").dropDuplicates(["h"]).join(counts.where("n > 1"), "h"), "links")
+    unknown = [math.log(min_count / (2 * x)) for x in total]
+    of_fold = lambda x: F.when(fold == 0, F.lit(float(x[0]))).otherwise(F.lit(float(x[1])))
+    known = counts.where("n = 1").select("h", "count", F.log(F.col("count") / of_fold(total)).alias("score"))
+    table = known.withColumn("lower", of_fold(unknown))
+    levels = []
     for n in range(2, order + 1):
-        own = links.where(F.col("n") == n).join(known.select(F.col("h").alias("before"), F.col("count").alias("base")), "before")
+        own = counts.where(F.col("n") == n).join(known.select(F.col("h").alias("before"), F.col("count").alias("base")), "before")
         own = own.join(known.select(F.col("h").alias("after"), F.col("score").alias("shorter")), "after")
         own = own.select("h", "count", F.log(F.col("count") / F.col("base")).alias("score"), (F.col("shorter") + math.log(backoff)).alias("lower"))
+        if n < order:
+            own = materialize(own, "level")
+            levels.append(own)
         table, known = table.unionByName(own), own.select("h", "count", "score")
-    table = table.select("h", F.round((F.col("score") - F.col("lower")) / UNIT).cast("long").alias("step"), "count")
-    return materialize(table, "model"), round(unknown / UNIT)
+    table = materialize(table.select("h", F.round((F.col("score") - F.col("lower")) / UNIT).cast("long").alias("step"), "count"), "model")
+    discard(counts, *levels)
+    return table, [round(x / UNIT) for x in unknown]
 
 
 def _bloom_cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u = h.view(np.uint64)
-    return (u & np.uint64(BLOOM_BITS - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+    return ((u >> np.uint64(4)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -190,35 +217,52 @@ def _filter_of(grams: DataFrame):
     return grams.sparkSession.sparkContext.broadcast(bytes(found["bits"]) if found else bytes(BLOOM_BITS // 8))
 
 
-def _explode(order: int, back: int, head, bloom):
-    """(id, h, times, known, words, texts): n-grams to be looked up; one row a text (times 0, any h) holds its words and what the head table gives."""
+def _explode(order: int, back: int, floors: list[int], folded: bool, head, bloom):
+    """(row, h, times, value): n-grams of a text (one row of the table) to be looked up, each with its times.
+
+    Three more entries of each text, under any h, hold its id (times -2), its words (-1) and what needs no looking up (0).
+    With folds a text asks for n-grams of the other fold.
+    """
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, steps = head.value
         bits = np.frombuffer(bloom.value, np.uint8)
-        for pdf in frames:
-            for own in _parts(pdf):
-                ids = own["id"].to_numpy(np.int64)
-                hashes, docs, n_words = text_ngrams(list(own["text"]), order)
-                h, d = np.concatenate(hashes).view(np.int64), np.concatenate(docs)
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                # every place that has a history of n-1 words backs off from order n, unless that n-gram's step takes it back
-                known = np.bincount(np.concatenate(docs[1:]), minlength=len(ids)) * back if order > 1 else np.zeros(len(ids), np.int64)
-                np.add.at(known, d[hit], steps[at[hit]] if len(keys) else 0)
-                h, d = h[~hit], d[~hit]
-                maybe = _passes(bits, h)
-                h, d = h[maybe], d[maybe]
+        row = TaskContext.get().partitionId() << 40
+        for part in (part for batch in batches for part in text_parts(batch, size=CHARS, rows=PART_TEXTS)):
+            texts = raw_texts(part)
+            rows = np.arange(row, row + len(texts))
+            row += len(texts)
+            other = folds_of(texts) ^ np.uint64(1) if folded else np.zeros(len(texts), np.uint64)
+            hashes, docs, n_words = text_ngrams(texts, order, other)
+            known = n_words * np.array(floors)[other.astype(np.int64)]
+            # every place that has a history of n-1 words backs off from order n, unless that n-gram's step takes it back
+            for d in docs[1:]:
+                known += np.bincount(d, minlength=len(texts)) * back
+            for h, d in zip(hashes, docs):
+                h = h.view(np.int64)
+                at, hit = _find(keys, h)
+                np.add.at(known, d[hit], steps[at[hit]])
+                keep = ~hit
+                keep[keep] = _passes(bits, h[keep])
+                h, d = h[keep], d[keep]
                 by = np.lexsort((h, d))
                 h, d = h[by], d[by]
-                first = np.flatnonzero(np.r_[len(h) > 0, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, np.int64)
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, np.int64)
                 times = np.diff(np.r_[first, len(h)])
-                yield pd.DataFrame({"id": ids, "h": _mix(ids.view(np.uint64)).view(np.int64), "times": 0, "known": known, "words": n_words, "texts": 1})
-                yield pd.DataFrame({"id": ids[d[first]], "h": h[first], "times": times, "known": 0, "words": 0, "texts": 0})
+                yield pa.RecordBatch.from_arrays([pa.array(rows[d[first]]), pa.array(h[first]), pa.array(times, pa.int32()), pa.nulls(len(first), pa.int64())], _ASKED)
+            anywhere = pa.array(_mix(rows.view(np.uint64)).view(np.int64))
+            for times, value in ((-2, part["id"]), (-1, pa.array(n_words)), (0, pa.array(known))):
+                yield pa.RecordBatch.from_arrays([pa.array(rows), anywhere, pa.array(np.full(len(rows), times), pa.int32()), value], _ASKED)
 
     return run
 
 
+_ASKED = ["row", "h", "times", "value"]
+
+
 def _most_frequent(counts: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     """h, in order, and ``value`` of the n-grams of largest count: whole levels of counts, HEAD entries at most."""
     level = F.floor(F.log2(F.col("count").cast("double")) * 16)
@@ -235,17 +279,25 @@ def _most_frequent(counts: DataFrame, value: str) -> tuple[np.ndarray, np.ndarra
 
 
 def score(docs: DataFrame, model: DataFrame, floor: int, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
-    """``id_col``, n_words and log_score (mean natural logarithm of the stupid-backoff score of a word) of every document."""
-    spark = docs.sparkSession
-    head = spark.sparkContext.broadcast(_most_frequent(model, "step"))
-    bloom = _filter_of(model)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = src.mapInPandas(_explode(order, round(math.log(backoff) / UNIT), head, bloom), "id long, h long, times int, known long, words long, texts int")
-    found = rows.join(model.select("h", "step"), "h", "left")
-    total = F.sum(F.col("known") + F.coalesce(F.col("step") * F.col("times"), F.lit(0)))
-    out = found.groupBy("id").agg(F.sum("words").alias("n_words"), total.alias("steps"), F.sum("texts").alias("rows"))
-    mean = F.when(F.col("n_words") > 0, (F.col("steps") / F.col("n_words") + F.lit(float(floor))) * UNIT)
-    return out.select(F.col("id").alias(id_col), F.expr("n_words div rows").alias("n_words"), mean.alias("log_score"))
+    """``id_col``, n_words and log_score (mean natural logarithm of the stupid-backoff score of a word): one row for each row of ``docs``."""
+    return _score(docs, model, [floor, floor], text_col, id_col, order, backoff, False)
+
+
+def _score(docs: DataFrame, model: DataFrame, floors: list[int], text_col: str, id_col: str, order: int, backoff: float, folded: bool) -> DataFrame:
+    head = docs.sparkSession.sparkContext.broadcast(_most_frequent(model, "step"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    asked = src.mapInArrow(_explode(order, round(math.log(backoff) / UNIT), floors, folded, head, _filter_of(model)), "row long, h long, times int, value long")
+    found = asked.join(model.select("h", "step"), "h", "left")
+    steps = F.when(F.col("times") > 0, F.col("step") * F.col("times")).when(F.col("times") == 0, F.col("value"))
+    of = lambda times: F.max(F.when(F.col("times") == times, F.col("value")))
+    out = found.where("times <= 0 or step is not null").groupBy("row").agg(of(-2).alias("id"), of(-1).alias("n_words"), F.sum(steps).alias("steps"))
+    return out.select(F.col("id").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("steps") / F.col("n_words") * UNIT).alias("log_score"))
+
+
+def cross_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """As ``score``, each text under the model of the other half of ``docs``: halves go by hash of the text, so that neither a text nor an exact copy is scored by itself."""
+    model, floors = _train(docs, text_col, order, backoff, min_count, True)
+    return _score(docs, model, floors, text_col, id_col, order, backoff, True)
 
 
 def _coefficients(docs: list[np.ndarray], n_words: np.ndarray) -> list[np.ndarray]:
