@@ -5,20 +5,23 @@ log S is a sum that telescopes: a floor for every position, plus, for every orde
 the score of the shorter n-gram.  So the model is one table (n-gram hash, step), a document is its distinct n-grams with
 their numbers, and scoring is one join on the hash and one sum per document, in whatever order rows come.
 
-A corpus that is scored by its own counts, none left out, needs no steps: every n-gram is known, so the score of a text is
-a sum of logs of counts with whole coefficients.  Its n-grams cross one exchange: a batch of texts sends one row of arrays
-to each bucket of hashes, which is unpacked where it arrives; there a window by hash gives the counts, and what n-grams add
-to their texts is summed by text.  N-grams that occur once add nothing and go no further.
+``cross_score`` scores a corpus by itself without letting a text vouch for itself: texts fall into two halves by hash, and
+each half is scored by the counts of the other, so that what only one half says is backed off.  The fold is part of an
+n-gram's hash; both models are one table, built and joined once.
 
-Before that exchange, steps (or counts) of the most frequent n-grams (HEAD at most, a fixed number) are looked up in a
-broadcast table, which also takes the hot keys out of it; and with a model of another corpus n-grams that a Bloom filter of
-fixed size shows to be unknown are left out, as they add nothing.
+``score_corpus`` leaves no text out.  Then every n-gram is known, and the score of a text is a sum of logs of counts with
+whole coefficients.  Its n-grams cross one exchange: a batch of texts sends one row of arrays to each bucket of hashes,
+which is unpacked where it arrives; there a window by hash gives the counts, and what n-grams add to their texts is summed
+by text.  N-grams that occur once add nothing and go no further.
+
+Before the join (or that exchange), steps (or counts) of the most frequent n-grams (HEAD at most, a fixed number) are looked
+up in a broadcast table, which also takes the hot keys out of it; before the join, n-grams that a Bloom filter of fixed size
+shows to be unknown are left out, as they add nothing.
 
 Edge cases: null or empty text has no words, n_words 0 and a null score; n-grams never cross texts; very long texts are
 taken whole; with an empty training corpus every word gets the floor; an empty table gives an empty result; extra columns
-are ignored.  ``score_corpus`` gives one row for each row, also for repeated rows and those without an id, all of which are
-counted; it tells rows apart by their place in a partition, so its input should come from files.  ``score`` joins by id:
-rows of one id give one row, the mean of all their words, and rows without an id none.
+are ignored.  There is one row for each row, also for repeated rows, rows of one id and those without an id, all of which
+are counted; rows are told apart by their place in a partition, so the input should come from files.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, frees, materialize, raw_texts, text_parts
+from .common import discard, frees, materialize, raw_texts, small, text_parts
 from .ngram_join import _mix, _word_codes
 
 #: Order of the model, factor of a backoff, least count of an n-gram that is kept.
@@ -171,8 +174,8 @@ def _train(docs: DataFrame, text_col: str, order: int, backoff: float, min_count
     table = known.withColumn("lower", of_fold(unknown))
     levels = []
     for n in range(2, order + 1):
-        own = counts.where(F.col("n") == n).join(known.select(F.col("h").alias("before"), F.col("count").alias("base")), "before")
-        own = own.join(known.select(F.col("h").alias("after"), F.col("score").alias("shorter")), "after")
+        own = counts.where(F.col("n") == n).join(small(known.select(F.col("h").alias("before"), F.col("count").alias("base"))), "before")
+        own = own.join(small(known.select(F.col("h").alias("after"), F.col("score").alias("shorter"))), "after")
         own = own.select("h", "count", F.log(F.col("count") / F.col("base")).alias("score"), (F.col("shorter") + math.log(backoff)).alias("lower"))
         if n < order:
             own = materialize(own, "level")
