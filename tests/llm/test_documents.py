@@ -294,11 +294,13 @@ def same_scores(got, want):
         assert g[:2] == w[:2] and (g[2] is None if w[2] is None else math.isclose(g[2], w[2], abs_tol=1e-4))
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order, words", [(1, None), (2, None), (2, 0), (2, 300), (3, None)])  # with few words broadcast the counts of the others are joined
 @pytest.mark.parametrize("head", [None, 5])
-def test_each_half_is_scored_by_the_other(spark, documents, monkeypatch, order, head):
+def test_each_half_is_scored_by_the_other(spark, documents, monkeypatch, order, words, head):
     if head:  # nearly all n-grams are looked up by the join
         monkeypatch.setattr(backoff_lm, "HEAD", head)
+    if words is not None:
+        monkeypatch.setattr(backoff_lm, "WORDS", words)
     odd = [(None, "one two three"), (90, "seen once"), (90, "another text of one id"), (91, "seen once more"), (92, "a"), (93, prose(3, 3_000)), (94, prose(4, 3_000)), (94, prose(4, 3_000))]
     docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     want, backed = cross_scores([tuple(r) for r in docs.collect()], order)

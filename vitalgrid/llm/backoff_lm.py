@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,12 @@ LOOKED_AT = 10_000
 GRAMS = 1_000_000
 #: Steps are whole numbers of this fraction, so that sums do not depend on the order of rows.
 UNIT = 1e-6
+#: Words, the most frequent ones, whose counts are broadcast (12 MB); those of others are joined.
+WORDS = 1 << 19
+#: n-grams of a bucket of hashes, on average.
+BUCKET = 1_000_000
+#: The bit of a hash that tells the fold.
+FOLD = np.uint64(8)
 #: Characters, and texts, worked on at once.
 CHARS, PART_TEXTS = 1_000_000, 30_000
 
@@ -89,7 +96,7 @@ def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == h
 
 
-def _count(order: int, chosen=None):
+def _count(order: int, chosen=None, folded: bool = False):
     """(h, count): the distinct n-grams of as many texts as GRAMS allows; of those of several words only the chosen ones, if given."""
 
     @frees
@@ -105,8 +112,9 @@ def _count(order: int, chosen=None):
                         yield pa.RecordBatch.from_arrays([pa.array(uniq[k : k + 200_000].view(np.int64)), pa.array(count[k : k + 200_000], pa.int32())], ["h", "count"])
 
         for part in (part for batch in batches for part in text_parts(batch, size=CHARS, rows=PART_TEXTS)):
-            for n, h in enumerate(text_ngrams(raw_texts(part), order)[0]):
-                held[n].append(h if chosen is None or not n else h[_find(chosen.value, h.view(np.int64))[1]])
+            texts = raw_texts(part)
+            for n, h in enumerate(text_ngrams(texts, order, folds_of(texts) if folded else None)[0]):
+                held[n].append(h if chosen is None or not n else h[_find(chosen.value, (h & ~FOLD).view(np.int64))[1]])
             if sum(map(len, held[0])) > GRAMS:
                 yield from flush()
         yield from flush()
@@ -266,13 +274,13 @@ def _explode(order: int, back: int, floors: list[int], folded: bool, head, bloom
 _ASKED = ["row", "h", "times", "value"]
 
 
-def _most_frequent(counts: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """h, in order, and ``value`` of the n-grams of largest count: whole levels of counts, HEAD entries at most."""
+def _most_frequent(counts: DataFrame, value: str, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """h, in order, and ``value`` of the n-grams of largest count: whole levels of counts, ``limit`` entries at most (HEAD if not given)."""
     level = F.floor(F.log2(F.col("count").cast("double")) * 16)
     least, held = None, 0
     for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a thousand levels at most
         held += row["n"]
-        if held > HEAD:
+        if held > (HEAD if limit is None else limit):
             break
         least = row["level"]
     if least is None:
@@ -299,10 +307,185 @@ def _score(docs: DataFrame, model: DataFrame, floors: list[int], text_col: str,
 
 def cross_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """As ``score``, each text under the model of the other half of ``docs``: halves go by hash of the text, so that neither a text nor an exact copy is scored by itself."""
+    if order == 2 and min_count == 1:
+        return _cross_pairs(docs, text_col, id_col, backoff)
     model, floors = _train(docs, text_col, order, backoff, min_count, True)
     return _score(docs, model, floors, text_col, id_col, order, backoff, True)
 
 
+class _Words:
+    """Logs in UNITs of the counts of the most frequent words in both folds; a pair of words has a step where it is known."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, backoff: float) -> None:
+        self.keys = keys
+        self.history, self.total = _log(counts), _log(np.maximum(1, totals))
+        # an unknown word scores as one half as frequent as the rarest known one
+        self.unknown = _log(0.5 / np.maximum(1, totals))
+        self.single = np.where(counts > 0, self.history - self.total[:, None], self.unknown[:, None])
+        self.back = round(math.log(backoff) / UNIT)
+
+    def steps(self, fold: np.ndarray, before: np.ndarray, after: np.ndarray, count: np.ndarray) -> np.ndarray:
+        step = _log(count) - self.history[fold, before] - self.back - self.single[fold, after]
+        return np.where(count > 0, step, 0)
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    """Natural logarithm in UNITs, of zero 0."""
+    return np.rint(np.log(np.where(x > 0, x, 1)) / UNIT).astype(np.int64)
+
+
+def _deal_pairs(words, head, buckets: int):
+    """One row per batch of texts and bucket: what of each text has to be counted, the text's place in the batch and its times,
+    below zero in fold 1. Pairs of the head table are settled here.
+
+    A pair of frequent words is their two numbers. Other pairs, and other single words, are hashes below zero; ``parts`` holds
+    for each such pair both words: eight times the number of a frequent one, the hash of another.
+    Buckets below zero hold three entries of each text: what needs no other count (times 0), its words (1) and its id (2).
+    """
+    shift, below = np.uint64(64 - buckets.bit_length() + 1), np.uint64(1 << 63)
+
+    def row(bucket: np.ndarray, batch: int, ends: np.ndarray, h: pa.Array, place: np.ndarray, times: np.ndarray, part_ends: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), batch), pa.int64())]
+        columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (h, pa.array(place, pa.int16()), pa.array(times, pa.int32()))]
+        columns += [pa.ListArray.from_arrays(pa.array(part_ends, pa.int32()), pa.array(parts, pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "batch", "h", "place", "times", "parts"])
+
+    @frees
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, (keys, counts) = words.value, head.value
+        batch = TaskContext.get().partitionId() << 24  # a key of batch and place leaves as many bits for the partition
+        for own in (own for frame in batches for own in text_parts(frame, size=CHARS, rows=PART_TEXTS)):
+            batch += 1
+            texts = raw_texts(own)
+            fold = folds_of(texts).astype(np.int64)
+            (one, two), (in_one, in_two), n_words = text_ngrams(texts, 2)
+            at, found = _find(known.keys, one.view(np.int64))
+            sums = np.bincount(in_two, minlength=len(texts)) * known.back
+            np.add.at(sums, in_one[found], known.single[1 - fold[in_one[found]], at[found]])
+            np.add.at(sums, in_one[~found], known.unknown[1 - fold[in_one[~found]]])
+            # a text has one pair less than words, which shifts those of the texts after it
+            place = np.arange(len(two)) + in_two - np.searchsorted(np.flatnonzero(n_words == 0), in_two)
+            i, hit = _find(keys, two.view(np.int64))
+            frequent = found[place] & found[place + 1]
+            hit &= frequent
+            of, other = in_two[hit], 1 - fold[in_two[hit]]
+            if len(of):
+                np.add.at(sums, of, known.steps(other, at[place[hit]], at[place[hit] + 1], counts[other, i[hit]]))
+            word = np.where(found, at << 3, one.view(np.int64))
+            place, frequent, two, in_two = place[~hit], frequent[~hit], two[~hit], in_two[~hit]
+            pairs = np.where(frequent, (at[place] << 32) | at[place + 1] if len(at) else 0, (two | below).view(np.int64))
+            h, d = np.concatenate([pairs, (one[~found] | below).view(np.int64)]), np.concatenate([in_two, in_one[~found]])
+            parts = np.zeros((len(h), 2), np.int64)
+            parts[: len(place)] = np.stack([word[place], word[place + 1]], axis=1)
+            bucket = (_mix(h.view(np.uint64)) >> shift).astype(np.int32)
+            by = np.lexsort((h, d, bucket))
+            h, d, bucket, parts = h[by], d[by], bucket[by], parts[by]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, np.int64)
+            times = np.diff(np.r_[first, len(h)])
+            h, d, bucket, parts = h[first], d[first], bucket[first], parts[first]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else np.empty(0, np.int64)
+            ends, rare = np.r_[cut, len(h)], _rare_pairs(h)
+            yield row(bucket[cut], batch, ends, pa.array(h), d, np.where(fold[d] > 0, -times, times), 2 * np.r_[0, np.cumsum(rare)][ends], parts[rare].ravel())
+            facts = pa.concat_arrays([pa.array(sums), pa.array(n_words), own["id"]])
+            yield row(np.array([-1 - batch % buckets]), batch, np.array([0, len(facts)]), facts, np.tile(np.arange(len(texts)), 3), np.repeat([0, 1, 2], len(texts)), np.array([0, 0]), np.empty(0))
+
+    return run
+
+
+def _rare_pairs(h: np.ndarray) -> np.ndarray:
+    return (h < 0) & ((h & 7) == 2)
+
+
+_ADDED = {"batch": pa.int64(), "place": pa.int16(), "kind": pa.int32(), "value": pa.int64(), "word": pa.int64()}
+
+
+def _settle_pairs(words):
+    """(batch, place, kind, value, word) from the rows of a bucket: what is added to a text (kind 0), each pair by its count in
+    the other fold; and for pairs of rarer words how often the log of a word's count is added, in fold 0 (kind 3) or 1 (kind 4)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        known = words.value
+        h, place, times, parts = (rows[c].combine_chunks().flatten() for c in ("h", "place", "times", "parts"))
+        batch = np.repeat(rows["batch"].to_numpy(), pc.list_value_length(rows["h"]).to_numpy())
+        if rows["bucket"][0].as_py() < 0:
+            return pa.table([pa.array(batch), place, times, h, pa.nulls(len(h), pa.int64())], schema=pa.schema(_ADDED))
+        h, place, times = h.to_numpy(), place.to_numpy(), times.to_numpy().astype(np.int64)
+        part = np.cumsum(_rare_pairs(h)) - 1  # where the words of a rare pair stand
+        parts = parts.to_numpy().reshape(-1, 2)
+        by = np.argsort(h, kind="stable")
+        h, key, times, part = h[by], (batch[by] << 15) | place[by], times[by], part[by]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        counts = np.stack([np.add.reduceat(np.maximum(times, 0), first), np.add.reduceat(np.maximum(-times, 0), first)])
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+        other = (times > 0).astype(np.int64)
+        count, times = counts[other, of], np.abs(times)
+        some = count > 0
+        h, key, times, part, other, count = h[some], key[some], times[some], part[some], other[some], count[some]
+        value = np.zeros(len(h), np.int64)
+        pair, rare = h >= 0, _rare_pairs(h)
+        single = ~pair & ~rare
+        value[pair] = known.steps(other[pair], h[pair] >> 32, h[pair] & 0xFFFFFFFF, count[pair])
+        value[single] = _log(count[single]) - known.total[other[single]] - known.unknown[other[single]]
+        value[rare] = _log(count[rare]) - known.back + known.total[other[rare]]
+        asked = []
+        for place_in_pair in (0, 1):
+            at = np.flatnonzero(rare)
+            word = parts[part[at], place_in_pair]
+            frequent = (word & 7) == 0
+            value[at[frequent]] -= known.history[other[at[frequent]], word[frequent] >> 3]
+            asked.append((at[~frequent], word[~frequent]))
+        # what comes to one bucket of one text is handed on as one
+        keys, at = np.unique(key, return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, at, value * times)
+        at, word = (np.concatenate(x) for x in zip(*asked))
+        keys, kind = np.r_[keys, key[at]], np.r_[np.zeros(len(keys), np.int64), 3 + other[at]]
+        word = pa.concat_arrays([pa.nulls(len(sums), pa.int64()), pa.array(word)])
+        return pa.table([pa.array(keys >> 15), pa.array((keys & 0x7FFF).astype(np.int16)), pa.array(kind, pa.int32()), pa.array(np.r_[sums, -times[at]]), word], schema=pa.schema(_ADDED))
+
+    return run
+
+
+def _cross_pairs(docs: DataFrame, text_col: str, id_col: str, backoff: float) -> DataFrame:
+    """``cross_score`` for pairs of words.
+
+    Every pair of a text goes to the bucket of its hash once, where the pairs of both folds are counted and each is joined to
+    its count in the other one: the corpus is model and query at once. A pair that is known takes back the backoff of its
+    place, for which the counts of its words are needed: those of frequent words are broadcast, the others are joined.
+    """
+    spark = docs.sparkSession
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = src.select("text").where("text is not null")
+    order = F.pmod("h", F.lit(8))
+    some = texts.sample(min(1.0, LOOKED_AT / max(1, docs.count())), 1).mapInArrow(_count(2), "h long, count int").where(order > 1)
+    some = materialize(some.groupBy("h").agg(F.sum("count").alias("count")).where("count > 1"), "tried")
+    chosen = spark.sparkContext.broadcast(_most_frequent(some, "count")[0])
+    counts = texts.mapInArrow(_count(2, chosen, True), "h long, count int")
+    even = F.when(F.col("h").bitwiseAND(8) == 0, F.col("count")).otherwise(0)
+    counts = materialize(counts.groupBy(F.col("h").bitwiseAND(~8).alias("h")).agg(F.sum("count").alias("count"), F.sum(even).alias("even")), "ngrams")
+    singles, pairs = counts.where(order == 1), counts.where(order == 2)
+    total, in_even = singles.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("even"), F.lit(0))).first()
+
+    def top(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        (keys, count), (_, even) = _most_frequent(rows, "count", limit), _most_frequent(rows, "even", limit)
+        return keys, np.stack([even, count - even])
+
+    words = spark.sparkContext.broadcast(_Words(*top(singles, WORDS), np.array([in_even, total - in_even]), backoff))
+    head = spark.sparkContext.broadcast(top(pairs, HEAD))
+    discard(some)
+    buckets = 1 << max(255, total // BUCKET).bit_length()
+    dealt = src.mapInArrow(_deal_pairs(words, head, buckets), "bucket int, batch long, h array<long>, place array<short>, times array<int>, parts array<long>")
+    added = materialize(dealt.groupBy("bucket").applyInArrow(_settle_pairs(words), "batch long, place short, kind int, value long, word long"), "added")
+    in_fold = F.when(F.col("kind") == 3, F.col("even")).otherwise(F.col("count") - F.col("even"))
+    rare = added.where("kind >= 3").join(singles.withColumnRenamed("h", "word"), "word")
+    rare = rare.select("batch", "place", F.lit(0).alias("kind"), (F.col("value") * F.round(F.log(in_fold.cast("double")) / UNIT).cast("long")).alias("value"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("value"))
+    out = added.where("kind < 3").drop("word").unionByName(rare).groupBy("batch", "place").agg(F.max(of(2)).alias("id"), F.max(of(1)).alias("n_words"), F.sum(of(0)).alias("steps"))
+    return out.select(F.col("id").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("steps") / F.col("n_words") * UNIT).alias("log_score"))
+
+
 def _coefficients(docs: list[np.ndarray], n_words: np.ndarray) -> list[np.ndarray]:
     """How often the log of an n-gram's count is added to the score of its text, all n-grams being known, for each order and place."""
     order, some = len(docs), np.arange(len(n_words))
