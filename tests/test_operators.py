@@ -240,3 +240,13 @@ def test_plans_stay_in_the_engine(spark):
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
     plan = S.range_scan(spark.read.parquet(f"{DATA}/lineitem.parquet").select(F.col("l_orderkey").alias("ts"), F.lit("d").alias("deviceId")), 5, 9)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_orderkey,5)" in plan and "ReadSchema: struct<l_orderkey:bigint>" in plan
+
+
+def test_what_is_shown_of_a_night_is_worked_out_by_day(spark):
+    notes = frame(spark, [("e1", 1, "2024-01-01", None), ("e2", 2, "2024-01-01", None)], "editId string, seq long, day string, endDay string")
+    notes = notes.selectExpr("*", "array('a_tag') as tags", "'user_reported' as source", "'d' as detail", "cast(null as long) as startTs", "cast(null as long) as endTs", "cast(null as string) as tz", "cast(null as map<string, string>) as values")
+    nights = frame(spark, [("d", i, f"2024-01-0{1 + i % 3}") for i in range(9)], "deviceId string, startTs long, localDay string")
+    df = N.annotations_for_night(nights, notes, shown=F.array_join(F.transform("annotations", lambda a: F.concat(a["matchedOn"], F.lit(":"), a["editId"])), ","))
+    assert {r["startTs"] % 3: r["annotations"] for r in df.collect()} == {0: "sameDay:e1,sameDay:e2", 1: "priorEvening:e1,priorEvening:e2", 2: None}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("array_join")  # below the join
