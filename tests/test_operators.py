@@ -250,3 +250,12 @@ def test_what_is_shown_of_a_night_is_worked_out_by_day(spark):
     assert {r["startTs"] % 3: r["annotations"] for r in df.collect()} == {0: "sameDay:e1,sameDay:e2", 1: "priorEvening:e1,priorEvening:e2", 2: None}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftOuter") < plan.index("array_join")  # below the join
+
+
+def test_samples_of_owners_are_met_once_without_a_shuffle_of_pairs(spark):
+    """Two owners share both devices; equal samples are two samples."""
+    owners = frame(spark, [(d, 0, o) for d in ("a", "b") for o in (1, 2)] + [("c", 0, 2), ("d", 0, 3)], "deviceId string, utcDay long, owner int")
+    sessions = frame(spark, [("a", 100, 200)], "deviceId string, startTs long, endTs long")
+    samples = frame(spark, [("b", 150, 60), ("b", 150, 60), ("c", 150, 70), ("d", 150, 80), ("b", 300, 60)], "deviceId string, ts long, bpm int")
+    df = U.session_sample_join(sessions, samples, owners)
+    assert sorted((r["sampleDevice"], r["ts"], r["bpm"]) for r in df.collect()) == [("b", 150, 60), ("b", 150, 60), ("c", 150, 70)]
