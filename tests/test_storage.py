@@ -191,3 +191,18 @@ def test_recent_annotations_in_reading_order(spark):
     df = spark.createDataFrame(rows, "seq long, day string, endDay string, tags array<string>, source string")
     got = N.recent_annotations(df, "2024-01-02", limit=3).collect()
     assert [(r["day"], r["seq"], r["place"], r["matched"], r["total"]) for r in got] == [("2024-01-05", 0, 1, 4, 5), ("2024-01-09", 2, 2, 4, 5), ("2024-01-09", 3, 3, 4, 5)]
+
+
+def test_statistics_are_put_together_by_several_tasks(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('d', id % 50) as deviceId", "id * 1000 as ts", "cast(1 as int) as bpm")
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        days = V.write_days(rows, str(tmp_path), "hrSample")
+    finally:
+        spark.conf.set(name, before)
+    files = sorted(tmp_path.glob("hrSample/stats/v=*/utcDay=*/*.parquet"))
+    assert len(files) == len(days) > 4  # one a day
+    assert len({f.name.split("-")[1] for f in files}) > 1  # by several tasks
+    assert spark.read.parquet(str(tmp_path / "hrSample/stats")).agg({"rows": "sum"}).first()[0] == 4000
