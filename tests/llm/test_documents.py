@@ -309,6 +309,26 @@ def test_each_half_is_scored_by_the_other(spark, documents, monkeypatch, order,
     assert backoff_lm.cross_score(docs.limit(0), order=order).count() == 0
 
 
+def test_pairs_with_one_rarer_word_are_settled_without_a_join(spark, monkeypatch):
+    """All of a rarer word are in the bucket that its pairs come to."""
+    monkeypatch.setattr(backoff_lm, "WORDS", 1)
+    monkeypatch.setattr(backoff_lm, "HEAD", 0)
+    written, write = [], backoff_lm.materialize
+
+    def kept(df, label="step"):
+        out = write(df, label)
+        if label == "added":
+            written.append(out.where("kind >= 3").count())
+        return out
+
+    monkeypatch.setattr(backoff_lm, "materialize", kept)
+    for texts, asked in (["the " + " the ".join(f"w{i * k % 7}" for i in range(12)) for k in range(1, 13)], False), ([f"x{k} w1 w2 w3" + " the" * 9 for k in range(1, 13)], True):
+        rows = list(enumerate(texts))
+        got = backoff_lm.cross_score(spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()
+        same_scores(got, cross_scores(rows, 2)[0])
+        assert (written[-1] > 0) == asked
+
+
 def test_the_backoff_query_holds_each_half_against_the_other(spark, tmp_path):
     from vitalgrid.llm.registry import queries
 

@@ -338,11 +338,13 @@ def _deal_pairs(words, head, buckets: int):
     """One row per batch of texts and bucket: what of each text has to be counted, the text's place in the batch and its times,
     below zero in fold 1. Pairs of the head table are settled here.
 
+    Pairs with a rarer word come to the bucket of that word, and of their first word if both are.
     A pair of frequent words is their two numbers. Other pairs, and other single words, are hashes below zero; ``parts`` holds
     for each such pair both words: eight times the number of a frequent one, the hash of another.
     Buckets below zero hold three entries of each text: what needs no other count (times 0), its words (1) and its id (2).
     """
     shift, below = np.uint64(64 - buckets.bit_length() + 1), np.uint64(1 << 63)
+    low = np.int64(-1 << 63)
 
     def row(bucket: np.ndarray, batch: int, ends: np.ndarray, h: pa.Array, place: np.ndarray, times: np.ndarray, part_ends: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
         columns = [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), batch), pa.int64())]
@@ -379,7 +381,12 @@ def _deal_pairs(words, head, buckets: int):
             h, d = np.concatenate([pairs, (one[~found] | below).view(np.int64)]), np.concatenate([in_two, in_one[~found]])
             parts = np.zeros((len(h), 2), np.int64)
             parts[: len(place)] = np.stack([word[place], word[place + 1]], axis=1)
-            bucket = (_mix(h.view(np.uint64)) >> shift).astype(np.int32)
+            # a pair with a rarer word comes to the bucket of that word, the first of two, where the word itself is counted
+            at_word = h.copy()
+            at_word[: len(place)] = np.where(found[place], pairs, word[place] | low)
+            second = np.flatnonzero(found[place] & ~found[place + 1])
+            at_word[second] = word[place[second] + 1] | low
+            bucket = (_mix(at_word.view(np.uint64)) >> shift).astype(np.int32)
             by = np.lexsort((h, d, bucket))
             h, d, bucket, parts = h[by], d[by], bucket[by], parts[by]
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, np.int64)
@@ -403,7 +410,8 @@ _ADDED = {"batch": pa.int64(), "place": pa.int16(), "kind": pa.int32(), "value":
 
 def _settle_pairs(words):
     """(batch, place, kind, value, word) from the rows of a bucket: what is added to a text (kind 0), each pair by its count in
-    the other fold; and for pairs of rarer words how often the log of a word's count is added, in fold 0 (kind 3) or 1 (kind 4)."""
+    the other fold; and for pairs of two rarer words how often the log of a word's count that another bucket has is added, in fold 0
+    (kind 3) or 1 (kind 4)."""
 
     def run(rows: pa.Table) -> pa.Table:
         known = words.value
@@ -418,6 +426,7 @@ def _settle_pairs(words):
         h, key, times, part = h[by], (batch[by] << 15) | place[by], times[by], part[by]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         counts = np.stack([np.add.reduceat(np.maximum(times, 0), first), np.add.reduceat(np.maximum(-times, 0), first)])
+        uniq = h[first]
         of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
         other = (times > 0).astype(np.int64)
         count, times = counts[other, of], np.abs(times)
@@ -435,7 +444,10 @@ def _settle_pairs(words):
             word = parts[part[at], place_in_pair]
             frequent = (word & 7) == 0
             value[at[frequent]] -= known.history[other[at[frequent]], word[frequent] >> 3]
-            asked.append((at[~frequent], word[~frequent]))
+            at, word = at[~frequent], word[~frequent]
+            i, here = _find(uniq, word | np.int64(-1 << 63))  # all of a word are in its bucket
+            value[at[here]] -= _log(counts[other[at[here]], i[here]])
+            asked.append((at[~here], word[~here]))
         # what comes to one bucket of one text is handed on as one
         keys, at = np.unique(key, return_inverse=True)
         sums = np.zeros(len(keys), np.int64)
@@ -453,7 +465,8 @@ def _cross_pairs(docs: DataFrame, text_col: str, id_col: str, backoff: float) ->
 
     Every pair of a text goes to the bucket of its hash once, where the pairs of both folds are counted and each is joined to
     its count in the other one: the corpus is model and query at once. A pair that is known takes back the backoff of its
-    place, for which the counts of its words are needed: those of frequent words are broadcast, the others are joined.
+    place, for which the counts of its words are needed: those of frequent words are broadcast, that of one rarer word is there
+    in the bucket, and only where both are rarer that of the second may have to be joined.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
