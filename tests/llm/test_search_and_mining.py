@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -236,6 +237,21 @@ def test_nothing_is_frequent(spark):
         assert collocations.collocations(spark.createDataFrame(rows, DOCUMENT)).count() == 0
 
 
+def test_walks_hand_on_the_next_level_alone():
+    rnd = np.random.RandomState(3)
+    ids = np.append(rnd.randint(0, 6, 4000), 0).astype(np.int32)
+    pairs = np.array([(i, j) for i in range(1, 6) for j in range(1, 6) if i + j != 5], np.int32)
+    trie = collocations.DoubleArray(pairs, 6)
+    shared = SimpleNamespace(value=(trie.base, trie.check, trie.accept, trie.radix, trie.phrases))
+    batch = pa.RecordBatch.from_arrays([pa.array([ids[:1000].tobytes() + bytes(4), ids[1000:].tobytes()], pa.binary())], names=["ids"])
+    texts = [*ids[:1000].tolist(), 0, *ids[1000:].tolist()]
+    known = set(map(tuple, pairs.tolist()))
+    want = Counter(t for t in zip(texts, texts[1:], texts[2:]) if t[:2] in known and t[1:] in known)
+    got = [r for out in collocations._walked(shared, 2, 0, 1)(iter([batch])) for r in out.to_pylist()]
+    assert len(got) == len(want) > 50  # each candidate once, and no row for a pair, which is counted already
+    assert {(r["a"] >> 32, r["a"] & 0xFFFFFFFF, r["b"] >> 32): r["f"] for r in got} == want
+
+
 def test_exact_beyond_64_bits(spark):
     big = 3 * 10**15
     phrases = spark.createDataFrame([(2, (1 << 32) | 2, 0, big - 1)], "k int, a long, b long, f long")
