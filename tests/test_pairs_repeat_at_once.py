@@ -24,3 +24,11 @@ def test_windows_of_one_time(spark, tmp_path):
     n, distinct, each = stored(U.interval_overlap_join(chunks, windows).select("windowId", "byteStart"), str(tmp_path / "pairs"))
     assert n == 800 * 8_000 and abs(distinct / n - 1) < 0.05
     assert each < 0.25, each
+
+
+def test_samples_of_one_hour(spark, tmp_path):
+    sessions = spark.range(600).select(F.concat(F.lit("s"), "id").alias("deviceId"), (500 * DAY - F.col("id")).alias("startTs"), (500 * DAY + 2 * HOUR + F.col("id")).alias("endTs"))
+    samples = spark.range(8_000).select(F.concat(F.lit("x"), F.xxhash64("id") % 5_000).alias("deviceId"), (500 * DAY + F.pmod(F.xxhash64("id"), F.lit(HOUR))).alias("ts"), (F.col("id") % 97).cast("int").alias("bpm"))
+    n, distinct, each = stored(U.session_sample_join(sessions, samples), str(tmp_path / "pairs"))
+    assert n == 600 * 8_000 and abs(distinct / n - 1) < 0.05
+    assert each < 0.5, each
